@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from docstrata.llm import bpe, sharding
 from docstrata.llm.ngram_join import jaccard_components
 
 
@@ -11,12 +13,21 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = sharding.kd_shards(_read(spark, sf_dir, "documents"), shards=16)
+    return shards.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
+def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digest(_read(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    found = [op7_ngram_jaccard_join]
+    found = [op1_kd_tree_sharding, op7_ngram_jaccard_join, op9_bpe_round_trip]
     return {f.__name__: f for f in found}
 
 
