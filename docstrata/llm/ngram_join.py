@@ -8,7 +8,7 @@ nodes that can reach the threshold, without listing the pairs of a group:
   in the global order. Nodes that share a light n-gram are counted by pair, and the count with the lengths bounds
   their overlap; pairs which that bound excludes go.
 * A node whose zone has too few light n-grams (most of its text is common to many documents) is joined, through the
-  n-grams of its prefix in hash order, with the other such nodes.
+  n-grams of its prefix in hash order, with the other such nodes: the prefix filter under that plainer order.
 
 Connected candidates form groups. Inside a group the sets are stored in a tree, n-grams in one global order; a block of
 sets walks it, all sets of the block sharing the overlap counted so far on a path, and subtrees go as soon as the rest
@@ -34,6 +34,7 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _SEGMENT = 1 << 16
+_BROADCAST_ROWS = 1_000_000  # of four long columns; more rows are shuffled
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -124,11 +125,11 @@ def _prefix(n: int, num: int, den: int) -> int:
 
 def _sets(num: int, den: int, width: int):
     t = num / den
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("spare", pa.int64()), ("zone", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("spare", pa.int64()), ("held", pa.int64()), ("zone", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
-            out, first = ([], [], [], [], []), set()
+            out, first = ([], [], [], [], [], []), set()
             for text in batch.column(1).to_pylist():
                 grams = ngram_set(text, width)
                 n = len(grams)
@@ -136,25 +137,30 @@ def _sets(num: int, den: int, width: int):
                 out[1].append(n)
                 out[2].append(node)
                 if not n or node in first:  # one zone for all copies in the batch
-                    out[3].append(None)
-                    out[4].append(None)
+                    for column in out[3:]:
+                        column.append(None)
                     continue
                 first.add(node)
-                out[3].append(_below(grams, _zone_share(n, t)) - _prefix(n, num, den))
-                out[4].append(grams[: _below(grams, _zone_share(t * n, t))].view(np.int64))
+                prefix, held = _prefix(n, num, den), _below(grams, _zone_share(t * n, t))
+                out[3].append(_below(grams, _zone_share(n, t)) - prefix)
+                out[4].append(held)
+                out[5].append(grams[: max(held, prefix)].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, f.type) for x, f in zip(out[1:], list(schema)[1:]))], schema=schema)
 
     return run
 
 
 def _grams(width: int):
-    schema = pa.schema([("node", pa.int64()), ("grams", pa.list_(pa.int64()))])
+    """Rows with a text to rows with its n-grams; a row whose text is not that of its node goes (an id may repeat)."""
+    schema = pa.schema([("node", pa.int64()), ("grp", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
-            sets = [ngram_set(x, width) for x in batch.column(0).to_pylist()]
-            nodes = pa.array([node_of(x) for x in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([nodes, pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], schema=schema)
+            sets = [ngram_set(x, width) for x in batch.column("text").to_pylist()]
+            keep = [i for i, (x, node) in enumerate(zip(sets, batch.column("node").to_pylist())) if node_of(x) == node]
+            named = [batch.column(c).take(pa.array(keep, pa.int64())) for c in ("node", "grp", "bucket")]
+            lists = [sets[i].view(np.int64) for i in keep]
+            yield pa.RecordBatch.from_arrays([*named, pa.array(map(len, lists), pa.int64()), pa.array(lists, pa.list_(pa.int64()))], schema=schema)
 
     return run
 
@@ -247,7 +253,7 @@ def _as_sets(column) -> list[np.ndarray]:
 def _group_links(num: int, den: int):
     """A forest over each candidate group of the frame (several small groups share a task)."""
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         a, b = [], []
         for _, part in frame.groupby("grp", sort=False):
             nodes, sets = part["node"].to_numpy(), _as_sets(part["grams"])
@@ -264,7 +270,7 @@ def _group_links(num: int, den: int):
 def _block_links(num: int, den: int):
     """A forest over the links between two blocks of a large group (side 0 walks the tree of side 1)."""
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         left, right = (frame[frame["side"] == s] for s in (0, 1))
         right = left if not len(right) else right
         names = {x: i for i, x in enumerate(pd.unique(frame["node"]))}
@@ -351,7 +357,7 @@ def jaccard_components(
     num, den = threshold
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows, rows_path = table(
-        base.mapInArrow(_sets(num, den, width), "doc_id long, n_shingles long, node long, spare long, zone array<long>")
+        base.mapInArrow(_sets(num, den, width), "doc_id long, n_shingles long, node long, spare long, held long, zone array<long>")
     )
     members = rows.select("doc_id", "n_shingles", "node")
 
@@ -362,14 +368,15 @@ def jaccard_components(
 
     heavy = often.where(F.col("c") > light).groupBy("node").agg(F.count(F.lit(1)).alias("heavy"))
     nodes, nodes_path = table(
-        zones.groupBy("node").agg(F.max("n_shingles").alias("n"), F.max("spare").alias("spare"), F.max(F.size("zone")).alias("zone"))
+        zones.groupBy("node").agg(F.max("n_shingles").alias("n"), F.max("spare").alias("spare"), F.max("held").alias("held"), F.min("doc_id").alias("doc_id"))
         .join(heavy, "node", "left")
-        .select("node", "n", (F.col("zone") - F.coalesce("heavy", F.lit(0))).alias("lit"), (F.col("spare") < F.coalesce("heavy", F.lit(0))).alias("common"))
+        .select("node", "n", "doc_id", (F.col("held") - F.coalesce("heavy", F.lit(0))).alias("lit"), (F.col("spare") < F.coalesce("heavy", F.lit(0))).alias("common"))
     )
     lists = often.where(F.col("c") <= light).groupBy("gram").agg(F.array_sort(F.collect_list("node")).alias("v"))
     first = lists.select("v", F.posexplode("v").alias("i", "a"))
     pairs = first.select("a", F.explode(F.slice("v", F.col("i") + 2, F.size("v"))).alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("lit").alias(f"lit{s}"))
+    # what the larger of two sets shares outside its light n-grams, at most
     large_lit = F.when(F.col("na") > F.col("nb"), F.col("na") - F.col("lita")).when(F.col("na") < F.col("nb"), F.col("nb") - F.col("litb")).otherwise(F.least(F.col("na") - F.col("lita"), F.col("nb") - F.col("litb")))
     near = (
         pairs.join(side("a"), "a").join(side("b"), "b")
@@ -377,36 +384,34 @@ def jaccard_components(
         .where((F.col("c") + large_lit) * (num + den) >= (F.col("na") + F.col("nb")) * num)
         .select("a", "b")
     )
-    near, near_path = table(near)
 
-    common = nodes.where("common").select("node")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).unionByName(common).distinct()
-    named = members.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null")
-    sets, sets_path = table(
-        base.join(named.select("doc_id"), "doc_id", "left_semi").select("text")
-        .mapInArrow(_grams(width), "node long, grams array<long>")
-    )
-    # an id that repeats may bring a set that was not asked for, or one set twice
-    sets = sets.join(nodes.select("node", "n", "common").join(wanted, "node", "left_semi"), "node")
-
-    head = F.least(F.size("grams"), F.col("n") - F.ceil(F.col("n") * num / F.lit(float(den)) - 1e-9) + 1).cast("int")
-    prefix = sets.where("common").select("node", F.explode(F.slice(F.array_sort(F.transform("grams", lambda x: x.bitwiseXOR(F.lit(-(2**63))))), F.lit(1), head)).alias("gram"))
+    common = nodes.where("common").select("node", "n")
+    head = (F.col("n") - F.ceil(F.col("n") * num / F.lit(float(den)) - 1e-9) + 1).cast("int")
+    prefix = zones.select("node", "zone").join(common, "node").select("node", F.explode(F.slice("zone", F.lit(1), head)).alias("gram"))
+    prefix, prefix_path = table(prefix.distinct())
     hub = prefix.groupBy("gram").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     spokes = prefix.join(hub, "gram").select("a", F.col("node").alias("b")).where("a <> b").distinct()
-    groups, groups_path = table(components(near.unionByName(spokes)))
-    grouped = sets.drop("common").join(groups.select("node", F.col("comp").alias("grp")), "node")
-    weight = groups.join(nodes.select("node", "n"), "node").groupBy(F.col("comp").alias("grp")).agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("grams_n"))
+    groups, groups_path = table(components(near.unionByName(spokes)).join(nodes.select("node", "n", "doc_id"), "node"))
+
+    weight = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("grams_n"))
     is_large = (F.col("rows") > block_rows) | ((F.col("grams_n") > 400 * block_rows) & (F.col("rows") > 2))
-    weight, weight_path = table(weight.withColumn("large", is_large))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1) * 4
-    small = grouped.join(weight.where("not large").select("grp"), "grp")
+    bucket = F.when(F.col("large"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("comp"), F.lit(buckets)))
+    route, route_path = table(
+        groups.join(weight.withColumn("large", is_large), "comp").where("doc_id is not null")
+        .select("node", F.col("comp").alias("grp"), bucket.cast("long").alias("bucket"), "doc_id")
+    )
+    small_route = F.broadcast(route) if route.count() <= _BROADCAST_ROWS else route
+    sets, sets_path = table(
+        base.join(small_route, "doc_id").select("node", "grp", "bucket", "text")
+        .mapInArrow(_grams(width), "node long, grp long, bucket long, n long, grams array<long>")
+    )
     links = (
-        small.withColumn("bucket", F.pmod(F.xxhash64("grp"), F.lit(buckets))).select("bucket", "grp", "node", "grams")
-        .groupBy("bucket").applyInPandas(_group_links(num, den), "a long, b long")
+        sets.where("bucket >= 0").select("bucket", "grp", "node", "grams").groupBy("bucket").applyInPandas(_group_links(num, den), "a long, b long")
     )
     links, links_path = table(links)
-    if not weight.where("large").isEmpty():
-        big, big_path = table(grouped.join(weight.where("large").select("grp"), "grp"))
+    big = sets.where("bucket < 0").select("grp", "node", "n", "grams")
+    if not big.isEmpty():
         links = links.unionByName(_large_groups(big, num, den, block_rows))
     comp = components(links)
 
@@ -417,7 +422,7 @@ def jaccard_components(
     out = members.join(named_comp, "node", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
-    forget(spark, often_path)
+    forget(spark, often_path, prefix_path, groups_path, route_path, sets_path)
     return out
 
 
