@@ -154,32 +154,28 @@ def load(name: str) -> BytePairs:
     return _LOADED[name]
 
 
-def _mapped(df: DataFrame, source: str, target: str, kind: pa.DataType, ddl: str, make) -> DataFrame:
-    """``df`` without ``source`` and with ``target``, made from ``source`` row by row inside each Arrow batch."""
-    rest = [c for c in df.columns if c not in (source, target)]
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):  # ids of few texts at a time
-                part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([*(part.column(i + 1) for i in range(len(rest))), pa.array([make(x) for x in part.column(0)], kind)], names=[*rest, target])
-
-    fields = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in rest)
-    return df.select(source, *rest).mapInArrow(run, f"{fields}`{target}` {ddl}")
-
-
 def encode(df: DataFrame, *, text_col: str = "text", ids_col: str = "ids", tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
     """``df`` with ``ids_col`` (array<int>) in place of ``text_col``.
 
     Null texts count as empty, and empty texts have no ids. An existing column named ``ids_col`` is replaced; other
     columns stay as they are. Whole texts of any length; a piece is never cut.
     """
-    return _mapped(df, text_col, ids_col, pa.list_(pa.int32()), "array<int>", lambda x: load(tokenizer).encode(x.as_py() or ""))
+
+    def run(texts: pa.Array) -> pa.Array:
+        found = [load(tokenizer).encode(t.as_py() or "") for t in texts]
+        ends = np.cumsum([0, *map(len, found)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *found]), pa.int32()))
+
+    return df.withColumn(ids_col, F.arrow_udf(run, "array<int>")(F.col(text_col).cast("string"))).drop(*({text_col} - {ids_col}))
 
 
 def decode(df: DataFrame, *, ids_col: str = "ids", text_col: str = "text", tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
     """``df`` with ``text_col`` in place of ``ids_col``; null ids give an empty text, bytes that are no UTF-8 U+FFFD."""
-    return _mapped(df, ids_col, text_col, pa.string(), "string", lambda x: load(tokenizer).decode(x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else []))
+
+    def run(ids: pa.Array) -> pa.Array:
+        return pa.array([load(tokenizer).decode(x.values.to_pylist() if x.is_valid else []) for x in ids], pa.string())
+
+    return df.withColumn(text_col, F.arrow_udf(run, "string")(ids_col)).drop(*({ids_col} - {text_col}))
 
 
 def round_trip_digest(docs: DataFrame, *, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:

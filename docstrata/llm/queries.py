@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docstrata.llm import bpe, sharding
+from docstrata.llm import bpe, pii, secrets, sharding, toxicity
 from docstrata.llm.ngram_join import jaccard_components
 
 
@@ -22,12 +22,27 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(_read(spark, sf_dir, "documents"))
 
 
+def op2_toxicity_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_on_labels(docs, _read(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, score_col="score")
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(_read(spark, sf_dir, "documents"))
+
+
+def op5_secret_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(_read(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    found = [op1_kd_tree_sharding, op7_ngram_jaccard_join, op9_bpe_round_trip]
+    found = [op1_kd_tree_sharding, op2_toxicity_compression, op4_pii_weak_supervision, op5_secret_randomness_battery, op7_ngram_jaccard_join, op9_bpe_round_trip]
     return {f.__name__: f for f in found}
 
 
