@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docstrata.llm import bpe, pii, secrets, sharding, toxicity
+from docstrata.llm import bpe, exact_search, media, packing, pii, secrets, sharding, toxicity
 from docstrata.llm.ngram_join import jaccard_components
 
 
@@ -29,6 +29,10 @@ def op2_toxicity_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(_read(spark, sf_dir, "documents"))
+
+
 def op4_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(_read(spark, sf_dir, "documents"))
 
@@ -37,12 +41,20 @@ def op5_secret_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame
     return secrets.digest(_read(spark, sf_dir, "documents"))
 
 
+def op6_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(_read(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_read(spark, sf_dir, "documents"))
 
 
+def op10_m_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict:
-    found = [op1_kd_tree_sharding, op2_toxicity_compression, op4_pii_weak_supervision, op5_secret_randomness_battery, op7_ngram_jaccard_join, op9_bpe_round_trip]
+    found = [op1_kd_tree_sharding, op2_toxicity_compression, op3_best_fit_packing, op4_pii_weak_supervision, op5_secret_randomness_battery, op6_audio_features, op7_ngram_jaccard_join, op9_bpe_round_trip, op10_m_tree_search]
     return {f.__name__: f for f in found}
 
 
@@ -61,5 +73,17 @@ FROM documents d JOIN reach r ON r.doc_id = d.doc_id LEFT JOIN sizes s ON s.doc_
 """
 
 
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op7_ngram_jaccard_join": OP7_SQL}
+    return {"op10_m_tree_search": OP10_SQL, "op7_ngram_jaccard_join": OP7_SQL}
