@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docstrata.llm import bpe, exact_search, media, packing, pii, secrets, sharding, toxicity
+from docstrata.llm import bpe, exact_search, html_text, media, packing, pii, secrets, sharding, toxicity
 from docstrata.llm.ngram_join import jaccard_components
 
 
@@ -18,6 +18,10 @@ def op1_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op8_html_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_read(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").alias("n_chars"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(_read(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_m_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_kd_tree_sharding, op2_toxicity_compression, op3_best_fit_packing, op4_pii_weak_supervision, op5_secret_randomness_battery, op6_audio_features, op7_ngram_jaccard_join, op9_bpe_round_trip, op10_m_tree_search]
+    found = [op1_kd_tree_sharding, op2_toxicity_compression, op3_best_fit_packing, op4_pii_weak_supervision, op5_secret_randomness_battery, op6_audio_features, op7_ngram_jaccard_join, op8_html_layout_text, op9_bpe_round_trip, op10_m_tree_search]
     return {f.__name__: f for f in found}
 
 

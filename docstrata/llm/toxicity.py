@@ -212,7 +212,6 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, **options) -> Model:
     return fit(docs.select("doc_id", "text").join(rows, "doc_id"), **options)
 
 
-def keep_ordinary(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, **options) -> DataFrame:
+def keep_ordinary(docs: DataFrame, model: Model, *, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """The documents that score below ``threshold``, columns as in ``docs``. Empty and null texts stay if they do."""
-    scored = score(docs, fit_on_labels(docs, labels, **options), score_col="__toxicity")
-    return scored.where(F.col("__toxicity") < threshold).select(*docs.columns)
+    return score(docs, model, text_col=text_col, score_col="__toxicity").where(F.col("__toxicity") < threshold).select(*docs.columns)
