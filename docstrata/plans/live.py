@@ -36,13 +36,13 @@ def _live_grades(spark, d):
     return e.select((F.col("user_id") % 10).alias("project_id"), F.col("ts").cast("timestamp").alias("created_at"), grade.alias("retrieval_grade"), F.when(F.col("event_type") == "click", "RELEVANT").when(F.col("event_type") == "view", "AMBIGUOUS").alias("grade_label"), (F.col("event_type") == "purchase").alias("watcher_processed"))
 
 
-@query("st3_trigger_windows", "WITH g AS (SELECT project_id, unnest([epoch(created_at) // 86400 * 86400, epoch(created_at) // 86400 * 86400 - 86400]) AS s, retrieval_grade, watcher_processed FROM v_grades) SELECT project_id, CAST(s AS BIGINT) AS window_start, count(*) AS recent, count(*) FILTER (WHERE retrieval_grade < 0.5 AND NOT watcher_processed) AS poor FROM g GROUP BY 1, 2", "v_grades")
+@query("st3_trigger_windows", "WITH g AS (SELECT project_id, unnest([CAST(floor(epoch(created_at) / 86400) AS BIGINT) * 86400, CAST(floor(epoch(created_at) / 86400) AS BIGINT) * 86400 - 86400]) AS s, retrieval_grade, watcher_processed FROM v_grades) SELECT project_id, s AS window_start, count(*) AS recent, count(*) FILTER (WHERE retrieval_grade < 0.5 AND NOT watcher_processed) AS poor FROM g GROUP BY 1, 2", "v_grades")
 def st3(spark, d):
     out = flows.drained(spark, flows.trigger_counts(_live_grades(spark, d)), shared_folder(spark), "complete")
     return out.select("project_id", F.unix_timestamp("window.start").alias("window_start"), "recent", "poor")
 
 
-@query("st4_daily_metrics", f"SELECT project_id, CAST(epoch(created_at) // 86400 * 86400 AS BIGINT) AS day_start, {METRICS} FROM (SELECT *, {LABEL} AS lab FROM v_grades) GROUP BY 1, 2", "v_grades")
+@query("st4_daily_metrics", f"SELECT project_id, CAST(floor(epoch(created_at) / 86400) AS BIGINT) * 86400 AS day_start, {METRICS} FROM (SELECT *, {LABEL} AS lab FROM v_grades) GROUP BY 1, 2", "v_grades")
 def st4(spark, d):
     out = flows.drained(spark, flows.daily_metrics(_live_grades(spark, d)), shared_folder(spark), "complete")
     return out.select("project_id", F.unix_timestamp("window.start").alias("day_start"), "query_count", "avg_grade_score", "relevant_pct", "ambiguous_pct", "irrelevant_pct")
