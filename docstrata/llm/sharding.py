@@ -91,7 +91,7 @@ def kd_shards(
     Shard sizes differ by little more than the largest document, or by a 4096th of all bytes. Equal texts share a
     shard, unless their copies together hold more than both; such a group is cut into pieces by id. Slots count from 0 without gaps, by id.
 
-    Null texts have size 1 and the checksum of an empty text, and are equal texts; null dimensions count as the lowest
+    Null texts count as empty ones (size 1); null dimensions count as the lowest
     value; null and repeated ids are rows like others; dimensions that the table lacks are left out; an empty table
     gives an empty result; other columns are not read.
     """
@@ -101,7 +101,7 @@ def kd_shards(
     base, base_path = table(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
-            F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key"),
+            F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"),
             *(_ordinal(docs, c).alias(f"axis_{c}") for c in dims),
         ).withColumn("axis_size", F.col("size"))
     )

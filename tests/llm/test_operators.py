@@ -1,0 +1,358 @@
+"""Brute force, exact round trips and edge cases of the ten operators, on small tables."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from docstrata.llm import bpe, exact_search, html_text, media, ngram_join, packing, pii, secrets, sharding, toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+SF = "/root/testdata/sf0.001"
+
+
+def frame(spark, texts, first=0):
+    rows = [(i + first, t, "en", f"src{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def words_of(text):
+    low = (text or "").translate({c: c + 32 for c in range(65, 91)})
+    return re.findall(r"[^\x20\x09-\x0D]+", low)
+
+
+def shingles(text):
+    w = words_of(text)
+    return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def near_groups(texts):
+    up = list(range(len(texts)))
+    sets = [shingles(t) for t in texts]
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+            x, y = find(a), find(b)
+            up[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(texts))], [len(s) for s in sets]
+
+
+def varied(seed, n=120):
+    r = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(400)]
+    passage = r.choices(vocabulary, k=60)
+    texts = []
+    for _ in range(n):
+        kind = r.random()
+        if kind < 0.5 and texts:
+            w = r.choice(texts).split()
+            for _ in range(r.randint(0, 4)):
+                if w:
+                    w[r.randrange(len(w))] = r.choice(vocabulary)
+            texts.append(" ".join(w))
+        elif kind < 0.7:
+            texts.append(" ".join(passage + r.choices(vocabulary, k=r.randint(1, 80))))
+        else:
+            texts.append(" ".join(r.choices(vocabulary, k=r.choice([0, 1, 3, 4, 5, 6, 9, 30, 200]))))
+    return texts
+
+
+@pytest.mark.parametrize("light,block_rows", [(32, 512), (2, 8)])
+def test_ngram_join_is_brute_force(spark, light, block_rows):
+    texts = [*varied(light), None, "", " \n", "One two\tTHREE", "one TWO three"]
+    want, sizes = near_groups(texts)
+    got = {r["doc_id"]: r for r in ngram_join.jaccard_components(frame(spark, texts), light=light, block_rows=block_rows).collect()}
+    assert [got[i]["component_id"] for i in range(len(texts))] == want
+    assert [got[i]["n_shingles"] for i in range(len(texts))] == sizes
+
+
+def test_ngram_join_edges(spark):
+    assert ngram_join.jaccard_components(frame(spark, [])).collect() == []
+    twice = frame(spark, ["a b c d e f"]).unionByName(frame(spark, ["a b c d e f"])).unionByName(spark.createDataFrame([(None, "a b c d e f", None, None, None)], SCHEMA))
+    rows = ngram_join.jaccard_components(twice.withColumn("node", F.lit(1)).withColumn("zone", F.lit("x"))).collect()
+    assert len(rows) == 3 and {r["component_id"] for r in rows} == {0}
+    kept = ngram_join.keep_first(frame(spark, ["a b c d e f", "a b c d e f", "x y", None]))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3] and kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_long_words_and_segments():
+    text = "Ab " * 60_000 + "x" * 200_000 + " Ab"
+    hashes = ngram_join.word_hashes(text)
+    assert len(hashes) == 60_002 and hashes[0] == hashes[-1] and len(set(hashes.tolist())) == 2
+    assert ngram_join.word_hashes("A b").size == 1
+
+
+def test_tree_links_prunes_nothing_that_links():
+    r = np.random.default_rng(1)
+    sets = []
+    for _ in range(80):
+        base = sets[r.integers(len(sets))] if sets and r.random() < 0.6 else np.unique(r.integers(0, 500, 60)).astype(np.uint64)
+        drop = r.random(len(base)) < r.choice([0.02, 0.1])
+        sets.append(np.unique(np.concatenate([base[~drop], r.integers(0, 500, drop.sum()).astype(np.uint64)])))
+    want = {(i, j) for i in range(80) for j in range(80) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    assert set(ngram_join.tree_links(sets, sets, 80, 100)) == want
+
+
+def test_shards_balance_and_number(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(spark.createDataFrame([(None, None, None, None, None), (10**6, "", None, "x", 0)], SCHEMA))
+    got = sharding.kd_shards(docs, shards=8).toPandas()
+    assert len(got) == docs.count()
+    sums = got.groupby("shard")["size"].sum()
+    assert len(sums) == 8 and sums.max() - sums.min() <= 2 * got["size"].max()
+    for _, g in got.groupby("shard"):
+        assert sorted(g["slot"]) == list(range(len(g)))
+    row = docs.where("doc_id = 3").first()
+    one = got[got["doc_id"] == 3].iloc[0]
+    assert one["size"] == len(row["text"].encode()) + 1 and one["text_crc32"] == zlib.crc32(row["text"].encode())
+    assert (got.groupby("text_crc32")["shard"].nunique() == 1).all()
+
+
+def test_shards_edges(spark):
+    assert sharding.kd_shards(frame(spark, []), shards=4).collect() == []
+    same = sharding.kd_shards(frame(spark, ["hot"] * 3000 + ["other text"] * 10), shards=4).toPandas()
+    assert same.groupby("shard")["size"].sum().max() < 1.3 * same["size"].sum() / 4
+    by_size = sharding.kd_shards(frame(spark, ["word " * 50] * 64), target_bytes=5000).toPandas()
+    assert by_size.groupby("shard")["size"].sum().max() <= 10_000
+
+
+def test_toxicity_held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit_on_labels(docs, labels)
+    scored = toxicity.score(docs.select("doc_id", "text"), model).join(labels, "doc_id").where(toxicity.held_out()).select("toxicity", "toxic").toPandas()
+    pos, neg = (scored[scored["toxic"] == y]["toxicity"].to_numpy() for y in (1, 0))
+    assert (pos[:, None] > neg[None]).mean() > 0.85
+    assert ((scored["toxicity"] >= 0.5) == scored["toxic"]).mean() > 0.9
+
+
+def test_toxicity_edges(spark):
+    labelled = frame(spark, ["fine words here", "you moron", None, ""]).withColumn("toxic", F.when(F.col("doc_id") == 1, 1).otherwise(0))
+    model = toxicity.fit(labelled)
+    out = toxicity.score(frame(spark, [None, "", "x" * 300_000, "fine"]).withColumn("toxicity", F.lit("clash")), model).collect()
+    assert all(0 <= r["toxicity"] <= 1 for r in out) and out[0]["toxicity"] == out[1]["toxicity"]
+    assert toxicity.score(frame(spark, []), model).collect() == []
+
+
+def test_packing_fits_and_covers(spark):
+    docs = frame(spark, [None, "", "one", "w " * 9000, *(f"{'x ' * (i * 7 % 900)}" for i in range(300))])
+    got = packing.best_fit(docs, shard_rows=100).toPandas()
+    for i, n in ((0, 1), (1, 1), (2, 2), (3, 9001)):
+        part = got[got["doc_id"] == i].sort_values("piece")
+        assert part["length"].sum() == n and list(part["start"]) == [8192 * k for k in range(len(part))]
+    for _, b in got.groupby("bin_id"):
+        b = b.sort_values("offset")
+        assert b["length"].sum() <= b["capacity"].iloc[0] and list(b["offset"]) == [0, *b["length"].cumsum()[:-1]]
+        assert b["capacity"].iloc[0] == min(c for c in packing.CAPACITIES if c >= b["length"].sum())
+    assert packing.best_fit(frame(spark, [])).collect() == []
+
+
+def naive_pack(lengths, sizes):
+    """Best fit by looking at every open bin and every size, with the same costs."""
+    bins, left = [], sorted(lengths, reverse=True)
+    while left:
+        x = left.pop(0)
+        fits = [b for b in bins if b[0] >= x]
+        if fits:
+            b = min(fits, key=lambda b: b[0])
+        else:
+
+            def use(c):
+                room, used = c - x, 0
+                for y in left:
+                    if y <= room:
+                        room, used = room - y, used + y
+                return used
+
+            c = min((c for c in sizes if c >= x), key=lambda c: (packing.cost(c) / (x + use(c)), c))
+            b = [c, 0]
+            bins.append(b)
+        b[0] -= x
+        b[1] += x
+    return sorted(min(c for c in sizes if c >= b[1]) for b in bins)
+
+
+def test_packing_is_best_fit():
+    r = random.Random(4)
+    for _ in range(20):
+        lengths = [r.randint(1, 64) for _ in range(r.randint(1, 60))]
+        place, caps = packing.pack(lengths, (16, 32, 64))
+        assert sorted(caps) == naive_pack(lengths, (16, 32, 64))
+        used = [0] * len(caps)
+        for (b, _), x in zip(place, lengths):
+            used[b] += x
+        assert all(u <= c for u, c in zip(used, caps))
+
+
+def luhn(d):
+    return sum(x if i % 2 == 0 else x * 2 - 9 * (x > 4) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def base_pii(t):
+    o = [("email", m) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    o += [("ip", m) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    o += [("card", m) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 14 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and luhn(d)]
+    o += [("phone", m) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+    return sorted(((k, m.start(), m.end()) for k, m in o), key=lambda x: (x[1], pii.BASE_KINDS.index(x[0])))
+
+
+def base_secrets(t):
+    o = [("assign", m) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I) if len(m[2]) >= 6]
+    o += [("access", m) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    o += [("hex", m) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return sorted(((k, m.start(), m.end()) for k, m in o), key=lambda x: (x[1], secrets.KINDS.index(x[0])))
+
+
+PIECES = ["a", "b.c", "@", "x_y", ".", "1", "22", "256", "4111111111111111", "+", "+1 ", "(555) ", "-", " ", "é", "😀", "AKIA", "ABCDEFGH1234", "deadbeef", "0123456789ab", "password", "Token", " = ", '"', ":", "192.168.1.1", "api_key"]
+
+
+@pytest.mark.parametrize("module,base,kinds", [(pii, base_pii, pii.BASE_KINDS), (secrets, base_secrets, secrets.KINDS)])
+def test_base_spans(spark, module, base, kinds):
+    r = random.Random(7)
+    texts = ["".join(r.choice(PIECES) for _ in range(r.randint(0, 24))) for _ in range(600)]
+    texts += [None, "", "1" * 40_000, "a." * 9000 + "@" + "b." * 9000, "1 " * 9000, "+1" + "(" * 9000, "a" * 60_000]
+    got = {x["doc_id"]: x for x in module.digest(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        spans = base(t or "")
+        text = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert got[i]["base_sha256"] == hashlib.sha256(text.encode()).hexdigest(), texts[i]
+        assert all(got[i][f"n_{k}"] == sum(s[0] == k for s in spans) for k in kinds)
+    assert module.digest(frame(spark, [])).collect() == []
+
+
+def test_pii_plan_is_native_and_adds_spans(spark):
+    docs = frame(spark, ["Please call phone (555) 555-0147 now", "call tel 555-555-0147", "mail me: joe [at] example [dot] com"] * 30)
+    plan = pii.candidates(docs, "text", "s")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    found = pii.find(docs.withColumn("pii_spans", F.lit(1))).select(F.explode("pii_spans").alias("s")).where("not s.base")
+    assert found.count() > 0
+
+
+def test_em_recovers_good_labelers():
+    r = random.Random(2)
+    counts = {}
+    for _ in range(4000):
+        y = r.random() < 0.3
+        v = tuple((1 if (y if r.random() < q else not y) else -1) for q in (0.95, 0.9, 0.85, 0.6, 0.8))
+        counts[v] = counts.get(v, 0) + 1.0
+    prior, tables, _ = pii.reliabilities(list(counts.items()))
+    assert abs(prior - 0.3) < 0.05 and tables[0][1][1] > tables[3][1][1]
+
+
+def test_secret_battery_and_redaction(spark):
+    r = random.Random(3)
+    random_token = lambda a, n: "".join(r.choice(a) for _ in range(n))
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = [f"see {random_token(b64, 40)} and internationalisation" for _ in range(40)] + ["thinghewhththerewhereabouts " * 3, "password=abcdef12", None, "plain"]
+    docs = frame(spark, texts)
+    spans = {x["doc_id"]: x["spans"] for x in secrets.digest(docs).collect()}
+    assert sum(spans[i].startswith("random:") for i in range(40)) >= 36 and spans[40] == "" and spans[43] == ""
+    out = {x["doc_id"]: x for x in secrets.redact(docs).collect()}
+    assert out[41]["text"] == "[SECRET]" and out[41]["n_chars"] == 8 and out[42]["text"] is None and out[43]["text"] == "plain" and len(out) == len(texts)
+
+
+def test_media_round_trip(spark):
+    texts = [None, "", "a", "é" * 33, "the same", "the same", "long text " * 20_000]
+    out = media.digest(frame(spark, texts)).toPandas().set_index("doc_id")
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        row = out.loc[i]
+        assert row["n_bytes"] == len(raw) and row["payload_bytes"] == len(payload) and row["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+        assert row["tail_crc32"] == zlib.crc32(payload[-64:]) and row["media_sha256"] == hashlib.sha256(media.to_wav(payload, 16_000)).hexdigest()
+    assert (out.loc[4] == out.loc[5]).all()
+
+
+def test_media_features(spark):
+    import pyarrow as pa
+
+    s = media.Settings()
+    x = np.sin(np.arange(4000) * 0.05)
+    assert np.abs(media.resample(x, 1, 2, 16)[100:-100] - x[::2][100:-100]).max() < 1e-3
+    assert np.abs(media.resample(x, 3, 2, 16)[300:-300] - np.sin(np.arange(6000) * 0.05 * 2 / 3)[300:-300]).max() < 1e-3
+    loud = bytes([128] * 8000) + bytes((128 + 100 * np.sin(np.arange(8000) * 0.3)).astype(np.uint8)) + bytes([128] * 16000)
+    blocks, n, spans = media.features(loud, s)
+    assert blocks.shape[1:] == (s.frames, s.mels) and len(spans) == 1 and abs(spans[0][0] - 8000 / 2 / s.hop) < 4
+    table = pa.ipc.open_stream(media.ipc(media.tensor_batch(blocks, 0, s))).read_all()
+    assert table.schema.field("log_mel").type.shape == [s.frames, s.mels] and table["end_s"][0].as_py() == s.frames * s.hop * 2 / s.rate
+    audio = media.analyse(media.store(frame(spark, ["some text"]))).first()["audio"]
+    assert audio["tensors"] and audio["n_frames"] >= 1
+
+
+def test_bpe_is_the_library(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    r = random.Random(1)
+    parts = ["a", "aa", " ", "  ", "\n", "é", "ß", "1", ".", "'s", "'ll", "<|endoftext|>", "the", "ing", "漢", "😀", "　", "\x85", "\t", "=", "====="]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 50))) for _ in range(300)] + ["a" * n for n in range(60)] + ["x" * 30_000, None, ""]
+    coded = bpe.encode(frame(spark, texts).withColumn("ids", F.lit("clash")))
+    back = {x["doc_id"]: x for x in bpe.decode(coded.withColumn("kept", F.col("ids")).withColumn("ids", F.col("ids"))).collect()}
+    ids = {x["doc_id"]: x["ids"] for x in coded.collect()}
+    for i, t in enumerate(texts):
+        want = lib.encode(t or "", add_special_tokens=False).ids
+        assert ids[i] == want and back[i]["text"] == lib.decode(want, skip_special_tokens=False)
+    assert bpe.round_trip_digest(frame(spark, [])).collect() == []
+
+
+def test_exact_search_is_brute_force(spark):
+    r = np.random.default_rng(5)
+    v = [r.normal(size=8).round(2).tolist() for _ in range(300)] + [[0.5] * 8] * 60
+    rows = [(i, x) for i, x in enumerate(v)] + [(1000, None), (1020, [1.0, None] + [0.0] * 6), (1040, [float("nan")] * 8), (1060, [1.0, 2.0]), (None, [0.1] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("page", F.lit("clash"))
+    got = {}
+    for x in exact_search.top_k(df, F.col("vec_id") % 20 == 0, k=7, page_rows=64, leaf_rows=8, sample_rows=40, pivots=4).collect():
+        got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
+    whole = {i: np.floor(64 * np.array((x + [0.0] * 8)[:8])) for i, x in rows if i is not None and i not in (1000, 1020, 1040)}
+    assert set(got) == {i for i in whole if i % 20 == 0}
+    for q in got:
+        best = sorted(((-int(whole[q] @ whole[i]), i) for i in whole if i != q))[:7]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert exact_search.top_k(df.limit(0), F.lit(True)).collect() == []
+    few = exact_search.top_k(df.where("vec_id < 4"), F.col("vec_id") == 0).collect()
+    assert [x["rank"] for x in few] == [1, 2, 3]
+
+
+def test_html_layout(spark):
+    page = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style></head><body>a<p>one<p>two &amp; <b>bold</b> end<ul><li>x<li>y<ol start=3><li>q<li>r</ol><li>z</ul>
+    <table><tr><th>Name<th>Qty<tr><td>apple<td>10</table><pre>  keep
+   this</pre><div style="display: none">no</div><span hidden>no</span>tail<br>line<script>var a="<p>no</p>";</script> end &lt; 3 <!-- no --></body></html>"""
+    text = html_text.visible_text(page)
+    assert "no" not in text.replace("now", "")
+    assert "one\n\ntwo & bold end\n\n- x\n- y\n  3. q\n  4. r\n- z" in text
+    assert "Name   Qty\napple  10" in text and "  keep\n   this" in text and text.endswith("tail\nline end < 3")
+    pages = spark.createDataFrame([(1, None), (2, ""), (3, "<div>" * 30_000 + "x"), (4, "<" * 999), (5, '<a b="' + "x" * 50_000), (5, "plain")], "page_id long, html string")
+    got = [x["text"] for x in html_text.extract(pages.withColumn("text", F.lit("clash"))).orderBy("page_id").collect()]
+    assert got[:3] == ["", "", "x"] and "plain" in got and html_text.extract(pages.limit(0)).collect() == []
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["toxicity", "ngram_jaccard_join", "secrets", "best_fit_packing"]
+    clean = corpus_pipeline.drop_toxic(spark, docs, sf).cache()
+    scored = toxicity.score(docs, toxicity.fit_on_labels(docs, spark.read.parquet(f"{sf}/labels.parquet"))).where("toxicity < 0.5")
+    assert {r["doc_id"] for r in clean.select("doc_id").collect()} == {r["doc_id"] for r in scored.select("doc_id").collect()}
+    some = clean.where("doc_id < 300")
+    rows = sorted(some.select("doc_id", "text").collect())
+    groups, _ = near_groups([r["text"] for r in rows])
+    kept = corpus_pipeline.drop_near_copies(spark, some, sf)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [rows[i]["doc_id"] for i, g in enumerate(groups) if g == i]
+    hidden = corpus_pipeline.hide_secrets(spark, kept, sf)
+    assert hidden.columns == docs.columns and hidden.count() == kept.count()
+    assert not any(base_secrets(r["text"]) for r in hidden.collect())
+    packed = corpus_pipeline.pack_sequences(spark, hidden, sf).toPandas()
+    assert set(packed["doc_id"]) == {r["doc_id"] for r in hidden.collect()}
