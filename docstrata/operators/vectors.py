@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docstrata.functions import text as T
 
 BROADCAST_QUERIES = 50_000
+_ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
 
 
 def exact_top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 50, same_project: bool = False, id_col: str = "chunk_id") -> DataFrame:
@@ -39,7 +40,9 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 50, same_pro
         scopes = np.array([x["query_project"] for x in rows], dtype=object)
         shared = spark.sparkContext.broadcast((ids, q, scopes))
 
-        def run(batches, shared=shared):
+        query_kind = queries.schema["query_id"].dataType.simpleString()
+
+        def run(batches, shared=shared, kinds=(_ARROW[query_kind], _ARROW[kind])):
             ids, q, scopes = shared.value
             for batch in batches:
                 m = np.array(batch.column(1).to_pylist(), dtype=np.float64)
@@ -54,9 +57,8 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 50, same_pro
                 names = np.array(batch.column(0).to_pylist(), dtype=object)
                 least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(q), -np.inf)
                 a, b = np.nonzero((score >= least[:, None]) & np.isfinite(score))
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids[a].tolist()), id_col: pa.array(names[b].tolist()), "score": pa.array(score[a, b])})
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids[a].tolist(), kinds[0]), id_col: pa.array(names[b].tolist(), kinds[1]), "score": pa.array(score[a, b])})
 
-        query_kind = queries.schema["query_id"].dataType.simpleString()
         part = source.mapInArrow(run, f"query_id {query_kind}, {id_col} {kind}, score double")
         found = part if found is None else found.unionByName(part)
     if found is None:
