@@ -9,7 +9,7 @@ from docstrata.sources.views import with_views
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("ingest", "search", "measures", "writing", "live")
+_MODULES = ("ingest", "search", "measures", "writing", "live", "further")
 
 
 def query(name: str, sql: str | None = None, *views: str):
