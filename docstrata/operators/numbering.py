@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def row_numbers(rows: DataFrame, order: str, name: str, strip_rows: int = 100_000) -> DataFrame:
     """Numbers from 1 by ``order`` (unique): rows are cut into ranges, numbered there, and offset by the ranges before.
 
-    Range bounds are approximate quantiles of the order's hash-free text or number, so that a range holds about
+    Range bounds are approximate quantiles of the first bytes of the order, so that a range holds about
     ``strip_rows`` rows; the table of ranges is small and is the only thing that a single window sees.
     """
     n = rows.count()
@@ -21,4 +21,4 @@ def row_numbers(rows: DataFrame, order: str, name: str, strip_rows: int = 100_00
     sizes = cut.groupBy("__strip").agg(F.count(F.lit(1)).alias("__n"))
     starts = sizes.withColumn("__start", F.sum("__n").over(Window.orderBy("__strip")) - F.col("__n")).drop("__n")
     own = F.row_number().over(Window.partitionBy("__strip").orderBy(order))
-    return cut.withColumn("__own", own).join(F.broadcast(starts), "__strip").withColumn(name, F.col("__start") + F.col("__own")).drop("__strip", "__own", "__start")  # a row for each range
+    return cut.withColumn("__own", own).join(starts, "__strip").withColumn(name, F.col("__start") + F.col("__own")).drop("__strip", "__own", "__start")
