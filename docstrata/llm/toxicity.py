@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard as zstd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _LOW, _HIGH = -6, 14  # savings beyond these count as these
@@ -29,10 +29,10 @@ _ANCHOR = bytes([1, 2, 3, 4, 5, 6, 7, 8, 11, 12, 14, 15, 16, 17, 18, 19])
 class Bounds:
     """How many labelled documents the fit may gather, and how much of text: a bound on the driver's memory."""
 
-    toxic_train: int = 1200
-    ordinary_train: int = 2000
-    toxic_check: int = 1000
-    ordinary_check: int = 3000
+    toxic_train: int = 1300
+    ordinary_train: int = 2400
+    toxic_check: int = 700
+    ordinary_check: int = 1600
     bytes_train: int = 16_000_000
     bytes_check: int = 16_000_000
 
@@ -155,9 +155,12 @@ def fit(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxic"
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and text is not null")
     order = F.xxhash64("id", F.lit(2))
+    most = max(bounds.toxic_train + bounds.toxic_check, bounds.ordinary_train + bounds.ordinary_check)
+    drawn = rows.withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy(order, "id"))).where(F.col("n") <= most)
+    sample = drawn.orderBy("y", "n").collect()  # at most twice ``most`` texts
     parts = {}
     for y, train, check in ((1, bounds.toxic_train, bounds.toxic_check), (0, bounds.ordinary_train, bounds.ordinary_check)):
-        got = [r["text"] for r in rows.where(F.col("y") == y).orderBy(order, "id").select("text").limit(train + check).toLocalIterator()]
+        got = [r["text"] for r in sample if r["y"] == y][: train + check]
         got = list(dict.fromkeys(got))
         cut = min(train, len(got) * train // (train + check))
         parts[y] = [_within(got[:cut], bounds.bytes_train), _within(got[cut:], bounds.bytes_check)]
@@ -206,10 +209,18 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit_on_labels(docs: DataFrame, labels: DataFrame, **options) -> Model:
-    """Fit on the labelled documents that are not held out."""
-    rows = labels.where(~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
-    return fit(docs.select("doc_id", "text").join(rows, "doc_id"), **options)
+def fit_on_labels(docs: DataFrame, labels: DataFrame, *, bounds: Bounds = Bounds(), **options) -> Model:
+    """Fit on the labelled documents that are not held out.
+
+    The sample is drawn from the labels alone; only its ids (a bounded number) meet the documents, so texts are not
+    shuffled.
+    """
+    rows = labels.where(~held_out() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    picked = None
+    for y, n in ((1, bounds.toxic_train + bounds.toxic_check), (0, bounds.ordinary_train + bounds.ordinary_check)):
+        part = rows.where(F.col("toxic") == y).distinct().orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(n)
+        picked = part if picked is None else picked.unionByName(part)
+    return fit(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), bounds=bounds, **options)
 
 
 def keep_ordinary(docs: DataFrame, model: Model, *, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
