@@ -24,7 +24,7 @@ DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 _PIECES = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-_CACHED_PIECES = 120_000
+_CACHED_PIECES = 120_000  # in each of two generations
 _CACHED_PAIRS = 400_000
 
 
@@ -64,6 +64,9 @@ class BytePairs:
             self.made_of.setdefault(vocab[left + right], (*pair, r))
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.pieces: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
+        sizes = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
+        self.blob, self.sizes, self.starts = np.frombuffer(b"".join(self.bytes_of), np.uint8), sizes, np.cumsum(sizes) - sizes
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def _border(self, token: int, side: int) -> list[tuple[int, float]]:
@@ -117,14 +120,15 @@ class BytePairs:
         return ids
 
     def _ordinary(self, text: str):
-        known = self.pieces
+        """Ids of each piece. Frequent pieces stay known: a full generation becomes the older one, which is still looked up."""
+        if len(self.pieces) >= _CACHED_PIECES:
+            self.pieces, self.older = {}, self.pieces
+        known, older = self.pieces, self.older
         for piece in _PIECES.findall(text):
             ids = known.get(piece)
             if ids is None:
-                ids = self._piece(piece)
+                ids = older.get(piece) or self._piece(piece)
                 if len(piece) <= 32:
-                    if len(known) >= _CACHED_PIECES:
-                        known.clear()
                     known[piece] = ids
             yield ids
 
@@ -140,8 +144,14 @@ class BytePairs:
         found += [i for ids in self._ordinary(text[at:]) for i in ids]
         return np.array(found, np.int32)
 
-    def decode(self, ids) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray) -> str:
+        """The bytes of all tokens, gathered at once; what is no UTF-8 becomes U+FFFD."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        if not len(ids):
+            return ""
+        place = np.arange(ends[-1]) + np.repeat(self.starts[ids] - (ends - sizes), sizes)
+        return self.blob[place].tobytes().decode("utf-8", "replace")
 
 
 _LOADED: dict[str, BytePairs] = {}
@@ -162,7 +172,8 @@ def encode(df: DataFrame, *, text_col: str = "text", ids_col: str = "ids", token
     """
 
     def run(texts: pa.Array) -> pa.Array:
-        found = [load(tokenizer).encode(t.as_py() or "") for t in texts]
+        encode_one = load(tokenizer).encode
+        found = [encode_one(t or "") for t in texts.to_pylist()]
         ends = np.cumsum([0, *map(len, found)])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *found]), pa.int32()))
 
@@ -173,7 +184,8 @@ def decode(df: DataFrame, *, ids_col: str = "ids", text_col: str = "text", token
     """``df`` with ``text_col`` in place of ``ids_col``; null ids give an empty text, bytes that are no UTF-8 U+FFFD."""
 
     def run(ids: pa.Array) -> pa.Array:
-        return pa.array([load(tokenizer).decode(x.values.to_pylist() if x.is_valid else []) for x in ids], pa.string())
+        decode_one, none = load(tokenizer).decode, np.zeros(0, np.int64)
+        return pa.array([decode_one(x.values.to_numpy().astype(np.int64)) if x.is_valid and len(x) else decode_one(none) for x in ids], pa.string())
 
     return df.withColumn(text_col, F.arrow_udf(run, "string")(ids_col)).drop(*({ids_col} - {text_col}))
 
