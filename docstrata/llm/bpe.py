@@ -177,7 +177,8 @@ def encode(df: DataFrame, *, text_col: str = "text", ids_col: str = "ids", token
         ends = np.cumsum([0, *map(len, found)])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *found]), pa.int32()))
 
-    return df.withColumn(ids_col, F.arrow_udf(run, "array<int>")(F.col(text_col).cast("string"))).drop(*({text_col} - {ids_col}))
+    # not to be repeated where several columns are made of the ids
+    return df.withColumn(ids_col, F.arrow_udf(run, "array<int>").asNondeterministic()(F.col(text_col).cast("string"))).drop(*({text_col} - {ids_col}))
 
 
 def decode(df: DataFrame, *, ids_col: str = "ids", text_col: str = "text", tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
