@@ -129,18 +129,18 @@ def _sets(num: int, den: int, width: int):
 
     def run(batches):
         for batch in batches:
-            out, first = ([], [], [], [], [], []), set()
-            for text in batch.column(1).to_pylist():
+            out, first, unnamed = ([], [], [], [], [], []), set(), set()
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 grams = ngram_set(text, width)
                 n = len(grams)
                 node = node_of(grams)
                 out[1].append(n)
                 out[2].append(node)
-                if not n or node in first:  # one zone for all copies in the batch
+                if not n or node in first or doc_id is None and node in unnamed:  # one zone for all copies in the batch, and one of a row with an id if there is any
                     for column in out[3:]:
                         column.append(None)
                     continue
-                first.add(node)
+                (unnamed if doc_id is None else first).add(node)
                 prefix, held = _prefix(n, num, den), _below(grams, _zone_share(t * n, t))
                 out[3].append(_below(grams, _zone_share(n, t)) - prefix)
                 out[4].append(held)

@@ -86,6 +86,15 @@ def test_ngram_join_edges(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3] and kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_ngram_join_null_id_copy_first(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (None, text), (7, text), (8, text), (3, text + " more"), (9, "something else altogether")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], SCHEMA).coalesce(1)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(docs).collect()}
+    assert got == {None: 3, 7: 3, 8: 3, 3: 3, 9: 9}
+    assert sorted(r["doc_id"] for r in ngram_join.keep_first(docs).where("doc_id is not null").collect()) == [3, 9]
+
+
 def test_long_words_and_segments():
     text = "Ab " * 60_000 + "x" * 200_000 + " Ab"
     hashes = ngram_join.word_hashes(text)
