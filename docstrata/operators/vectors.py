@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,8 +103,35 @@ def blended(query: Column, hypotheses: Column, alpha: float = 0.5) -> Column:
     return unit(F.zip_with(query, unit(total), lambda q, m: q.cast("double") * (1 - alpha) + m * alpha))
 
 
-def near_pairs(vectors: DataFrame, threshold: float, id_col: str = "id") -> DataFrame:
-    """Pairs within a project whose cosine reaches the threshold (groups are bounded: see the callers)."""
-    a = vectors.select("project_id", F.col(id_col).alias("a"), F.col("embedding").alias("ea"))
-    b = vectors.select("project_id", F.col(id_col).alias("b"), F.col("embedding").alias("eb"))
-    return a.join(b, "project_id").where("a < b").withColumn("score", F.round(T.cosine(F.col("ea"), F.col("eb")), 6)).where(F.col("score") >= threshold).select("project_id", "a", "b", "score")
+def near_pairs(vectors: DataFrame, threshold: float, id_col: str = "id", *, block_rows: int = 1024) -> DataFrame:
+    """Pairs within a project whose cosine reaches the threshold.
+
+    Projects of more than ``block_rows`` vectors are dealt out in blocks by hash, and each pair of blocks is multiplied
+    in a task of its own that lists only what reaches the threshold; no task holds more than about two blocks.
+    """
+    kinds = {c: vectors.schema[c].dataType.simpleString() for c in ("project_id", id_col)}
+    known = vectors.where(F.col("project_id").isNotNull() & F.col(id_col).isNotNull() & F.col("embedding").isNotNull()).select("project_id", F.col(id_col).alias("id"), "embedding", F.size("embedding").alias("dims"))
+    # a row for each project of more than a block
+    large = known.groupBy("project_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_rows).select("project_id", F.ceil(F.col("n") / block_rows).alias("blocks"))
+    dealt = known.join(F.broadcast(large), "project_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("s", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("project_id", "dims", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"), "s", "id", "embedding")
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        m = np.array(frame["embedding"].tolist(), dtype=np.float64).reshape(len(frame), -1)
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        m, ids = m / np.where(n == 0, 1, n), frame["id"].to_numpy()
+        own = np.nonzero(frame["s"].to_numpy() == key[2])[0]
+        other = own if key[2] == key[3] else np.nonzero(frame["s"].to_numpy() == key[3])[0]
+        found = []
+        for first in range(0, len(own), 256):
+            score = m[own[first : first + 256]] @ m[other].T
+            x, y = np.nonzero(score >= threshold - 1e-6)  # Spark rounds and decides
+            a, b, score = ids[own[first + x]], ids[other[y]], score[x, y]
+            keep = a < b if key[2] == key[3] else a != b
+            a, b, score = a[keep], b[keep], score[keep]
+            found.append(pd.DataFrame({"project_id": key[0], "a": np.where(a < b, a, b), "b": np.where(a < b, b, a), "score": score}))
+        return pd.concat(found) if found else pd.DataFrame({"project_id": [], "a": [], "b": [], "score": []})
+
+    pairs = dealt.groupBy("project_id", "dims", "i", "j").applyInPandas(run, f"project_id {kinds['project_id']}, a {kinds[id_col]}, b {kinds[id_col]}, score double")
+    return pairs.withColumn("score", F.round("score", 6)).where(F.col("score") >= threshold)

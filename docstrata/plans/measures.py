@@ -133,7 +133,7 @@ def j13(spark, d):
 
 
 def _labelled_vectors(spark, d):
-    return V.vectors(spark, d).select("project_id", F.col("chunk_no").alias("id"), "embedding").where("id < 1000000")
+    return V.vectors(spark, d).select("project_id", F.col("chunk_no").alias("id"), "embedding")
 
 
 @query("v9_near_pairs", "SELECT a.project_id, a.chunk_no AS a, b.chunk_no AS b, round(list_inner_product(a.embedding, b.embedding) / (sqrt(list_inner_product(a.embedding, a.embedding)) * sqrt(list_inner_product(b.embedding, b.embedding))), 6) AS score FROM v_vectors a JOIN v_vectors b ON a.project_id = b.project_id AND a.chunk_no < b.chunk_no WHERE round(list_inner_product(a.embedding, b.embedding) / (sqrt(list_inner_product(a.embedding, a.embedding)) * sqrt(list_inner_product(b.embedding, b.embedding))), 6) >= 0.8", "v_vectors")

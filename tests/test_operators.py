@@ -166,6 +166,27 @@ def test_leader_clusters(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 3}
 
 
+def test_near_pairs_of_all_ids(spark, tmp_path):
+    import numpy as np
+
+    from docstrata.plans import registry
+
+    r = np.random.default_rng(5)
+    m = np.repeat(r.normal(size=(30, 8)), 4, axis=0) + 0.3 * r.normal(size=(120, 8))
+    m[7] = 0
+    rows = [(999_950 + i, x, int(i % 8 == 5)) for i, x in enumerate(m.tolist())]
+    unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+    want = {(rows[i][0], rows[j][0]) for i in range(120) for j in range(i + 1, 120) if rows[i][2] == rows[j][2] and round(float(unit[i] @ unit[j]), 6) >= 0.8}
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    v9 = registry.queries()["v9_near_pairs"](spark, str(tmp_path)).collect()
+    assert len(v9) == len(want) and {(x["a"], x["b"]) for x in v9} == want and any(a >= 1_000_000 for a, _ in want)
+    v = spark.createDataFrame(rows, "id long, embedding array<double>, project_id int")
+    blocks = vectors.near_pairs(v, 0.8, block_rows=10).collect()
+    assert len(blocks) == len(want) and {(x["a"], x["b"]) for x in blocks} == want
+    clusters = registry.queries()["v9_leader_clusters"](spark, str(tmp_path)).collect()
+    assert max(x["id"] for x in clusters) == rows[-1][0]
+
+
 def test_context_and_compaction(spark):
     m = spark.createDataFrame([(1, i, "user", "x" * 5000, 1250) for i in range(20)] + [(2, i, "user", "hi", 1) for i in range(2)], "session_id int, pos int, role string, content string, token_count int")
     state = {r["session_id"]: r for r in sessions.context_status(m, sessions.context_size(F.lit("gpt-3.5-turbo"))).collect()}
