@@ -49,14 +49,24 @@ def entity_chunks(matched: DataFrame, entities: DataFrame) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(order)).select("query_id", "rank", "chunk_id", (1 / F.col("rank")).alias("score"))
 
 
-def build_relations(mentions: DataFrame, most: int = 12) -> DataFrame:
+def build_relations(mentions: DataFrame, most: int | None = None, *, block: int = 64) -> DataFrame:
     """Pairs of entities that share chunks: how many, and their share of the rarer one's chunks.
 
-    A chunk that mentions more than ``most`` entities names a list rather than a relation and is left out.
+    All chunks count; ``most`` leaves out those that mention more entities. Chunks of more than ``block`` entities are
+    cut into blocks by hash, and each pair of blocks is listed on its own, so that no task lists a chunk's pairs alone.
     """
     once = mentions.select("project_id", "chunk_id", "entity_name").distinct()
-    few = once.groupBy("project_id", "chunk_id").agg(F.sort_array(F.collect_list("entity_name")).alias("v")).where(F.size("v") <= most)
-    pairs = few.select("project_id", F.posexplode("v").alias("i", "entity_a"), "v").select("project_id", "entity_a", F.explode(F.slice("v", F.col("i") + 2, F.size("v"))).alias("entity_b"))
+    known = once.where("project_id is not null and chunk_id is not null and entity_name is not null")
+    sizes = known.groupBy("project_id", "chunk_id").agg(F.count(F.lit(1)).alias("n"))
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    dealt = known.join(sizes if most is None else sizes.where(F.col("n") <= most), ["project_id", "chunk_id"]).select("project_id", "chunk_id", "entity_name", blocks.alias("blocks"))
+    dealt = dealt.withColumn("s", F.pmod(F.xxhash64("entity_name"), "blocks").cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    i, j = F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j")
+    sides = dealt.groupBy("project_id", "chunk_id", i, j).agg(*(F.sort_array(F.collect_list(F.when(F.col("s") == F.least("s", "t") if k == "v" else F.col("s") > F.col("t"), F.col("entity_name")))).alias(k) for k in "vw"))
+    # "v" holds the entities of block i, "w" those of block j where that is another one
+    inside = sides.where("i = j").select("project_id", F.posexplode("v").alias("k", "entity_a"), "v").select("project_id", "entity_a", F.explode(F.slice("v", F.col("k") + 2, F.size("v"))).alias("entity_b"))
+    across = sides.where("i < j").select("project_id", F.explode("v").alias("x"), "w").select("project_id", "x", F.explode("w").alias("y")).select("project_id", F.least("x", "y").alias("entity_a"), F.greatest("x", "y").alias("entity_b"))
+    pairs = inside.unionByName(across)
     shared = pairs.groupBy("project_id", "entity_a", "entity_b").agg(F.count(F.lit(1)).alias("shared_chunks"))
     size = once.groupBy("project_id", "entity_name").agg(F.count(F.lit(1)).alias("n"))
     for side in ("a", "b"):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docstrata.functions import text as T
 from docstrata.operators import chunking, drafts, graph, plugins, quality, ranking, sessions
 from docstrata.plans.registry import query
-from docstrata.plans.search import _MATCH, _REL, _SEEDS, BM25, VEC, _names, bm25, nearest
+from docstrata.plans.search import _MATCH, _REL, _SEEDS, BM25, LISTED, VEC, _names, bm25, nearest
 from docstrata.sources import tables
 from docstrata.sources import views as V
 from docstrata.sources.shared import shared_folder
@@ -55,12 +55,17 @@ def j7(spark, d):
 
 
 @query("j10_edge_expansion", f"WITH {_REL} SELECT project_id, src, count(*) AS degree FROM (SELECT project_id, entity_a AS src FROM rel UNION ALL SELECT project_id, entity_b FROM rel) GROUP BY 1, 2", "v_mentions")
-def j10(spark, d):
-    rel = graph.build_relations(V.mentions(spark, d))
+def j10(spark, d, most=LISTED):
+    rel = graph.build_relations(V.mentions(spark, d), most)
     both = rel.select("project_id", F.explode(F.array("entity_a", "entity_b")).alias("src"))
     return both.groupBy("project_id", "src").agg(F.count(F.lit(1)).alias("degree"))
 
 
+@query("j10_edge_expansion_all")
+def j10_all(spark, d):
+    return j10(spark, d, None)
+
+
 @query("j11_settings_fallback", "SELECT id, CASE WHEN project_id IN ('src1', 'src5') THEN 'big-' || project_id ELSE 'default' END AS model FROM v_documents", "v_documents")
 def j11(spark, d):
     docs = V.documents(spark, d).select("id", "project_id")

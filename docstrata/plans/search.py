@@ -362,6 +362,7 @@ def g1c(spark, d):
     return graph.entity_chunks(graph.match_entities(_names(spark, d), e), e).select("query_id", "chunk_id", "rank", F.round("score", 8).alias("score"))
 
 
+LISTED = 12  # the SQL leaves out chunks of more entities; the queries named _all do not
 _REL = (
     "o AS (SELECT DISTINCT project_id, chunk_id, entity_name FROM v_mentions), few AS (SELECT project_id, chunk_id FROM o GROUP BY 1, 2 HAVING count(*) <= 12), n AS (SELECT project_id, entity_name, count(*) AS n FROM o GROUP BY 1, 2), "
     "rel AS (SELECT a.project_id, a.entity_name AS entity_a, b.entity_name AS entity_b, count(*) AS shared_chunks FROM few JOIN o a USING (project_id, chunk_id) JOIN o b ON b.project_id = a.project_id AND b.chunk_id = a.chunk_id AND a.entity_name < b.entity_name GROUP BY 1, 2, 3)"
@@ -369,21 +370,32 @@ _REL = (
 
 
 @query("g5_relations", f"WITH {_REL} SELECT r.project_id, entity_a, entity_b, shared_chunks, round(shared_chunks / least(x.n, y.n), 6) AS confidence FROM rel r JOIN n x ON x.project_id = r.project_id AND x.entity_name = entity_a JOIN n y ON y.project_id = r.project_id AND y.entity_name = entity_b", "v_mentions")
-def g5(spark, d):
-    return graph.build_relations(V.mentions(spark, d)).select("project_id", "entity_a", "entity_b", "shared_chunks", F.round("confidence", 6).alias("confidence"))
+def g5(spark, d, most=LISTED):
+    return graph.build_relations(V.mentions(spark, d), most).select("project_id", "entity_a", "entity_b", "shared_chunks", F.round("confidence", 6).alias("confidence"))
+
+
+@query("g5_relations_all")
+def g5_all(spark, d):
+    """The relations of all chunks."""
+    return g5(spark, d, None)
 
 
 _STRONG = "WHERE shared_chunks >= 2"
 
 
 @query("g2_k_hop", f"WITH {_REL}, e AS (SELECT project_id, entity_a AS src, entity_b AS dst FROM rel {_STRONG} UNION ALL SELECT project_id, entity_b, entity_a FROM rel {_STRONG}), s AS (SELECT project_id AS query_id, project_id, min(src) AS name FROM e GROUP BY 1, 2), h1 AS (SELECT DISTINCT query_id, s.project_id, dst FROM s JOIN e ON e.project_id = s.project_id AND e.src = s.name), h2 AS (SELECT DISTINCT query_id, h1.project_id, e.dst FROM h1 JOIN e ON e.project_id = h1.project_id AND e.src = h1.dst), u AS (SELECT query_id, dst, 1 AS depth FROM h1 UNION ALL SELECT query_id, dst, 2 FROM h2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY depth, dst) AS rank FROM u) SELECT query_id, dst AS entity_name, depth, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 30", "v_mentions")
-def g2(spark, d):
-    rel = graph.build_relations(V.mentions(spark, d)).where("shared_chunks >= 2")
+def g2(spark, d, most=LISTED):
+    rel = graph.build_relations(V.mentions(spark, d), most).where("shared_chunks >= 2")
     both = rel.select("project_id", F.explode(F.array("entity_a", "entity_b")).alias("entity_name"))
     seeds = both.groupBy("project_id").agg(F.min("entity_name").alias("entity_name")).withColumn("query_id", F.col("project_id"))
     return graph.expand_hops(seeds, rel).select("query_id", "entity_name", "depth", "rank")
 
 
+@query("g2_k_hop_all")
+def g2_all(spark, d):
+    return g2(spark, d, None)
+
+
 @query("g3_query_ngrams", r"WITH s AS (SELECT item_id AS query_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark), g AS (SELECT query_id, unnest(w) AS gram FROM s UNION ALL SELECT query_id, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i+1], ' '))) FROM s UNION ALL SELECT query_id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) FROM s) SELECT DISTINCT query_id, gram FROM g")
 def g3(spark, d):
     return graph.query_ngrams(V.text_queries(spark, d))

@@ -133,6 +133,22 @@ def test_entities_and_hops(spark):
     assert hops == {("Pear", 1), ("Plum", 2), ("Apple", 2)}
 
 
+@pytest.mark.parametrize("block", [4, 64])
+def test_relations_of_all_chunks(spark, block):
+    from itertools import combinations
+
+    chunks = {"long": [f"e{i:02}" for i in range(40)], "short": ["e01", "e03", "x"], "one": ["x"], "mid": [f"e{i:02}" for i in range(5, 18)]}
+    m = spark.createDataFrame([(1, e, c) for c, v in chunks.items() for e in v + v[:1]], "project_id int, entity_name string, chunk_id string")
+    shared = {}
+    for v in chunks.values():
+        for pair in combinations(sorted(v), 2):
+            shared[pair] = shared.get(pair, 0) + 1
+    n = {e: sum(e in v for v in chunks.values()) for v in chunks.values() for e in v}
+    got = graph.build_relations(m, block=block).collect()
+    assert len(got) == len(shared) and {(r["entity_a"], r["entity_b"]): r["shared_chunks"] for r in got} == shared
+    assert all(abs(r["confidence"] - r["shared_chunks"] / min(n[r["entity_a"]], n[r["entity_b"]])) < 1e-12 for r in got)
+
+
 def test_plans_have_no_cartesian_product(spark):
     m = spark.createDataFrame([(1, "Apple", "org", "AAPL", "k1", 1)], "project_id int, entity_name string, entity_type string, synonym string, chunk_id string, seq int")
     names = spark.createDataFrame([(1, 1, "apple")], "query_id int, project_id int, name string")
