@@ -2,7 +2,7 @@
 
 A tree is built with the implied tags of HTML (paragraphs, list items, table parts, options, head and body); then all
 that a reader would see is written out: blocks on lines of their own, blank lines around paragraphs, list marks with
-their depth, and the cells of a table in aligned columns. Scripts, styles, templates, comments, the head, and elements
+their depth, and the cells of a table in aligned columns; what a table holds outside its cells comes before it. Scripts, styles, templates, comments, the head, and elements
 hidden by attribute or style leave nothing.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 # Fixed sets of HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("script style template head title noscript iframe object embed noembed noframes datalist canvas svg math".split())
+UNSEEN = frozenset("script style template head title noscript iframe object embed noembed noframes datalist canvas".split())
 BLOCK = frozenset(
     "address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html "
     "legend li main menu nav ol p pre search section summary table ul".split()
@@ -46,13 +46,15 @@ _NAME = regex.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = regex.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _HIDDEN = regex.compile(r"(?i)(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b")
 _SPACE = regex.compile(r"[ \t\n\r\f]+")
+_PARTS = frozenset("thead tbody tfoot colgroup".split())
 
 
 class Node:
-    __slots__ = ("attributes", "children", "name")
+    __slots__ = ("attributes", "cells", "children", "name")
 
     def __init__(self, name: str, attributes: str = ""):
         self.name, self.attributes, self.children = name, attributes, []
+        self.cells = False  # whether rows, cells or captions of the table around it are below
 
     def attribute(self, name: str) -> str | None:
         for m in _ATTRIBUTE.finditer(self.attributes):
@@ -66,7 +68,7 @@ class Node:
         if not self.attributes:
             return False
         low = self.attributes.lower()
-        if "hidden" in low and (self.attribute("hidden") is not None or (self.attribute("aria-hidden") or "").lower() == "true" or (self.name == "input" and self.attribute("type") == "hidden")):
+        if "hidden" in low and (self.attribute("hidden") is not None or (self.name == "input" and self.attribute("type") == "hidden")):
             return True
         return "style" in low and bool(_HIDDEN.search(self.attribute("style") or ""))
 
@@ -118,6 +120,13 @@ class Tree:
 
     def push(self, node: Node, empty: bool = False):
         self.stack[-1].children.append(node)
+        if node.name in ("tr", "td", "th", "caption"):
+            for x in reversed(self.stack):
+                if x.cells or x.name == "table":
+                    break
+                x.cells = True
+        elif self.opened["svg"] and node.name in ("defs", "desc", "metadata") or self.opened["math"] and node.name in ("annotation", "annotation-xml"):
+            node.attributes += " hidden"
         if not empty and len(self.stack) < DEEPEST:
             self.stack.append(node)
             self.opened[node.name] += 1
@@ -216,30 +225,42 @@ class Writer:
             self.gap = 1
 
 
-def _table(node: Node) -> list[str]:
-    """Rows of a table, cells padded to the width of their column (a cell that spans columns leaves the others empty)."""
+def _table(node: Node) -> tuple[list[Node | str], list[str]]:
+    """What stands in a table outside its cells and captions, which browsers put before it, and the table's lines.
+
+    Rows and cells are found at any depth below other elements, and a cell without a row makes one. Cells are padded to
+    the width of their column (a cell that spans columns leaves the others empty).
+    """
     rows: list[list[str]] = []
     captions: list[str] = []
-    stack = [(c, node.name) for c in reversed(node.children)]
+    stray: list[Node | str] = []
+    stack: list[tuple] = [(c, None) for c in reversed(node.children)]
     while stack:
-        c, _ = stack.pop()
-        if isinstance(c, str) or c.hidden():
+        c, cells = stack.pop()
+        if isinstance(c, str):
+            stray += [c] if c.strip(" \t\n\r\f") else []
+        elif c.hidden():
             continue
-        if c.name == "caption":
+        elif c.name == "caption":
             captions += render(c).split("\n")
+        elif c.name in ("td", "th"):
+            if cells is None:
+                cells = []
+                rows.append(cells)
+            span = c.attribute("colspan") if c.attributes else None
+            cells.append(_SPACE.sub(" ", render(c)))
+            cells += [""] * (min(int(span), 100) - 1 if span and span.isdecimal() and int(span) > 1 else 0)
         elif c.name == "tr":
-            cells: list[str] = []
-            for cell in c.children:
-                if isinstance(cell, str) or cell.hidden() or cell.name not in ("td", "th"):
-                    continue
-                span = cell.attribute("colspan") if cell.attributes else None
-                cells.append(_SPACE.sub(" ", render(cell)))
-                cells += [""] * (min(int(span), 100) - 1 if span and span.isdecimal() and int(span) > 1 else 0)
-            rows.append(cells)
+            rows.append([])
+            stack += [(x, rows[-1]) for x in reversed(c.children)]
+        elif c.name in _PARTS or c.cells and c.name != "table":
+            stack += [(x, cells) for x in reversed(c.children)]
+            if c.name in BLOCK:
+                stray.append(Node("div"))  # a line of its own
         else:
-            stack += [(x, c.name) for x in reversed(c.children)]
+            stray.append(c)
     widths = [max((len(r[i]) for r in rows if i < len(r)), default=0) for i in range(max(map(len, rows), default=0))]
-    return [x for x in captions if x] + ["  ".join(x.ljust(w) for x, w in zip(r, widths)).rstrip() for r in rows if any(r)]
+    return stray, [x for x in captions if x] + ["  ".join(x.ljust(w) for x, w in zip(r, widths)).rstrip() for r in rows if any(r)]
 
 
 def render(root: Node) -> str:
@@ -253,6 +274,13 @@ def render(root: Node) -> str:
         if isinstance(node, str):
             (out.kept if pre else out.words)(node)
             continue
+        if step == "table":
+            out.block(True)
+            for line in node:
+                out.now = [line]
+                out.line()
+            out.block(True)
+            continue
         name = node.name
         if step == "leave":
             out.block(name in SPACED and not (name in ("ul", "ol", "menu") and len(lists) > 1))
@@ -272,11 +300,9 @@ def render(root: Node) -> str:
             out.words(node.attribute("alt") or "")
             continue
         if name == "table":
-            out.block(True)
-            for line in _table(node):
-                out.now = [line]
-                out.line()
-            out.block(True)
+            before, lines = _table(node)
+            stack.append(("table", lines))
+            stack += [("enter", c) for c in reversed(before)]
             continue
         if name in BLOCK or name in ("tr", "caption"):
             out.block(name in SPACED and not (name in ("ul", "ol", "menu") and lists))

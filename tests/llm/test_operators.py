@@ -345,6 +345,24 @@ def test_html_layout(spark):
     assert got[:3] == ["", "", "x"] and "plain" in got and html_text.extract(pages.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<table><tr><form><td>text</td><td>b</td></form></tr></table>", "text  b"),
+    ("<table>text<tr><td>cell</td></tr></table>", "text\n\ncell"),
+    ("<table><tr>text<td>cell</td></tr></table>", "text\n\ncell"),
+    ("<table><div>text</div><tr><td>cell</td></tr></table>", "text\n\ncell"),
+    ("<table><tbody><p>one</p><p>two</p><tr><td>a</td><td>b</td></tr></tbody></table>end", "one\n\ntwo\n\na  b\n\nend"),
+    ("<table><form><tr><td>a</td></tr><tr><td>b</td></tr></form></table>", "a\nb"),
+    ("<table><tr><td>a <table>in<tr><td>b</td></tr></table></td></tr></table>", "a in b"),
+    ("<table><tr><td>x</td></tr><span hidden>no</span></table>", "x"),
+    ("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b</p>", "a x=2 b"),
+    (r"<p><math><mi>x</mi><annotation>\frac</annotation></math></p>", "x"),
+    ("<p>a <svg><title>no</title><text>drawn</text></svg> b</p>", "a drawn b"),
+    ('<p>a <span aria-hidden="true">seen</span></p>', "a seen"),
+])
+def test_html_text_outside_cells(page, text):
+    assert html_text.visible_text(page) == text
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
