@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,17 @@ def s7(spark, d):
     return read.select(session.alias("session_id"), "role").groupBy("session_id", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("s7_jsonl_messages_all", "SELECT session_id, role, count(*) AS n FROM v_messages GROUP BY 1, 2", "v_messages")
+def s7_all(spark, d):
+    """All sessions as JSON lines, many to a file, read back without the blank and malformed lines written among them."""
+    path = f"{shared_folder(spark)}/messages-all-{uuid.uuid4().hex}"
+    rows = V.messages(spark, d).select("session_id", F.to_json(F.struct("session_id", "role", "content")).alias("line"))
+    lines = F.array(F.lit(""), F.lit("  "), F.lit('{"session_id": 1, "role": broken'), F.col("line"))
+    rows.select(F.explode(lines).alias("line")).write.text(path)
+    read = spark.read.schema("session_id long, role string, content string").option("mode", "DROPMALFORMED").json(path)
+    return read.groupBy("session_id", "role").agg(F.count("content").alias("n"))
+
+
 @query("j3_projects_with_counts", "SELECT n.n_nationkey AS project_id, count(d.doc_id) AS doc_count FROM nation n LEFT JOIN documents d ON d.source = 'src' || n.n_nationkey GROUP BY 1")
 def j3(spark, d):
     n = V.read(spark, d, "nation").select(F.col("n_nationkey").alias("project_id"), F.concat(F.lit("src"), "n_nationkey").alias("source"))

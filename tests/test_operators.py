@@ -233,6 +233,16 @@ def test_jsonl(spark, tmp_path):
     assert sorted(r["content"] for r in got) == ["a", "b"] and {r["session_id"] for r in got} == {"s1"}
 
 
+def test_jsonl_of_all_sessions(spark):
+    from docstrata.plans import registry
+    from docstrata.sources import views as V
+
+    sf = "/root/testdata/sf0.001"
+    want = {(r["session_id"], r["role"]): r["count"] for r in V.messages(spark, sf).groupBy("session_id", "role").count().collect()}
+    got = registry.queries()["s7_jsonl_messages_all"](spark, sf).collect()
+    assert len(got) == len(want) and {(r["session_id"], r["role"]): r["n"] for r in got} == want and len({s for s, _ in want}) >= 20
+
+
 def test_sections(spark):
     md = spark.createDataFrame([(1, "lead\n# Project Overview\nIt is a text that is long. Another one follows here. x\n## Deliverables\nold\n## Deliverables\nThe vendor shall act.")], "doc_id int, text string")
     got = {r["section_id"]: r["text"] for r in drafts.sections(md).collect()}
