@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docstrata.functions import text as T
 
 BROADCAST_QUERIES = 50_000
+QUERIES_AT_ONCE = 512  # rows of a matrix of scores
 _ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
 
 
@@ -50,15 +51,19 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 50, same_pro
                 if not len(m):
                     continue
                 n = np.linalg.norm(m, axis=1)
-                score = np.round(q @ (m / np.where(n == 0, 1, n)[:, None]).T, 8)
-                keep = np.broadcast_to(n > 0, score.shape)
-                if same_project:
-                    keep = keep & (scopes[:, None] == np.array(batch.column(2).to_pylist(), dtype=object)[None])
-                score = np.where(keep, score, -np.inf)
+                unit = (m / np.where(n == 0, 1, n)[:, None]).T
                 names = np.array(batch.column(0).to_pylist(), dtype=object)
-                least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(q), -np.inf)
-                a, b = np.nonzero((score >= least[:, None]) & np.isfinite(score))
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids[a].tolist(), kinds[0]), id_col: pa.array(names[b].tolist(), kinds[1]), "score": pa.array(score[a, b])})
+                project = np.array(batch.column(2).to_pylist(), dtype=object)
+                for first in range(0, len(q), QUERIES_AT_ONCE):
+                    some = slice(first, first + QUERIES_AT_ONCE)
+                    score = np.round(q[some] @ unit, 8)
+                    keep = np.broadcast_to(n > 0, score.shape)
+                    if same_project:
+                        keep = keep & (scopes[some, None] == project[None])
+                    score = np.where(keep, score, -np.inf)
+                    least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(score), -np.inf)
+                    a, b = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+                    yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids[some][a].tolist(), kinds[0]), id_col: pa.array(names[b].tolist(), kinds[1]), "score": pa.array(score[a, b])})
 
         part = source.mapInArrow(run, f"query_id {query_kind}, {id_col} {kind}, score double")
         found = part if found is None else found.unionByName(part)

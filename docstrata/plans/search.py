@@ -42,12 +42,12 @@ def bm25(spark, d, k=50):
     return lexical.search(lexical.build(V.chunks(spark, d)), V.text_queries(spark, d), k)
 
 
-def nearest(spark, d, k=50, **how):
-    return vectors.exact_top_k(V.vectors(spark, d), V.vector_queries(spark, d), k=k, **how)
+def nearest(spark, d, k=50, asked=V.FIRST, **how):
+    return vectors.exact_top_k(V.vectors(spark, d), V.vector_queries(spark, d, asked), k=k, **how)
 
 
-def fused(spark, d):
-    lists = nearest(spark, d).withColumn("source", F.lit("v")).unionByName(bm25(spark, d).withColumn("source", F.lit("t")))
+def fused(spark, d, asked=V.FIRST):
+    lists = nearest(spark, d, asked=asked).withColumn("source", F.lit("v")).unionByName(bm25(spark, d).withColumn("source", F.lit("t")))
     return ranking.fuse(lists)
 
 
@@ -56,6 +56,11 @@ def flagship(spark, d):
     return ranking.cut(fused(spark, d), 5).select("query_id", "rank", "chunk_id", "score")
 
 
+@query("flagship_hybrid_search_all")
+def flagship_all(spark, d):
+    return ranking.cut(fused(spark, d, V.EACH_20TH), 5).select("query_id", "rank", "chunk_id", "score")
+
+
 @query("r1_postings", f"WITH t AS (SELECT chunk_id, unnest({TOKENS.format('text')}) AS term FROM v_chunks) SELECT term, count(*) AS tf, count(DISTINCT chunk_id) AS df FROM t GROUP BY term", "v_chunks")
 def r1(spark, d):
     return lexical.postings(V.chunks(spark, d)).groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
@@ -104,6 +109,21 @@ def v3(spark, d):
     return vectors.approximate_top_k(V.vectors(spark, d), V.vector_queries(spark, d))
 
 
+@query("v2_exact_top50_all")
+def v2_all(spark, d):
+    return nearest(spark, d, asked=V.EACH_20TH)
+
+
+@query("v2_top10_in_project_all")
+def v2p_all(spark, d):
+    return nearest(spark, d, 10, V.EACH_20TH, same_project=True)
+
+
+@query("v3_approximate_top20_all")
+def v3_all(spark, d):
+    return vectors.approximate_top_k(V.vectors(spark, d), V.vector_queries(spark, d, V.EACH_20TH))
+
+
 @query("v4_dimension_check", "SELECT chunk_no FROM v_vectors WHERE len(embedding) <> 64 OR chunk_no % 9 = 0", "v_vectors")
 def v4(spark, d):
     v = V.vectors(spark, d).withColumn("embedding", F.when(F.col("chunk_no") % 9 == 0, F.slice("embedding", 1, 63)).otherwise(F.col("embedding")))
@@ -250,6 +270,13 @@ def r21(spark, d):
     return best.select("query_id", F.col("score").alias("best"), (F.col("score") >= 0.92).alias("hit"))
 
 
+@query("r21_query_cache_similar_all")
+def r21_all(spark, d):
+    cached = V.vectors(spark, d).where(f"not ({V.EACH_20TH})")
+    best = vectors.exact_top_k(cached, V.vector_queries(spark, d, V.EACH_20TH), k=1, same_project=True)
+    return best.select("query_id", F.col("score").alias("best"), (F.col("score") >= 0.92).alias("hit"))
+
+
 @query("r22_cache_invalidation", "SELECT item_id AS query_id FROM benchmark WHERE item_id % 5 <> 2")
 def r22(spark, d):
     cache = V.text_queries(spark, d).withColumn("scope", F.col("query_id") % 5)

@@ -167,6 +167,28 @@ def test_vectors(spark):
     assert vectors.exact_top_k(v.limit(0), q).count() == 0 and vectors.exact_top_k(v, q.limit(0)).count() == 0
 
 
+def test_searches_ask_each_20th(spark, monkeypatch):
+    import numpy as np
+
+    from docstrata.plans import registry
+    from docstrata.sources import views as V
+
+    monkeypatch.setattr(vectors, "QUERIES_AT_ONCE", 7)
+    sf = "/root/testdata/sf0.01"
+    rows = V.vectors(spark, sf).select("chunk_no", "chunk_id", "project_id", "embedding").collect()
+    m = np.array([r["embedding"] for r in rows], dtype=np.float64)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    asked = [i for i, r in enumerate(rows) if r["chunk_no"] % 20 == 0]
+    for name, k, scoped in (("v2_exact_top50_all", 50, False), ("v2_top10_in_project_all", 10, True)):
+        want = set()
+        for i in asked:
+            near = [(-round(float(m[i] @ m[j]), 8), r["chunk_id"]) for j, r in enumerate(rows) if not scoped or r["project_id"] == rows[i]["project_id"]]
+            want |= {(rows[i]["chunk_no"], c) for _, c in sorted(near)[:k]}
+        assert {(r["query_id"], r["chunk_id"]) for r in registry.queries()[name](spark, sf).collect()} == want and len(asked) == 25
+    assert registry.queries()["r21_query_cache_similar_all"](spark, sf).count() == 25
+    assert {r["query_id"] for r in registry.queries()["v3_approximate_top20_all"](spark, sf).collect()} == {rows[i]["chunk_no"] for i in asked}
+
+
 def test_approximate_recall(spark):
     from docstrata.sources import views as V
 
