@@ -8,6 +8,7 @@ the ids.
 
 from __future__ import annotations
 
+import array
 import itertools
 import json
 
@@ -19,13 +20,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docstrata.llm.shared import slices
+
 DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 # Fixed: the pieces into which the byte-level pre-tokenizer cuts a text.
 _PIECES = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 _CACHED_PIECES = 120_000  # in each of two generations
-_CACHED_PAIRS = 400_000
+_CACHED_PAIRS = 200_000
+_CACHED_LENGTH = 32  # letters of a piece that is kept
 
 
 def _byte_letters() -> list[str]:
@@ -63,11 +67,11 @@ class BytePairs:
             self.rank[pair] = r
             self.made_of.setdefault(vocab[left + right], (*pair, r))
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.pieces: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
-        sizes = np.fromiter(map(len, self.bytes_of), np.int64, len(self.bytes_of))
-        self.blob, self.sizes, self.starts = np.frombuffer(b"".join(self.bytes_of), np.uint8), sizes, np.cumsum(sizes) - sizes
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.ends: dict[int, list] = {}
+        self.begins: dict[int, list] = {}
+        self.pairs: dict[int, bool] = {}
 
     def _border(self, token: int, side: int) -> list[tuple[int, float]]:
         """The tokens on one border (0 left, 1 right) while ``token`` is built, with the rank of the merge that takes each up."""
@@ -85,73 +89,76 @@ class BytePairs:
         At equal rank the merge further left comes first, so a border merge loses to one inside ``left`` and wins
         against one inside ``right``.
         """
-        for x, x_until in self._border(left, 1):
-            for y, y_until in self._border(right, 0):
-                r = self.rank.get((x, y))
+        ends, begins, rank = self.ends.get(left), self.begins.get(right), self.rank
+        if ends is None:
+            ends = self.ends[left] = self._border(left, 1)
+        if begins is None:
+            begins = self.begins[right] = self._border(right, 0)
+        for x, x_until in ends:
+            for y, y_until in begins:
+                r = rank.get((x, y))
                 if r is not None and r < x_until and r <= y_until:
                     return False
         return True
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one piece, as bytes of int32."""
         letters = piece.encode("utf-8").decode("latin-1").translate(self.to_letters)
         last = [-1] * (len(letters) + 1)
         back = [0] * (len(letters) + 1)
         pairs = self.pairs
         for at, (token, size) in self.automaton.iter(letters):
-            end = at + 1
-            if last[end] >= 0:
+            if last[at + 1] >= 0:
                 continue
-            start = end - size
+            start = at + 1 - size
             if start:
-                pair = last[start], token
+                pair = last[start] << 32 | token
                 fits = pairs.get(pair)
                 if fits is None:
                     if len(pairs) >= _CACHED_PAIRS:
                         pairs.clear()
-                    fits = pairs[pair] = self.compatible(*pair)
+                    fits = pairs[pair] = self.compatible(last[start], token)
                 if not fits:
                     continue
-            last[end], back[end] = token, start
-        ids, end = [], len(letters)
+            last[at + 1], back[at + 1] = token, start
+        ids, end = array.array("i"), len(letters)
         while end:
             ids.append(last[end])
             end = back[end]
         ids.reverse()
-        return ids
-
-    def _ordinary(self, text: str):
-        """Ids of each piece. Frequent pieces stay known: a full generation becomes the older one, which is still looked up."""
-        if len(self.pieces) >= _CACHED_PIECES:
-            self.pieces, self.older = {}, self.pieces
-        known, older = self.pieces, self.older
-        for piece in _PIECES.findall(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = older.get(piece) or self._piece(piece)
-                if len(piece) <= 32:
-                    known[piece] = ids
-            yield ids
+        return ids.tobytes()
+
+    def _ordinary(self, text: str) -> bytes:
+        """Ids of all pieces. Frequent pieces stay known: a full generation becomes the older one, which is still looked up."""
+        pieces = _PIECES.findall(text)
+        known, older, long = self.pieces, self.older, {}
+        for piece in set(pieces).difference(known):
+            if len(piece) > _CACHED_LENGTH:
+                long[piece] = self._piece(piece)
+                continue
+            ids = older.get(piece)
+            known[piece] = self._piece(piece) if ids is None else ids
+        if long:
+            found = b"".join([long[p] if p in long else known[p] for p in pieces])
+        else:
+            found = b"".join(map(known.__getitem__, pieces))
+        if len(known) >= _CACHED_PIECES:
+            self.pieces, self.older = {}, known
+        return found
 
     def encode(self, text: str) -> np.ndarray:
         """Ids as int32; strings of special tokens become their ids."""
         if self.cut is None or not self.cut.search(text):
-            return np.fromiter(itertools.chain.from_iterable(self._ordinary(text)), np.int32)
+            return np.frombuffer(self._ordinary(text), np.int32)
         found, at = [], 0
         for m in self.cut.finditer(text):
-            found += [i for ids in self._ordinary(text[at : m.start()]) for i in ids]
-            found.append(self.special[m[0]])
+            found += [self._ordinary(text[at : m.start()]), np.array([self.special[m[0]]], np.int32).tobytes()]
             at = m.end()
-        found += [i for ids in self._ordinary(text[at:]) for i in ids]
-        return np.array(found, np.int32)
+        return np.frombuffer(b"".join([*found, self._ordinary(text[at:])]), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
-        """The bytes of all tokens, gathered at once; what is no UTF-8 becomes U+FFFD."""
-        sizes = self.sizes[ids]
-        ends = np.cumsum(sizes)
-        if not len(ids):
-            return ""
-        place = np.arange(ends[-1]) + np.repeat(self.starts[ids] - (ends - sizes), sizes)
-        return self.blob[place].tobytes().decode("utf-8", "replace")
+        """The bytes of all tokens, one after another; what is no UTF-8 becomes U+FFFD."""
+        return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
 _LOADED: dict[str, BytePairs] = {}
@@ -173,27 +180,47 @@ def encode(df: DataFrame, *, text_col: str = "text", ids_col: str = "ids", token
 
     def run(texts: pa.Array) -> pa.Array:
         encode_one = load(tokenizer).encode
-        found = [encode_one(t or "") for t in texts.to_pylist()]
-        ends = np.cumsum([0, *map(len, found)])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *found]), pa.int32()))
+        return _id_lists([encode_one(t or "") for t in texts.to_pylist()])
+
+    return df.withColumn(ids_col, F.arrow_udf(run, "array<int>")(F.col(text_col).cast("string"))).drop(*({text_col} - {ids_col}))
 
-    # not to be repeated where several columns are made of the ids
-    return df.withColumn(ids_col, F.arrow_udf(run, "array<int>").asNondeterministic()(F.col(text_col).cast("string"))).drop(*({text_col} - {ids_col}))
+
+def _id_lists(found: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, found)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *found]), pa.int32()))
 
 
 def decode(df: DataFrame, *, ids_col: str = "ids", text_col: str = "text", tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
     """``df`` with ``text_col`` in place of ``ids_col``; null ids give an empty text, bytes that are no UTF-8 U+FFFD."""
 
     def run(ids: pa.Array) -> pa.Array:
-        decode_one, none = load(tokenizer).decode, np.zeros(0, np.int64)
-        return pa.array([decode_one(x.values.to_numpy().astype(np.int64)) if x.is_valid and len(x) else decode_one(none) for x in ids], pa.string())
+        decode_one = load(tokenizer).decode
+        return pa.array([decode_one(x.values.to_numpy(zero_copy_only=False)) if x.is_valid and len(x) else "" for x in ids], pa.string())
 
     return df.withColumn(text_col, F.arrow_udf(run, "string")(ids_col)).drop(*({ids_col} - {text_col}))
 
 
+def round_trip(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
+    """``id_col``, ``ids`` of each whole text, and ``decoded``, what those ids decode to, in one pass.
+
+    Null texts count as empty; null and repeated ids are rows like others; an empty table gives an empty result; other
+    columns are not read. A task holds the ids of a few megabytes of text at once.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    names = ["id", "ids", "decoded"]
+
+    def run(batches):
+        for part in slices(batches, "text"):
+            own = load(tokenizer)
+            found = [own.encode(t or "") for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), _id_lists(found), pa.array(map(own.decode, found), pa.string())], names=names)
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+
+
 def round_trip_digest(docs: DataFrame, *, tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
-    """Number and digest of each document's ids, and the digest of what they decode to."""
-    ids = encode(docs.select("doc_id", "text"), tokenizer=tokenizer).select(
-        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256")
+    """Number and digest of each document's ids, and the digest of what they decode to. Cases as in ``round_trip``."""
+    return round_trip(docs, tokenizer=tokenizer).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
-    return decode(ids, tokenizer=tokenizer).select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))

@@ -5,17 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all executors share; a local one is set only where none is named."""
+    """The folder of ``spark.checkpoint.dir``, which all executors share. A session on one machine may go without it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="docstrata-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    if where:
+        return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    where = "file://" + tempfile.mkdtemp(prefix="docstrata-")
+    spark.conf.set("spark.checkpoint.dir", where)
+    return where
 
 
 def table(df: DataFrame) -> tuple[DataFrame, str]:
@@ -26,6 +32,21 @@ def table(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def slices(batches, column: str, most: int = 4 << 20):
+    """Arrow batches cut into runs of rows whose ``column`` of strings holds about ``most`` bytes (one row at least).
+
+    What a task holds beside its input then does not grow with the rows of a batch; Arrow's pool gives memory back after each.
+    """
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, end - at)
+            pa.default_memory_pool().release_unused()
+            at = end
+
+
 def forget(spark: SparkSession, *paths: str) -> None:
     """Delete tables that nothing reads any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
