@@ -383,3 +383,72 @@ def test_pipeline(spark):
     assert not any(base_secrets(r["text"]) for r in hidden.collect())
     packed = corpus_pipeline.pack_sequences(spark, hidden, sf).toPandas()
     assert set(packed["doc_id"]) == {r["doc_id"] for r in hidden.collect()}
+
+
+def test_pii_added_spans(spark):
+    """Planted spans that no base pattern finds, and like forms that are none: precision and recall of what is added."""
+    r = random.Random(11)
+    docs = [x["text"] for x in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    name = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(4, 9)))
+    good = [
+        lambda: f"please mail {name()}.{r.randint(1, 99)} [at] {name()} [dot] com", lambda: f"write to me: {name()}{r.randint(1, 99)} (at) {name()}.org",
+        lambda: f"call my phone ({r.randint(201, 989)}) 555-{r.randint(0, 9999):04}", lambda: f"mobile: {r.randint(201, 989)}-555-{r.randint(0, 9999):04}",
+        lambda: f"social security {r.randint(100, 600)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}", lambda: f"signed by Dr. {r.choice(['Anna', 'Peter', 'Maria'])} {r.choice(['Miller', 'Weber', 'Smith'])}",
+        lambda: f"address: {r.randint(1, 999)} {r.choice(['Main', 'Oak', 'Church'])} Street",
+    ]
+    bad = [
+        lambda: f"look {r.choice(['back', 'only', 'up'])} at {name()}.then", lambda: f"order number {r.choice([0, 1])}{r.randint(10, 99)}-{r.randint(100, 199)}-{r.randint(0, 9999):04}",
+        lambda: f"part code 9{r.randint(10, 99)}-{r.randint(10, 99)}-0000", lambda: f"version {r.randint(300, 999)}.{r.randint(0, 9)}.{r.randint(1000, 9999)}.0", lambda: f"item {r.randint(0, 1)}{r.randint(10**14, 10**15 - 1)}",
+    ]
+    texts, spans = [], []
+    for i in range(420):
+        kind, makers = (True, good) if i % 3 else (False, bad)
+        before, plant = r.choice(docs)[:200], makers[i % len(makers)]()
+        texts.append(f"{before} {plant} {r.choice(docs)[:100]}")
+        spans.append((kind, len(before), len(before) + len(plant) + 1))
+    found = {x["doc_id"]: [s for s in x["pii_spans"] if not s["base"]] for x in pii.find(frame(spark, texts)).collect()}
+    hit = [any(s["start"] < b and a < s["end"] for s in found[i]) for i, (_, a, b) in enumerate(spans)]
+    caught = sum(h for h, (kind, _, _) in zip(hit, spans) if kind)
+    false = sum(h for h, (kind, _, _) in zip(hit, spans) if not kind)
+    assert caught / sum(k for k, _, _ in spans) >= 0.9 and caught / (caught + false) >= 0.9
+
+
+def test_pii_many_spans_in_order(spark):
+    text = "ab a@b.cc 1.2.3.4 joe [at] x [dot] com " * 700 + "é 😀 " + "a@b.cc"
+    row = pii.digest(frame(spark, [text, text])).collect()[1]
+    spans = [s.split(":") for s in row["spans"].split(",")]
+    assert row["n_email"] == 701 and row["n_ip"] == 700 and [int(s[1]) for s in spans] == sorted(int(s[1]) for s in spans)
+    assert all(text[int(a) : int(b)] in ("a@b.cc", "1.2.3.4", "joe [at] x [dot] com") for _, a, b in spans)
+
+
+def test_secrets_added_spans(spark):
+    """Random tokens without a key word in ordinary documents, and words, numbers and names that look long: what the battery adds."""
+    r = random.Random(13)
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"]
+    docs = [x["text"] for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    decoys = ["internationalisierungen", "number_of_rows_in_the_table", "configuration-management", "HTTPConnectionPoolManager", "aaaaaaaaaaaaaaaaaaaa", "2024-01-31-2024-02-29"]
+    texts, planted = [], []
+    for i, t in enumerate(docs):
+        token = "".join(r.choice(alphabets[i % 2]) for _ in range(r.choice([32, 40, 64]))) if i % 5 == 0 else r.choice(decoys)
+        texts.append(f"{t} {token}")
+        planted.append((i % 5 == 0, len(t) + 1))
+    found = {x["doc_id"]: {s["start"] for s in x["secret_spans"] if not s["base"]} for x in secrets.find(frame(spark, texts)).collect()}
+    caught = sum(at in found[i] for i, (secret, at) in enumerate(planted) if secret)
+    added = sum(map(len, found.values()))
+    assert caught / sum(s for s, _ in planted) >= 0.9 and caught / added >= 0.95
+
+
+def test_secret_p_values_are_uniform_under_their_null():
+    r = np.random.default_rng(3)
+    place = 3 * len(secrets._ENCODINGS) + 8
+    null = np.zeros(secrets._CELLS)
+    cells = r.integers(0, secrets._CELLS, 40)
+    np.add.at(null, cells, r.integers(1, 4000, 40))
+    p = secrets.p_values(null, place)
+    for q in (0.05, 0.2, 0.5):
+        assert null[p <= q].sum() / null.sum() <= q + 0.05
+    assert secrets.accepted({}, {}, 0.01) == [] and p.min() > 0
+
+
+def test_secret_words_are_ascii():
+    assert not secrets.candidates("paſſword=abcdef123") and not secrets.candidates("toKen: abcdef123") and secrets.candidates("PassWord=abcdef123")
