@@ -452,3 +452,50 @@ def test_secret_p_values_are_uniform_under_their_null():
 
 def test_secret_words_are_ascii():
     assert not secrets.candidates("paſſword=abcdef123") and not secrets.candidates("toKen: abcdef123") and secrets.candidates("PassWord=abcdef123")
+
+
+@pytest.mark.parametrize("page,text", [
+    ('<ol start="--5"><li>x</ol>', "1. x"),
+    ('<ol start="-2"><li>x<li>y</ol>', "-2. x\n-1. y"),
+    (f'<ol start="{"9" * 5000}"><li>x</ol>', "1000000000. x"),
+    (f'<table><tr><td colspan="{"1" * 5000}">a<td>b<tr><td>c</table>', "a" + "  " * 100 + "b\nc"),
+    ("<table><tr><td rowspan=2>A<td>b<tr><td>c<td>d</table>", "A  b\n   c  d"),
+    ("<table><tr><td>a<td rowspan=3>B<td>c<tr><td>d<td>e<tr><td>f<td>g</table>", "a  B  c\nd     e\nf     g"),
+    ("<table><thead><tr><td rowspan=9>h</thead><tbody><tr><td>a<td>b</table>", "h\na  b"),
+    ('<div style="visibility:hidden">no<b style="visibility:visible">yes</b></div>', "yes"),
+    ('<div style="display:none">no<b style="display:inline">no</b></div>a', "a"),
+    ("<style>.x{display:none} p.y,#z{visibility:hidden} div{color:red}</style><p class=x>no</p><p class='a y'>no</p><div class=y>yes</div><p id=z>no</p>", "yes"),
+    ("<style>b{display:none}</style><p>a<b>no</b>c</p>", "ac"),
+    ("a &#99999999999; b&#" + "1" * 6000 + "; c &#x1F600;", "a � b� c 😀"),
+    ("one <b two", "one"), ("1 < 2 and <3", "1 < 2 and <3"), ("<p title='a>b' x=\"c>d\">in</p>", "in"), ('<p x="open>in</p>', "in"),
+    ("<a href=x/y>link</a><br/>end", "link\nend"),
+])
+def test_html_numbers_spans_and_visibility(page, text):
+    assert html_text.visible_text(page) == text
+
+
+@pytest.mark.parametrize("page", ["<a" * 100_000, "<a " * 100_000, '<a b="' * 60_000, "<a b='x\">" * 40_000, "<" * 200_000, "</" * 100_000, "<!" * 100_000, "<!--" * 50_000, "<td>" * 60_000, "<table>" * 40_000 + "x", "<ul><li>" * 30_000, "&#" * 100_000, "<a" + " " * 200_000, "<script>" * 30_000, "=" * 100_000, "<a " + "=" * 100_000 + ">b", "<table><tr><td>" + "x" * 200_000 + "<td>y" + "<tr><td>a<td>b" * 3000])
+def test_html_hard_pages_take_no_time(page):
+    import time
+
+    began = time.thread_time()
+    assert len(html_text.visible_text(page)) < 10 * len(page) + 10
+    assert time.thread_time() - began < 4
+
+
+def test_html_words_are_all_there():
+    """Brute force on random well-formed pages: the words of all text, in order, are the words of the result but for list marks."""
+    r = random.Random(21)
+
+    def make(depth):
+        if depth == 0 or r.random() < 0.3:
+            return " ".join(r.choice(["one", "two", "three", "x&amp;y"]) for _ in range(r.randint(1, 4)))
+        tag = r.choice(["p", "div", "span", "b", "ul", "blockquote", "section"])
+        parts = [make(depth - 1 if tag != "p" else 0) for _ in range(r.randint(1, 3))]
+        return f"<ul>{''.join(f'<li>{x}</li>' for x in parts)}</ul>" if tag == "ul" else f"<{tag}>{' '.join(parts)}</{tag}>"
+
+    for _ in range(200):
+        page = make(4)
+        want = re.sub(r"<[^>]*>", lambda m: "" if m[0].strip("</>") in ("span", "b") else " ", page).replace("&amp;", "&").split()
+        got = [w for w in html_text.visible_text(page).split() if w != "-"]
+        assert got == want, page
