@@ -135,6 +135,43 @@ def test_shards_edges(spark):
     assert by_size.groupby("shard")["size"].sum().max() <= 10_000
 
 
+def test_shards_keep_equal_texts_together(spark):
+    """A group of a quarter of a shard stays whole; the other units make up for it."""
+    texts = [f"text number {i} of many " + "x" * (i % 40) for i in range(5900)]
+    share = sum(len(t) + 1 for t in texts) / 4
+    texts += ["the same text " * 10] * int(share / 4 / 141) + ["another one " * 9] * int(share / 3 / 109)
+    got = sharding.kd_shards(frame(spark, texts).withColumn("shard", F.lit("x")).withColumn("key", F.lit(None)).withColumn("node", F.lit(1)).withColumn("bytes", F.lit(1)), shards=4).toPandas()
+    assert (got.groupby("text_crc32")["shard"].nunique() == 1).all()
+    sums = got.groupby("shard")["size"].sum()
+    assert len(sums) == 4 and sums.max() - sums.min() < 0.02 * sums.mean() and len(got) == len(texts)
+
+
+def test_shards_dimensions_and_null_ids(spark):
+    rows = [(None if i % 3 else i, "hot", None, f"a common and long prefix of names {i % 7}", 3) for i in range(4000)] + [(i, f"t{i}", "en", None, None) for i in range(400)]
+    got = sharding.kd_shards(spark.createDataFrame(rows, SCHEMA), shards=4, dimensions=("source", "missing", "lang")).toPandas()
+    sums = got.groupby("shard")["size"].sum()
+    assert len(got) == 4400 and sums.max() < 1.1 * sums.mean() and sums.min() > 0.9 * sums.mean()
+    by_name = sharding.kd_shards(spark.createDataFrame([(i, f"text {i}", "en", f"a common and long prefix of names {i % 2}", 1) for i in range(200)], SCHEMA), shards=2, dimensions=("source",)).toPandas()
+    assert (by_name.assign(name=by_name["doc_id"] % 2).groupby("shard")["name"].nunique() == 1).all()
+
+
+def test_shards_by_brute_force(spark):
+    """The cut of each node against a sort of its units: no cut nearer to half of the bytes by more than the tolerance."""
+    r = random.Random(8)
+    texts = ["w" * r.randint(1, 400) + str(i) for i in range(1500)]
+    got = sharding.kd_shards(frame(spark, texts), shards=2, dimensions=("n_chars",)).toPandas()
+    order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+    total = sum(len(t) + 1 for t in texts)
+    left, best = 0, total
+    for i in order:
+        left += len(texts[i]) + 1
+        best = min(best, abs(total - 2 * left))
+    sums = got.groupby("shard")["size"].sum()
+    assert abs(sums[0] - sums[1]) <= best + 2 * max(401, total / 512)
+    low = got[got["shard"] == 0]["size"].max()
+    assert (got[got["shard"] == 1]["size"] >= low).all()
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit_on_labels(docs, labels)
