@@ -24,11 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def table(df: DataFrame) -> tuple[DataFrame, str]:
-    """Write ``df`` into the shared folder and read it back: lineage ends at files that outlive any executor."""
+_WRITTEN: list[str] = []  # paths of the driver's tables that are still there
+
+
+def table(df: DataFrame, compression: str = "snappy") -> tuple[DataFrame, str]:
+    """Write ``df`` into the shared folder and read it back: lineage ends at files that outlive any executor.
+
+    A table that a lazy result still reads stays there; ``written`` lets a caller that has stored the result delete it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docstrata-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -47,8 +54,14 @@ def slices(batches, column: str, most: int = 4 << 20):
             at = end
 
 
+def written(since: int = 0) -> list[str]:
+    """Paths of the tables written so far and not deleted, from the ``since``-th on."""
+    return _WRITTEN[since:]
+
+
 def forget(spark: SparkSession, *paths: str) -> None:
     """Delete tables that nothing reads any more."""
+    _WRITTEN[:] = [x for x in _WRITTEN if x not in paths]
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in paths:
         where = jvm.org.apache.hadoop.fs.Path(path)

@@ -334,6 +334,62 @@ def test_media_features(spark):
     assert audio["tensors"] and audio["n_frames"] >= 1
 
 
+def naive_audio(payload, s):
+    """Log-mel frames and active spans by sums over single samples and bins."""
+    x = [(b - 128) / 128 for b in payload]
+    size = -(-len(x) * s.up // s.down)
+    span = s.taps * s.up
+    h = [np.sinc(i / max(s.up, s.down)) * (0.5 - 0.5 * np.cos(2 * np.pi * (i + span + 1) / (2 * span + 1))) for i in range(-span, span)]
+    y = []
+    for m in range(size):
+        at, phase = m * s.down // s.up, m * s.down % s.up
+        w = [h[phase + j * s.up] for j in range(2 * s.taps)]
+        y.append(sum(w[j] * x[at + s.taps - j] for j in range(2 * s.taps) if 0 <= at + s.taps - j < len(x)) / sum(w))
+    n = 1 + max(0, -(-(len(y) - s.frame) // s.hop))
+    y += [0.0] * max(0, (n - 1) * s.hop + s.frame - len(y))
+    rate, mel = s.rate * s.up / s.down, lambda f: 2595 * np.log10(1 + f / 700)
+    edges = [700 * (10 ** (mel(rate / 2) * i / (s.mels + 1) / 2595) - 1) for i in range(s.mels + 2)]
+    win = [0.5 - 0.5 * np.cos(2 * np.pi * (i + 1) / (s.frame + 1)) for i in range(s.frame)]
+    frames, energy = [], []
+    for f in range(n):
+        part = np.array([y[f * s.hop + i] * win[i] for i in range(s.frame)])
+        power = [abs(sum(part * np.exp(-2j * np.pi * k * np.arange(s.frame) / s.frame))) ** 2 for k in range(s.frame // 2 + 1)]
+        hz = [k * rate / s.frame for k in range(s.frame // 2 + 1)]
+        tri = lambda a, b, c, v: max(0.0, min((v - a) / (b - a), (c - v) / (c - b)))
+        frames.append([np.log(sum(p * tri(*edges[j : j + 3], v) for p, v in zip(power, hz)) + 1e-6) for j in range(s.mels)])
+        energy.append(10 * np.log10((part**2).mean() + 1e-10))
+    level, spans, on, quiet = np.median(energy), [], None, 0
+    for i, e in enumerate(energy):
+        if on is None:
+            on, last = (i, i) if e >= level + s.on_db else (None, 0)
+        elif e >= level + s.off_db:
+            last = i
+        elif i - last >= s.hold:
+            spans.append((on, last + 1))
+            on = None
+    return np.array(frames), spans + ([(on, last + 1)] if on is not None else [])
+
+
+@pytest.mark.parametrize("up,down", [(1, 2), (3, 2)])
+def test_media_features_by_brute_force(up, down):
+    r = random.Random(6)
+    s = media.Settings(up=up, down=down, taps=4, frame=32, hop=16, mels=5, frames=8)
+    payload = bytes(r.randint(100, 156) for _ in range(600)) + bytes(r.randint(0, 255) for _ in range(300)) + bytes([128] * 124)
+    blocks, n, spans = media.features(payload, s)
+    want, want_spans = naive_audio(payload, s)
+    assert n == len(want) and np.abs(blocks.reshape(-1, s.mels)[:n] - want).max() < 2e-2 and spans == want_spans and not blocks.reshape(-1, s.mels)[n:].any()
+
+
+def test_media_tables_edges(spark):
+    assert media.digest(frame(spark, [])).collect() == []
+    rows = frame(spark, ["a", "a", None]).withColumn("media", F.lit("x")).withColumn("audio", F.lit(1)).withColumn("n_bytes", F.lit("clash"))
+    out = media.analyse(media.store(rows)).collect()
+    assert len(out) == 3 and out[0]["audio"] == out[1]["audio"] and out[2]["audio"]["payload_bytes"] == 64 and out[0]["n_bytes"] == "clash"
+    assert media.analyse(rows.select("doc_id", F.lit(None).cast("binary").alias("media"))).first()["audio"] is None
+    got = media.digest(rows.unionByName(rows)).collect()
+    assert len(got) == 6 and len({x["feature"] for x in got if x["doc_id"] in (0, 1)}) == 1
+
+
 def test_bpe_is_the_library(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
