@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docstrata.llm.shared import components, forget, table
+from docstrata.llm.shared import components, forget, slices, table
 
 _BASE = np.uint64(0x100000001B3)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _SEGMENT = 1 << 16
-_BROADCAST_ROWS = 1_000_000  # of four long columns; more rows are shuffled
+_BROADCAST_ROWS = 1_000_000  # of at most five long columns; more rows are shuffled
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -124,42 +124,52 @@ def _prefix(n: int, num: int, den: int) -> int:
 
 
 def _sets(num: int, den: int, width: int):
+    """Rows with a text to rows with the identity of its set, and the zone of the set at its first row in the task."""
     t = num / den
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("spare", pa.int64()), ("held", pa.int64()), ("zone", pa.list_(pa.int64()))])
+    schema = pa.schema([
+        ("doc_id", pa.int64()), ("tkey", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("spare", pa.int64()), ("held", pa.int64()), ("zone", pa.list_(pa.int64())),
+    ])
 
     def run(batches):
-        for batch in batches:
-            out, first, unnamed = ([], [], [], [], [], []), set(), set()
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        first = set()
+        for part in slices(batches, "text"):
+            out = ([], [], [], [], [])
+            for text in part.column("text").to_pylist():
                 grams = ngram_set(text, width)
                 n = len(grams)
                 node = node_of(grams)
-                out[1].append(n)
-                out[2].append(node)
-                if not n or node in first or doc_id is None and node in unnamed:  # one zone for all copies in the batch, and one of a row with an id if there is any
-                    for column in out[3:]:
+                out[0].append(n)
+                out[1].append(node)
+                if not n or node in first:
+                    for column in out[2:]:
                         column.append(None)
                     continue
-                (unnamed if doc_id is None else first).add(node)
+                first.add(node)
                 prefix, held = _prefix(n, num, den), _below(grams, _zone_share(t * n, t))
-                out[3].append(_below(grams, _zone_share(n, t)) - prefix)
-                out[4].append(held)
-                out[5].append(grams[: max(held, prefix)].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, f.type) for x, f in zip(out[1:], list(schema)[1:]))], schema=schema)
+                out[2].append(_below(grams, _zone_share(n, t)) - prefix)
+                out[3].append(held)
+                out[4].append(grams[: max(held, prefix)].view(np.int64).copy())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tkey"), *(pa.array(x, f.type) for x, f in zip(out, list(schema)[2:]))], schema=schema)
 
     return run
 
 
 def _grams(width: int):
-    """Rows with a text to rows with its n-grams; a row whose text is not that of its node goes (an id may repeat)."""
+    """Rows with a text to the n-grams of their node, once in a task; a row whose text is not that of its node goes (a key may repeat)."""
     schema = pa.schema([("node", pa.int64()), ("grp", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
     def run(batches):
-        for batch in batches:
-            sets = [ngram_set(x, width) for x in batch.column("text").to_pylist()]
-            keep = [i for i, (x, node) in enumerate(zip(sets, batch.column("node").to_pylist())) if node_of(x) == node]
-            named = [batch.column(c).take(pa.array(keep, pa.int64())) for c in ("node", "grp", "bucket")]
-            lists = [sets[i].view(np.int64) for i in keep]
+        done = set()
+        for part in slices(batches, "text"):
+            keep, lists = [], []
+            for i, (text, node) in enumerate(zip(part.column("text").to_pylist(), part.column("node").to_pylist())):
+                if node not in done:
+                    grams = ngram_set(text, width)
+                    if node_of(grams) == node:
+                        done.add(node)
+                        keep.append(i)
+                        lists.append(grams.view(np.int64))
+            named = [part.column(c).take(pa.array(keep, pa.int64())) for c in ("node", "grp", "bucket")]
             yield pa.RecordBatch.from_arrays([*named, pa.array(map(len, lists), pa.int64()), pa.array(lists, pa.list_(pa.int64()))], schema=schema)
 
     return run
@@ -349,30 +359,47 @@ def jaccard_components(
     ``component_id`` is the smallest id that links reach. Exact: no candidate is dropped unless a bound excludes it.
 
     Null or empty texts and texts without words have no n-grams and link with nothing (their own id is the component);
-    equal sets link; a row whose id is null takes part through equal sets alone (its component is null if no row with an
-    id has its set); rows that repeat an id are each returned. An empty table gives an empty result. Other columns of ``docs`` are not read.
-    Hashes have 64 bits.
+    equal sets link; rows with a null id link like others (their component is null if it has no id at all); rows that
+    repeat an id are each returned. An empty table gives an empty result. Other columns of ``docs`` are not read.
+    Hashes of n-grams and of sets have 64 bits.
     """
+    out = _joined(docs, id_col, text_col, width, threshold, light, block_rows)
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("tkey"), text.alias("text"))
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: tuple[int, int], light: int, block_rows: int) -> DataFrame:
+    """``doc_id``, ``tkey`` (a hash of the text), ``n_shingles`` and ``component_id`` of each row."""
     spark = docs.sparkSession
     num, den = threshold
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = _keyed(docs, id_col, text_col)
     rows, rows_path = table(
-        base.mapInArrow(_sets(num, den, width), "doc_id long, n_shingles long, node long, spare long, held long, zone array<long>")
+        base.mapInArrow(_sets(num, den, width), "doc_id long, tkey long, n_shingles long, node long, spare long, held long, zone array<long>")
     )
-    members = rows.select("doc_id", "n_shingles", "node")
+    members = rows.select("doc_id", "tkey", "n_shingles", "node")
 
+    # Of each n-gram the first light + 1 nodes: where there are more it is heavy, and how many more does not matter. The
+    # limit is applied before the shuffle, so an n-gram that everybody has sends only so many rows from each task.
     zones = rows.where(F.col("zone").isNotNull())
-    dealt = zones.select("node", F.explode("zone").alias("gram")).repartition("gram").distinct()
-    counted = dealt.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("gram"))).where("c > 1")
-    often, often_path = table(counted)
-
-    heavy = often.where(F.col("c") > light).groupBy("node").agg(F.count(F.lit(1)).alias("heavy"))
+    by_gram = Window.partitionBy("gram")
+    ranked = zones.select("node", F.explode("zone").alias("gram")).withColumn("r", F.dense_rank().over(by_gram.orderBy("node"))).where(F.col("r") <= light + 1)
+    often, often_path = table(ranked.withColumn("c", F.max("r").over(by_gram)).where("c > 1").select("node", "gram", "c"))
+
+    many, many_path = table(often.where(F.col("c") > light).select("gram").distinct())
+    if many.count() <= _BROADCAST_ROWS:
+        many = F.broadcast(many)
+    heavy = zones.select("node", F.explode("zone").alias("gram")).join(many, "gram").distinct().groupBy("node").agg(F.count(F.lit(1)).alias("heavy"))
+    whose = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", "tkey").alias("own"), F.col("tkey")))  # the row whose text stands for the node
     nodes, nodes_path = table(
-        zones.groupBy("node").agg(F.max("n_shingles").alias("n"), F.max("spare").alias("spare"), F.max("held").alias("held"), F.min("doc_id").alias("doc_id"))
+        zones.groupBy("node").agg(F.max("n_shingles").alias("n"), F.max("spare").alias("spare"), F.max("held").alias("held"), whose.alias("row"))
         .join(heavy, "node", "left")
-        .select("node", "n", "doc_id", (F.col("held") - F.coalesce("heavy", F.lit(0))).alias("lit"), (F.col("spare") < F.coalesce("heavy", F.lit(0))).alias("common"))
+        .select("node", "n", "row.own", "row.tkey", (F.col("held") - F.coalesce("heavy", F.lit(0))).alias("lit"), (F.col("spare") < F.coalesce("heavy", F.lit(0))).alias("common"))
     )
-    lists = often.where(F.col("c") <= light).groupBy("gram").agg(F.array_sort(F.collect_list("node")).alias("v"))
+    lists = often.where(F.col("c") <= light).groupBy("gram").agg(F.array_sort(F.collect_set("node")).alias("v"))
     first = lists.select("v", F.posexplode("v").alias("i", "a"))
     pairs = first.select("a", F.explode(F.slice("v", F.col("i") + 2, F.size("v"))).alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
     side = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("lit").alias(f"lit{s}"))
@@ -389,21 +416,21 @@ def jaccard_components(
     head = (F.col("n") - F.ceil(F.col("n") * num / F.lit(float(den)) - 1e-9) + 1).cast("int")
     prefix = zones.select("node", "zone").join(common, "node").select("node", F.explode(F.slice("zone", F.lit(1), head)).alias("gram"))
     prefix, prefix_path = table(prefix.distinct())
-    hub = prefix.groupBy("gram").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    # a table, so that the join reads both sides from shuffles and Spark can split what one n-gram brings
+    hub, hub_path = table(prefix.groupBy("gram").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
     spokes = prefix.join(hub, "gram").select("a", F.col("node").alias("b")).where("a <> b").distinct()
-    groups, groups_path = table(components(near.unionByName(spokes)).join(nodes.select("node", "n", "doc_id"), "node"))
+    groups, groups_path = table(components(near.unionByName(spokes)).join(nodes.select("node", "n", "own", "tkey"), "node"))
 
     weight = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("grams_n"))
     is_large = (F.col("rows") > block_rows) | ((F.col("grams_n") > 400 * block_rows) & (F.col("rows") > 2))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1) * 4
     bucket = F.when(F.col("large"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("comp"), F.lit(buckets)))
     route, route_path = table(
-        groups.join(weight.withColumn("large", is_large), "comp").where("doc_id is not null")
-        .select("node", F.col("comp").alias("grp"), bucket.cast("long").alias("bucket"), "doc_id")
+        groups.join(weight.withColumn("large", is_large), "comp").select("node", F.col("comp").alias("grp"), bucket.cast("long").alias("bucket"), "own", "tkey")
     )
     small_route = F.broadcast(route) if route.count() <= _BROADCAST_ROWS else route
     sets, sets_path = table(
-        base.join(small_route, "doc_id").select("node", "grp", "bucket", "text")
+        base.withColumn("own", F.coalesce("doc_id", "tkey")).join(small_route, ["own", "tkey"]).select("node", "grp", "bucket", "text")
         .mapInArrow(_grams(width), "node long, grp long, bucket long, n long, grams array<long>")
     )
     links = (
@@ -418,20 +445,22 @@ def jaccard_components(
     labels = members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     labels = labels.join(comp, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp"))
     least = labels.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named_comp = labels.join(least, "comp").select("node", "component_id")
-    out = members.join(named_comp, "node", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    )
-    forget(spark, often_path, prefix_path, groups_path, route_path, sets_path)
-    return out
+    named_comp, _ = table(labels.join(least, "comp").select("node", "component_id"))  # a table, so that copies of one text can be split over tasks
+    forget(spark, often_path, many_path, prefix_path, hub_path, groups_path, route_path, sets_path, links_path)
+    return members.join(named_comp, "node", "left").select("doc_id", "tkey", "n_shingles", "component_id")
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
+def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: tuple[int, int] = (80, 100), light: int = 32, block_rows: int = 512) -> DataFrame:
     """One document of each linked group stays: the one with the smallest id. Columns as in ``docs``.
 
-    Rows with a null id stay; of rows that repeat the smallest id, all stay.
+    Of rows that repeat the smallest id, all stay. Rows with a null id go if a document with an id is in their group;
+    in a group without any id nothing tells one from another, so all stay. Texts without words stay.
     """
-    groups = jaccard_components(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
-    own = docs.withColumn("__id", F.col(options.get("id_col", "doc_id")).cast("long"))
-    kept = own.join(groups.withColumnRenamed("doc_id", "__id"), "__id", "left_semi")
-    return kept.unionByName(own.where("__id is null")).select(*docs.columns)
+    found, path = table(_joined(docs, id_col, text_col, width, threshold, light, block_rows))
+    own = docs.withColumn("__id", F.col(id_col).cast("long"))
+    first = found.where("doc_id = component_id or n_shingles = 0").select(F.col("doc_id").alias("__id")).where("__id is not null").distinct()
+    kept = own.where("__id is not null").join(first, "__id", "left_semi")
+    gone = found.where("doc_id is null and component_id is not null").select(F.col("tkey").alias("__tkey")).distinct()
+    text = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    unnamed = own.where("__id is null").withColumn("__tkey", text).join(gone, "__tkey", "left_anti")
+    return kept.select(*docs.columns).unionByName(unnamed.select(*docs.columns))

@@ -83,8 +83,12 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
 
+    paths = []
+
     def star(sym: DataFrame) -> DataFrame:
-        least = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # a table, so that the join reads both sides from shuffles and Spark can split the edges of a hub
+        least, where = table(sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        paths.append(where)
         return sym.join(least, "u")
 
     def mark(df: DataFrame):
@@ -109,7 +113,8 @@ def components(edges: DataFrame) -> DataFrame:
         )
         after, next_path = table(small)
         new = mark(after)
-        forget(spark, path)
+        forget(spark, path, *paths)
+        paths.clear()
         now, path = after, next_path
         if new == seen:
             break

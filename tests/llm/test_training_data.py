@@ -95,6 +95,19 @@ def test_ngram_join_null_id_copy_first(spark):
     assert sorted(r["doc_id"] for r in ngram_join.keep_first(docs).where("doc_id is not null").collect()) == [3, 9]
 
 
+def test_ngram_join_null_ids_link(spark):
+    """Rows without an id link by near copies too, whichever rows come first."""
+    words = [f"w{i}" for i in range(44)]
+    near, far = " ".join(words[2:] + ["x"]), " ".join(f"v{i}" for i in range(50))
+    rows = [(None, near), (5, " ".join(words)), (None, far), (None, far + " y"), (8, None), (None, None), (None, near)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(i, t, None, None, None) for i, t in order], SCHEMA)
+        got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1) for r in ngram_join.jaccard_components(docs).collect())
+        assert got == [(-1, 0, -1), (-1, 39, 5), (-1, 39, 5), (-1, 46, -1), (-1, 47, -1), (5, 40, 5), (8, 0, 8)]
+        kept = [(r["doc_id"], r["text"]) for r in ngram_join.keep_first(docs).collect()]
+        assert sorted(map(str, kept)) == sorted(map(str, [(5, " ".join(words)), (None, far), (None, far + " y"), (8, None), (None, None)]))
+
+
 def test_long_words_and_segments():
     text = "Ab " * 60_000 + "x" * 200_000 + " Ab"
     hashes = ngram_join.word_hashes(text)
