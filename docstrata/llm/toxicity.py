@@ -1,15 +1,18 @@
 """Toxicity by compression distance.
 
-A window of words is compressed twice, with a dictionary trained on ordinary text and with that dictionary after one
-trained on toxic text; it is toxic to the degree that the second makes it shorter. Thresholds are calibrated on
-labelled documents which the dictionaries have not seen: each saving in bytes has a log-likelihood ratio, and a
-logistic model over a few summaries of a document's windows gives the score.
+Two zstandard dictionaries are trained, one on ordinary text and one on the telling parts of toxic text (words with a
+stem that is far more common in toxic documents: trained on all of their text the dictionary learns what toxic and
+ordinary documents share). A window of words is compressed twice, with the ordinary dictionary and with that dictionary
+after the toxic one; it is toxic to the degree that the second makes it shorter. Thresholds are calibrated on labelled
+documents which the dictionaries have not seen: each saving in bytes has a log-likelihood ratio, and a logistic model
+over a few summaries of a document's windows gives the score.
 """
 
 from __future__ import annotations
 
 import collections
 import functools
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +30,8 @@ _ANCHOR = bytes([1, 2, 3, 4, 5, 6, 7, 8, 11, 12, 14, 15, 16, 17, 18, 19])
 
 @dataclass(frozen=True)
 class Bounds:
-    """How many labelled documents the fit may gather, and how much of text: a bound on the driver's memory."""
+    """How many labelled documents the fit may gather, how much of their text, and how many windows of the ordinary ones
+    train a dictionary: a bound on the driver's memory and time."""
 
     toxic_train: int = 1300
     ordinary_train: int = 2400
@@ -35,6 +39,7 @@ class Bounds:
     ordinary_check: int = 1600
     bytes_train: int = 16_000_000
     bytes_check: int = 16_000_000
+    windows_train: int = 200_000
 
 
 @dataclass
@@ -114,7 +119,7 @@ def _grams(word: str) -> list[str]:
     return [word[i : i + 5] for i in range(len(word) - 4)]
 
 
-def _dictionaries(toxic: list[str], ordinary: list[str], size: int, words: int) -> tuple[bytes, bytes]:
+def _dictionaries(toxic: list[str], ordinary: list[str], size: int, words: int, windows: int) -> tuple[bytes, bytes]:
     """Content of the ordinary dictionary, and of one trained on what is far more common in toxic documents."""
     counts = [collections.Counter(), collections.Counter()]
     for k, texts in enumerate((ordinary, toxic)):
@@ -123,7 +128,8 @@ def _dictionaries(toxic: list[str], ordinary: list[str], size: int, words: int)
     n0, n1 = max(1, len(ordinary)), max(1, len(toxic))
     marked = {g for g, c in counts[1].items() if c >= 4 and c / n1 > 12 * (counts[0][g] + 1) / n0}
     telling = [w for t in toxic for w in t.lower().split() if not marked.isdisjoint(_grams(w))]
-    samples = ([" ".join(telling[i : i + 4]).encode() for i in range(0, len(telling), 4)], [w for t in ordinary for w in _windows(t, 2 * words)][:200_000])
+    plain = itertools.islice((w for t in ordinary for w in _windows(t, 2 * words)), windows)
+    samples = ([" ".join(telling[i : i + 4]).encode("utf-8", "surrogatepass") for i in range(0, len(telling), 4)], list(plain))
     return tuple(_trained(s, size)[-size:] for s in reversed(samples))
 
 
@@ -150,21 +156,20 @@ def fit(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxic"
     """Fit on labelled documents (label 0 or 1; others do not count).
 
     The sample is bounded by ``bounds``: for either label, the documents with the smallest hashes of their ids, up to
-    those counts and bytes; dictionaries are trained on the first part, thresholds calibrated on the rest. Repeated texts count
-    once. With no documents of a label, every score is the share of toxic ones.
+    those counts and bytes; dictionaries are trained on the first part, thresholds calibrated on the rest. Repeated texts
+    count once; null labels and null texts do not count; repeated ids are documents like others. With no documents of a
+    label in the part for thresholds, every score is that of the other one; without any labels every score is near 0.
     """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and text is not null")
-    order = F.xxhash64("id", F.lit(2))
-    most = max(bounds.toxic_train + bounds.toxic_check, bounds.ordinary_train + bounds.ordinary_check)
-    drawn = rows.withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy(order, "id"))).where(F.col("n") <= most)
-    sample = drawn.orderBy("y", "n").collect()  # at most twice ``most`` texts
+    order = F.xxhash64("id", F.lit(2)), F.col("id"), F.xxhash64("text")
+    sample = [r for y, n in _wanted(bounds) for r in rows.where(F.col("y") == y).orderBy(*order).limit(n).collect()]  # the smallest of each task, then of all
     parts = {}
     for y, train, check in ((1, bounds.toxic_train, bounds.toxic_check), (0, bounds.ordinary_train, bounds.ordinary_check)):
         got = [r["text"] for r in sample if r["y"] == y][: train + check]
         got = list(dict.fromkeys(got))
         cut = min(train, len(got) * train // (train + check))
         parts[y] = [_within(got[:cut], bounds.bytes_train), _within(got[cut:], bounds.bytes_check)]
-    ordinary, toxic = _dictionaries(parts[1][0], parts[0][0], dictionary_bytes, words)
+    ordinary, toxic = _dictionaries(parts[1][0], parts[0][0], dictionary_bytes, words, bounds.windows_train)
     width = _HIGH - _LOW + 1
     model = Model(ordinary, toxic, np.zeros(width), np.zeros(11), np.ones(11), np.zeros(12), words)
     hists = {y: model.savings(parts[y][1]) for y in (0, 1)}
@@ -180,6 +185,10 @@ def fit(labelled: DataFrame, *, text_col: str = "text", label_col: str = "toxic"
     return model
 
 
+def _wanted(bounds: Bounds):
+    return (1, bounds.toxic_train + bounds.toxic_check), (0, bounds.ordinary_train + bounds.ordinary_check)
+
+
 def _within(texts: list[str], limit: int) -> list[str]:
     found = []
     for t in texts:
@@ -193,8 +202,10 @@ def _within(texts: list[str], limit: int) -> list[str]:
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", score_col: str = "toxicity") -> DataFrame:
     """``docs`` with ``score_col``, from 0 to 1, for each whole text (an existing column of that name is replaced).
 
-    Null and empty texts are one empty window. Equal texts have equal scores. Other columns stay as they are.
+    Null and empty texts are one empty window. Equal texts have equal scores. Other columns stay as they are; an empty
+    table gives an empty result.
     """
+
     def run(texts: pa.Array) -> pa.Array:
         rows = texts.to_pylist()
         distinct = list(dict.fromkeys(rows))
@@ -217,7 +228,7 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, *, bounds: Bounds = Bounds
     """
     rows = labels.where(~held_out() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     picked = None
-    for y, n in ((1, bounds.toxic_train + bounds.toxic_check), (0, bounds.ordinary_train + bounds.ordinary_check)):
+    for y, n in _wanted(bounds):
         part = rows.where(F.col("toxic") == y).distinct().orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(n)
         picked = part if picked is None else picked.unionByName(part)
     return fit(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), bounds=bounds, **options)

@@ -202,6 +202,35 @@ def test_toxicity_edges(spark):
     assert toxicity.score(frame(spark, []), model).collect() == []
 
 
+def test_toxicity_labels_edges(spark):
+    none = spark.createDataFrame([], SCHEMA + ", toxic int")
+    assert all(0 <= r["toxicity"] < 0.5 for r in toxicity.score(frame(spark, ["a", None]), toxicity.fit(none)).collect())
+    only = frame(spark, [f"bad {i} moron" for i in range(9)]).withColumn("toxic", F.lit(1))
+    assert all(r["toxicity"] > 0.5 for r in toxicity.score(frame(spark, ["a"]), toxicity.fit(only)).collect())
+    twice = frame(spark, ["fine words"] * 40).unionByName(frame(spark, ["you moron"] * 40)).withColumn("toxic", F.when(F.col("text") == "you moron", 1).when(F.col("doc_id") == 3, None).otherwise(0))
+    labels = twice.select("doc_id", "toxic").unionByName(twice.select("doc_id", "toxic")).withColumn("text", F.lit("clash"))
+    model = toxicity.fit_on_labels(twice, labels)
+    assert toxicity.score(twice, model).count() == 80 and toxicity.fit_on_labels(twice.limit(0), labels.limit(0)).weight[-1] == -30
+
+
+def test_toxicity_savings_by_brute_force(spark):
+    """Each window compressed by itself, with compressors made anew."""
+    import zstandard as zstd
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit_on_labels(docs, labels)
+    texts = [r["text"] for r in docs.limit(12).collect()] + ["", None, "one", "Ünïcode wörds " * 7]
+    got = model.savings(texts)
+    how = zstd.ZstdCompressionParameters(write_content_size=0, write_checksum=0, write_dict_id=0, strategy=zstd.STRATEGY_BTOPT, min_match=3, search_log=4, hash_log=15, chain_log=15, window_log=17, target_length=24)
+    for text, hist in zip(texts, got):
+        want, words = np.zeros(21, int), (text or "").lower().split()
+        for i in range(0, max(1, len(words)), 4):
+            window = toxicity._ANCHOR + b" " + " ".join(words[i : i + 4]).encode()
+            a, b = (len(zstd.ZstdCompressor(compression_params=how, dict_data=zstd.ZstdCompressionDict(d + toxicity._ANCHOR, dict_type=zstd.DICT_TYPE_RAWCONTENT)).compress(window)) for d in (model.ordinary, model.toxic + model.ordinary))
+            want[min(14, max(-6, a - b)) + 6] += 1
+        assert abs(hist - want).sum() <= max(2, 0.02 * want.sum())
+
+
 def test_packing_fits_and_covers(spark):
     docs = frame(spark, [None, "", "one", "w " * 9000, *(f"{'x ' * (i * 7 % 900)}" for i in range(300))])
     got = packing.best_fit(docs, shard_rows=100).toPandas()
