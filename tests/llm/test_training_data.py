@@ -232,11 +232,13 @@ def test_toxicity_savings_by_brute_force(spark):
 
 
 def test_packing_fits_and_covers(spark):
-    docs = frame(spark, [None, "", "one", "w " * 9000, *(f"{'x ' * (i * 7 % 900)}" for i in range(300))])
+    docs = frame(spark, [None, "", "one", "é" * 36_000, *(f"{'x ' * (i * 7 % 900)}" for i in range(300)), *["same"] * 90])
+    docs = docs.unionByName(spark.createDataFrame([(None, "no id", None, None, None)] * 3, SCHEMA)).withColumn("length", F.lit("clash")).withColumn("row", F.lit(0)).withColumn("bin_id", F.lit(None))
     got = packing.best_fit(docs, shard_rows=100).toPandas()
-    for i, n in ((0, 1), (1, 1), (2, 2), (3, 9001)):
-        part = got[got["doc_id"] == i].sort_values("piece")
-        assert part["length"].sum() == n and list(part["start"]) == [8192 * k for k in range(len(part))]
+    for i, n in ((0, 1), (1, 1), (2, 4), (3, 72_001), (394, 5)):
+        part = got[got["doc_id"] == i].sort_values("piece") if i < 394 else got[got["doc_id"] == 393]
+        assert part["length"].sum() == n and list(part["start"]) == [32_768 * k for k in range(len(part))]
+    assert got["doc_id"].isna().sum() == 3 and len(got) == docs.count() + 2
     for _, b in got.groupby("bin_id"):
         b = b.sort_values("offset")
         assert b["length"].sum() <= b["capacity"].iloc[0] and list(b["offset"]) == [0, *b["length"].cumsum()[:-1]]
@@ -244,6 +246,28 @@ def test_packing_fits_and_covers(spark):
     assert packing.best_fit(frame(spark, [])).collect() == []
 
 
+def test_packed_sequences_give_back_the_ids(spark):
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()] + [None, "", "twice", "twice", "long " * 3000]
+    coded = bpe.encode(frame(spark, texts)).withColumn("part", F.lit("clash"))
+    rows = packing.sequences(coded, separator=50256, capacities=(64, 256, 1024), shard_rows=40).collect()
+    want = {r["doc_id"]: [*r["ids"], 50256] for r in coded.collect()}
+    pieces = {}
+    for r in rows:
+        assert len(r["ids"]) == r["capacity"] and r["capacity"] in (64, 256, 1024)
+        ends = [*r["starts"][1:], None]
+        for d, a, b in zip(r["doc_ids"], r["starts"], ends):
+            pieces.setdefault(d, []).append(r["ids"][a:b])
+    for d, ids in want.items():
+        cut = [ids[i : i + 1024] for i in range(0, len(ids), 1024)]
+        for got in sorted(pieces[d], key=len):
+            match = next(c for c in cut if got[: len(c)] == c and set(got[len(c) :]) <= {50256})
+            cut.remove(match)
+        assert not cut
+    used = sum(map(len, want.values()))
+    assert used / sum(r["capacity"] for r in rows) > 0.9
+    assert packing.sequences(coded.limit(0), separator=0).collect() == []
+
+
 def naive_pack(lengths, sizes):
     """Best fit by looking at every open bin and every size, with the same costs."""
     bins, left = [], sorted(lengths, reverse=True)
