@@ -473,13 +473,14 @@ def test_bpe_is_the_library(spark):
     assert bpe.round_trip_digest(frame(spark, [])).collect() == []
 
 
-def test_exact_search_is_brute_force(spark):
+@pytest.mark.parametrize("how", [{"page_rows": 64, "leaf_rows": 8, "sample_rows": 40, "pivots": 4}, {"page_rows": 16, "leaf_rows": 4, "sample_rows": 64, "chunk_queries": 5, "block_rows": 2}, {}])
+def test_exact_search_is_brute_force(spark, how):
     r = np.random.default_rng(5)
     v = [r.normal(size=8).round(2).tolist() for _ in range(300)] + [[0.5] * 8] * 60
     rows = [(i, x) for i, x in enumerate(v)] + [(1000, None), (1020, [1.0, None] + [0.0] * 6), (1040, [float("nan")] * 8), (1060, [1.0, 2.0]), (None, [0.1] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("page", F.lit("clash"))
     got = {}
-    for x in exact_search.top_k(df, F.col("vec_id") % 20 == 0, k=7, page_rows=64, leaf_rows=8, sample_rows=40, pivots=4).collect():
+    for x in exact_search.top_k(df, F.col("vec_id") % 20 == 0, k=7, **how).collect():
         got.setdefault(x["query_id"], []).append((x["rank"], x["vec_id"], x["score"]))
     whole = {i: np.floor(64 * np.array((x + [0.0] * 8)[:8])) for i, x in rows if i is not None and i not in (1000, 1020, 1040)}
     assert set(got) == {i for i in whole if i % 20 == 0}
@@ -488,7 +489,10 @@ def test_exact_search_is_brute_force(spark):
         assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert exact_search.top_k(df.limit(0), F.lit(True)).collect() == []
     few = exact_search.top_k(df.where("vec_id < 4"), F.col("vec_id") == 0).collect()
-    assert [x["rank"] for x in few] == [1, 2, 3]
+    assert [x["rank"] for x in sorted(few)] == [1, 2, 3]
+    same = spark.createDataFrame([(i, [1.0, 0.5]) for i in range(90)], "vec_id long, embedding array<double>")
+    got = sorted(exact_search.top_k(same.unionByName(same.where("vec_id = 5")), F.col("vec_id") == 0, k=7, page_rows=16).collect())
+    assert [x["vec_id"] for x in got] == [1, 2, 3, 4, 5, 5, 6]
 
 
 def test_html_layout(spark):
