@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+from itertools import accumulate, groupby
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docstrata.functions import text as T
 
 PAGE_CHARS = 3000
+_ENDS = re.compile(r"(?<=[.!?])\s+")
 CHUNK_TOKENS = {"text/plain": 512, "application/pdf": 768, "application/vnd.openxmlformats-officedocument.wordprocessingml.document": 512}
 
 
@@ -45,36 +51,54 @@ def chunk_size(mime: Column, default: Column) -> Column:
     return F.coalesce(F.try_element_at(sizes, mime), default)
 
 
+def token_cost(text: str) -> int:
+    return max(1, len(text) // 4)
+
+
+def _runs(items: list[str], size: int, back: Callable[[list[int], int], int]) -> Iterator[str]:
+    """Runs of items whose costs sum to at most ``size`` (one new item at least), from running totals and a search for each end.
+
+    ``back`` says from which item on the next run repeats what came before an end.
+    """
+    total = [0, *accumulate(map(token_cost, items))]
+    start = new = 0
+    while new < len(items):
+        end = max(new + 1, bisect_right(total, total[start] + size) - 1)
+        yield " ".join(items[start:end])
+        start, new = max(start, back(total, end)), end
+
+
 def pack_sentences(parts: list[str], size: int, overlap: int) -> list[str]:
-    """Greedy chunks of at most ``size`` estimated tokens, with trailing sentences carried over.
+    """Chunks of at most about ``size`` estimated tokens.
 
-    A sentence longer than a chunk ends the chunk before it and is cut by words, each cut keeping some of the last words.
+    Neighbouring sentences that fit a chunk are packed together, and each chunk repeats as many of the last sentences as
+    ``overlap`` tokens hold. A sentence that is longer than a chunk is packed by itself, word by word, each chunk repeating a
+    few words (a fifth of ``overlap``, one at least); nothing is repeated across its borders.
     """
-    cost = lambda s: max(1, len(s) // 4)
-    done: list[str] = []
-    held: list[str] = []
-    for part in parts:
-        if cost(part) > size:
-            if held:
-                done.append(" ".join(held))
-            held = []
-            run: list[str] = []
-            for word in part.split():
-                if run and sum(map(cost, run)) + cost(word) > size:
-                    done.append(" ".join(run))
-                    run = run[-max(1, overlap // 5) :]
-                run.append(word)
-            done += [" ".join(run)] if run else []
-            continue
-        if held and sum(map(cost, held)) + cost(part) > size:
-            done.append(" ".join(held))
-            keep, room = len(held), overlap
-            while keep and cost(held[keep - 1]) <= room:
-                keep -= 1
-                room -= cost(held[keep])
-            held = held[keep:]
-        held.append(part)
-    return done + ([" ".join(held)] if held else [])
+    few = max(1, overlap // 5)
+    found: list[str] = []
+    for long, group in groupby(parts, key=lambda s: token_cost(s) > size):
+        if long:
+            for sentence in group:
+                found += _runs(sentence.split(), size, lambda _, end: end - few)
+        else:
+            found += _runs(list(group), size, lambda total, end: bisect_left(total, total[end] - overlap))
+    return found
+
+
+class _ChunkPage:
+    """Table function: a page's text, a size and an overlap to its chunks, one row for each."""
+
+    def eval(self, text: str, size: int, overlap: float):
+        sentences = [x for x in (s.strip() for s in _ENDS.split(text or "")) if x]
+        for i, chunk in enumerate(pack_sentences(sentences, size, int(size * overlap))):
+            yield i, chunk, token_cost(chunk)
+
+
+def register_chunk_function(spark: SparkSession, name: str = "chunk_page") -> str:
+    """Makes ``name(text, size, overlap)`` usable in SQL after LATERAL; gives ``part``, ``chunk`` and ``token_count``."""
+    spark.udtf.register(name, F.udtf(_ChunkPage, returnType="part int, chunk string, token_count int"))
+    return name
 
 
 def chunk_pages(pages: DataFrame, *, size: int = 512, overlap: float = 0.1) -> DataFrame:

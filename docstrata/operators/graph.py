@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docstrata.sources.shared import stored
+
 
 def aggregate_entities(mentions: DataFrame) -> DataFrame:
     """Mentions by project and exact name: how often, chunk ids in order, type and synonym of the first mention."""
@@ -49,17 +51,16 @@ def entity_chunks(matched: DataFrame, entities: DataFrame) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(order)).select("query_id", "rank", "chunk_id", (1 / F.col("rank")).alias("score"))
 
 
-def build_relations(mentions: DataFrame, most: int | None = None, *, block: int = 64) -> DataFrame:
+def build_relations(mentions: DataFrame, *, block: int = 64) -> DataFrame:
     """Pairs of entities that share chunks: how many, and their share of the rarer one's chunks.
 
-    All chunks count; ``most`` leaves out those that mention more entities. Chunks of more than ``block`` entities are
-    cut into blocks by hash, and each pair of blocks is listed on its own, so that no task lists a chunk's pairs alone.
+    All chunks count. Chunks of more than ``block`` entities are cut into blocks by hash, and each pair of blocks is listed on its own, so that no task lists a chunk's pairs alone.
     """
     once = mentions.select("project_id", "chunk_id", "entity_name").distinct()
     known = once.where("project_id is not null and chunk_id is not null and entity_name is not null")
     sizes = known.groupBy("project_id", "chunk_id").agg(F.count(F.lit(1)).alias("n"))
     blocks = F.ceil(F.col("n") / block).cast("int")
-    dealt = known.join(sizes if most is None else sizes.where(F.col("n") <= most), ["project_id", "chunk_id"]).select("project_id", "chunk_id", "entity_name", blocks.alias("blocks"))
+    dealt = known.join(sizes, ["project_id", "chunk_id"]).select("project_id", "chunk_id", "entity_name", blocks.alias("blocks"))
     dealt = dealt.withColumn("s", F.pmod(F.xxhash64("entity_name"), "blocks").cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     i, j = F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j")
     sides = dealt.groupBy("project_id", "chunk_id", i, j).agg(*(F.sort_array(F.collect_list(F.when(F.col("s") == F.least("s", "t") if k == "v" else F.col("s") > F.col("t"), F.col("entity_name")))).alias(k) for k in "vw"))
@@ -79,9 +80,10 @@ def expand_hops(seeds: DataFrame, relations: DataFrame, k: int = 30) -> DataFram
 
     Edges are walked both ways as equality joins; a seed that is met again on the second hop is returned.
     """
+    relations = stored(relations.select("project_id", "entity_a", "entity_b"))
     edges = relations.select("project_id", F.col("entity_a").alias("src"), F.col("entity_b").alias("dst")).unionByName(relations.select("project_id", F.col("entity_b").alias("src"), F.col("entity_a").alias("dst")))
     step = lambda at, depth: at.join(edges, (at["project_id"] == edges["project_id"]) & (at["entity_name"] == edges["src"])).select("query_id", at["project_id"], F.col("dst").alias("entity_name"), F.lit(depth).alias("depth")).distinct()
-    one = step(seeds, 1)
+    one = stored(step(seeds, 1))
     found = one.unionByName(step(one, 2)).distinct()
     order = Window.partitionBy("query_id").orderBy("depth", "entity_name")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

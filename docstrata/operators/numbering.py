@@ -5,20 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docstrata.sources.shared import stored
+
 
 def row_numbers(rows: DataFrame, order: str, name: str, strip_rows: int = 100_000) -> DataFrame:
-    """Numbers from 1 by ``order`` (unique): rows are cut into ranges, numbered there, and offset by the ranges before.
+    """Numbers from 1 by ``order`` (unique): rows are dealt to ranges, numbered there, and offset by the ranges before.
 
-    Range bounds are approximate quantiles of the first bytes of the order, so that a range holds about
-    ``strip_rows`` rows; the table of ranges is small and is the only thing that a single window sees.
+    Spark draws the range bounds from a sample. The dealt rows are a table, so that counting and numbering see the same
+    ranges; the table of ranges has a row for each ``strip_rows`` rows and is all that a single window sees.
     """
-    n = rows.count()
-    cuts = max(1, -(-n // strip_rows))
-    key = F.conv(F.rpad(F.substring(F.hex(F.encode(F.col(order).cast("string"), "utf-8")), 1, 14), 14, "0"), 16, 10).cast("long")
-    bounds = rows.select(key.alias("k")).stat.approxQuantile("k", [i / cuts for i in range(1, cuts)], 0.001) if cuts > 1 else []
-    strip = F.size(F.filter(F.array(*(F.lit(float(b)) for b in bounds)).cast("array<double>"), lambda b: b <= key.cast("double"))) if bounds else F.lit(0)
-    cut = rows.withColumn("__strip", strip)
-    sizes = cut.groupBy("__strip").agg(F.count(F.lit(1)).alias("__n"))
+    cuts = max(1, -(-rows.count() // strip_rows))
+    dealt = stored(rows.repartitionByRange(cuts, order).withColumn("__strip", F.spark_partition_id()))
+    sizes = dealt.groupBy("__strip").agg(F.count(F.lit(1)).alias("__n"))
     starts = sizes.withColumn("__start", F.sum("__n").over(Window.orderBy("__strip")) - F.col("__n")).drop("__n")
     own = F.row_number().over(Window.partitionBy("__strip").orderBy(order))
-    return cut.withColumn("__own", own).join(starts, "__strip").withColumn(name, F.col("__start") + F.col("__own")).drop("__strip", "__own", "__start")
+    return dealt.withColumn("__own", own).join(starts, "__strip").withColumn(name, F.col("__start") + F.col("__own")).drop("__strip", "__own", "__start")

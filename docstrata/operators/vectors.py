@@ -101,11 +101,20 @@ def wrong_dimensions(vectors: DataFrame, dims: int) -> DataFrame:
     return vectors.where(F.coalesce(F.size("embedding"), F.lit(-1)) != dims)
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, not anew for each element that ``body`` visits."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _unit(v: Column) -> Column:
+    scaled = lambda w, n: F.transform(w, lambda x: x / F.when(n == 0, F.lit(1.0)).otherwise(n))
+    return _bound(v, lambda w: _bound(T.norm(w), lambda n: scaled(w, n)))
+
+
 def blended(query: Column, hypotheses: Column, alpha: float = 0.5) -> Column:
     """Mean of hypothetical vectors, normalised, blended with the query's vector, and normalised again."""
     total = F.aggregate(hypotheses, F.transform(query, lambda x: F.lit(0.0)), lambda acc, h: F.zip_with(acc, h, lambda a, b: a + b.cast("double")))
-    unit = lambda v: F.transform(v, lambda x: x / F.when(T.norm(v) == 0, F.lit(1.0)).otherwise(T.norm(v)))
-    return unit(F.zip_with(query, unit(total), lambda q, m: q.cast("double") * (1 - alpha) + m * alpha))
+    return _unit(F.zip_with(query, _unit(total), lambda q, m: q.cast("double") * (1 - alpha) + m * alpha))
 
 
 def near_pairs(vectors: DataFrame, threshold: float, id_col: str = "id", *, block_rows: int = 1024) -> DataFrame:

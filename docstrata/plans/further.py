@@ -6,39 +6,35 @@ import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as t
 
 from docstrata.functions import text as T
 from docstrata.operators import chunking, drafts, graph, plugins, quality, ranking, sessions
 from docstrata.plans.registry import query
-from docstrata.plans.search import _MATCH, _REL, _SEEDS, BM25, LISTED, VEC, _names, bm25, nearest
+from docstrata.plans.search import _MATCH, _REL, _SEEDS, BM25, VEC, _names, bm25, nearest
 from docstrata.sources import tables
 from docstrata.sources import views as V
 from docstrata.sources.shared import shared_folder
 
 
-@query("s7_jsonl_messages", "SELECT session_id, role, count(*) AS n FROM v_messages WHERE session_id % 10 = 3 GROUP BY 1, 2", "v_messages")
-def s7(spark, d):
-    """Messages written as JSON lines, a file for each session, and read back."""
-    from pyspark.sql import types as t
+def _messages_as_lines(spark, d):
+    """All sessions as JSON lines in files of many sessions, blank and malformed lines among them, read back."""
+    path = f"{shared_folder(spark)}/messages-{uuid.uuid4().hex}"
+    rows = V.messages(spark, d).select("session_id", F.to_json(F.struct("session_id", "role", "content")).alias("line"))
+    lines = F.array(F.lit(""), F.lit("  "), F.lit('{"session_id": 1, "role": broken'), F.col("line"))
+    rows.select(F.explode(lines).alias("line")).write.text(path)
+    return tables.read_messages(spark, path, t.StructType().add("session_id", "long").add("role", "string").add("content", "string"))
 
-    path = f"{shared_folder(spark)}/messages-{id(spark)}-{abs(hash(d))}"
-    rows = V.messages(spark, d).where("session_id % 10 = 3").select("session_id", "role", "content")
-    rows.withColumn("line", F.to_json(F.struct("role", "content"))).select("session_id", "line").write.mode("overwrite").partitionBy("session_id").text(path)
-    schema = t.StructType([t.StructField("role", t.StringType()), t.StructField("content", t.StringType())])
-    read = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    session = F.regexp_extract(F.col("_metadata.file_path"), "session_id=([0-9]+)", 1).cast("long")
-    return read.select(session.alias("session_id"), "role").groupBy("session_id", "role").agg(F.count(F.lit(1)).alias("n"))
 
+@query("s7_jsonl_messages", "SELECT session_id, role, count(*) AS n FROM v_messages GROUP BY 1, 2", "v_messages")
+def s7(spark, d):
+    return _messages_as_lines(spark, d).groupBy("session_id", "role").agg(F.count("content").alias("n"))
 
-@query("s7_jsonl_messages_all", "SELECT session_id, role, count(*) AS n FROM v_messages GROUP BY 1, 2", "v_messages")
+
+@query("s7_jsonl_messages_all", "SELECT session_id, role, CAST(sum(length(content)) AS BIGINT) AS chars FROM v_messages GROUP BY 1, 2", "v_messages")
 def s7_all(spark, d):
-    """All sessions as JSON lines, many to a file, read back without the blank and malformed lines written among them."""
-    path = f"{shared_folder(spark)}/messages-all-{uuid.uuid4().hex}"
-    rows = V.messages(spark, d).select("session_id", F.to_json(F.struct("session_id", "role", "content")).alias("line"))
-    lines = F.array(F.lit(""), F.lit("  "), F.lit('{"session_id": 1, "role": broken'), F.col("line"))
-    rows.select(F.explode(lines).alias("line")).write.text(path)
-    read = spark.read.schema("session_id long, role string, content string").option("mode", "DROPMALFORMED").json(path)
-    return read.groupBy("session_id", "role").agg(F.count("content").alias("n"))
+    """The contents of all messages come back whole."""
+    return _messages_as_lines(spark, d).groupBy("session_id", "role").agg(F.sum(F.length("content")).alias("chars"))
 
 
 @query("j3_projects_with_counts", "SELECT n.n_nationkey AS project_id, count(d.doc_id) AS doc_count FROM nation n LEFT JOIN documents d ON d.source = 'src' || n.n_nationkey GROUP BY 1")
@@ -68,15 +64,15 @@ def j7(spark, d):
 
 
 @query("j10_edge_expansion", f"WITH {_REL} SELECT project_id, src, count(*) AS degree FROM (SELECT project_id, entity_a AS src FROM rel UNION ALL SELECT project_id, entity_b FROM rel) GROUP BY 1, 2", "v_mentions")
-def j10(spark, d, most=LISTED):
-    rel = graph.build_relations(V.mentions(spark, d), most)
+def j10(spark, d):
+    rel = graph.build_relations(V.mentions(spark, d))
     both = rel.select("project_id", F.explode(F.array("entity_a", "entity_b")).alias("src"))
     return both.groupBy("project_id", "src").agg(F.count(F.lit(1)).alias("degree"))
 
 
-@query("j10_edge_expansion_all")
+@query("j10_edge_expansion_all", f"WITH {_REL}, e AS (SELECT project_id, entity_a AS src FROM rel UNION ALL SELECT project_id, entity_b FROM rel) SELECT project_id, count(*) AS edges, count(DISTINCT src) AS entities FROM e GROUP BY 1", "v_mentions")
 def j10_all(spark, d):
-    return j10(spark, d, None)
+    return j10(spark, d).groupBy("project_id").agg(F.sum("degree").alias("edges"), F.count(F.lit(1)).alias("entities"))
 
 
 @query("j11_settings_fallback", "SELECT id, CASE WHEN project_id IN ('src1', 'src5') THEN 'big-' || project_id ELSE 'default' END AS model FROM v_documents", "v_documents")

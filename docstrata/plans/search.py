@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docstrata.functions import text as T
 from docstrata.operators import graph, lexical, ranking, vectors
 from docstrata.plans.registry import query
+from docstrata.sources import tables
 from docstrata.sources import views as V
+from docstrata.sources.shared import shared_folder
 
 STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 TOKENS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
@@ -28,7 +32,7 @@ BM25 = (
 NORM = "sqrt(list_sum(list_transform({}, lambda x: x * x)))"
 COSINE = "(list_inner_product({a}, {b}) / ({na} * {nb}))"
 VEC = (
-    "vq AS (SELECT chunk_no AS query_id, embedding AS q, project_id AS qp FROM v_vectors WHERE chunk_no < 20), "
+    "vq AS (SELECT chunk_no // 20 AS query_id, embedding AS q, project_id AS qp FROM v_vectors WHERE chunk_no % 20 = 0), "
     f"vs AS (SELECT query_id, chunk_id, qp, v.project_id, round({COSINE.format(a='q', b='embedding', na=NORM.format('q'), nb=NORM.format('embedding'))}, 8) AS score FROM vq CROSS JOIN v_vectors v), "
     "vec AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM vs)"
 )
@@ -39,15 +43,20 @@ FUSED = (
 
 
 def bm25(spark, d, k=50):
-    return lexical.search(lexical.build(V.chunks(spark, d)), V.text_queries(spark, d), k)
+    return lexical.search_texts(V.chunks(spark, d), V.text_queries(spark, d), k)
+
+
+def nearest(spark, d, k=50, **how):
+    return vectors.exact_top_k(V.vectors(spark, d), V.vector_queries(spark, d), k=k, **how)
 
 
-def nearest(spark, d, k=50, asked=V.FIRST, **how):
-    return vectors.exact_top_k(V.vectors(spark, d), V.vector_queries(spark, d, asked), k=k, **how)
+def _by_vector(ranked):
+    """Queries under the number of the vector that asks."""
+    return ranked.withColumn("query_id", F.col("query_id") * 20)
 
 
-def fused(spark, d, asked=V.FIRST):
-    lists = nearest(spark, d, asked=asked).withColumn("source", F.lit("v")).unionByName(bm25(spark, d).withColumn("source", F.lit("t")))
+def fused(spark, d):
+    lists = nearest(spark, d).withColumn("source", F.lit("v")).unionByName(bm25(spark, d).withColumn("source", F.lit("t")))
     return ranking.fuse(lists)
 
 
@@ -56,9 +65,10 @@ def flagship(spark, d):
     return ranking.cut(fused(spark, d), 5).select("query_id", "rank", "chunk_id", "score")
 
 
-@query("flagship_hybrid_search_all")
+@query("flagship_hybrid_search_all", f"WITH {BM25}, {VEC}, {FUSED} SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, score FROM fused", "v_chunks", "v_queries", "v_vectors")
 def flagship_all(spark, d):
-    return ranking.cut(fused(spark, d, V.EACH_20TH), 5).select("query_id", "rank", "chunk_id", "score")
+    """The fused list before it is cut."""
+    return fused(spark, d).select("query_id", "rank", "chunk_id", "score")
 
 
 @query("r1_postings", f"WITH t AS (SELECT chunk_id, unnest({TOKENS.format('text')}) AS term FROM v_chunks) SELECT term, count(*) AS tf, count(DISTINCT chunk_id) AS df FROM t GROUP BY term", "v_chunks")
@@ -81,10 +91,24 @@ def r3(spark, d):
     return bm25(spark, d)
 
 
-@query("r4_blank_queries", "SELECT item_id AS query_id FROM benchmark WHERE item_id < 0")
+@query("r3_kept_index", f"WITH {BM25.replace('FROM v_chunks', 'FROM v_chunks WHERE CAST(doc_id AS BIGINT) % 7 <> 0')} SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, score FROM bm WHERE rank <= 50", "v_chunks", "v_queries")
+def r3k(spark, d):
+    """An index that is built, appended to and deleted from, then searched: documents of every seventh id are gone."""
+    folder, chunks = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", V.chunks(spark, d)
+    third, seventh = F.col("doc_id").cast("long") % 3 == 0, F.col("doc_id").cast("long") % 7 == 0
+    lexical.build(chunks.where(third), folder)
+    lexical.delete(folder, chunks.where(third & seventh), 1)
+    lexical.append(folder, chunks.where(~third & ~seventh), 2)
+    return lexical.search(lexical.read(spark, folder, "string"), V.text_queries(spark, d))
+
+
+@query("r4_blank_queries", f"WITH {BM25}, n AS (SELECT query_id, count(*) AS hits FROM bm WHERE rank <= 50 GROUP BY 1) SELECT item_id AS query_id, CASE WHEN length(text) % 2 = 0 THEN 0 ELSE coalesce(hits, 0) END AS hits FROM benchmark LEFT JOIN n ON n.query_id = item_id", "v_chunks", "v_queries")
 def r4(spark, d):
-    blank = V.text_queries(spark, d).withColumn("query", F.lit("  ?! "))
-    return lexical.search(lexical.build(V.chunks(spark, d)), blank).select("query_id")
+    """Queries of even length are blanked: they have no hits, the others keep theirs."""
+    q = V.text_queries(spark, d)
+    blank = q.withColumn("query", F.when(F.length("query") % 2 == 0, "  ?! ").otherwise(F.col("query")))
+    hits = lexical.search_texts(V.chunks(spark, d), blank).groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
+    return q.join(hits, "query_id", "left").select("query_id", F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
 @query("v1_cosine", f"SELECT a.chunk_no AS a, b.chunk_no AS b, round({COSINE.format(a='a.embedding', b='b.embedding', na=NORM.format('a.embedding'), nb=NORM.format('b.embedding'))}, 6) AS score FROM v_vectors a JOIN v_vectors b ON b.chunk_no = a.chunk_no + 1", "v_vectors")
@@ -109,19 +133,27 @@ def v3(spark, d):
     return vectors.approximate_top_k(V.vectors(spark, d), V.vector_queries(spark, d))
 
 
-@query("v2_exact_top50_all")
+@query("v2_exact_top50_all", f"WITH {VEC} SELECT query_id * 20 AS query_id, CAST(rank AS INTEGER) AS rank, chunk_id, score FROM vec WHERE rank <= 50", "v_vectors")
 def v2_all(spark, d):
-    return nearest(spark, d, asked=V.EACH_20TH)
+    return _by_vector(nearest(spark, d))
 
 
-@query("v2_top10_in_project_all")
+@query("v2_top10_in_project_all", f"WITH {VEC}, o AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM vs WHERE qp = project_id) SELECT query_id * 20 AS query_id, CAST(rank AS INTEGER) AS rank, chunk_id, score FROM o WHERE rank <= 10", "v_vectors")
 def v2p_all(spark, d):
-    return nearest(spark, d, 10, V.EACH_20TH, same_project=True)
+    return _by_vector(nearest(spark, d, 10, same_project=True))
+
+
+@query("v2_top10_of_document", f"WITH {VEC}, o AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, score FROM vs WHERE CAST(split_part(chunk_id, '__', 1) AS BIGINT) // 10 = query_id * 2) SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, score FROM o WHERE rank <= 10", "v_vectors")
+def v2d(spark, d):
+    """Search inside one document: the scope is the document number of the vector that asks."""
+    v = V.vectors(spark, d).withColumn("project_id", F.col("doc_no"))
+    asked = V.vector_queries(spark, d).withColumn("query_project", F.col("query_id") * 2)
+    return vectors.exact_top_k(v, asked, k=10, same_project=True)
 
 
 @query("v3_approximate_top20_all")
 def v3_all(spark, d):
-    return vectors.approximate_top_k(V.vectors(spark, d), V.vector_queries(spark, d, V.EACH_20TH))
+    return _by_vector(vectors.approximate_top_k(V.vectors(spark, d), V.vector_queries(spark, d)))
 
 
 @query("v4_dimension_check", "SELECT chunk_no FROM v_vectors WHERE len(embedding) <> 64 OR chunk_no % 9 = 0", "v_vectors")
@@ -147,10 +179,12 @@ def v7(spark, d):
     return V.chunks(spark, d).select("chunk_id", T.cache_key(F.lit("hash"), F.lit("m1"), F.col("text")).alias("cache_key"))
 
 
-@query("v8_zero_vectors", "SELECT chunk_no FROM v_vectors WHERE chunk_no < 0", "v_vectors")
+@query("v8_zero_vectors", f"WITH {VEC}, z AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM vs WHERE project_id % 2 = 1 AND qp % 3 <> 0) SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, score FROM z WHERE rank <= 5", "v_vectors")
 def v8(spark, d):
-    zero = V.vectors(spark, d).withColumn("embedding", F.transform("embedding", lambda x: x * 0))
-    return vectors.exact_top_k(zero, V.vector_queries(spark, d), k=5, id_col="chunk_no").select("chunk_no")
+    """Vectors of every second project, and queries of every third, are zero: the first are no hits, the others find none."""
+    zero = lambda df, column, when: df.withColumn(column, F.when(when, F.transform(column, lambda x: x * 0)).otherwise(F.col(column)))
+    v, asked = zero(V.vectors(spark, d), "embedding", F.col("project_id") % 2 == 0), zero(V.vector_queries(spark, d), "query_embedding", F.col("query_project") % 3 == 0)
+    return vectors.exact_top_k(v, asked, k=5)
 
 
 @query("r5_weighted_merge", f"WITH {BM25}, {VEC}, m AS (SELECT query_id, chunk_id, (score - min(score) OVER w) / CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE max(score) OVER w - min(score) OVER w END AS s, src FROM (SELECT query_id, chunk_id, score, 'v' AS src FROM vec WHERE rank <= 50 UNION ALL SELECT query_id, chunk_id, score, 't' FROM bm WHERE rank <= 50) WINDOW w AS (PARTITION BY query_id, src)), "
@@ -263,18 +297,16 @@ def r20(spark, d):
     return c.where("turn > 0").join(known, "key", "left").select("conv_id", "turn", F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
-@query("r21_query_cache_similar", f"WITH {VEC}, c AS (SELECT query_id, max(score) AS best FROM vs WHERE CAST(split_part(chunk_id, '__', 1) AS BIGINT) >= 20 AND qp = project_id GROUP BY 1) SELECT query_id, best, best >= 0.92 AS hit FROM c", "v_vectors")
+@query("r21_query_cache_similar", f"WITH {VEC}, c AS (SELECT query_id, max(score) AS best FROM vs WHERE CAST(split_part(chunk_id, '__', 1) AS BIGINT) % 20 <> 0 AND qp = project_id GROUP BY 1) SELECT query_id, best, best >= 0.92 AS hit FROM c", "v_vectors")
 def r21(spark, d):
-    cached = V.vectors(spark, d).where("chunk_no >= 20")
+    cached = V.vectors(spark, d).where("chunk_no % 20 <> 0")
     best = vectors.exact_top_k(cached, V.vector_queries(spark, d), k=1, same_project=True)
     return best.select("query_id", F.col("score").alias("best"), (F.col("score") >= 0.92).alias("hit"))
 
 
-@query("r21_query_cache_similar_all")
+@query("r21_query_cache_similar_all", f"WITH {VEC}, c AS (SELECT query_id, max(score) AS best FROM vs WHERE CAST(split_part(chunk_id, '__', 1) AS BIGINT) % 20 <> 0 AND qp = project_id GROUP BY 1) SELECT query_id * 20 AS query_id, best, best >= 0.92 AS hit FROM c", "v_vectors")
 def r21_all(spark, d):
-    cached = V.vectors(spark, d).where(f"not ({V.EACH_20TH})")
-    best = vectors.exact_top_k(cached, V.vector_queries(spark, d, V.EACH_20TH), k=1, same_project=True)
-    return best.select("query_id", F.col("score").alias("best"), (F.col("score") >= 0.92).alias("hit"))
+    return _by_vector(r21(spark, d))
 
 
 @query("r22_cache_invalidation", "SELECT item_id AS query_id FROM benchmark WHERE item_id % 5 <> 2")
@@ -308,8 +340,8 @@ def p1(spark, d):
 @query("p3_filename_filter", "SELECT item_id AS query_id, (SELECT min(CAST(id AS BIGINT)) FROM v_documents WHERE contains(lower(filename), 'src' || (item_id % 20) || '_')) AS doc_id FROM benchmark", "v_documents")
 def p3(spark, d):
     q = V.text_queries(spark, d).select("query_id", F.concat(F.lit("SRC"), F.col("query_id") % 20, F.lit("_")).alias("name"))
-    docs = V.documents(spark, d).select(F.col("id").cast("long").alias("doc_id"), F.lower("filename").alias("f"))
-    hits = docs.join(q, F.contains("f", F.lower("name"))).groupBy("query_id").agg(F.min("doc_id").alias("doc_id"))  # a substring, so no equality
+    docs = V.documents(spark, d).select(F.col("id").cast("long").alias("doc_id"), "filename")
+    hits = tables.named_like(q, docs, "doc_id").groupBy("query_id").agg(F.min("doc_id").alias("doc_id"))
     return q.select("query_id").join(hits, "query_id", "left")
 
 
@@ -389,38 +421,38 @@ def g1c(spark, d):
     return graph.entity_chunks(graph.match_entities(_names(spark, d), e), e).select("query_id", "chunk_id", "rank", F.round("score", 8).alias("score"))
 
 
-LISTED = 12  # the SQL leaves out chunks of more entities; the queries named _all do not
 _REL = (
-    "o AS (SELECT DISTINCT project_id, chunk_id, entity_name FROM v_mentions), few AS (SELECT project_id, chunk_id FROM o GROUP BY 1, 2 HAVING count(*) <= 12), n AS (SELECT project_id, entity_name, count(*) AS n FROM o GROUP BY 1, 2), "
-    "rel AS (SELECT a.project_id, a.entity_name AS entity_a, b.entity_name AS entity_b, count(*) AS shared_chunks FROM few JOIN o a USING (project_id, chunk_id) JOIN o b ON b.project_id = a.project_id AND b.chunk_id = a.chunk_id AND a.entity_name < b.entity_name GROUP BY 1, 2, 3)"
+    "o AS (SELECT DISTINCT project_id, chunk_id, entity_name FROM v_mentions), n AS (SELECT project_id, entity_name, count(*) AS n FROM o GROUP BY 1, 2), "
+    "rel AS (SELECT a.project_id, a.entity_name AS entity_a, b.entity_name AS entity_b, count(*) AS shared_chunks FROM o a JOIN o b ON b.project_id = a.project_id AND b.chunk_id = a.chunk_id AND a.entity_name < b.entity_name GROUP BY 1, 2, 3)"
 )
 
 
 @query("g5_relations", f"WITH {_REL} SELECT r.project_id, entity_a, entity_b, shared_chunks, round(shared_chunks / least(x.n, y.n), 6) AS confidence FROM rel r JOIN n x ON x.project_id = r.project_id AND x.entity_name = entity_a JOIN n y ON y.project_id = r.project_id AND y.entity_name = entity_b", "v_mentions")
-def g5(spark, d, most=LISTED):
-    return graph.build_relations(V.mentions(spark, d), most).select("project_id", "entity_a", "entity_b", "shared_chunks", F.round("confidence", 6).alias("confidence"))
+def g5(spark, d):
+    return graph.build_relations(V.mentions(spark, d)).select("project_id", "entity_a", "entity_b", "shared_chunks", F.round("confidence", 6).alias("confidence"))
 
 
-@query("g5_relations_all")
+@query("g5_relations_all", f"WITH {_REL} SELECT project_id, entity_a, entity_b, shared_chunks FROM rel", "v_mentions")
 def g5_all(spark, d):
-    """The relations of all chunks."""
-    return g5(spark, d, None)
+    """The counts alone."""
+    return g5(spark, d).drop("confidence")
 
 
 _STRONG = "WHERE shared_chunks >= 2"
 
 
 @query("g2_k_hop", f"WITH {_REL}, e AS (SELECT project_id, entity_a AS src, entity_b AS dst FROM rel {_STRONG} UNION ALL SELECT project_id, entity_b, entity_a FROM rel {_STRONG}), s AS (SELECT project_id AS query_id, project_id, min(src) AS name FROM e GROUP BY 1, 2), h1 AS (SELECT DISTINCT query_id, s.project_id, dst FROM s JOIN e ON e.project_id = s.project_id AND e.src = s.name), h2 AS (SELECT DISTINCT query_id, h1.project_id, e.dst FROM h1 JOIN e ON e.project_id = h1.project_id AND e.src = h1.dst), u AS (SELECT query_id, dst, 1 AS depth FROM h1 UNION ALL SELECT query_id, dst, 2 FROM h2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY depth, dst) AS rank FROM u) SELECT query_id, dst AS entity_name, depth, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 30", "v_mentions")
-def g2(spark, d, most=LISTED):
-    rel = graph.build_relations(V.mentions(spark, d), most).where("shared_chunks >= 2")
+def g2(spark, d):
+    rel = graph.build_relations(V.mentions(spark, d)).where("shared_chunks >= 2")
     both = rel.select("project_id", F.explode(F.array("entity_a", "entity_b")).alias("entity_name"))
     seeds = both.groupBy("project_id").agg(F.min("entity_name").alias("entity_name")).withColumn("query_id", F.col("project_id"))
     return graph.expand_hops(seeds, rel).select("query_id", "entity_name", "depth", "rank")
 
 
-@query("g2_k_hop_all")
+@query("g2_k_hop_all", f"WITH {_REL}, e AS (SELECT project_id, entity_a AS src, entity_b AS dst FROM rel {_STRONG} UNION ALL SELECT project_id, entity_b, entity_a FROM rel {_STRONG}), s AS (SELECT project_id AS query_id, project_id, min(src) AS name FROM e GROUP BY 1, 2), h1 AS (SELECT DISTINCT query_id, s.project_id, dst FROM s JOIN e ON e.project_id = s.project_id AND e.src = s.name), h2 AS (SELECT DISTINCT query_id, h1.project_id, e.dst FROM h1 JOIN e ON e.project_id = h1.project_id AND e.src = h1.dst), u AS (SELECT query_id, dst, 1 AS depth FROM h1 UNION ALL SELECT query_id, dst, 2 FROM h2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY depth, dst) AS rank FROM u) SELECT query_id, dst AS entity_name, depth, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 30 AND depth = 2", "v_mentions")
 def g2_all(spark, d):
-    return g2(spark, d, None)
+    """What only the second hop reaches, inside the same limit."""
+    return g2(spark, d).where("depth = 2")
 
 
 @query("g3_query_ngrams", r"WITH s AS (SELECT item_id AS query_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark), g AS (SELECT query_id, unnest(w) AS gram FROM s UNION ALL SELECT query_id, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i+1], ' '))) FROM s UNION ALL SELECT query_id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) FROM s) SELECT DISTINCT query_id, gram FROM g")

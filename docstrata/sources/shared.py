@@ -1,16 +1,27 @@
-"""The folder that all executors share."""
+"""The folder that all executors share, and tables in it."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a local folder only where none is set."""
+    """``spark.checkpoint.dir``. Only a session on one machine may go without it; it then gets a folder of its own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="docstrata-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    if where:
+        return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    where = "file://" + tempfile.mkdtemp(prefix="docstrata-")
+    spark.conf.set("spark.checkpoint.dir", where)
+    return where
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: what several steps read is made once and outlives executors."""
+    path = f"{shared_folder(df.sparkSession)}/docstrata-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

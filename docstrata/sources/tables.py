@@ -6,15 +6,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
+from docstrata.sources.shared import stored
+
 
 def content_hash(df: DataFrame, column: str = "content") -> DataFrame:
     return df.withColumn("file_hash", F.sha2(F.col(column).cast("binary"), 256))
 
 
 def deduplicate(batch: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``duplicate_of``: the first id with that hash in the batch, null for the first itself."""
-    first = F.min(id_col).over(Window.partitionBy("file_hash"))
-    return batch.withColumn("duplicate_of", F.when(first != F.col(id_col), first))
+    """``duplicate_of``: the first id with that hash in the batch, null for the first itself.
+
+    The first ids are aggregated before the shuffle and joined back from a table, so that Spark can split the rows of
+    one content that many files have (blank ones, say).
+    """
+    first = stored(batch.groupBy("file_hash").agg(F.min(id_col).alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n"))
+    return batch.join(first, "file_hash", "left").withColumn("duplicate_of", F.when(F.col("__first") != F.col(id_col), F.col("__first"))).drop("__first").select(*batch.columns, "duplicate_of")
+
+
+def named_like(queries: DataFrame, files: DataFrame, id_col: str, size: int = 3) -> DataFrame:
+    """(query_id, ``id_col``) of the files whose ``filename`` has the query's ``name`` in it, whatever the case of either.
+
+    Names and filenames meet by equality of runs of ``size`` characters (of as many as a shorter name has): the run of the
+    name that fewest filenames hold. What meets is compared in full.
+    """
+    low = files.select(F.col(id_col), F.lower("filename").alias("__f"))
+    asked = queries.select("query_id", F.lower("name").alias("__q")).where("__q <> ''")
+    cut = lambda text, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
+    held = F.array_distinct(F.concat(*(cut(F.col("__f"), n) for n in range(1, size + 1))))
+    runs = stored(low.select(id_col, "__f", F.explode(held).alias("__run")))
+    often = runs.groupBy("__run").agg(F.count(F.lit(1)).alias("__n"))
+    own = F.when(F.length("__q") >= size, cut(F.col("__q"), size)).otherwise(F.array("__q"))
+    rare = asked.select("query_id", "__q", F.explode(own).alias("__run")).join(often, "__run").groupBy("query_id", "__q").agg(F.min_by("__run", F.struct("__n", "__run")).alias("__run"))
+    return rare.join(runs, "__run").where(F.contains("__f", F.col("__q"))).select("query_id", id_col).distinct()
 
 
 def unseen(batch: DataFrame, history: DataFrame) -> DataFrame:
@@ -65,8 +88,10 @@ def grown(rows: DataFrame, schema: t.StructType, defaults: dict[str, Column]) ->
 
 
 def read_messages(spark, path: str, schema: t.StructType) -> DataFrame:
-    """JSON lines, blank and malformed ones skipped, with the session taken from the file's name."""
+    """JSON lines, blank and malformed ones skipped; the session is a field of the lines, or else the file's name."""
     rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    if "session_id" in schema.names:
+        return rows
     return rows.withColumn("session_id", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.jsonl$", 1))
 
 

@@ -45,12 +45,10 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select(F.col("vec_id").alias("chunk_no"), F.concat("vec_id", F.lit("__p1__c0")).alias("chunk_id"), F.floor(F.col("vec_id") / 10).alias("doc_no"), F.col("label").alias("project_id"), "embedding")
 
 
-FIRST = "chunk_no < 20"  # the query set of the SQL
-EACH_20TH = "chunk_no % 20 = 0"  # that of the queries named _all
-
-
-def vector_queries(spark: SparkSession, sf_dir: str, asked: str = FIRST) -> DataFrame:
-    return vectors(spark, sf_dir).where(asked).select(F.col("chunk_no").alias("query_id"), F.col("embedding").alias("query_embedding"), F.col("project_id").alias("query_project"))
+def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each 20th vector asks; queries are numbered 0, 1, 2, ..."""
+    asked = vectors(spark, sf_dir).where("chunk_no % 20 = 0")
+    return asked.select(F.floor(F.col("chunk_no") / 20).alias("query_id"), F.col("embedding").alias("query_embedding"), F.col("project_id").alias("query_project"))
 
 
 def grades(spark: SparkSession, sf_dir: str) -> DataFrame:
