@@ -24,6 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+_MANY_EDGES = 1_000_000  # fewer are a few megabytes, whatever hub they share
 _WRITTEN: list[str] = []  # paths of the driver's tables that are still there
 
 
@@ -86,9 +87,10 @@ def components(edges: DataFrame) -> DataFrame:
     paths = []
 
     def star(sym: DataFrame) -> DataFrame:
-        # a table, so that the join reads both sides from shuffles and Spark can split the edges of a hub
-        least, where = table(sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        paths.append(where)
+        least = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        if seen[0] > _MANY_EDGES:  # as a table, the join reads both sides from shuffles, and Spark can split the edges of a hub
+            least, where = table(least)
+            paths.append(where)
         return sym.join(least, "u")
 
     def mark(df: DataFrame):
