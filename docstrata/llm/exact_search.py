@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docstrata.llm.shared import forget, shared_dir, table
+from docstrata.llm.shared import forget, table
+from docstrata.sources.shared import shared_folder
 
 _PAGE = (
     "page long, dims int, pivot binary, radius double, ids binary, vectors binary, leaf_ends binary, routes binary, route_radius binary, route_parent binary, entry_parent binary"
@@ -235,7 +236,7 @@ def top_k(
     rounds = -(-facts["q"] // chunk)
     best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = lambda hits: hits.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
-    result = f"{shared_dir(spark)}/docstrata-{uuid.uuid4().hex}"
+    result = f"{shared_folder(spark)}/docstrata-{uuid.uuid4().hex}"
     for r in range(rounds):
         part = asked.where(F.pmod(F.xxhash64("vec_id", F.lit(13)), F.lit(rounds)) == r).orderBy("cell", "vec_id").collect()  # about ``chunk`` rows
         if not part:

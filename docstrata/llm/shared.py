@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,17 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all executors share. A session on one machine may go without it."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    where = "file://" + tempfile.mkdtemp(prefix="docstrata-")
-    spark.conf.set("spark.checkpoint.dir", where)
-    return where
+from docstrata.sources.shared import shared_folder
 
 
 _MANY_EDGES = 1_000_000  # fewer are a few megabytes, whatever hub they share
@@ -34,7 +23,7 @@ def table(df: DataFrame, compression: str = "snappy") -> tuple[DataFrame, str]:
     A table that a lazy result still reads stays there; ``written`` lets a caller that has stored the result delete it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docstrata-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/docstrata-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path), path
