@@ -10,6 +10,7 @@ from pyspark.sql import types as t
 
 from docstrata.functions import text as T
 from docstrata.operators import chunking, drafts, graph, plugins, quality, ranking, sessions
+from docstrata.plans.chunk_sql import chunk_sql
 from docstrata.plans.registry import query
 from docstrata.plans.search import _MATCH, _REL, _SEEDS, BM25, VEC, _names, bm25, nearest
 from docstrata.sources import tables
@@ -31,10 +32,10 @@ def s7(spark, d):
     return _messages_as_lines(spark, d).groupBy("session_id", "role").agg(F.count("content").alias("n"))
 
 
-@query("s7_jsonl_messages_all", "SELECT session_id, role, CAST(sum(length(content)) AS BIGINT) AS chars FROM v_messages GROUP BY 1, 2", "v_messages")
+@query("s7_jsonl_messages_all", "SELECT session_id, role, count(*) AS n, CAST(sum(length(content)) AS BIGINT) AS chars FROM v_messages GROUP BY 1, 2", "v_messages")
 def s7_all(spark, d):
     """The contents of all messages come back whole."""
-    return _messages_as_lines(spark, d).groupBy("session_id", "role").agg(F.sum(F.length("content")).alias("chars"))
+    return _messages_as_lines(spark, d).groupBy("session_id", "role").agg(F.count("content").alias("n"), F.sum(F.length("content")).alias("chars"))
 
 
 @query("j3_projects_with_counts", "SELECT n.n_nationkey AS project_id, count(d.doc_id) AS doc_count FROM nation n LEFT JOIN documents d ON d.source = 'src' || n.n_nationkey GROUP BY 1")
@@ -217,7 +218,7 @@ def f2(spark, d):
     return plugins.pair_scores(c).select("query_id", "chunk_id", F.round("pair_score", 6).alias("pair_score"))
 
 
-@query("k5_k6_overlap_and_hard_split")
+@query("k5_k6_overlap_and_hard_split", chunk_sql("SELECT id, regexp_replace(text, '[.!?]', '', 'g') AS text FROM v_documents", 64, 12, paged=False), "v_documents")
 def k5(spark, d):
     """Whole texts as one page each, so that long sentences are split hard."""
     docs = V.documents(spark, d).select(F.col("id").alias("doc_id"), F.lit(1).alias("page_number"), F.regexp_replace("text", "[.!?]", "").alias("text"))

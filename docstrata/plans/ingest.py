@@ -7,6 +7,7 @@ from pyspark.sql import types as t
 
 from docstrata.functions import text as T
 from docstrata.operators import chunking
+from docstrata.plans.chunk_sql import chunk_sql
 from docstrata.plans.registry import query
 from docstrata.sources import tables
 from docstrata.sources import views as V
@@ -206,7 +207,7 @@ def k3(spark, d):
     return V.read(spark, d, "documents").select("source", "lang", chunking.chunk_size(mime, F.lit(640)).alias("size")).distinct()
 
 
-@query("k4_sentence_chunks")
+@query("k4_sentence_chunks", chunk_sql("SELECT id, text FROM v_documents", 128, 12), "v_documents")
 def k4(spark, d):
     return chunking.chunk_pages(V.pages(spark, d), size=128)
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docstrata.operators import chunking
+from docstrata.plans.chunk_sql import chunk_sql
 from docstrata.plans.measures import LABEL, METRICS
 from docstrata.plans.registry import query
 from docstrata.sources import views as V
@@ -24,6 +27,15 @@ def st1(spark, d):
     return flows.drained(spark, flows.ingest(docs), shared_folder(spark)).select("doc_id", "page_number", F.md5("text").alias("text_md5"))
 
 
+@query("st1_ingest_to_chunks", chunk_sql("SELECT CAST(min(doc_id) AS VARCHAR) AS id, text FROM documents GROUP BY text", 128, 12))
+def st1_chunks(spark, d):
+    """Documents as a stream: hashes, pages, chunks, merged by document."""
+    docs = _stream(spark, d, "documents").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("doc_id"), "text")
+    out = flows.continuous_ingest(docs, f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}", size=128)
+    plain = lambda c: F.regexp_replace(c, "^0+(?=[0-9])", "")
+    return out.select(plain("chunk_id").alias("chunk_id"), plain("doc_id").alias("doc_id"), "page_number", "chunk_index", "text", "token_count", "is_table")
+
+
 @query("st2_stream_dedup", "SELECT count(DISTINCT text) AS n FROM documents")
 def st2(spark, d):
     docs = _stream(spark, d, "documents").select("doc_id", "text", F.timestamp_seconds(F.lit(1_700_000_000) + F.lit(0) * F.col("doc_id")).alias("ts"))
@@ -60,12 +72,34 @@ def st6(spark, d):
     return V.read(spark, d, "events").where(~gone).select("event_id")
 
 
-@query("st7_session_windows", "WITH g AS (SELECT user_id, ts, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 21600 THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS started, count(*) AS n FROM s GROUP BY user_id, k")
+_SESSIONS = "WITH g AS (SELECT user_id, ts, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 21600 THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS started, count(*) AS n FROM s GROUP BY user_id, k"
+
+
+@query("st7_session_windows", _SESSIONS)
 def st7(spark, d):
+    """As a stream."""
+    events = _stream(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    out = flows.drained(spark, flows.activity(events, "6 hours"), shared_folder(spark), "complete")
+    return out.select("user_id", F.unix_timestamp("session_window.start").alias("started"), "n")
+
+
+@query("st7_session_windows_batch", _SESSIONS)
+def st7_batch(spark, d):
     out = flows.activity(V.read(spark, d, "events"), "6 hours")
     return out.select("user_id", F.unix_timestamp("session_window.start").alias("started"), "n")
 
 
-@query("f4_chunk_function")
+@query("st8_late_grades", "WITH g AS (SELECT project_id, created_at, max(created_at) OVER (ORDER BY epoch(created_at) + latency_ms * 60, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM v_grades) SELECT project_id, count(*) AS late FROM g WHERE created_at < latest - INTERVAL 2 HOUR GROUP BY 1", "v_grades")
+def st8(spark, d):
+    """Grades that arrive as many minutes late as their latency says: those that a watermark of two hours drops, and a later batch counts."""
+    arrival = F.struct((F.unix_micros(F.col("created_at").cast("timestamp")) + F.col("latency_ms") * 60_000_000).alias("at"), "id")
+    g = V.grades(spark, d).select("id", "project_id", "created_at", arrival.alias("arrival"))
+    return flows.late_rows(g, "arrival", "created_at").groupBy("project_id").agg(F.count(F.lit(1)).alias("late"))
+
+
+@query("f4_chunk_function", chunk_sql("SELECT id, text FROM v_documents", 64, 12).replace("SELECT chunk_id, doc_id, page_number, CAST(chunk_index AS INTEGER) AS chunk_index, text, CAST(greatest(1, length(text) // 4) AS INTEGER) AS token_count, false AS is_table FROM", "SELECT doc_id, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS chars FROM") + " GROUP BY doc_id", "v_documents")
 def f4(spark, d):
-    return chunking.chunk_pages(V.pages(spark, d), size=64, overlap=0.2).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
+    """Chunking as a table function after LATERAL, a row for each chunk of each page."""
+    name = chunking.register_chunk_function(spark)
+    chunks = spark.sql(f"SELECT p.doc_id, c.chunk FROM {{pages}} p, LATERAL {name}(p.text, 64, 0.2D) c", pages=V.pages(spark, d).select("doc_id", "text"))
+    return chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("chunk")).alias("chars"))

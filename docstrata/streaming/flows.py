@@ -7,18 +7,23 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docstrata.operators import chunking, quality
+from docstrata.sources import tables
+from docstrata.sources.shared import stored
 
 
 def drained(spark: SparkSession, stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Everything a stream makes of its present input, as a table in ``folder``; ``complete`` keeps the last batch."""
+    """Everything a stream makes of its present input, as a table in ``folder``; ``complete`` keeps the last batch.
+
+    Each batch has a folder of its own under its number, so a batch that is run again replaces what it wrote before.
+    """
     out, state = f"{folder}/out-{uuid.uuid4().hex}", f"{folder}/state-{uuid.uuid4().hex}"
 
-    def write(batch: DataFrame, _: int):
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+    def write(batch: DataFrame, number: int):
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
 
     run = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start()
     run.awaitTermination()
@@ -30,6 +35,63 @@ def ingest(docs: DataFrame) -> DataFrame:
     return chunking.virtual_pages(docs)
 
 
+_FILES, _CHUNKS = "doc_id string, file_hash string", "chunk_id string, doc_id string, page_number int, chunk_index int, text string, token_count int, is_table boolean"
+
+
+def ingest_batch(batch: DataFrame, number: int, folder: str, *, size: int = 512, overlap: float = 0.1) -> None:
+    """One batch of documents (doc_id, text) into the tables ``files`` and ``chunks`` of ``folder``.
+
+    A content hash that the batch or an earlier batch has already is left out; the rest is paged and chunked. Both tables
+    are written under the batch's number, so a batch that is run again replaces its own rows and never doubles them. A
+    document that comes again with other content gets a new set of chunks; ``current`` reads the newest.
+    """
+    spark = batch.sparkSession
+    hashed = tables.content_hash(batch, "text")
+    first = hashed.groupBy("file_hash").agg(F.min("doc_id").alias("doc_id"))
+    known = _of_batches(spark, folder, "files", _FILES)
+    new = first if known is None else first.join(known.where(F.col("batch") != number).select("file_hash"), "file_hash", "left_anti")
+    fresh = stored(hashed.join(new, ["file_hash", "doc_id"], "left_semi").dropDuplicates(["file_hash"]))
+    chunks = chunking.chunk_pages(chunking.virtual_pages(fresh.select("doc_id", "text")), size=size, overlap=overlap)
+    chunks.write.mode("overwrite").parquet(f"{folder}/chunks/batch={number}")
+    fresh.select("doc_id", "file_hash").write.mode("overwrite").parquet(f"{folder}/files/batch={number}")
+
+
+def _of_batches(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame | None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return spark.read.schema(f"{schema}, batch long").parquet(f"{folder}/{name}")
+
+
+def current(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunks of each document's newest batch."""
+    files, chunks = _of_batches(spark, folder, "files", _FILES), _of_batches(spark, folder, "chunks", _CHUNKS)
+    newest = files.groupBy("doc_id").agg(F.max("batch").alias("batch"))
+    return chunks.join(newest, ["doc_id", "batch"], "left_semi").drop("batch")
+
+
+def continuous_ingest(docs: DataFrame, folder: str, **how) -> DataFrame:
+    """Drains a stream of documents (doc_id, text) into chunks: pages, chunks, hash de-duplication and merge by document."""
+    run = docs.writeStream.foreachBatch(lambda batch, number: ingest_batch(batch, number, folder, **how))
+    run.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return current(docs.sparkSession, folder)
+
+
+def late_rows(rows: DataFrame, order: str, time_col: str, delay: str = "2 hours", strip_rows: int = 100_000) -> DataFrame:
+    """Rows that a watermark of ``delay`` would drop if rows came one by one by ``order`` (unique): older than the latest
+    time before them by more than the delay.
+
+    Rows are dealt to ranges of ``order``; the latest time before a range comes from a table with a row for each range.
+    """
+    cuts = max(1, -(-rows.count() // strip_rows))
+    dealt = stored(rows.repartitionByRange(cuts, order).withColumn("__strip", F.spark_partition_id()))
+    strips = dealt.groupBy("__strip").agg(F.max(time_col).alias("__most"))
+    earlier = strips.withColumn("__before", F.max("__most").over(Window.orderBy("__strip").rowsBetween(Window.unboundedPreceding, -1))).drop("__most")
+    inside = F.max(time_col).over(Window.partitionBy("__strip").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    seen = dealt.withColumn("__inside", inside).join(earlier, "__strip").withColumn("__latest", F.greatest("__inside", "__before"))
+    return seen.where(F.col(time_col) < F.col("__latest") - F.expr(f"interval {delay}")).select(*rows.columns)
+
+
 def deduplicated(docs: DataFrame, time_col: str, delay: str = "2 hours") -> DataFrame:
     """The first row of each content hash within the watermark."""
     hashed = docs.withColumn("file_hash", F.sha2(F.col("text").cast("binary"), 256))

@@ -279,6 +279,98 @@ def test_row_numbers(spark):
     assert sorted((r["k"], r["n"]) for r in got) == [(f"k{i:05d}", i + 1) for i in range(1000)]
 
 
+def test_kept_index(spark, tmp_path):
+    chunks = spark.createDataFrame([*CHUNKS, ("c5", "doc2", None), ("c6", "doc2", "")], "chunk_id string, doc_id string, text string")
+    queries = spark.createDataFrame([(1, "python"), (2, "learning data"), (3, " ?! ")], "query_id int, query string")
+    hits = lambda index: sorted(map(tuple, lexical.search(index, queries).collect()))
+    folder = f"file://{tmp_path}/ix"
+    lexical.build(chunks.where("chunk_id < 'c3'"), folder)
+    lexical.append(folder, chunks.where("chunk_id >= 'c3'"), 2)
+    whole = hits(lexical.read(spark, folder, "string"))
+    assert whole == hits(lexical.build(chunks)) == sorted(map(tuple, lexical.search_texts(chunks, queries).collect())) != []
+    assert whole == sorted(map(tuple, lexical.search_texts(chunks, queries, listed_terms=1).collect()))
+    lexical.delete(folder, chunks.where("chunk_id in ('c3', 'c5')"), 2)
+    left = chunks.where("chunk_id not in ('c3', 'c5')")
+    assert hits(lexical.read(spark, folder, "string")) == hits(lexical.build(left)) and all(h[2] != "c3" for h in hits(lexical.read(spark, folder, "string")))
+    lexical.append(folder, chunks.where("chunk_id in ('c3', 'c5')"), 3)
+    assert hits(lexical.read(spark, folder, "string")) == whole
+
+
+def test_postings_count_terms(spark):
+    got = {(r["chunk_id"], r["term"]): (r["tf"], r["dl"]) for r in lexical.postings(spark.createDataFrame([(1, "b a B c a b"), (2, None), (3, "...")], "chunk_id int, text string")).collect()}
+    assert got == {(1, "a"): (2, 6), (1, "b"): (3, 6), (1, "c"): (1, 6)}
+
+
+def test_names_by_runs(spark):
+    files = spark.createDataFrame([(1, "Report_2024.PDF"), (2, "old report.txt"), (3, "notes"), (4, "rep")], "doc_id int, filename string")
+    asked = spark.createDataFrame([(1, "REPORT"), (2, "t"), (3, "2024.p"), (4, "none"), (5, ""), (6, "ot")], "query_id int, name string")
+    got = {(r["query_id"], r["doc_id"]) for r in tables.named_like(asked, files, "doc_id").collect()}
+    low = [(r["doc_id"], r["filename"].lower()) for r in files.collect()]
+    assert got == {(q["query_id"], i) for q in asked.collect() for i, f in low if q["name"] and q["name"].lower() in f}
+
+
+def grades_of(spark, rows):
+    from datetime import datetime, timedelta
+
+    at = [(i, p, datetime(2024, 1, 1) + timedelta(hours=h), 0.4, "", False) for i, p, h in rows]
+    return spark.createDataFrame(at, "id int, project_id int, created_at timestamp, retrieval_grade double, grade_label string, watcher_processed boolean")
+
+
+def test_late_rows_of_a_stream(spark, tmp_path):
+    """A stream drops what comes behind its watermark; the batch rule names just those rows."""
+    from docstrata.streaming import flows
+
+    first, second, late, final = [(1, 1, 0), (2, 1, 30)], [(3, 1, 29.5)], [(4, 1, 1)], [(5, 1, 90)]
+    rows = first + second + late + final
+    for n, part in enumerate((first, second, late, final)):
+        grades_of(spark, part).coalesce(1).write.parquet(f"{tmp_path}/in/p{n}")
+    stream = spark.readStream.schema(grades_of(spark, first).schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    got = flows.drained(spark, flows.daily_metrics(stream), f"file://{tmp_path}/out").collect()
+    counted = {r["window"]["start"].day: r["query_count"] for r in got}
+    assert counted == {1: 1, 2: 2}
+    dropped = {r["id"] for r in flows.late_rows(grades_of(spark, rows), "id", "created_at", strip_rows=2).collect()}
+    assert dropped == {4}
+
+
+def test_ingest_batches_can_run_again(spark, tmp_path):
+    from docstrata.streaming import flows
+
+    folder = f"file://{tmp_path}/in"
+    docs = lambda *rows: spark.createDataFrame(rows, "doc_id string, text string")
+    one, two = docs(("a", "One. Two."), ("b", "One. Two."), ("c", "Other text.")), docs(("c", "New text of c."), ("d", "One. Two."), ("e", None))
+    for batch, number in ((one, 0), (one, 0), (two, 1), (two, 1)):
+        flows.ingest_batch(batch, number, folder, size=64)
+    assert sorted((r["doc_id"], r["text"]) for r in flows.current(spark, folder).collect()) == [("a", "One. Two."), ("c", "New text of c."), ("e", "(empty file)")]
+
+
+def test_pack_sentences_rules():
+    """Against a reading of the rules one sentence at a time."""
+    import random
+
+    r = random.Random(3)
+    for _ in range(400):
+        parts = [" ".join("w" * r.randint(1, 12) for _ in range(r.choice([1, 3, 8, 30]))) for _ in range(r.randint(0, 15))]
+        size, overlap = r.choice([5, 16, 40]), r.choice([0, 1, 4, 12])
+        got = chunking.pack_sentences(parts, size, overlap)
+        cost = chunking.token_cost
+        assert " ".join(w for p in parts for w in p.split()) == "" or got
+        if all(cost(p) <= size for p in parts):
+            at = 0
+            for chunk, after in zip(got, [*got[1:], None]):
+                n = next(n for n in range(1, len(parts) - at + 1) if " ".join(parts[at : at + n]) == chunk)
+                end = at + n
+                if after is None:
+                    assert end == len(parts)
+                    break
+                assert sum(map(cost, parts[at : end + 1])) > size  # the next sentence did not fit
+                back = 0
+                while back < n and sum(map(cost, parts[end - back - 1 : end])) <= overlap:
+                    back += 1
+                at = end - back
+        else:
+            assert all(w in " ".join(got).split() for p in parts for w in p.split())
+
+
 @pytest.mark.parametrize("gone", [("docstrata/llm",), ("docstrata/llm", "corpus_pipeline.py"), ("corpus_pipeline.py",), ()])
 def test_entry_without_llm(tmp_path, gone):
     import shutil
