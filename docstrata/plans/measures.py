@@ -141,13 +141,22 @@ def v9(spark, d):
     return vectors.near_pairs(_labelled_vectors(spark, d), 0.8)
 
 
-@query("v9_leader_clusters")
+_LEADERS = (
+    "nw AS (SELECT project_id, chunk_no AS id, list_transform(embedding, lambda x: x / sqrt(list_inner_product(embedding, embedding))) AS u FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY chunk_no DESC) AS rn FROM v_vectors) WHERE rn <= 100), "
+    "ls AS (SELECT project_id, list(id ORDER BY id) AS ids, list(u ORDER BY id) AS us, count(*) AS n FROM nw GROUP BY 1), "
+    "ld AS (SELECT project_id, CAST(0 AS BIGINT) AS i, list_transform(ids, lambda x: CAST(NULL AS BIGINT)) AS lead FROM ls UNION ALL SELECT d.project_id, d.i + 1, CASE WHEN d.lead[d.i + 1] IS NOT NULL THEN d.lead ELSE list_transform(range(1, l.n + 1), lambda j: "
+    "CASE WHEN d.lead[j] IS NULL AND j >= d.i + 1 AND (j = d.i + 1 OR list_inner_product(l.us[d.i + 1], l.us[j]) >= 0.8 - 1e-12) THEN d.i + 1 ELSE d.lead[j] END) END FROM ld d JOIN ls l ON l.project_id = d.project_id WHERE d.i < l.n), "
+    "cl AS (SELECT d.project_id, unnest(l.ids) AS id, unnest(list_transform(d.lead, lambda k: l.ids[k])) AS leader_id FROM ld d JOIN ls l ON l.project_id = d.project_id WHERE d.i = l.n)"
+)
+
+
+@query("v9_leader_clusters", f"WITH RECURSIVE {_LEADERS} SELECT project_id, id, leader_id FROM cl", "v_vectors")
 def v9l(spark, d):
     newest = quality.newest(_labelled_vectors(spark, d), "project_id", "id", 100).select("project_id", "id", "embedding")
     return quality.leader_clusters(newest)
 
 
-@query("a12_cluster_aggregates")
+@query("a12_cluster_aggregates", f"WITH RECURSIVE {_LEADERS} SELECT project_id, leader_id, count(*) AS members, min(id) AS first_id FROM cl GROUP BY 1, 2", "v_vectors")
 def a12(spark, d):
     clusters = v9l(spark, d)
     return clusters.groupBy("project_id", "leader_id").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("first_id"))

@@ -8,11 +8,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docstrata.functions import text as T
-from docstrata.operators import graph, lexical, ranking, vectors
+from docstrata.operators import chunking, graph, hybrid, lexical, ranking, vectors
 from docstrata.plans.registry import query
 from docstrata.sources import tables
 from docstrata.sources import views as V
-from docstrata.sources.shared import shared_folder
+from docstrata.sources.shared import shared_folder, stored
 
 STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 TOKENS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
@@ -260,7 +260,18 @@ def r14(spark, d):
     return ranking.rerank(c, scores)
 
 
-@query("r15_mmr")
+# Lists of each query's candidates by rank, then a recursion that appends the next pick; a candidate's value is -9 once picked.
+MMR = (
+    "ml AS (SELECT c.query_id, list(c.chunk_id ORDER BY c.rank) AS ids, list(c.u ORDER BY c.rank) AS us, list(list_inner_product(c.u, c.qu) ORDER BY c.rank) AS rel, count(*) AS n FROM mc c GROUP BY 1), "
+    "mv AS (SELECT query_id, 0 AS step, []::BIGINT[] AS picked FROM ml UNION ALL SELECT query_id, step + 1, list_append(picked, list_position(vals, list_max(vals))) FROM ("
+    "SELECT m.query_id, m.step, m.picked, list_transform(range(1, l.n + 1), lambda i: CASE WHEN list_contains(m.picked, i) THEN -9.0 ELSE round(0.7 * l.rel[i] - 0.3 * coalesce(list_max(list_transform(m.picked, lambda j: list_inner_product(l.us[i], l.us[j]))), 0), 10) END) AS vals "
+    "FROM mv m JOIN ml l ON l.query_id = m.query_id WHERE m.step < least({k}, l.n))), "
+    "mmr AS (SELECT v.query_id, unnest(range(1, len(v.picked) + 1)) AS rank, unnest(list_transform(v.picked, lambda i: l.ids[i])) AS chunk_id FROM mv v JOIN ml l ON l.query_id = v.query_id WHERE v.step = least({k}, l.n))"
+)
+_UNIT = "list_transform({0}, lambda x: x / " + NORM.format("{0}") + ")"
+
+
+@query("r15_mmr", f"WITH RECURSIVE {VEC}, mc AS (SELECT v.query_id, v.rank, v.chunk_id, {_UNIT.format('e.embedding')} AS u, {_UNIT.format('q.q')} AS qu FROM vec v JOIN v_vectors e ON e.chunk_id = v.chunk_id JOIN vq q ON q.query_id = v.query_id WHERE v.rank <= 50), {MMR.format(k=20)} SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id FROM mmr", "v_vectors")
 def r15(spark, d):
     v = V.vectors(spark, d).select("chunk_id", "embedding")
     return ranking.diversify(nearest(spark, d).join(v, "chunk_id").join(V.vector_queries(spark, d).drop("query_project"), "query_id"), 20)
@@ -458,3 +469,43 @@ def g2_all(spark, d):
 @query("g3_query_ngrams", r"WITH s AS (SELECT item_id AS query_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark), g AS (SELECT query_id, unnest(w) AS gram FROM s UNION ALL SELECT query_id, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i+1], ' '))) FROM s UNION ALL SELECT query_id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) FROM s) SELECT DISTINCT query_id, gram FROM g")
 def g3(spark, d):
     return graph.query_ngrams(V.text_queries(spark, d))
+
+
+_ENTITY_LIST = (
+    r"tm AS (SELECT DISTINCT chunk_id, lower(w) AS e FROM (SELECT chunk_id, unnest(regexp_extract_all(text, '\p{Lu}\p{Ll}{5,}')) AS w FROM v_chunks)), en AS (SELECT e, count(*) AS n, list_sort(list(chunk_id)) AS ids FROM tm GROUP BY 1), "
+    r"qg AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS g FROM benchmark), "
+    "me AS (SELECT query_id, ids, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, e) AS er FROM qg JOIN en ON e = g), "
+    "ei AS (SELECT query_id, er, unnest(ids) AS chunk_id, unnest(range(0, len(ids))) AS pos FROM me WHERE er <= 20), ef AS (SELECT query_id, chunk_id, min((er, pos)) AS best FROM ei GROUP BY 1, 2), "
+    "ent AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY best, chunk_id) AS rank FROM ef)"
+)
+_ANSWER = (
+    f"{BM25}, {VEC}, {_ENTITY_LIST}, "
+    "l3 AS (SELECT query_id, rank, chunk_id FROM vec WHERE rank <= 50 UNION ALL SELECT query_id, rank, chunk_id FROM bm WHERE rank <= 50 UNION ALL SELECT query_id, rank, chunk_id FROM ent WHERE rank <= 50), "
+    "f3 AS (SELECT query_id, chunk_id, round(sum(1 / (60 + rank)), 10) AS score FROM l3 WHERE query_id IN (SELECT query_id FROM v_queries) AND query_id IN (SELECT query_id FROM vq) GROUP BY 1, 2), "
+    "fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM f3), fc AS (SELECT * FROM fr WHERE rank <= 50), "
+    r"pw AS (SELECT f.query_id, f.chunk_id, list_distinct(list_filter(regexp_split_to_array(lower(q.query), '[^\p{L}\p{N}_]+'), lambda x: x <> '')) AS q, list_distinct(regexp_split_to_array(lower(c.text), '[^\p{L}\p{N}_]+')) AS t FROM fc f JOIN v_queries q ON q.query_id = f.query_id JOIN v_chunks c ON c.chunk_id = f.chunk_id), "
+    "ps AS (SELECT query_id, chunk_id, round(len(list_intersect(q, t)) / greatest(len(q), 1), 6) AS ps FROM pw), "
+    "rr AS (SELECT f.query_id, f.chunk_id, ps AS score, row_number() OVER (PARTITION BY f.query_id ORDER BY ps DESC NULLS LAST, f.rank) AS rank FROM fc f LEFT JOIN ps ON ps.query_id = f.query_id AND ps.chunk_id = f.chunk_id), "
+    f"tp AS (SELECT r.*, e.embedding FROM rr r LEFT JOIN v_vectors e ON e.chunk_id = r.chunk_id WHERE r.rank <= 20), mc AS (SELECT t.query_id, t.rank, t.chunk_id, {_UNIT.format('t.embedding')} AS u, {_UNIT.format('q.q')} AS qu FROM tp t JOIN vq q ON q.query_id = t.query_id WHERE t.embedding IS NOT NULL), "
+    + MMR.format(k=10)
+    + ", np AS (SELECT query_id, count(*) AS n FROM mmr GROUP BY 1), "
+    "dv AS (SELECT query_id, rank, chunk_id FROM mmr UNION ALL SELECT t.query_id, coalesce(np.n, 0) + row_number() OVER (PARTITION BY t.query_id ORDER BY t.rank), t.chunk_id FROM tp t LEFT JOIN np ON np.query_id = t.query_id WHERE t.embedding IS NULL), "
+    "hs AS (SELECT d.query_id, d.rank, d.chunk_id, coalesce(r.score, 0) AS score FROM dv d JOIN rr r ON r.query_id = d.query_id AND r.chunk_id = d.chunk_id WHERE d.rank <= 10), "
+    "pc AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY doc_id) > 3 THEN doc_id || '__p1__parent' || ((row_number() OVER (PARTITION BY doc_id ORDER BY page_number) - 1) // 4) END AS parent_id FROM v_chunks), pt AS (SELECT parent_id, string_agg(text, ' ' ORDER BY chunk_index) AS text FROM pc WHERE parent_id IS NOT NULL GROUP BY 1), "
+    "xp AS (SELECT h.query_id, h.rank, coalesce(c.parent_id, h.chunk_id) AS chunk_id, coalesce(p.text, c.text) AS text, h.score, row_number() OVER (PARTITION BY h.query_id, coalesce(c.parent_id, h.chunk_id) ORDER BY h.rank) AS k FROM hs h LEFT JOIN pc c ON c.chunk_id = h.chunk_id LEFT JOIN pt p ON p.parent_id = c.parent_id), "
+    "th AS (SELECT *, count(*) FILTER (WHERE score >= 0.05) OVER (PARTITION BY query_id) AS g FROM xp WHERE k = 1), fin AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM th WHERE score >= 0.05 OR (rank = 1 AND g = 0)) "
+    "SELECT f.query_id, CAST(f.r AS INTEGER) AS rank, f.chunk_id, f.score, d.filename, md5(f.text) AS text_md5 FROM fin f LEFT JOIN v_documents d ON d.id = split_part(f.chunk_id, '__', 1) WHERE f.r <= 5"
+)
+
+
+@query("search_end_to_end", f"WITH RECURSIVE {_ANSWER}", "v_chunks", "v_queries", "v_vectors")
+def search_end_to_end(spark, d):
+    """Vector, lexical and entity lists, fused, reranked, diversified, widened to parents, cut and named."""
+    chunks, queries = V.chunks(spark, d), V.text_queries(spark, d)
+    entities = stored(graph.aggregate_entities(V.text_mentions(spark, d)))
+    words = graph.query_ngrams(queries, 1).select("query_id", F.lit("all").alias("project_id"), F.col("gram").alias("name"))
+    by_entity = graph.entity_chunks(graph.match_entities(words, entities), entities)
+    named, parents = chunking.parent_groups(chunks.withColumn("page_number", F.lit(1)).withColumn("is_table", F.lit(False)))
+    asked = V.vector_queries(spark, d).select("query_id", "query_embedding")
+    out = hybrid.answer([nearest(spark, d), bm25(spark, d), by_entity], queries, chunks, V.vectors(spark, d), asked, V.documents(spark, d), named, parents)
+    return out.select("query_id", "rank", "chunk_id", "score", "filename", F.md5("text").alias("text_md5"))

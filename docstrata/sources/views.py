@@ -86,6 +86,13 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.aggregate_entities(mentions(spark, sf_dir))
 
 
+def text_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capitalised words of six letters and more as entities of the chunks that hold them, in one project."""
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"\p{Lu}\p{Ll}{5,}"), F.lit(0)), F.lower))
+    found = chunks(spark, sf_dir).select("chunk_id", F.explode(words).alias("entity_name"))
+    return found.select(F.lit("all").alias("project_id"), "entity_name", F.lit("word").alias("entity_type"), F.col("entity_name").alias("synonym"), "chunk_id", F.lit(0).alias("seq"))
+
+
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of a source, by id, as versions of one document."""
     w = Window.partitionBy("source").orderBy("doc_id")
