@@ -20,3 +20,12 @@ def row_numbers(rows: DataFrame, order: str, name: str, strip_rows: int = 100_00
     starts = sizes.withColumn("__start", F.sum("__n").over(Window.orderBy("__strip")) - F.col("__n")).drop("__n")
     own = F.row_number().over(Window.partitionBy("__strip").orderBy(order))
     return dealt.withColumn("__own", own).join(starts, "__strip").withColumn(name, F.col("__start") + F.col("__own")).drop("__strip", "__own", "__start")
+
+
+def numbers_within(rows: DataFrame, group: str, order: str, name: str, strip_rows: int = 100_000) -> DataFrame:
+    """Numbers from 1 by ``order`` inside each ``group`` ((group, order) is unique). A group may be as large as the table:
+    the whole table is numbered in ranges, and each group subtracts what comes before it."""
+    keyed = rows.withColumn("__key", F.struct(group, order))
+    numbered = row_numbers(keyed, "__key", "__all", strip_rows)
+    first = stored(numbered.groupBy(group).agg((F.min("__all") - 1).alias("__first")))
+    return numbered.join(first, group).withColumn(name, (F.col("__all") - F.col("__first")).cast("int")).select(*rows.columns, name)

@@ -5,26 +5,47 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docstrata.functions import text as T
-from docstrata.operators import drafts
+from docstrata.operators import drafts, numbering
 from docstrata.plans.registry import query
 from docstrata.sources import views as V
 
 _WS = r"[\s\p{Z}\x0B\x1C-\x1F\x85]"
 _HTML = "html || '<span class=\"c\" data-chunk-id=\"p' || page_id || '\">quoted' || chr(10) || 'twice</span>' || chr(10) || chr(10) || chr(10) || chr(10) || '<b>end</b>'"
+# Whole texts as markdown: by its length a line is a heading (of a section of the template, or of its own words), gets a
+# sentence with duties, parties and a defined term, or stays.
 _MARKDOWN = (
-    "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'preface' || chr(10) ELSE '' END || '# Project Overview' || chr(10) || substring(replace(text, chr(10), ' '), 1, 300) || chr(10) || '## Deliverables' || chr(10) || "
-    "'The vendor shall deliver. \"Widget\" means a thing. Client may wait, it must not.' || chr(10) || '### Timeline & Milestones' || chr(10) || 'Short.' || chr(10) || '## Other Matters!' || chr(10) || 'x ' || doc_id || chr(10) || '## Deliverables' || chr(10) || 'The team should test it well enough. Then ship it to the customer.' AS text FROM documents"
+    "SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l: CASE WHEN length(l) % 5 = 0 AND length(l) > 0 THEN repeat('#', CAST(1 + length(l) // 5 % 3 AS INTEGER)) || ' ' || CASE length(l) // 15 % 6 WHEN 0 THEN 'Project Overview' WHEN 1 THEN 'Deliverables' WHEN 2 THEN 'Timeline & Milestones' WHEN 3 THEN 'payment TERMS' ELSE trim(substring(l, 1, 30)) END "
+    "WHEN length(l) % 5 = 1 THEN l || ' The vendor shall deliver; the client MUST not wait. \"' || substring(l, 1, 12) || '\" means a thing.' ELSE l END), chr(10)) AS text FROM documents"
 )
+_LINES = f"md AS ({_MARKDOWN}), ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM md), " + (
+    rf"hd AS (SELECT *, nullif(length(regexp_extract(line, '^(#{{1,3}})\s+.+$', 1)), 0) AS level, nullif(regexp_replace(regexp_extract(line, '^#{{1,3}}\s+(.+)$', 1), '^{_WS}+|{_WS}+$', '', 'g'), '') AS title FROM ln)"
+)
+_SECTIONS = (
+    f"{_LINES}, nb AS (SELECT *, count(level) OVER (PARTITION BY doc_id ORDER BY i) AS section_no FROM hd), bd AS (SELECT doc_id, section_no, lower(arg_min(title, i)) AS low, string_agg(line, chr(10) ORDER BY i) AS text FROM nb WHERE section_no > 0 GROUP BY 1, 2), "
+    "si AS (SELECT *, CASE "
+    + " ".join(f"WHEN contains(low, '{label.lower()}') OR contains('{label.lower()}', low) THEN '{name}'" for name, label in drafts.TEMPLATE)
+    + r" ELSE regexp_replace(regexp_replace(low, '[^\p{L}\p{N}_]+', '_', 'g'), '^_+|_+$', '', 'g') END AS section_id FROM bd), "
+    "sc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, section_id ORDER BY section_no DESC) AS k FROM si) WHERE k = 1)"
+)
+_RULES = (
+    "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '(?i)\\b{w}\\b') THEN '{w}' END" for w in T.DEONTIC) + "], lambda x: x IS NOT NULL), ',')",
+    "array_to_string(list_filter([" + ", ".join(f"CASE WHEN contains(lower(text), '{w}') THEN '{w}' END" for w in T.PARTIES) + "], lambda x: x IS NOT NULL), ',')",
+    r"""array_to_string(regexp_extract_all(text, '(?i)"([^"]{2,50})"\s+(?:means|shall mean|refers to|is defined as)', 1), ',')""",
+)
+
+
+def _first_hit(column: str, groups, default: str) -> str:
+    return "CASE " + " ".join(f"WHEN {' OR '.join(f'contains({column}, {chr(39)}{w}{chr(39)})' for w in words)} THEN '{name}'" for name, words in groups) + f" ELSE '{default}' END"
 
 
 def _markdown(spark, d):
-    lead = F.when(F.col("doc_id") % 4 == 0, "preface\n").otherwise("")
-    body = F.substring(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), 1, 300)
-    tail = (
-        '\n## Deliverables\nThe vendor shall deliver. "Widget" means a thing. Client may wait, it must not.\n### Timeline & Milestones\nShort.\n## Other Matters!\nx ',
-        "\n## Deliverables\nThe team should test it well enough. Then ship it to the customer.",
-    )
-    return V.read(spark, d, "documents").select("doc_id", F.concat(lead, F.lit("# Project Overview\n"), body, F.lit(tail[0]), "doc_id", F.lit(tail[1])).alias("text"))
+    def line(x):
+        n = F.length(x)
+        own = F.when(F.floor(n / 15) % 6 == 0, "Project Overview").when(F.floor(n / 15) % 6 == 1, "Deliverables").when(F.floor(n / 15) % 6 == 2, "Timeline & Milestones").when(F.floor(n / 15) % 6 == 3, "payment TERMS").otherwise(F.trim(F.substring(x, 1, 30)))
+        ruled = F.concat(x, F.lit(' The vendor shall deliver; the client MUST not wait. "'), F.substring(x, 1, 12), F.lit('" means a thing.'))
+        return F.when((n % 5 == 0) & (n > 0), F.concat(F.repeat(F.lit("#"), (F.floor(n / 5) % 3 + 1).cast("int")), F.lit(" "), own)).when(n % 5 == 1, ruled).otherwise(x)
+
+    return V.read(spark, d, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
 
 
 @query("x1_html_to_marked_text", rf"SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '<span[^>]+data-chunk-id=[\"'']([^\"'']+)[\"''][^>]*>.*?</span>', '[SOURCE:\1]', 'gis'), '<[^>]+>', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^{_WS}+|{_WS}+$', '', 'g')) AS digest FROM (SELECT page_id, {_HTML} AS h FROM pages)")
@@ -33,10 +54,11 @@ def x1(spark, d):
     return V.read(spark, d, "pages").select("page_id", F.md5(T.html_to_marked_text(F.concat("html", extra))).alias("digest"))
 
 
-@query("x2_x3_markers", "SELECT doc_id, '[SOURCE:a ' || doc_id || '] x [SOURCE:b]' AS cleaned, 'a ' || doc_id || ',b' AS ids FROM documents")
+@query("x2_x3_markers", r"WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(\w+)\. ', '[SOURCE:  \1 ] ', 'g'), '\[SOURCE:\s*([^\]]+?)\s*\]', '[SOURCE:\1]', 'g') AS c FROM documents) SELECT doc_id, md5(c) AS cleaned, array_to_string(regexp_extract_all(c, '\[SOURCE:([^\]]+)\]', 1), ',') AS ids FROM m")
 def x2(spark, d):
-    clean = T.clean_markers(F.concat(F.lit("[SOURCE:  a "), "doc_id", F.lit("  ] x [SOURCE:b ]")))
-    return V.read(spark, d, "documents").select("doc_id", clean.alias("cleaned"), F.array_join(T.markers(clean), ",").alias("ids"))
+    """Each word before a full stop becomes a marker with spaces in it."""
+    clean = T.clean_markers(F.regexp_replace("text", r"(\w+)\. ", "[SOURCE:  $1 ] "))
+    return V.read(spark, d, "documents").select("doc_id", F.md5(clean).alias("cleaned"), F.array_join(T.markers(clean), ",").alias("ids"))
 
 
 @query("x4_section_summary", rf"WITH s AS (SELECT doc_id, text, list_filter(string_split(regexp_replace(regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(x) > 10)[1:2] AS p FROM documents) SELECT doc_id, md5(CASE WHEN len(p) > 0 THEN array_to_string(p, ' ') ELSE substring(text, 1, 200) END) AS digest FROM s")
@@ -44,46 +66,49 @@ def x4(spark, d):
     return V.read(spark, d, "documents").select("doc_id", F.md5(T.section_summary(F.col("text"))).alias("digest"))
 
 
-@query("x5_sections", f"WITH md AS ({_MARKDOWN}) SELECT doc_id, 'deliverables' AS section_id, 5 AS section_no FROM md UNION ALL SELECT doc_id, 'overview', 1 FROM md UNION ALL SELECT doc_id, 'timeline', 3 FROM md UNION ALL SELECT doc_id, 'other_matters', 4 FROM md")
+@query("x5_sections", f"WITH {_SECTIONS} SELECT doc_id, section_id, CAST(section_no AS INTEGER) AS section_no, md5(text) AS digest FROM sc")
 def x5(spark, d):
-    return drafts.sections(_markdown(spark, d)).select("doc_id", "section_id", F.col("section_no").cast("int").alias("section_no"))
+    return drafts.sections(_markdown(spark, d)).select("doc_id", "section_id", F.col("section_no").cast("int").alias("section_no"), F.md5("text").alias("digest"))
 
 
 @query(
     "x11_section_signatures",
-    f"WITH md AS ({_MARKDOWN}), t AS (SELECT * FROM (VALUES ('overview', 'executive_summary'), ('scope_of_work', 'scope_statement'), ('deliverables', 'deliverable'), ('timeline', 'timeline'), ('acceptance_criteria', 'acceptance_criterion'), ('payment_terms', 'financial'), ('assumptions', 'assumption_risk')) v(section_id, section_type)) "
-    "SELECT doc_id, section_id, section_type, CASE section_id WHEN 'deliverables' THEN 'should' ELSE '' END AS obligations, CASE section_id WHEN 'deliverables' THEN 'customer,team' ELSE '' END AS parties, '' AS terms FROM md CROSS JOIN t WHERE section_id <> 'overview'",
+    f"WITH {_SECTIONS}, t AS (SELECT * FROM (VALUES ('overview', 'executive_summary'), ('scope_of_work', 'scope_statement'), ('deliverables', 'deliverable'), ('timeline', 'timeline'), ('acceptance_criteria', 'acceptance_criterion'), ('payment_terms', 'financial'), ('assumptions', 'assumption_risk')) v(section_id, section_type)), "
+    "w AS (SELECT d.doc_id, t.section_id, t.section_type, coalesce(sc.text, '') AS text FROM documents d CROSS JOIN t LEFT JOIN sc ON sc.doc_id = d.doc_id AND sc.section_id = t.section_id) "
+    f"SELECT doc_id, section_id, section_type, {_RULES[0]} AS obligations, {_RULES[1]} AS parties, {_RULES[2]} AS terms FROM w",
 )
 def x11(spark, d):
-    return drafts.signatures(_markdown(spark, d)).where("section_id <> 'overview'").select("doc_id", "section_id", "section_type", "obligations", "parties", "terms")
+    return drafts.signatures(_markdown(spark, d)).select("doc_id", "section_id", "section_type", "obligations", "parties", "terms")
 
 
-@query("x7_section_types", "SELECT page_id, CASE WHEN contains(lower(url), 'over') THEN 'executive_summary' WHEN contains(lower(url), 'goal') THEN 'scope_statement' WHEN contains(lower(url), 'spec') THEN 'deliverable' ELSE 'general' END AS section_type FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'Overview' WHEN 1 THEN 'GOALS' WHEN 2 THEN 'special' ELSE 'zzz' END AS url FROM pages)")
+@query("x7_section_types", f"SELECT page_id, {_first_hit('lower(html)', T.SECTION_TYPES, 'general')} AS section_type FROM pages")
 def x7(spark, d):
-    name = F.element_at(F.array(*map(F.lit, ("Overview", "GOALS", "special", "zzz"))), (F.col("page_id") % 4 + 1).cast("int"))
-    return V.read(spark, d, "pages").select("page_id", T.first_hit(F.lower(name), T.SECTION_TYPES, "general").alias("section_type"))
+    return V.read(spark, d, "pages").select("page_id", T.first_hit(F.lower("html"), T.SECTION_TYPES, "general").alias("section_type"))
 
 
-@query("x8_x9_x10_rules", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'shall,may' WHEN 1 THEN 'must' ELSE '' END AS deontic, CASE doc_id % 3 WHEN 0 THEN 'vendor,client' WHEN 1 THEN 'user' ELSE '' END AS parties, CASE doc_id % 3 WHEN 0 THEN 'Big Thing' WHEN 1 THEN 'ab,cd' ELSE '' END AS terms FROM documents")
+@query("x8_x9_x10_rules", f"WITH md AS ({_MARKDOWN}) SELECT doc_id, {_RULES[0]} AS deontic, {_RULES[1]} AS parties, {_RULES[2]} AS terms FROM md")
 def x8(spark, d):
-    texts = F.array(*map(F.lit, ('Vendor SHALL tell; client may ask. "Big Thing" means it.', 'Users must know "ab" refers to x and "cd"  is defined as y. mustard', 'Nothing "e" means much, maybe.')))
-    x = F.element_at(texts, (F.col("doc_id") % 3 + 1).cast("int"))
-    return V.read(spark, d, "documents").select("doc_id", F.array_join(T.words_found(x, T.DEONTIC, True), ",").alias("deontic"), F.array_join(T.words_found(x, T.PARTIES, False), ",").alias("parties"), F.array_join(T.defined_terms(x), ",").alias("terms"))
+    x = F.col("text")
+    return _markdown(spark, d).select("doc_id", F.array_join(T.words_found(x, T.DEONTIC, True), ",").alias("deontic"), F.array_join(T.words_found(x, T.PARTIES, False), ",").alias("parties"), F.array_join(T.defined_terms(x), ",").alias("terms"))
+
 
+_AT = ", ".join(f"max(CASE WHEN level <= {n} THEN i END) OVER w AS l{n}, max(CASE WHEN level = {n} THEN i END) OVER w AS a{n}, last_value(CASE WHEN level = {n} THEN title END IGNORE NULLS) OVER w AS t{n}" for n in (1, 2, 3))
 
-@query("x12_heading_paths", f"WITH md AS ({_MARKDOWN}), h AS (SELECT doc_id, unnest(['# Project Overview', '## Deliverables', '### Timeline & Milestones', '## Other Matters!', '## Deliverables']) AS x, unnest([1, 2, 3, 4, 5]) AS k FROM md) SELECT doc_id, k, CASE k WHEN 1 THEN 'Project Overview' WHEN 2 THEN 'Project Overview > Deliverables' WHEN 3 THEN 'Project Overview > Deliverables > Timeline & Milestones' WHEN 4 THEN 'Project Overview > Other Matters!' ELSE 'Project Overview > Deliverables' END AS path FROM h")
+
+@query("x12_heading_paths", f"WITH {_LINES}, ap AS (SELECT doc_id, i, level, {_AT} FROM hd WHERE level IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, concat_ws(' > ', " + ", ".join(f"CASE WHEN level >= {n} AND a{n} = l{n} THEN t{n} END" for n in (1, 2, 3)) + ") AS path FROM ap")
 def x12(spark, d):
     from pyspark.sql import Window
 
     paths = drafts.heading_paths(_markdown(spark, d))
-    return paths.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")).alias("k"), "path")
+    return paths.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")).cast("long").alias("k"), "path")
 
 
-@query("x13_document_assembly", "SELECT source, md5('# ' || source || chr(10) || chr(10) || string_agg('## ' || doc_id || chr(10) || chr(10) || trim(lang), chr(10) || chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY 1")
+@query("x13_document_assembly", "SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS position, md5('## ' || doc_id || chr(10) || chr(10) || regexp_replace(text, '^" + _WS + "+|" + _WS + "+$', '', 'g')) AS part FROM documents")
 def x13(spark, d):
-    part = F.concat(F.lit("## "), "doc_id", F.lit("\n\n"), T.strip(F.col("lang")))
-    docs = V.read(spark, d, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", part.alias("part")))).alias("p"))
-    return docs.select("source", F.md5(F.concat(F.lit("# "), "source", F.lit("\n\n"), F.array_join(F.transform("p", lambda x: x["part"]), "\n\n"))).alias("digest"))
+    """The parts of each source's document in their order, as rows: a source may hold a third of all texts."""
+    numbered = numbering.numbers_within(V.read(spark, d, "documents").select("source", "doc_id"), "source", "doc_id", "position")
+    parts = V.read(spark, d, "documents").select("doc_id", F.md5(F.concat(F.lit("## "), "doc_id", F.lit("\n\n"), T.strip(F.col("text")))).alias("part"))
+    return numbered.join(parts, "doc_id").select("source", "position", "part")
 
 
 @query("x14_section_overlap", r"WITH s AS (SELECT DISTINCT n_name AS title FROM nation), w AS (SELECT title, list_distinct(list_filter(regexp_split_to_array(lower(title || ' the and'), '[^\p{L}\p{N}_]+'), lambda x: length(x) > 2)) AS k FROM s), b AS (SELECT item_id, list_distinct(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+')) AS t FROM benchmark) SELECT title, item_id, round(len(list_intersect(k, t)) / len(k), 6) AS score FROM w CROSS JOIN b")
@@ -121,10 +146,14 @@ def x17(spark, d):
     return V.read(spark, d, "conversations").select("conv_id", "turn", T.any_match(q, T.GENERATION).alias("generates"), T.document_type(q).alias("kind"))
 
 
-@query("g4_relation_normalisation", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'DEFINED_AS' WHEN 1 THEN 'PART_OF' WHEN 2 THEN 'CAUSED_BY' WHEN 3 THEN 'MENTIONED_WITH' ELSE 'RELATED_TO' END AS relation FROM events")
+_SAID = ("X refers to Y", "Belongs TO", "leads to and is together with", "appears with", "in contrast", "")
+
+
+@query("g4_relation_normalisation", "WITH s AS (SELECT conv_id, turn, lower(text || ' ' || CASE length(text) % 6 " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(_SAID)) + f" END) AS low FROM conversations) SELECT conv_id, turn, {_first_hit('low', T.RELATIONS, 'RELATED_TO')} AS relation FROM s")
 def g4(spark, d):
-    texts = F.array(*map(F.lit, ("X refers to Y", " Belongs TO", "leads to and is together with", "appears with", "likes")))
-    return V.read(spark, d, "events").select("event_id", T.first_hit(F.lower(F.element_at(texts, (F.col("event_id") % 5 + 1).cast("int"))), T.RELATIONS, "RELATED_TO").alias("relation"))
+    """Whole turns, with words of a relation at the end by their length."""
+    said = F.concat("text", F.lit(" "), F.element_at(F.array(*map(F.lit, _SAID)), (F.length("text") % 6 + 1).cast("int")))
+    return V.read(spark, d, "conversations").select("conv_id", "turn", T.first_hit(F.lower(said), T.RELATIONS, "RELATED_TO").alias("relation"))
 
 
 @query("j12_citations", "WITH c AS (SELECT chunk_id, doc_id, row_number() OVER (ORDER BY chunk_id) AS k FROM v_chunks) SELECT doc_id AS citing, CASE WHEN k % 7 = 0 THEN 'none' || chunk_id ELSE chunk_id END AS chunk_id, k % 7 <> 0 AS known FROM c", "v_chunks")
@@ -137,8 +166,6 @@ def j12(spark, d):
 
 def _numbered(chunks):
     """Chunks numbered over the whole table by id: range partitions, with the sizes of those before added."""
-    from docstrata.operators import numbering
-
     return numbering.row_numbers(chunks.select("chunk_id", "doc_id"), "chunk_id", "k")
 
 
@@ -162,6 +189,7 @@ def w3(spark, d):
 
 @query("w5_previous_section", "SELECT document_id, version_no, lag(doc_id) OVER (PARTITION BY document_id ORDER BY version_no) AS previous_doc FROM v_versions", "v_versions")
 def w5(spark, d):
-    from pyspark.sql import Window
-
-    return V.versions(spark, d).select("document_id", "version_no", F.lag("doc_id").over(Window.partitionBy("document_id").orderBy("version_no")).alias("previous_doc"))
+    """By an equality join: a document may have very many versions."""
+    v = V.versions(spark, d).select("document_id", "version_no", "doc_id")
+    before = v.select("document_id", (F.col("version_no") + 1).alias("version_no"), F.col("doc_id").alias("previous_doc"))
+    return v.join(before, ["document_id", "version_no"], "left").select("document_id", "version_no", "previous_doc")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docstrata.functions import text as T
-from docstrata.operators import chunking, graph
+from docstrata.operators import chunking, graph, numbering
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -95,8 +95,9 @@ def text_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of a source, by id, as versions of one document."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return read(spark, sf_dir, "documents").select(F.col("source").alias("document_id"), F.row_number().over(w).alias("version_no"), "doc_id", "text")
+    docs = read(spark, sf_dir, "documents")
+    numbered = numbering.numbers_within(docs.select("source", "doc_id"), "source", "doc_id", "version_no")
+    return numbered.join(docs.select("doc_id", "text"), "doc_id").select(F.col("source").alias("document_id"), "version_no", "doc_id", "text")
 
 
 _WS = r"[\s\p{Z}\x0B\x1C-\x1F\x85]"
