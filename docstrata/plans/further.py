@@ -13,9 +13,10 @@ from docstrata.operators import chunking, drafts, graph, plugins, quality, ranki
 from docstrata.plans.chunk_sql import chunk_sql
 from docstrata.plans.registry import query
 from docstrata.plans.search import _MATCH, _REL, _SEEDS, BM25, VEC, _names, bm25, nearest
+from docstrata.plans.writing import _SECTIONS, _markdown
 from docstrata.sources import tables
 from docstrata.sources import views as V
-from docstrata.sources.shared import shared_folder
+from docstrata.sources.shared import shared_folder, stored
 
 
 def _messages_as_lines(spark, d):
@@ -76,18 +77,20 @@ def j10_all(spark, d):
     return j10(spark, d).groupBy("project_id").agg(F.sum("degree").alias("edges"), F.count(F.lit(1)).alias("entities"))
 
 
-@query("j11_settings_fallback", "SELECT id, CASE WHEN project_id IN ('src1', 'src5') THEN 'big-' || project_id ELSE 'default' END AS model FROM v_documents", "v_documents")
+@query("j11_settings_fallback", "SELECT id, coalesce(n_name, 'default') AS model FROM v_documents LEFT JOIN nation ON project_id = 'src' || n_nationkey AND n_regionkey <> 1", "v_documents")
 def j11(spark, d):
+    """The nations of four regions are the projects that have a setting."""
+    settings = V.read(spark, d, "nation").where("n_regionkey <> 1").select(F.concat(F.lit("src"), "n_nationkey").alias("project_id"), F.col("n_name").alias("model"))
     docs = V.documents(spark, d).select("id", "project_id")
-    settings = spark.createDataFrame([("src1", "big-src1"), ("src5", "big-src5")], "project_id string, model string")
-    return docs.join(F.broadcast(settings), "project_id", "left").select("id", F.coalesce("model", F.lit("default")).alias("model"))  # two rows
+    return docs.join(F.broadcast(settings), "project_id", "left").select("id", F.coalesce("model", F.lit("default")).alias("model"))  # one row a nation
 
 
-@query("j14_signature_lookup", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'deliverable' WHEN page_id % 3 = 1 THEN 'timeline' END AS section_type FROM pages")
+@query("j14_signature_lookup", f"WITH {_SECTIONS}, t AS (SELECT * FROM (VALUES ('overview', 'executive_summary'), ('scope_of_work', 'scope_statement'), ('deliverables', 'deliverable'), ('timeline', 'timeline'), ('acceptance_criteria', 'acceptance_criterion'), ('payment_terms', 'financial'), ('assumptions', 'assumption_risk')) v(section_id, section_type)) SELECT doc_id, section_id, section_type FROM sc LEFT JOIN t USING (section_id)")
 def j14(spark, d):
-    plans = V.read(spark, d, "pages").select("page_id", F.element_at(F.array(*map(F.lit, ("deliverables", "timeline", "nothing"))), (F.col("page_id") % 3 + 1).cast("int")).alias("section_id"))
-    rows = [("deliverables", "deliverable"), ("timeline", "timeline")]
-    return plans.join(F.broadcast(spark.createDataFrame(rows, "section_id string, section_type string")), "section_id", "left").select("page_id", "section_type")  # two rows
+    """The signature of each section by document and section; sections outside the template have none."""
+    texts = stored(_markdown(spark, d))
+    found = drafts.signatures(texts).select("doc_id", "section_id", "section_type")
+    return drafts.sections(texts).select("doc_id", "section_id").join(found, ["doc_id", "section_id"], "left")
 
 
 @query("a13_context_usage", "SELECT session_id, CAST(sum(token_count + 4) AS BIGINT) AS used FROM v_messages GROUP BY 1", "v_messages")
@@ -186,10 +189,12 @@ def w11(spark, d):
     return V.chunks(spark, d).select("chunk_id", F.floor((F.row_number().over(w) - 1) / 4).alias("parent_no"))
 
 
-@query("x6_heading_to_section", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'scope_of_work' WHEN 1 THEN 'timeline' WHEN 2 THEN 'my_own_part' ELSE 'overview' END AS section_id FROM pages")
+@query("x6_heading_to_section", f"WITH {_SECTIONS} SELECT doc_id, section_no, section_id FROM si")
 def x6(spark, d):
-    titles = F.array(*map(F.lit, ("The Scope of Work!", "timeline & milestones", " My own: part? ", "View")))
-    return V.read(spark, d, "pages").select("page_id", drafts.section_id(F.element_at(titles, (F.col("page_id") % 4 + 1).cast("int"))).alias("section_id"))
+    """The section that each heading of each text stands for."""
+    titles = drafts.headings(drafts.lines(_markdown(spark, d))).where("level is not null")
+    w = Window.partitionBy("doc_id").orderBy("line_no")
+    return titles.select("doc_id", F.row_number().over(w).cast("long").alias("section_no"), drafts.section_id(F.col("title")).alias("section_id"))
 
 
 @query("x18_context_sizes", "SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 128000 WHEN 1 THEN 8192 WHEN 2 THEN 32768 WHEN 3 THEN 16384 ELSE 32768 END AS total FROM nation")

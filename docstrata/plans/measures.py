@@ -162,12 +162,16 @@ def a12(spark, d):
     return clusters.groupBy("project_id", "leader_id").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("first_id"))
 
 
-@query("r17_grade_parsing", "WITH r AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN ' relevant | 0.92 | good | yes ' WHEN 1 THEN 'WRONG|0.3' WHEN 2 THEN 'IRRELEVANT' WHEN 3 THEN 'AMBIGUOUS|x|y' WHEN 4 THEN 'irrelevant|0|' ELSE '' END AS t FROM events), p AS (SELECT event_id, string_split(trim(t), '|') AS p FROM r), q AS (SELECT event_id, upper(trim(p[1])) AS n, CASE WHEN len(p) > 1 THEN try_cast(trim(p[2]) AS DOUBLE) ELSE 0.5 END AS s, CASE WHEN len(p) > 2 THEN trim(array_to_string(p[3:], '|')) ELSE '' END AS why FROM p) "
+@query("r17_grade_parsing", "WITH r AS (SELECT event_id, CASE event_type WHEN 'click' THEN ' relevant ' WHEN 'view' THEN 'Irrelevant' WHEN 'purchase' THEN 'WRONG' ELSE 'ambiguous' END || CASE WHEN CAST(floor(value) AS BIGINT) % 7 = 0 THEN '' WHEN event_type = 'error' THEN '|x|' || props ELSE '| 0.' || lpad(CAST(CAST(floor(value) AS BIGINT) % 100 AS VARCHAR), 2, '0') || ' | ' || props || '|more' END AS t FROM events), "
+       "p AS (SELECT event_id, string_split(trim(t), '|') AS p FROM r), q AS (SELECT event_id, upper(trim(p[1])) AS n, CASE WHEN len(p) > 1 THEN try_cast(trim(p[2]) AS DOUBLE) ELSE 0.5 END AS s, CASE WHEN len(p) > 2 THEN trim(array_to_string(p[3:], '|')) ELSE '' END AS why FROM p) "
        "SELECT event_id, CASE WHEN s IS NULL THEN 'RELEVANT' WHEN n IN ('RELEVANT', 'AMBIGUOUS', 'IRRELEVANT') THEN n ELSE 'AMBIGUOUS' END AS label, coalesce(s, 0.5) AS grade, CASE WHEN s IS NULL THEN '' ELSE why END AS reason FROM q")
 def r17(spark, d):
-    texts = F.array(*map(F.lit, (" relevant | 0.92 | good | yes ", "WRONG|0.3", "IRRELEVANT", "AMBIGUOUS|x|y", "irrelevant|0|", "")))
-    e = V.read(spark, d, "events").select("event_id", F.element_at(texts, (F.col("event_id") % 6 + 1).cast("int")).alias("t"))
-    return e.select("event_id", quality.grade_parts(F.col("t")).alias("g")).select("event_id", "g.*")
+    """Responses made of an event's type, value and properties; some without a score, some with one that is no number."""
+    kind, whole = F.col("event_type"), F.floor("value")
+    name = F.when(kind == "click", " relevant ").when(kind == "view", "Irrelevant").when(kind == "purchase", "WRONG").otherwise("ambiguous")
+    score = F.concat(F.lit("| 0."), F.lpad((whole % 100).cast("string"), 2, "0"), F.lit(" | "), "props", F.lit("|more"))
+    rest = F.when(whole % 7 == 0, "").when(kind == "error", F.concat(F.lit("|x|"), "props")).otherwise(score)
+    return V.read(spark, d, "events").select("event_id", quality.grade_parts(F.concat(name, rest)).alias("g")).select("event_id", "g.*")
 
 
 @query("c2_context_status", "WITH u AS (SELECT session_id, CAST(sum(token_count + 4) AS BIGINT) AS used_tokens, CASE session_id % 3 WHEN 0 THEN 8192 WHEN 1 THEN 32768 ELSE 128000 END AS total_tokens FROM v_messages GROUP BY 1) SELECT session_id, used_tokens, total_tokens, greatest(0, total_tokens - used_tokens) AS remaining_tokens, used_tokens / total_tokens >= 0.68 OR total_tokens - used_tokens < 32000 AS should_warn, used_tokens / total_tokens >= 0.88 OR total_tokens - used_tokens < 16000 AS should_block FROM u", "v_messages")

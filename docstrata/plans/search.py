@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docstrata.functions import text as T
-from docstrata.operators import chunking, graph, hybrid, lexical, ranking, vectors
+from docstrata.operators import chunking, graph, hybrid, lexical, plugins, ranking, vectors
 from docstrata.plans.registry import query
 from docstrata.sources import tables
 from docstrata.sources import views as V
@@ -245,19 +245,23 @@ def r12(spark, d):
     return V.read(spark, d, "conversations").select("conv_id", "turn", T.any_match(q, T.MULTI_HOP).alias("multi_hop"))
 
 
-@query("r13_subquery_parsing", "WITH r AS (SELECT item_id, text, CASE item_id % 3 WHEN 0 THEN 'one' || chr(10) || '  two ' WHEN 1 THEN 'only' ELSE chr(10) || 'a' || chr(10) || 'b' || chr(10) || chr(10) || 'c' END AS t FROM benchmark), p AS (SELECT item_id, text, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS p FROM r) SELECT item_id AS query_id, unnest(CASE WHEN len(p) BETWEEN 2 AND 4 THEN p ELSE [text] END) AS sub_query FROM p")
+_PIECES = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?]) ', '\1' || chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '^[\s\p{Z}\x0B\x1C-\x1F\x85]+|[\s\p{Z}\x0B\x1C-\x1F\x85]+$', '', 'g')), lambda x: x <> '')"
+
+
+@query("r13_subquery_parsing", f"WITH p AS (SELECT conv_id, turn, text, {_PIECES} AS p FROM conversations) SELECT conv_id, turn, unnest(CASE WHEN len(p) BETWEEN 2 AND 4 THEN p ELSE [text] END) AS sub_query FROM p")
 def r13(spark, d):
-    m = F.col("query_id") % 3
-    t = F.when(m == 0, "one\n  two ").when(m == 1, "only").otherwise("\na\nb\n\nc")
-    parts = F.filter(F.transform(F.split(t, "\n"), T.strip), lambda x: x != "")
-    return V.text_queries(spark, d).select("query_id", F.explode(F.when(F.size(parts).between(2, 4), parts).otherwise(F.array("query"))).alias("sub_query"))
+    """Turns as responses, a sentence a line: two to four lines are sub-queries, else the turn itself is the query."""
+    parts = F.filter(F.transform(F.split(F.regexp_replace("text", r"([.!?]) ", "$1\n"), "\n"), T.strip), lambda x: x != "")
+    return V.read(spark, d, "conversations").select("conv_id", "turn", F.explode(F.when(F.size(parts).between(2, 4), parts).otherwise(F.array("text"))).alias("sub_query"))
 
 
-@query("r14_rerank", f"WITH {BM25}, c AS (SELECT * FROM bm WHERE rank <= 50), p AS (SELECT query_id, chunk_id, CASE WHEN rank % 4 <> 0 THEN (rank * 37) % 101 END AS s, rank FROM c), r AS (SELECT query_id, chunk_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC NULLS LAST, rank) AS k FROM p) SELECT query_id, CAST(k AS INTEGER) AS rank, chunk_id, CAST(s AS DOUBLE) AS score FROM r WHERE k <= 20", "v_chunks", "v_queries")
+@query("r14_rerank", f"WITH {BM25}, c AS (SELECT * FROM bm WHERE rank <= 50), " + r"w AS (SELECT c.query_id, c.chunk_id, c.rank, list_distinct(list_filter(regexp_split_to_array(lower(q.query), '[^\p{L}\p{N}_]+'), lambda x: x <> '')) AS q, list_distinct(regexp_split_to_array(lower(t.text), '[^\p{L}\p{N}_]+')) AS t FROM c JOIN v_queries q ON q.query_id = c.query_id JOIN v_chunks t ON t.chunk_id = c.chunk_id), "
+    "p AS (SELECT query_id, chunk_id, rank, CASE WHEN rank % 4 <> 0 THEN round(len(list_intersect(q, t)) / greatest(len(q), 1), 6) END AS s FROM w), r AS (SELECT query_id, chunk_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC NULLS LAST, rank) AS k FROM p) SELECT query_id, CAST(k AS INTEGER) AS rank, chunk_id, s AS score FROM r WHERE k <= 20", "v_chunks", "v_queries")
 def r14(spark, d):
-    c = bm25(spark, d)
-    scores = c.where("rank % 4 <> 0").select("query_id", "chunk_id", ((F.col("rank") * 37) % 101).cast("double").alias("pair_score"))
-    return ranking.rerank(c, scores)
+    """By pair scores of query and text; each fourth candidate has none."""
+    c = stored(bm25(spark, d))
+    texts = c.where("rank % 4 <> 0").join(V.text_queries(spark, d), "query_id").join(V.chunks(spark, d).select("chunk_id", "text"), "chunk_id")
+    return ranking.rerank(c, plugins.pair_scores(texts).select("query_id", "chunk_id", F.round("pair_score", 6).alias("pair_score")))
 
 
 # Lists of each query's candidates by rank, then a recursion that appends the next pick; a candidate's value is -9 once picked.
