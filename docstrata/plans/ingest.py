@@ -9,6 +9,7 @@ from docstrata.functions import text as T
 from docstrata.operators import chunking
 from docstrata.plans.chunk_sql import chunk_sql
 from docstrata.plans.registry import query
+from docstrata.plans.search import BM25, bm25
 from docstrata.sources import tables
 from docstrata.sources import views as V
 
@@ -241,17 +242,13 @@ def k9(spark, d):
 
 @query(
     "k10_parent_expansion",
-    f"WITH {_PARENT}, h AS (SELECT project_id AS query_id, chunk_id, row_number() OVER (PARTITION BY project_id ORDER BY md5(chunk_id), chunk_id) AS rank FROM v_chunks), "
-    "j AS (SELECT query_id, rank, coalesce(parent_id, h.chunk_id) AS chunk_id, row_number() OVER (PARTITION BY query_id, coalesce(parent_id, h.chunk_id) ORDER BY rank) AS k FROM h JOIN c ON c.chunk_id = h.chunk_id WHERE rank <= 40) SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id FROM j WHERE k = 1",
-    "v_chunks",
+    f"WITH {BM25}, {_PARENT}, j AS (SELECT query_id, rank, coalesce(parent_id, bm.chunk_id) AS chunk_id, row_number() OVER (PARTITION BY query_id, coalesce(parent_id, bm.chunk_id) ORDER BY rank) AS k FROM bm JOIN c ON c.chunk_id = bm.chunk_id WHERE rank <= 40) SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id FROM j WHERE k = 1",
+    "v_chunks", "v_queries",
 )
 def k10(spark, d):
-    from pyspark.sql import Window
-
+    """The lexical hits of each query, children in favour of their parents."""
     named, parents = _parents(spark, d)
-    order = F.row_number().over(Window.partitionBy("project_id").orderBy(F.md5("chunk_id"), "chunk_id"))
-    hits = V.chunks(spark, d).select(F.col("project_id").alias("query_id"), "chunk_id", order.alias("rank"), F.lit(1.0).alias("score")).where("rank <= 40")
-    return chunking.expand_to_parents(hits, named, parents).select("query_id", "rank", "chunk_id")
+    return chunking.expand_to_parents(bm25(spark, d, 40), named, parents).select("query_id", "rank", "chunk_id")
 
 
 @query("a9_chunk_counts", "SELECT doc_id, count(*) AS chunk_count, count(DISTINCT page_number) AS page_count FROM v_chunks GROUP BY doc_id", "v_chunks")
