@@ -18,7 +18,7 @@ from docstrata.llm.shared import forget, table
 
 _BINS = 4096  # of a node, and less where many nodes are open
 _ALL_BINS = 1 << 18  # of all open nodes
-_PIECES = 8  # pieces of a shard's size, for a unit that no shard can hold
+_PIECES = 64  # pieces of a shard's size, for a unit that no shard can hold
 _BROADCAST_VALUES = 200_000  # distinct values of a text dimension; more are joined by a shuffle
 _TIE = "tie"
 _LAST = 2**63 - 1
@@ -72,10 +72,10 @@ def _medians(units: DataFrame, nodes: dict[int, dict], allowed: float) -> tuple[
         inside = (F.col("value").isNull() | (axis == F.col("value"))) & seen.between(F.col("low"), F.col("high"))
         bins = (
             joined.where(inside).withColumn("seen", seen).groupBy("node", F.expr("(seen - low) div width").alias("bin"))
-            .agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("units"), F.min("key").alias("key"), F.min("piece").alias("piece")).orderBy("node", "bin").collect()
+            .agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("units"), F.min("key").alias("key"), F.min("piece").alias("piece")).collect()
         )
         found: dict[int, list] = {}
-        for r in bins:
+        for r in sorted(bins, key=lambda r: (r["node"], r["bin"])):
             found.setdefault(r["node"], []).append(r)
         for k, s in list(open_.items()):
             if k not in found:  # all its units are set aside
@@ -119,7 +119,7 @@ def kd_shards(
 
     The depth follows from ``target_bytes`` (leaves of at most about that size) or from ``shards`` (a power of two).
     Equal texts share a shard, unless their copies together hold more than a whole shard's share of the bytes: only such
-    a group is cut, by id, into pieces of an eighth of that share. Shard sizes differ by little more than the largest
+    a group is cut, by id, into pieces of a 64th of that share. Shard sizes differ by little more than the largest
     document, or by a hundredth of a shard's share. Slots count from 0 without gaps, by id.
 
     Null texts count as empty ones (size 1) and share their group; null dimensions count as the lowest value; null and
@@ -168,7 +168,7 @@ def kd_shards(
         for r in stats:
             widest = max(dims, key=lambda c: ((r[f"{c}_hi"] - r[f"{c}_lo"]) / max(1, span[f"{c}_hi"] - span[f"{c}_lo"]), c))  # noqa: B023
             nodes[r["node"]] = {"dim": widest, "low": r[f"{widest}_lo"], "high": r[f"{widest}_hi"], "bytes": r["bytes"]}
-        cuts, aside = _medians(units, nodes, max(largest, share / 256))
+        cuts, aside = _medians(units, nodes, max(largest, share / 128))
         plan = spark.createDataFrame([(k, *v) for k, v in cuts.items()], "node long, dim string, cut long, cut_tie long")
         axis = _pick(dims)
         right = (axis > F.col("cut")) | ((axis == F.col("cut")) & (F.col(_TIE) > F.col("cut_tie")))
