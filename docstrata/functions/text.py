@@ -7,21 +7,27 @@ import functools
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values that results depend on.
+# Fixed values that results depend on, each named below.
+# Fixed: words that a query loses.
 STOP_WORDS = (
     "a an the is it in on at to for of and or but with as by from this that these those was were are be been being have has had do does did will would shall "
     "should may might can could about which who what when where how i me my we our you your he she they his her its their"
 ).split()
+# Fixed: patterns of questions over several sources.
 MULTI_HOP = (
     r"\bcompare\b", r"\bvs\.?\b", r"\bversus\b", r"\bdifference between\b", r"\bcontrast\b", r"\bhow does .+ compare\b", r"\bwhich .+ matches\b",
     r"\bacross .+ (documents?|files?|sources?)\b", r"\bboth .+ and\b", r"\bat the same time\b",
 )
+# Fixed: words of duty.
 DEONTIC = ("shall", "must", "should", "may")
+# Fixed: words for parties.
 PARTIES = ("vendor", "client", "customer", "contractor", "provider", "user", "buyer", "seller", "developer", "owner", "stakeholder", "team")
+# Fixed: words of an edit.
 EDIT_WORDS = (
     "rewrite", "update", "change", "modify", "edit", "improve", "revise", "add", "remove", "delete", "replace", "expand", "shorten", "clarify", "make it", "make this",
     "fix", "correct", "rephrase",
 )
+# Fixed: patterns that ask for a document.
 GENERATION = (
     r"\bgenerate\b.{0,30}\b(brd|sow|prd|document|doc|report|plan|brief)\b",
     r"\bcreate\b.{0,30}\b(brd|sow|prd|document|report)\b.{0,30}\b(for|about|based on)\b",
@@ -29,7 +35,9 @@ GENERATION = (
     r"\bdraft\b.{0,30}\b(brd|sow|prd|document)\b",
     r"\b(business requirements|statement of work|product requirements)\b",
 )
+# Fixed: patterns of document types, in order.
 DOCUMENT_TYPES = (("brd", r"\bbrd\b|\bbusiness requirements?\b"), ("sow", r"\bsow\b|\bstatement of work\b"), ("prd", r"\bprd\b|\bproduct requirements?\b"))
+# Fixed: phrases of each relation, in order.
 RELATIONS = (
     ("DEFINED_AS", ("is defined as", "defined as", "refers to", "means", "is called", "is known as", "denotes", "stands for")),
     ("PART_OF", ("is part of", "part of", "belongs to", "component of", "section of", "subset of", "contained in", "consists of", "includes", "comprises")),
@@ -37,6 +45,7 @@ RELATIONS = (
     ("MENTIONED_WITH", ("mentioned alongside", "co-occurs with", "appears with", "associated with", "alongside", "together with")),
     ("CONTRASTS_WITH", ("contrasts with", "differs from", "compared to", "versus", "unlike unlike", "in contrast", "as opposed to", "different from")),
 )
+# Fixed: words of each section type, in order.
 SECTION_TYPES = (
     ("executive_summary", ("executive", "overview", "summary", "introduction")),
     ("scope_statement", ("scope", "objective", "goal")),
@@ -48,6 +57,7 @@ SECTION_TYPES = (
     ("background", ("stakeholder", "background", "context")),
     ("financial", ("payment", "financial", "cost", "budget")),
 )
+# Fixed: labels of failures.
 FAILURES = ("terminology_gap", "cross_doc_gap", "missing_concept", "buried_signal", "ok")
 
 SPACE = r"[\s\p{Z}\x0B\x1C-\x1F\x85]"
