@@ -13,7 +13,7 @@ def shared_folder(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     where = "file://" + tempfile.mkdtemp(prefix="docstrata-")
     spark.conf.set("spark.checkpoint.dir", where)
