@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from docstrata.sources.shared import shared_folder
 
 
-_MANY_EDGES = 1_000_000  # fewer are a few megabytes, whatever hub they share
+_FEW_EDGES, _MANY_EDGES = 250_000, 1_000_000  # between them, the edges of a hub are a few megabytes at most
 _WRITTEN: list[str] = []  # paths of the driver's tables that are still there
 
 
@@ -77,6 +77,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     def star(sym: DataFrame) -> DataFrame:
         least = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        if seen[0] <= _FEW_EDGES:  # at most twice as many rows of two numbers: no hub meets its edges in one task
+            return sym.join(F.broadcast(least), "u")
         if seen[0] > _MANY_EDGES:  # as a table, the join reads both sides from shuffles, and Spark can split the edges of a hub
             least, where = table(least)
             paths.append(where)
