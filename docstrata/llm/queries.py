@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators, over whole tables; SQL where DuckDB can say the same."""
+"""The registered queries of the training-data operators, over whole tables; SQL where DuckDB can say the same."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docstrata.llm import bpe, exact_search, html_text, media, packing, pii, secrets, sharding, toxicity
+from docstrata.llm import bpe, exact_search, html_text, media, packing, piece_bpe, pii, secrets, sharding, toxicity
 from docstrata.llm.ngram_join import jaccard_components
 
 
@@ -57,8 +57,12 @@ def op10_m_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_search.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op12_piece_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.digest(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    found = [op1_kd_tree_sharding, op2_toxicity_compression, op3_best_fit_packing, op4_pii_weak_supervision, op5_secret_randomness_battery, op6_audio_features, op7_ngram_jaccard_join, op8_html_layout_text, op9_bpe_round_trip, op10_m_tree_search]
+    found = [op1_kd_tree_sharding, op2_toxicity_compression, op3_best_fit_packing, op4_pii_weak_supervision, op5_secret_randomness_battery, op6_audio_features, op7_ngram_jaccard_join, op8_html_layout_text, op9_bpe_round_trip, op10_m_tree_search, op12_piece_bpe_round_trip]
     return {f.__name__: f for f in found}
 
 
