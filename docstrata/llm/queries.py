@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docstrata.llm import bpe, exact_search, html_text, media, packing, piece_bpe, pii, secrets, sharding, toxicity
+from docstrata.llm import bpe, exact_search, html_text, media, packing, piece_bpe, pii, secrets, sharding, spelling, toxicity
 from docstrata.llm.ngram_join import jaccard_components
 
 
@@ -57,12 +57,16 @@ def op10_m_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_search.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.document_variants(_read(spark, sf_dir, "documents"))
+
+
 def op12_piece_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digest(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    found = [op1_kd_tree_sharding, op2_toxicity_compression, op3_best_fit_packing, op4_pii_weak_supervision, op5_secret_randomness_battery, op6_audio_features, op7_ngram_jaccard_join, op8_html_layout_text, op9_bpe_round_trip, op10_m_tree_search, op12_piece_bpe_round_trip]
+    found = [op1_kd_tree_sharding, op2_toxicity_compression, op3_best_fit_packing, op4_pii_weak_supervision, op5_secret_randomness_battery, op6_audio_features, op7_ngram_jaccard_join, op8_html_layout_text, op9_bpe_round_trip, op10_m_tree_search, op11_spelling_variants, op12_piece_bpe_round_trip]
     return {f.__name__: f for f in found}
 
 
@@ -93,5 +97,34 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+OP11_SQL = r"""
+WITH steps AS (
+  SELECT list(x ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS x FROM range(256) r(b))),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+  unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+counted AS (SELECT id, run, count(*) AS c, hex(encode(id || ':' || run)) AS x FROM runs GROUP BY id, run),
+hashed AS (
+  SELECT run, c, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(len(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+    lambda a, b: xor(t[1 + (xor(a, b) & 255)], a >> 8)), 4294967295) AS h FROM counted, steps),
+words AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, c FROM hashed),
+v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM words WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+holes AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+near AS (
+  SELECT a.word, b.word AS w, b.n FROM holes a JOIN holes b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM holes a JOIN v b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM holes a JOIN v b ON a.rest = b.word),
+best AS (
+  SELECT v.word, any_value(v.n) AS n, count(near.w) AS n_near, first(near.w ORDER BY near.n DESC, encode(near.w)) AS w, max(near.n) AS m
+  FROM v LEFT JOIN near ON near.word = v.word GROUP BY v.word),
+formed AS (SELECT word, n, n_near, CASE WHEN m >= 2 * n THEN w END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM best),
+chain AS (
+  WITH RECURSIVE c(word, z) AS (SELECT word, word FROM formed UNION ALL SELECT c.word, f.form FROM c JOIN formed f ON f.word = c.z WHERE f.form IS NOT NULL)
+  SELECT c.word, c.z AS root FROM c JOIN formed f ON f.word = c.z WHERE f.form IS NULL)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM formed f JOIN chain c ON c.word = f.word
+"""
+
+
 def oracle_sql() -> dict:
-    return {"op10_m_tree_search": OP10_SQL, "op7_ngram_jaccard_join": OP7_SQL}
+    return {"op11_spelling_variants": OP11_SQL, "op10_m_tree_search": OP10_SQL, "op7_ngram_jaccard_join": OP7_SQL}

@@ -1,13 +1,16 @@
 """Piece BPE, spelling variants and conversation tries against the library, brute force and fixed cases."""
 
+import collections
 import hashlib
 import random
+import re
+import zlib
 
 import pytest
 import public_tokenizers
 import tiktoken
 
-from docstrata.llm import piece_bpe
+from docstrata.llm import piece_bpe, spelling
 
 SCHEMA = "doc_id long, text string, ids string, decoded long, known string"
 
@@ -67,3 +70,66 @@ def test_piece_bpe_keeps_tokens_that_merges_do_not_reach(tmp_path):
     known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     for text in ("abc", "abcd", " abc", "abc abc"):
         assert own.encode([text])[0].tolist() == known.encode_ordinary(text)
+
+
+def one_edit(a, b):
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def brute_variants(counts):
+    near = {w: [x for x in counts if one_edit(w, x)] for w in counts}
+    best = {w: min(near[w], key=lambda x: (-counts[x], x), default=None) for w in counts}
+    form = {w: b if b is not None and counts[b] >= 2 * counts[w] else None for w, b in best.items()}
+
+    def root(w):
+        while form[w]:
+            w = form[w]
+        return w
+
+    return sorted((w, form[w] or "", root(w), n, len(near[w]), counts.get(form[w], 0)) for w, n in counts.items())
+
+
+def brute_vocabulary(rows):
+    counts = collections.Counter()
+    for i, text in rows:
+        for w in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            w = "".join(c.lower() if c.isascii() else c for c in w)
+            h = zlib.crc32(f"{'' if i is None else i}:{w}".encode())
+            counts[w[: h % len(w)] + w[h % len(w) + 1 :] if h % 97 == 0 else w] += 1
+    return {w: n for w, n in counts.items() if len(w) >= 5 and n >= 3}
+
+
+def collected(found):
+    return sorted((r.word, r.form or "", r.root, r.n, r.n_near, r.form_n or 0) for r in found.collect())
+
+
+@pytest.mark.parametrize("letters,alphabet", [(40, "ab"), (300, "abcé÷"), (100_000, "abcdefgh")])
+def test_spelling_variants_by_brute_force(spark, letters, alphabet):
+    r = random.Random(letters)
+    counts = {"".join(r.choice(alphabet) for _ in range(r.randint(5, 9))): int(3 * 2 ** r.uniform(0, 9)) for _ in range(250)}
+    counts |= {"aaaa" + "".join(r.choice(alphabet) for _ in range(r.randint(1, 4))): r.randint(3, 9) for _ in range(150)}  # a hot start
+    counts |= {"a" * n: 3 << min(n - 5, 20) for n in range(5, 40)}  # one chain of 34 forms
+    long = "".join(r.choice(alphabet) for _ in range(3_000))
+    counts |= {long: 50, long[:1500] + "z" + long[1500:]: 7, long[:-1]: 20, "z" + long[1:]: 3}
+    vocab = spark.createDataFrame(list(counts.items()), "word string, n int")
+    assert collected(spelling.variants(vocab, range_letters=letters)) == brute_variants(counts)
+    pairs = spelling.near_words(vocab, range_letters=letters).collect()
+    assert sorted((p.word, p.near, p.near_n) for p in pairs) == sorted((a, b, counts[b]) for a in counts for b in counts if one_edit(a, b))
+
+
+def test_spelling_of_documents(spark):
+    r = random.Random(8)
+    words = ["".join(r.choice("aeßrstéÉnÀT÷") for _ in range(r.randint(3, 8))) for _ in range(60)]
+    rows = [(i, " ".join(r.choices(words, k=80))) for i in range(60)]
+    rows += [(None, "Straße Straße straße 12ab_straße"), (3, None), (3, ""), (4, "\n"), (5, "stræt " * 500), (5, "stræt " * 500), (6, "x" * 50_000), (7, "x" * 50_000), (8, "x" * 50_000)]
+    docs = spark.createDataFrame([(i, t, "w", 1, "form") for i, t in rows], "doc_id long, text string, word string, n int, form string")
+    assert collected(spelling.document_variants(docs)) == brute_variants(brute_vocabulary(rows))
+    assert collected(spelling.document_variants(docs.limit(0))) == []
+    assert spelling.document_variants(docs).columns == ["word", "form", "root", "n", "n_near", "form_n"]
+    with pytest.raises(ValueError):
+        spelling.variants(spark.createDataFrame([("aaaaa", 3)], "word string, n int"), ratio=1)
