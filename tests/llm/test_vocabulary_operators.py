@@ -10,7 +10,7 @@ import pytest
 import public_tokenizers
 import tiktoken
 
-from docstrata.llm import piece_bpe, spelling
+from docstrata.llm import conversation_trie, piece_bpe, spelling
 
 SCHEMA = "doc_id long, text string, ids string, decoded long, known string"
 
@@ -133,3 +133,77 @@ def test_spelling_of_documents(spark):
     assert spelling.document_variants(docs).columns == ["word", "form", "root", "n", "n_near", "form_n"]
     with pytest.raises(ValueError):
         spelling.variants(spark.createDataFrame([("aaaaa", 3)], "word string, n int"), ratio=1)
+
+
+TURNS = "conv_id long, turn long, role string, text string, depth int, pos string"
+
+
+def brute_trie(rows):
+    """Nodes of rows (conv_id, turn, role, text), from the sequences themselves."""
+    turns = collections.defaultdict(list)
+    for c, t, role, text in rows:
+        if c is not None:
+            said = role or "", text or ""
+            turns[c].append((t is not None, t or 0, hashlib.md5(f"{len(said[0])}:{said[0]}{said[1]}".encode()).digest(), said))
+    turns = {c: [x[-1] for x in sorted(v)] for c, v in turns.items()}
+    rebuilt = {}
+    for c in turns:
+        h = zlib.crc32(str(c).encode()) % 4
+        rebuilt[c] = turns.get(c - (c % 20 if c >= 0 else -(-c % 20)), [])[:h] + turns[c][h:]
+    nodes = collections.defaultdict(list)
+    for c in sorted(rebuilt):
+        for d in range(len(rebuilt[c]) + 1):
+            nodes[tuple(rebuilt[c][:d])].append(c)
+    children = collections.Counter(k[:-1] for k in nodes if k)
+    leaves, saved = collections.Counter(), collections.Counter()
+    for k, members in nodes.items():
+        for d in range(len(k) + 1):
+            saved[k[:d]] += (len(members) - 1) * len(re.findall(r"[^\x20\x09-\x0D]+", k[-1][1])) if k else 0
+            leaves[k[:d]] += not children[k]
+    ends = {k: ",".join(str(c) for c in m if len(rebuilt[c]) == len(k)) for k, m in nodes.items()}
+    return sorted(
+        (m[0], len(k), -99 if not k else nodes[k[:-1]][0], len(m), children[k], leaves[k], saved[k], hashlib.sha256(ends[k].encode()).hexdigest()) for k, m in nodes.items()
+    )
+
+
+def trie_rows(found):
+    columns = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    assert sorted(found.columns) == sorted(columns)
+    return sorted(tuple(-99 if r[c] is None else r[c] for c in columns) for r in found.collect())
+
+
+@pytest.mark.parametrize("limits", [{}, {"shard_turns": 20}, {"shard_turns": 50, "level_turns": 5}])
+def test_conversation_trie_by_brute_force(spark, limits):
+    r = random.Random(3)
+    rows = []
+    for c in range(-30, 70):
+        if c % 20 or r.random() < 0.7:
+            rows += [(c, r.choice([t, t, None]), r.choice(["user", None]), r.choice(["a b", "", None, "hello there\tx"])) for t in range(r.randint(1, 7))]
+    for c in range(100, 130):  # a long common start, copies among the rest
+        rows += [(c, t, "u", "same" if t < 15 else r.choice("xy")) for t in range(18)]
+    rows += [(None, 1, "a", "b"), (500, 3, "a", "again"), (500, 3, "a", "again"), (500, 3, "b", "x " * 20_000)]
+    docs = spark.createDataFrame([(*x, 1, "z") for x in rows], TURNS)
+    assert trie_rows(conversation_trie.trie_nodes(docs, **limits)) == brute_trie(rows)
+
+
+def test_conversation_trie_edges(spark):
+    empty = spark.createDataFrame([], TURNS)
+    assert conversation_trie.trie_nodes(empty).collect() == []
+    silent = [(c, 0, "u", "x") for c in (1, 2, 3, 4, 5, 6) if zlib.crc32(str(c).encode()) % 4]  # no first of their family, nothing of their own
+    docs = spark.createDataFrame([(*x, 1, "z") for x in silent], TURNS)
+    assert trie_rows(conversation_trie.trie_nodes(docs)) == brute_trie(silent)
+    same = [(c, t, "u", f"t{t}") for c in range(20, 20_000, 20) for t in range(2)]  # one text, many members
+    docs = spark.createDataFrame([(*x, 1, "z") for x in same], TURNS)
+    assert trie_rows(conversation_trie.trie_nodes(docs)) == brute_trie(same)
+
+
+def test_double_array_walks_what_it_holds():
+    r = random.Random(4)
+    held = sorted({tuple(r.randint(1, 60) for _ in range(r.randint(1, 6))) for _ in range(800)} | {(k,) for k in range(1, 400)})
+    trie = conversation_trie.DoubleArray([list(x) for x in held])
+    beginnings = {x[:d] for x in held for d in range(1, len(x) + 1)}
+    slots = {trie.walk(list(x))[-1] for x in beginnings}
+    assert len(slots) == len(beginnings) == sum(c >= 0 for c in trie.check) - 1
+    for _ in range(2_000):
+        x = tuple(r.randint(1, 420) for _ in range(r.randint(1, 6)))
+        assert len(trie.walk(list(x))) == max((d for d in range(len(x) + 1) if not d or x[:d] in beginnings))
