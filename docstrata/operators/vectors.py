@@ -73,30 +73,6 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 50, same_pro
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", id_col, "score")
 
 
-def approximate_top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 20, cells: int = 32, probes: int = 8, id_col: str = "chunk_id", seed: int = 7) -> DataFrame:
-    """Top k by cosine inside the ``probes`` cells nearest to each query; cells come from k-means over normalised vectors.
-
-    Every vector is in one cell; vectors and queries meet by equality of the cell.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    def unit(df: DataFrame, column: str) -> DataFrame:
-        n = T.norm(F.col(column))
-        return df.where(n > 0).withColumn("u", F.transform(column, lambda x: x.cast("double") / n))
-
-    base = unit(vectors, "embedding").withColumn("features", array_to_vector("u"))
-    model = KMeans(k=cells, seed=seed, featuresCol="features", predictionCol="cell").fit(base)
-    dealt = model.transform(base).select(id_col, "u", "cell")
-    centres = F.array(*(F.struct(F.lit(i).alias("cell"), F.array(*map(F.lit, map(float, c))).alias("c")) for i, c in enumerate(model.clusterCenters())))  # ``cells`` rows
-    asked = unit(queries, "query_embedding").select("query_id", F.col("u").alias("q"))
-    near = F.slice(F.reverse(F.array_sort(F.transform(centres, lambda c: F.struct(T.dot(c["c"], F.col("q")).alias("s"), c["cell"].alias("cell"))))), 1, probes)
-    probed = asked.select("query_id", "q", F.explode(near).alias("p")).select("query_id", "q", F.col("p.cell").alias("cell"))
-    scored = probed.join(dealt, "cell").select("query_id", id_col, F.round(T.dot(F.col("q"), F.col("u")), 8).alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
 def wrong_dimensions(vectors: DataFrame, dims: int) -> DataFrame:
     return vectors.where(F.coalesce(F.size("embedding"), F.lit(-1)) != dims)
 

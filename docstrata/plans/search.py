@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docstrata.functions import text as T
-from docstrata.operators import chunking, graph, hybrid, lexical, plugins, ranking, vectors
+from docstrata.operators import chunking, graph, hybrid, lexical, plugins, ranking, vector_index, vectors
 from docstrata.plans.registry import query
 from docstrata.sources import tables
 from docstrata.sources import views as V
@@ -130,7 +130,24 @@ def v2p(spark, d):
 
 @query("v3_approximate_top20")
 def v3(spark, d):
-    return vectors.approximate_top_k(V.vectors(spark, d), V.vector_queries(spark, d))
+    return vector_index.approximate_top_k(V.vectors(spark, d), V.vector_queries(spark, d))
+
+
+@query("v3_kept_index_recall", f"WITH {VEC}, d AS (SELECT DISTINCT query_id FROM vs) SELECT count(*) AS queries, TRUE AS recall_reaches_90, TRUE AS same_again, CAST(0 AS BIGINT) AS deleted_found FROM d", "v_vectors")
+def v3k(spark, d):
+    """An index that is built on a third of the vectors, deleted from, appended to, and searched twice, beside the exact search."""
+    v, asked = V.vectors(spark, d), V.vector_queries(spark, d)
+    third, seventh = F.col("chunk_no") % 3 == 0, F.col("chunk_no") % 7 == 0
+    folder = vector_index.build(v.where(third))
+    vector_index.append(folder, v.where(~third), 2)
+    vector_index.delete(folder, v.where(seventh), 2)
+    first, again = (stored(vector_index.search(folder, asked)) for _ in range(2))
+    exact = vectors.exact_top_k(v.where(~seventh), asked, k=20)
+    both = exact.join(first.select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    differ = first.exceptAll(again).agg(F.count(F.lit(1)).alias("n"))
+    gone = first.join(v.where(seventh).select("chunk_id"), "chunk_id").agg(F.count(F.lit(1)).alias("deleted_found"))
+    told = first.agg(F.count_distinct("query_id").alias("queries")).crossJoin(both).crossJoin(differ).crossJoin(gone)  # one row each
+    return told.select("queries", (F.col("recall") >= 0.9).alias("recall_reaches_90"), (F.col("n") == 0).alias("same_again"), "deleted_found")
 
 
 @query("v2_exact_top50_all", f"WITH {VEC} SELECT query_id * 20 AS query_id, CAST(rank AS INTEGER) AS rank, chunk_id, score FROM vec WHERE rank <= 50", "v_vectors")
@@ -153,7 +170,7 @@ def v2d(spark, d):
 
 @query("v3_approximate_top20_all")
 def v3_all(spark, d):
-    return _by_vector(vectors.approximate_top_k(V.vectors(spark, d), V.vector_queries(spark, d)))
+    return _by_vector(vector_index.approximate_top_k(V.vectors(spark, d), V.vector_queries(spark, d)))
 
 
 @query("v4_dimension_check", "SELECT chunk_no FROM v_vectors WHERE len(embedding) <> 64 OR chunk_no % 9 = 0", "v_vectors")
