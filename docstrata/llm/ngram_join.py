@@ -27,14 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docstrata.llm.shared import components, forget, slices, table
+from docstrata.llm.shared import components, forget, parts, slices, table
 
 _BASE = np.uint64(0x100000001B3)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _SEGMENT = 1 << 16
-_BROADCAST_ROWS = 1_000_000  # of at most five long columns; more rows are shuffled
+_BROADCAST_ROWS = 1_000_000  # of at most six columns of a number; more rows are shuffled
+_GRAMS_AT_ONCE = 2_000_000  # of small groups that one task takes, one group after another
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -156,7 +157,7 @@ def _sets(num: int, den: int, width: int):
 
 def _grams(width: int):
     """Rows with a text to the n-grams of their node, once in a task; a row whose text is not that of its node goes (a key may repeat)."""
-    schema = pa.schema([("node", pa.int64()), ("grp", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64()), ("grams", pa.list_(pa.int64()))])
+    schema = pa.schema([("node", pa.int64()), ("grp", pa.int64()), ("large", pa.bool_()), ("n", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
     def run(batches):
         done = set()
@@ -169,7 +170,7 @@ def _grams(width: int):
                         done.add(node)
                         keep.append(i)
                         lists.append(grams.view(np.int64))
-            named = [part.column(c).take(pa.array(keep, pa.int64())) for c in ("node", "grp", "bucket")]
+            named = [part.column(c).take(pa.array(keep, pa.int64())) for c in ("node", "grp", "large")]
             yield pa.RecordBatch.from_arrays([*named, pa.array(map(len, lists), pa.int64()), pa.array(lists, pa.list_(pa.int64()))], schema=schema)
 
     return run
@@ -261,18 +262,28 @@ def _as_sets(column) -> list[np.ndarray]:
 
 
 def _group_links(num: int, den: int):
-    """A forest over each candidate group of the frame (several small groups share a task)."""
+    """A forest over each candidate group; rows come group by group, and only one group is held at a time."""
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        a, b = [], []
-        for _, part in frame.groupby("grp", sort=False):
-            nodes, sets = part["node"].to_numpy(), _as_sets(part["grams"])
-            known = _Union(len(nodes))
+    def run(batches):
+        def told():
+            a, b, known = [], [], _Union(len(nodes))
             for i, j in tree_links(sets, sets, num, den):
                 if i != j and known.join(i, j):
                     a.append(nodes[i])
                     b.append(nodes[j])
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        now, nodes, sets = None, [], []
+        for batch in batches:
+            for group, node, grams in zip(batch.column("grp").to_pylist(), batch.column("node").to_pylist(), batch.column("grams")):
+                if group != now:
+                    if len(nodes) > 1:
+                        yield told()
+                    now, nodes, sets = group, [], []
+                nodes.append(node)
+                sets.append(grams.values.to_numpy().view(np.uint64).copy())
+        if len(nodes) > 1:
+            yield told()
 
     return run
 
@@ -423,21 +434,16 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, width: int, threshold:
 
     weight = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("grams_n"))
     is_large = (F.col("rows") > block_rows) | ((F.col("grams_n") > 400 * block_rows) & (F.col("rows") > 2))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1) * 4
-    bucket = F.when(F.col("large"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("comp"), F.lit(buckets)))
-    route, route_path = table(
-        groups.join(weight.withColumn("large", is_large), "comp").select("node", F.col("comp").alias("grp"), bucket.cast("long").alias("bucket"), "own", "tkey")
-    )
+    route, route_path = table(groups.join(weight.withColumn("large", is_large), "comp").select("node", F.col("comp").alias("grp"), "large", "n", "own", "tkey"))
+    small_grams = route.where(~F.col("large")).agg(F.sum("n").alias("n")).first()["n"] or 0
     small_route = F.broadcast(route) if route.count() <= _BROADCAST_ROWS else route
     sets, sets_path = table(
-        base.withColumn("own", F.coalesce("doc_id", "tkey")).join(small_route, ["own", "tkey"]).select("node", "grp", "bucket", "text")
-        .mapInArrow(_grams(width), "node long, grp long, bucket long, n long, grams array<long>")
-    )
-    links = (
-        sets.where("bucket >= 0").select("bucket", "grp", "node", "grams").groupBy("bucket").applyInPandas(_group_links(num, den), "a long, b long")
+        base.withColumn("own", F.coalesce("doc_id", "tkey")).join(small_route, ["own", "tkey"]).select("node", "grp", "large", "text")
+        .mapInArrow(_grams(width), "node long, grp long, large boolean, n long, grams array<long>")
     )
-    links, links_path = table(links)
-    big = sets.where("bucket < 0").select("grp", "node", "n", "grams")
+    small = sets.where("not large").select("grp", "node", "grams").repartition(parts(spark, small_grams, _GRAMS_AT_ONCE), "grp").sortWithinPartitions("grp")
+    links, links_path = table(small.mapInArrow(_group_links(num, den), "a long, b long"))
+    big = sets.where("large").select("grp", "node", "n", "grams")
     if not big.isEmpty():
         links = links.unionByName(_large_groups(big, num, den, block_rows))
     comp = components(links)
