@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docstrata.llm import ngram_join, packing, secrets, toxicity
-from docstrata.llm.shared import forget, table, written
+from docstrata.llm.shared import collected, forget, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +58,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     Once a stage is written, the tables it was made of are deleted; the last one stays, as the result reads it.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = len(written())
+    before = None
     for _, stage in STAGES:
-        docs, path = table(stage(spark, docs, sf_dir))
-        forget(spark, *(x for x in written(before) if x != path))
+        with collected() as paths:
+            docs, path = table(stage(spark, docs, sf_dir))
+        forget(spark, *(x for x in paths if x != path), *([before] if before else []))
+        before = path
     return docs

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -14,18 +16,20 @@ from docstrata.sources.shared import shared_folder
 
 
 _FEW_EDGES, _MANY_EDGES = 250_000, 1_000_000  # between them, the edges of a hub are a few megabytes at most
-_WRITTEN: list[str] = []  # paths of the driver's tables that are still there
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def table(df: DataFrame, compression: str = "snappy") -> tuple[DataFrame, str]:
     """Write ``df`` into the shared folder and read it back: lineage ends at files that outlive any executor.
 
-    A table that a lazy result still reads stays there; ``written`` lets a caller that has stored the result delete it.
+    A table that a lazy result still reads stays there; ``collected`` tells a caller that has stored the result what to delete.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/docstrata-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    _WRITTEN.append(path)
+    own = _WRITTEN.get()
+    if own is not None:
+        own.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -44,14 +48,22 @@ def slices(batches, column: str, most: int = 4 << 20):
             at = end
 
 
-def written(since: int = 0) -> list[str]:
-    """Paths of the tables written so far and not deleted, from the ``since``-th on."""
-    return _WRITTEN[since:]
+@contextmanager
+def collected():
+    """The paths of the tables that are written inside, in this thread alone, without those that are deleted again."""
+    mine: list[str] = []
+    token = _WRITTEN.set(mine)
+    try:
+        yield mine
+    finally:
+        _WRITTEN.reset(token)
 
 
 def forget(spark: SparkSession, *paths: str) -> None:
     """Delete tables that nothing reads any more."""
-    _WRITTEN[:] = [x for x in _WRITTEN if x not in paths]
+    own = _WRITTEN.get()
+    if own is not None:
+        own[:] = [x for x in own if x not in paths]
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in paths:
         where = jvm.org.apache.hadoop.fs.Path(path)
