@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docstrata.functions import text as T
-from docstrata.operators import chunking, graph, hybrid, lexical, plugins, ranking, vector_index, vectors
+from docstrata.operators import block_max, chunking, graph, hybrid, lexical, plugins, ranking, vector_index, vectors
 from docstrata.plans.registry import query
 from docstrata.sources import tables
 from docstrata.sources import views as V
@@ -102,6 +102,17 @@ def r3k(spark, d):
     return lexical.search(lexical.read(spark, folder, "string"), V.text_queries(spark, d))
 
 
+@query("r3_block_max", f"WITH {BM25.replace('FROM v_chunks', 'FROM v_chunks WHERE CAST(doc_id AS BIGINT) % 7 <> 0')} SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, score FROM bm WHERE rank <= 50", "v_chunks", "v_queries")
+def r3b(spark, d):
+    """As r3_kept_index, from blocks with bounds: built on a third, deleted from, appended to, and searched."""
+    chunks = V.chunks(spark, d)
+    third, seventh = F.col("doc_id").cast("long") % 3 == 0, F.col("doc_id").cast("long") % 7 == 0
+    folder = block_max.build(chunks.where(third))
+    block_max.delete(spark, folder, chunks.where(third & seventh), 1)
+    block_max.append(folder, chunks.where(~third & ~seventh), 2)
+    return block_max.search(spark, folder, V.text_queries(spark, d))
+
+
 @query("r4_blank_queries", f"WITH {BM25}, n AS (SELECT query_id, count(*) AS hits FROM bm WHERE rank <= 50 GROUP BY 1) SELECT item_id AS query_id, CASE WHEN length(text) % 2 = 0 THEN 0 ELSE coalesce(hits, 0) END AS hits FROM benchmark LEFT JOIN n ON n.query_id = item_id", "v_chunks", "v_queries")
 def r4(spark, d):
     """Queries of even length are blanked: they have no hits, the others keep theirs."""

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docstrata.operators import vector_index, vectors
+from docstrata.operators import block_max, lexical, vector_index, vectors
 from docstrata.sources import views as V
 
 
@@ -52,3 +52,34 @@ def test_vector_index_edges(spark):
         vector_index.append(folder, spark.createDataFrame([(1, [1.0])], "vec long, embedding array<float>"), 2, id_col="vec")
     with pytest.raises(ValueError):
         vector_index.fit(v.limit(0), id_col="vec")
+
+
+def hits(df):
+    return sorted((r["query_id"], r["rank"], r["chunk_id"], r["score"]) for r in df.collect())
+
+
+def test_block_max_equals_the_plain_search(spark):
+    r = random.Random(3)
+    topics = [[f"{t}{i}" for i in range(40)] for t in ("alpha", "beta", "gamma", "delta", "eps")]
+    texts = [" ".join(r.choices(topics[i % 5], k=r.randint(1, 60)) + r.choices(["the", "of", "and"], k=r.randint(0, 9))) for i in range(600)]
+    texts += [None, "", "...", "alpha1 " * 5_000, "Alpha1 alpha2", "Alpha1 alpha2"]
+    chunks = spark.createDataFrame([(f"c{i}", t, "x") for i, t in enumerate(texts)], "chunk_id string, text string, term string")
+    asked = ["alpha1", "alpha1 alpha2", "beta3 beta4 beta5 beta6 the of", "gamma1 delta1", " ", "nothing here at all known", "the and of", " ".join(topics[4][:20])]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")
+    folder = block_max.build(chunks, range_chunks=8)
+    for k in (3, 50):
+        found, work = block_max.search_with_work(spark, folder, queries, k)
+        assert hits(found) == hits(lexical.search_texts(chunks, queries, k))
+        done = {x["query_id"]: (x["blocks"], x["scored"]) for x in work.collect()}
+        assert all(0 < scored <= blocks for blocks, scored in done.values())
+        if k == 3:
+            assert sum(s for _, s in done.values()) < sum(b for b, _ in done.values())  # the rest cannot reach the third score
+    gone = chunks.where("chunk_id LIKE '%7' OR chunk_id = 'c603'")
+    block_max.delete(spark, folder, gone, 1)
+    more = spark.createDataFrame([("n1", "alpha1 beta3 gamma1", ""), ("c7", "alpha1 again", ""), ("n2", None, "")], chunks.schema)
+    block_max.append(folder, more, 2, range_chunks=2)
+    now = chunks.join(gone.select("chunk_id"), "chunk_id", "left_anti").unionByName(more)
+    assert hits(block_max.search(spark, folder, queries, 10)) == hits(lexical.search_texts(now, queries, 10))
+    assert hits(block_max.search(spark, folder, queries.limit(0))) == []
+    empty = block_max.build(chunks.limit(0))
+    assert hits(block_max.search(spark, empty, queries)) == []
