@@ -12,7 +12,7 @@ from docstrata.plans.measures import LABEL, METRICS
 from docstrata.plans.registry import query
 from docstrata.sources import views as V
 from docstrata.sources.shared import shared_folder
-from docstrata.streaming import flows
+from docstrata.streaming import expiry, flows
 
 
 def _stream(spark, d, name):
@@ -72,6 +72,42 @@ def st6(spark, d):
     return V.read(spark, d, "events").where(~gone).select("event_id")
 
 
+_OPEN = "SELECT user_id AS key, CASE CAST(event_id % 3 AS INTEGER) WHEN 0 THEN 'job' WHEN 1 THEN 'plan' ELSE 'run' END AS kind, event_type IN ('view', 'click') AS opens, epoch_us(ts) // 1000 AS ms FROM events"
+_SETTLED = "2024-01-29 00:00:00"  # some hours before the last rows: the watermark has passed it when a stream has read all
+
+
+@query(
+    "st6_expiry_timers",
+    f"WITH o AS ({_OPEN}), n AS (SELECT *, lead(ms) OVER (PARTITION BY key ORDER BY ms, opens DESC) AS following, "
+    "ms + CASE kind WHEN 'job' THEN 300000 WHEN 'plan' THEN 1800000 ELSE 14400000 END AS expired_ms FROM o) "
+    f"SELECT key, kind, expired_ms FROM n WHERE opens AND (following IS NULL OR following > expired_ms) AND expired_ms < epoch_ms(TIMESTAMP '{_SETTLED}')",
+)
+def st6_timers(spark, d):
+    """Views and clicks open a job, a plan or a run of their user, other events end it; what expires is told by event-time timers."""
+    e = _stream(spark, d, "events")
+    kind = F.when(F.col("event_id") % 3 == 0, "job").when(F.col("event_id") % 3 == 1, "plan").otherwise("run")
+    rows = e.select(F.col("user_id").alias("key"), kind.alias("kind"), F.col("event_type").isin("view", "click").alias("opens"), F.col("ts").cast("timestamp").alias("at"))
+    with expiry.with_rocks(spark):
+        out = flows.drained(spark, expiry.expiries(rows), shared_folder(spark))
+    return out.where(F.col("expired_at") < F.lit(_SETTLED).cast("timestamp")).select("key", "kind", F.unix_millis("expired_at").alias("expired_ms"))
+
+
+@query(
+    "j8_stream_stream_grades",
+    "WITH a AS (SELECT user_id AS key, event_id AS query_id, ts AS asked_at FROM events WHERE event_type = 'view'), "
+    "g AS (SELECT user_id AS key, event_id AS grade_id, floor(value) AS grade, ts AS graded_at FROM events WHERE event_type IN ('click', 'purchase')) "
+    "SELECT query_id, grade_id, CAST(grade AS BIGINT) AS grade FROM a LEFT JOIN g ON g.key = a.key AND graded_at >= asked_at AND graded_at <= asked_at + INTERVAL 12 HOUR "
+    f"WHERE asked_at < TIMESTAMP '{_SETTLED}' - INTERVAL 12 HOUR",
+)
+def j8_streams(spark, d):
+    """Views are the query log, clicks and purchases the grades that come within twelve hours, each a stream of its own."""
+    at = F.col("ts").cast("timestamp")
+    asked = _stream(spark, d, "events").where("event_type = 'view'").select(F.col("user_id").alias("key"), F.col("event_id").alias("query_id"), at.alias("asked_at"))
+    graded = _stream(spark, d, "events").where("event_type IN ('click', 'purchase')").select(F.col("user_id").alias("key"), F.col("event_id").alias("grade_id"), F.floor("value").alias("grade"), at.alias("graded_at"))
+    out = flows.drained(spark, flows.graded_queries(asked, graded, "12 hours"), shared_folder(spark))
+    return out.where(F.col("asked_at") < F.expr(f"timestamp'{_SETTLED}' - interval 12 hours")).select("query_id", "grade_id", "grade")
+
+
 _SESSIONS = "WITH g AS (SELECT user_id, ts, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) < 21600 THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS started, count(*) AS n FROM s GROUP BY user_id, k"
 
 

@@ -15,12 +15,14 @@ from docstrata.sources import tables
 from docstrata.sources.shared import stored
 
 
-def drained(spark: SparkSession, stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+def drained(spark: SparkSession, stream: DataFrame, folder: str, mode: str = "append", name: str | None = None) -> DataFrame:
     """Everything a stream makes of its present input, as a table in ``folder``; ``complete`` keeps the last batch.
 
-    Each batch has a folder of its own under its number, so a batch that is run again replaces what it wrote before.
+    Each batch has a folder of its own under its number, so a batch that is run again replaces what it wrote before. With
+    the same ``name`` a later call goes on where an earlier one ended, its state included.
     """
-    out, state = f"{folder}/out-{uuid.uuid4().hex}", f"{folder}/state-{uuid.uuid4().hex}"
+    name = name or uuid.uuid4().hex
+    out, state = f"{folder}/out-{name}", f"{folder}/state-{name}"
 
     def write(batch: DataFrame, number: int):
         batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
@@ -121,3 +123,16 @@ def activity(messages: DataFrame, gap: str, delay: str = "2 hours") -> DataFrame
     """Sessions of each user: rows between gaps of inactivity."""
     w = F.session_window("ts", gap)
     return messages.withWatermark("ts", delay).groupBy("user_id", w).agg(F.count(F.lit(1)).alias("n"))
+
+
+def graded_queries(asked: DataFrame, graded: DataFrame, within: str = "1 hour", delay: str = "2 hours") -> DataFrame:
+    """Logged queries with the grades that come later: one stream joined with another.
+
+    ``asked`` has ``key``, ``query_id``, ``asked_at``; ``graded`` has ``key``, ``grade_id``, ``grade``, ``graded_at``. A grade belongs to a query of the same key
+    that was asked at its time or up to ``within`` before. A query without any is given once, with nulls, when the watermarks of both
+    streams leave no room for one; until then queries and grades wait in the state, and are dropped from it after.
+    """
+    left = asked.select("key", "query_id", "asked_at").withWatermark("asked_at", delay)
+    right = graded.select(F.col("key").alias("graded_key"), "grade_id", "grade", "graded_at").withWatermark("graded_at", delay)
+    meets = (F.col("key") == F.col("graded_key")) & (F.col("graded_at") >= F.col("asked_at")) & (F.col("graded_at") <= F.col("asked_at") + F.expr(f"interval {within}"))
+    return left.join(right, meets, "leftOuter").drop("graded_key")
