@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docstrata.operators import block_max, lexical, vector_index, vectors
+from docstrata.sources import committed
 from docstrata.sources import views as V
 
 
@@ -83,3 +84,55 @@ def test_block_max_equals_the_plain_search(spark):
     assert hits(block_max.search(spark, folder, queries.limit(0))) == []
     empty = block_max.build(chunks.limit(0))
     assert hits(block_max.search(spark, empty, queries)) == []
+
+
+def table_rows(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def test_committed_table_rewrites_only_what_it_must(spark, tmp_path):
+    folder, schema = f"file://{tmp_path}/docs", "id long, name string, size int"
+    rows = {i: (i, f"n{i}", i % 50) for i in range(0, 2_000, 2)}
+    first = committed.create(folder, spark.createDataFrame(list(rows.values()), schema), "id", file_rows=100)
+    assert len(first.files) == 10 and table_rows(committed.read(spark, folder)) == sorted(rows.values())
+    new = [(4, "four", 1), (5, "five", 2), (5_000, "far", 3)]
+    second = committed.upsert(spark, folder, spark.createDataFrame(new, schema), file_rows=100)
+    rows |= {r[0]: r for r in new}
+    assert table_rows(committed.read(spark, folder)) == sorted(rows.values())
+    assert len(set(first.files) & set(second.files)) == 9  # one file held key 4; 5 and 5000 are new
+    third = committed.delete(spark, folder, spark.createDataFrame([(6,), (7,), (None,), (1_998,)], "id long"))
+    for k in (6, 1_998):
+        del rows[k]
+    assert table_rows(committed.read(spark, folder)) == sorted(rows.values()) and len(set(second.files) & set(third.files)) >= 8
+    assert committed.delete(spark, folder, spark.createDataFrame([(7,), (99_999,)], "id long")).version == 2  # nothing to do
+    assert table_rows(committed.read(spark, folder, 0)) == sorted((i, f"n{i}", i % 50) for i in range(0, 2_000, 2))
+    with pytest.raises(ValueError):
+        committed.upsert(spark, folder, spark.createDataFrame([(1, "a", 1), (1, "b", 1)], schema))
+    with pytest.raises(committed.Conflict):
+        committed.create(folder, spark.createDataFrame([], schema), "id")
+    assert committed.vacuum(spark, folder, keep=1) >= 2 and table_rows(committed.read(spark, folder)) == sorted(rows.values())
+
+
+def test_committed_table_has_one_winner(spark, tmp_path):
+    folder, schema = f"file://{tmp_path}/docs", "id string, part int, v int"
+    make = lambda *r: spark.createDataFrame(list(r), schema)
+    committed.create(folder, make(*((f"k{i:03d}", 0, i) for i in range(100))), "id", "part", file_rows=20)
+    ours, same, other, twice = (committed.prepare_upsert(spark, folder, make(r)) for r in (("k005", 0, -1), ("k006", 0, -2), ("k095", 0, -3), ("zz", 1, -4)))
+    again = committed.prepare_upsert(spark, folder, make(("zz", 1, -5)))
+    reader = committed.read(spark, folder)
+    assert committed.commit(spark, folder, ours).version == 1
+    with pytest.raises(committed.Conflict):
+        committed.commit(spark, folder, same)  # the same file
+    assert committed.commit(spark, folder, other).version == 2  # other files: on top
+    assert committed.commit(spark, folder, twice).version == 3
+    with pytest.raises(committed.Conflict):
+        committed.commit(spark, folder, again)  # a key that the winner has added
+    want = {(f"k{i:03d}", 0): i for i in range(100)} | {("k005", 0): -1, ("k095", 0): -3, ("zz", 1): -4}
+    assert table_rows(committed.read(spark, folder)) == sorted((*k, v) for k, v in want.items())
+    assert table_rows(reader) == sorted((f"k{i:03d}", 0, i) for i in range(100))  # a reader keeps its version
+    empty = f"file://{tmp_path}/empty"
+    committed.create(empty, make(), "id", "part")
+    assert committed.read(spark, empty).count() == 0
+    committed.upsert(spark, empty, make(("a", 1, 1)))
+    committed.delete(spark, empty, make(("a", 1, 1)).select("id", "part"))
+    assert committed.read(spark, empty).count() == 0
