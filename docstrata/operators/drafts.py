@@ -7,11 +7,29 @@ from pyspark.sql import functions as F
 
 from docstrata.functions import text as T
 
-# Fixed: identifiers and titles of the sections of one document type, in order.
-TEMPLATE = (
-    ("overview", "Overview"), ("scope_of_work", "Scope of Work"), ("deliverables", "Deliverables"), ("timeline", "Timeline & Milestones"), ("acceptance_criteria", "Acceptance Criteria"),
-    ("payment_terms", "Payment Terms"), ("assumptions", "Assumptions & Dependencies"),
-)
+# Fixed: identifiers and titles of the sections of each document type, in order.
+TEMPLATES = {
+    "brd": (
+        ("executive_summary", "Executive Summary"), ("business_objectives", "Business Objectives"), ("stakeholders", "Stakeholders"), ("scope", "Scope"),
+        ("functional_requirements", "Functional Requirements"), ("non_functional_requirements", "Non-Functional Requirements"), ("constraints", "Constraints & Assumptions"),
+        ("success_criteria", "Success Criteria"),
+    ),
+    "sow": (
+        ("overview", "Overview"), ("scope_of_work", "Scope of Work"), ("deliverables", "Deliverables"), ("timeline", "Timeline & Milestones"),
+        ("acceptance_criteria", "Acceptance Criteria"), ("payment_terms", "Payment Terms"), ("assumptions", "Assumptions & Dependencies"),
+    ),
+    "prd": (
+        ("overview", "Overview"), ("goals", "Goals & Non-Goals"), ("user_stories", "User Stories"), ("functional_specs", "Functional Specifications"),
+        ("non_functional_specs", "Non-Functional Specifications"), ("out_of_scope", "Out of Scope"), ("timeline", "Timeline & Milestones"),
+    ),
+    "custom": (("introduction", "Introduction"), ("key_findings", "Key Findings"), ("recommendations", "Recommendations"), ("appendix", "Appendix")),
+}
+TEMPLATE = TEMPLATES["sow"]
+
+
+def template(kind: str) -> tuple[tuple[str, str], ...]:
+    """The sections of a document type, whatever the case of its name; unknown types have those of ``custom``."""
+    return TEMPLATES.get(kind.lower(), TEMPLATES["custom"])
 
 
 def lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -24,35 +42,35 @@ def headings(line_rows: DataFrame) -> DataFrame:
     return line_rows.withColumn("level", F.nullif(level, F.lit(0))).withColumn("title", F.nullif(T.strip(F.regexp_extract("line", r"^#{1,3}\s+(.+)$", 1)), F.lit("")))
 
 
-def sections(docs: DataFrame) -> DataFrame:
-    """Sections from headings: what stands before the first is dropped; of sections with one title the last stays."""
+def sections(docs: DataFrame, kind: str = "sow") -> DataFrame:
+    """Sections of a document type from headings: what stands before the first is dropped; of sections with one title the last stays."""
     w = Window.partitionBy("doc_id").orderBy("line_no")
     cut = headings(lines(docs)).withColumn("section_no", F.count("level").over(w)).where("section_no > 0")
     body = cut.groupBy("doc_id", "section_no").agg(
         F.min_by("title", "line_no").alias("title"), F.min_by("level", "line_no").alias("level"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l")
     )
-    named = body.select("doc_id", "section_no", "level", "title", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text")).withColumn("section_id", section_id(F.col("title")))
+    named = body.select("doc_id", "section_no", "level", "title", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text")).withColumn("section_id", section_id(F.col("title"), kind))
     last = Window.partitionBy("doc_id", "section_id").orderBy(F.desc("section_no"))
     return named.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n")
 
 
-def section_id(title):
-    """The first template section whose title contains, or is contained in, the heading; else a slug."""
+def section_id(title, kind: str = "sow"):
+    """The first section of the document type whose title contains, or is contained in, the heading; else a slug."""
     low = F.lower(title)
     out = None
-    for name, label in TEMPLATE:
+    for name, label in template(kind):
         fits = F.contains(low, F.lit(label.lower())) | F.contains(F.lit(label.lower()), low)
         out = F.when(fits, F.lit(name)) if out is None else out.when(fits, F.lit(name))
     return out.otherwise(F.regexp_replace(F.regexp_replace(low, r"[^\p{L}\p{N}_]+", "_"), "^_+|_+$", ""))
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """A row for each template section of each document, even where the document lacks it."""
+def signatures(docs: DataFrame, kind: str = "sow") -> DataFrame:
+    """A row for each section of the document type and each document, even where the document lacks it."""
     spark = docs.sparkSession
-    rows = [(i, a, b) for i, (a, b) in enumerate(TEMPLATE)]
-    template = spark.createDataFrame(rows, "section_order int, section_id string, section_title string")
-    wanted = docs.select("doc_id").distinct().crossJoin(F.broadcast(template))  # seven rows
-    found = wanted.join(sections(docs).select("doc_id", "section_id", "text"), ["doc_id", "section_id"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    rows = [(i, a, b) for i, (a, b) in enumerate(template(kind))]
+    wished = spark.createDataFrame(rows, "section_order int, section_id string, section_title string")
+    wanted = docs.select("doc_id").distinct().crossJoin(F.broadcast(wished))  # eight rows at most
+    found = wanted.join(sections(docs, kind).select("doc_id", "section_id", "text"), ["doc_id", "section_id"], "left").withColumn("text", F.coalesce("text", F.lit("")))
     text = F.col("text")
     return found.select(
         "doc_id", "section_id", "section_title", T.first_hit(F.lower(F.concat_ws(" ", "section_id", "section_title")), T.SECTION_TYPES, "general").alias("section_type"),

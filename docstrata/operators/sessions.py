@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 DEFAULT_CONTEXT = 32_768
 # Fixed, in the order in which a model's name is looked through.
 CONTEXT_SIZES = (
-    ("llama3.2", 128_000), ("llama3.1", 128_000), ("llama3", 8_192), ("mistral", 32_768), ("phi3", 128_000), ("gemma2", 8_192), ("qwen2.5", 128_000), ("gpt-4o", 128_000),
-    ("gpt-4-turbo", 128_000), ("gpt-3.5-turbo", 16_384), ("gemini-2.0-flash", 1_048_576), ("gemini-1.5-pro", 2_097_152), ("gemini-1.5-flash", 1_048_576),
+    ("llama3.2", 128_000), ("llama3.1", 128_000), ("llama3", 8_192), ("mistral", 32_768), ("phi3", 128_000), ("gemma2", 8_192), ("qwen2.5", 128_000),
+    ("gpt-4o", 128_000), ("gpt-4o-mini", 128_000), ("gpt-4-turbo", 128_000), ("gpt-3.5-turbo", 16_384),
+    ("claude-opus-4-6", 200_000), ("claude-sonnet-4-6", 200_000), ("claude-haiku-4-5-20251001", 200_000), ("claude-3-5-sonnet-20241022", 200_000), ("claude-3-5-haiku-20241022", 200_000),
+    ("gemini-2.0-flash", 1_048_576), ("gemini-1.5-pro", 2_097_152), ("gemini-1.5-flash", 1_048_576),
 )
 
 

@@ -197,10 +197,20 @@ def x6(spark, d):
     return titles.select("doc_id", F.row_number().over(w).cast("long").alias("section_no"), drafts.section_id(F.col("title")).alias("section_id"))
 
 
-@query("x18_context_sizes", "SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 128000 WHEN 1 THEN 8192 WHEN 2 THEN 32768 WHEN 3 THEN 16384 ELSE 32768 END AS total FROM nation")
+_SIZES = " ".join(f"WHEN contains(lower(model), '{key}') THEN {size}" for key, size in sessions.CONTEXT_SIZES)
+_KEYS = ", ".join(f"'{key}'" for key, _ in sessions.CONTEXT_SIZES)
+
+
+@query(
+    "x18_context_sizes",
+    f"WITH k AS (SELECT [{_KEYS}, 'something', 'else'] AS names), m AS (SELECT conv_id, turn, upper(substr(text, 1, 3)) || names[1 + length(text) % len(names)] || role AS model FROM conversations, k) "
+    f"SELECT conv_id, turn, CASE {_SIZES} ELSE 32768 END AS total FROM m",
+)
 def x18(spark, d):
-    names = F.array(*map(F.lit, ("Llama3.1:70b", "llama3-x", "MISTRAL", "gpt-3.5-turbo-16k", "something")))
-    return V.read(spark, d, "nation").select("n_nationkey", sessions.context_size(F.element_at(names, (F.col("n_nationkey") % 5 + 1).cast("int"))).alias("total"))
+    """A model name for each turn, chosen by the length of its text, with other letters around it."""
+    names = F.array(*map(F.lit, (*(key for key, _ in sessions.CONTEXT_SIZES), "something", "else")))
+    model = F.concat(F.upper(F.substring("text", 1, 3)), F.element_at(names, (1 + F.length("text") % F.size(names)).cast("int")), "role")
+    return V.read(spark, d, "conversations").select("conv_id", "turn", sessions.context_size(model).alias("total"))
 
 
 @query("c1_message_tokens", "SELECT session_id, pos, token_count + 4 AS tokens FROM v_messages", "v_messages")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
@@ -10,8 +12,9 @@ from docstrata.operators import chunking
 from docstrata.plans.chunk_sql import chunk_sql
 from docstrata.plans.registry import query
 from docstrata.plans.search import BM25, bm25
-from docstrata.sources import tables
+from docstrata.sources import committed, tables
 from docstrata.sources import views as V
+from docstrata.sources.shared import shared_folder
 
 _WS = r"[\s\p{Z}\x0B\x1C-\x1F\x85]"
 
@@ -97,6 +100,17 @@ def s10(spark, d):
     return tables.upsert(c, new, "c_custkey")
 
 
+@query("s10_committed_table", "SELECT doc_id AS id, source, CASE WHEN doc_id % 3 = 0 THEN n_chars + 1 ELSE n_chars END AS size FROM documents WHERE (doc_id % 2 = 0 OR doc_id % 3 = 0) AND doc_id % 7 <> 0")
+def s10c(spark, d):
+    """Every second document is committed, every third upserted, every seventh deleted; three versions of one table."""
+    docs = V.read(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", F.col("n_chars").alias("size"))
+    folder = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    committed.create(folder, docs.where("id % 2 = 0"), "id", file_rows=20_000)
+    committed.upsert(spark, folder, docs.where("id % 3 = 0").withColumn("size", F.col("size") + 1), file_rows=20_000)
+    committed.delete(spark, folder, docs.where("id % 7 = 0").select("id"), file_rows=20_000)
+    return committed.read(spark, folder)
+
+
 @query("s11_partial_update", "SELECT id, filename, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN 'error' ELSE status END AS status, size_bytes FROM v_documents", "v_documents")
 def s11(spark, d):
     docs = V.documents(spark, d).select("id", "filename", "status", "size_bytes")

@@ -119,10 +119,11 @@ def p11(spark, d):
     return V.read(spark, d, "events").select(F.col("event_id").alias("run_id"), status.alias("status"))
 
 
-@query("j8_grades_after_run", "WITH r AS (SELECT project_id, min(created_at) FILTER (WHERE grade_label IS NULL AND retrieval_grade > 0.9) AS started FROM v_grades GROUP BY 1) SELECT g.project_id, count(*) AS n FROM v_grades g JOIN r ON g.project_id = r.project_id AND g.created_at > r.started GROUP BY 1", "v_grades")
+@query("j8_grades_after_run", "WITH r AS (SELECT project_id, min(created_at) FILTER (WHERE watcher_processed) AS started FROM v_grades GROUP BY 1) SELECT g.project_id, count(*) AS n FROM v_grades g JOIN r ON g.project_id = r.project_id AND g.created_at > r.started GROUP BY 1", "v_grades")
 def j8(spark, d):
-    g = V.grades(spark, d).select("project_id", "created_at", "grade_label", "retrieval_grade")
-    runs = g.groupBy("project_id").agg(F.min(F.when(F.col("grade_label").isNull() & (F.col("retrieval_grade") > 0.9), F.col("created_at"))).alias("started"))
+    """A project's run starts with its first processed grade."""
+    g = V.grades(spark, d).select("project_id", "created_at", "watcher_processed")
+    runs = g.groupBy("project_id").agg(F.min(F.when(F.col("watcher_processed"), F.col("created_at"))).alias("started"))
     return g.join(runs, "project_id").where("created_at > started").groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
 
 

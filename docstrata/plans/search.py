@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docstrata.functions import text as T
-from docstrata.operators import block_max, chunking, graph, hybrid, lexical, plugins, ranking, vector_index, vectors
+from docstrata.operators import block_max, cache_replay, chunking, graph, hybrid, lexical, plugins, ranking, vector_index, vectors
 from docstrata.plans.registry import query
 from docstrata.sources import tables
 from docstrata.sources import views as V
@@ -352,6 +352,26 @@ def r21_all(spark, d):
     return _by_vector(r21(spark, d))
 
 
+@query(
+    "r21_lru_replay",
+    "WITH a AS (SELECT row_number() OVER (ORDER BY event_id) AS i, event_id, user_id || '-' || event_type AS key FROM events), "
+    "p AS (SELECT *, lag(i) OVER (PARTITION BY key ORDER BY i) AS p FROM a), "
+    "d AS (SELECT x.event_id, count(y.i) AS apart FROM p x LEFT JOIN p y ON y.i > x.p AND y.i < x.i AND coalesce(y.p, 0) < x.p WHERE x.p IS NOT NULL GROUP BY 1) "
+    "SELECT event_id, coalesce(apart < 200, false) AS hit FROM a LEFT JOIN d USING (event_id)",
+)
+def r21_lru(spark, d):
+    """The log of events through a cache of 200 keys, a key for each user and kind: a hit is a key with fewer than 200 others since its last use."""
+    e = V.read(spark, d, "events").select(F.col("event_id").alias("at"), F.concat_ws("-", "user_id", "event_type").alias("key"))
+    return cache_replay.replay(e, 200).select(F.col("at").alias("event_id"), "hit")
+
+
+@query("t6_cache_contents", "SELECT o_custkey || '-' || o_orderpriority AS key, max(o_orderkey) AS last_use FROM orders GROUP BY 1 ORDER BY last_use DESC LIMIT 50000")
+def t6_contents(spark, d):
+    """What a cache of 50,000 keys holds after all orders, each the use of a key of its customer and priority."""
+    o = V.read(spark, d, "orders").select(F.col("o_orderkey").alias("at"), F.concat_ws("-", "o_custkey", "o_orderpriority").alias("key"))
+    return cache_replay.contents(o, 50_000).withColumnRenamed("at", "last_use")
+
+
 @query("r22_cache_invalidation", "SELECT item_id AS query_id FROM benchmark WHERE item_id % 5 <> 2")
 def r22(spark, d):
     cache = V.text_queries(spark, d).withColumn("scope", F.col("query_id") % 5)

@@ -20,13 +20,17 @@ _MARKDOWN = (
 _LINES = f"md AS ({_MARKDOWN}), ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM md), " + (
     rf"hd AS (SELECT *, nullif(length(regexp_extract(line, '^(#{{1,3}})\s+.+$', 1)), 0) AS level, nullif(regexp_replace(regexp_extract(line, '^#{{1,3}}\s+(.+)$', 1), '^{_WS}+|{_WS}+$', '', 'g'), '') AS title FROM ln)"
 )
-_SECTIONS = (
-    f"{_LINES}, nb AS (SELECT *, count(level) OVER (PARTITION BY doc_id ORDER BY i) AS section_no FROM hd), bd AS (SELECT doc_id, section_no, lower(arg_min(title, i)) AS low, string_agg(line, chr(10) ORDER BY i) AS text FROM nb WHERE section_no > 0 GROUP BY 1, 2), "
-    "si AS (SELECT *, CASE "
-    + " ".join(f"WHEN contains(low, '{label.lower()}') OR contains('{label.lower()}', low) THEN '{name}'" for name, label in drafts.TEMPLATE)
-    + r" ELSE regexp_replace(regexp_replace(low, '[^\p{L}\p{N}_]+', '_', 'g'), '^_+|_+$', '', 'g') END AS section_id FROM bd), "
-    "sc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, section_id ORDER BY section_no DESC) AS k FROM si) WHERE k = 1)"
-)
+def _sections(kind: str) -> str:
+    return (
+        f"{_LINES}, nb AS (SELECT *, count(level) OVER (PARTITION BY doc_id ORDER BY i) AS section_no FROM hd), bd AS (SELECT doc_id, section_no, lower(arg_min(title, i)) AS low, string_agg(line, chr(10) ORDER BY i) AS text FROM nb WHERE section_no > 0 GROUP BY 1, 2), "
+        "si AS (SELECT *, CASE "
+        + " ".join(f"WHEN contains(low, '{label.lower()}') OR contains('{label.lower()}', low) THEN '{name}'" for name, label in drafts.template(kind))
+        + r" ELSE regexp_replace(regexp_replace(low, '[^\p{L}\p{N}_]+', '_', 'g'), '^_+|_+$', '', 'g') END AS section_id FROM bd), "
+        "sc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, section_id ORDER BY section_no DESC) AS k FROM si) WHERE k = 1)"
+    )
+
+
+_SECTIONS = _sections("sow")
 _RULES = (
     "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '(?i)\\b{w}\\b') THEN '{w}' END" for w in T.DEONTIC) + "], lambda x: x IS NOT NULL), ',')",
     "array_to_string(list_filter([" + ", ".join(f"CASE WHEN contains(lower(text), '{w}') THEN '{w}' END" for w in T.PARTIES) + "], lambda x: x IS NOT NULL), ',')",
@@ -81,6 +85,40 @@ def x11(spark, d):
     return drafts.signatures(_markdown(spark, d)).select("doc_id", "section_id", "section_type", "obligations", "parties", "terms")
 
 
+_KINDS = ("BRD", "prd", "custom", "letter")  # the last is no type, so it counts as custom
+
+
+def _of_kinds(body) -> str:
+    return " UNION ALL ".join(f"SELECT '{kind}' AS kind, * FROM ({body(kind)})" for kind in _KINDS)
+
+
+def _wished(kind: str) -> str:
+    rows = ", ".join(f"('{name}', '{title}')" for name, title in drafts.template(kind))
+    return (
+        f"WITH {_sections(kind)}, t AS (SELECT section_id, {_first_hit("lower(section_id || ' ' || title)", T.SECTION_TYPES, 'general')} AS section_type FROM (VALUES {rows}) v(section_id, title)), "
+        "w AS (SELECT d.doc_id, t.section_id, t.section_type, coalesce(sc.text, '') AS text FROM documents d CROSS JOIN t LEFT JOIN sc ON sc.doc_id = d.doc_id AND sc.section_id = t.section_id) "
+        f"SELECT doc_id, section_id, section_type, {_RULES[0]} AS obligations, {_RULES[1]} AS parties, {_RULES[2]} AS terms FROM w"
+    )
+
+
+def _each_kind(spark, d, of):
+    out = None
+    for kind in _KINDS:
+        part = of(_markdown(spark, d), kind).withColumn("kind", F.lit(kind))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("x6_sections_of_all_types", _of_kinds(lambda kind: f"WITH {_sections(kind)} SELECT doc_id, CAST(section_no AS INTEGER) AS section_no, section_id, md5(text) AS digest FROM sc"))
+def x6_kinds(spark, d):
+    return _each_kind(spark, d, drafts.sections).select("kind", "doc_id", F.col("section_no").cast("int").alias("section_no"), "section_id", F.md5("text").alias("digest"))
+
+
+@query("x11_signatures_of_all_types", _of_kinds(_wished))
+def x11_kinds(spark, d):
+    return _each_kind(spark, d, drafts.signatures).select("kind", "doc_id", "section_id", "section_type", "obligations", "parties", "terms")
+
+
 @query("x7_section_types", f"SELECT page_id, {_first_hit('lower(html)', T.SECTION_TYPES, 'general')} AS section_type FROM pages")
 def x7(spark, d):
     return V.read(spark, d, "pages").select("page_id", T.first_hit(F.lower("html"), T.SECTION_TYPES, "general").alias("section_type"))

@@ -1,12 +1,13 @@
 """Structures that outlive a call: vector index, pruned postings, committed tables, cache replay."""
 
 import random
+from collections import OrderedDict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docstrata.operators import block_max, lexical, vector_index, vectors
+from docstrata.operators import block_max, cache_replay, drafts, lexical, sessions, vector_index, vectors
 from docstrata.sources import committed
 from docstrata.sources import views as V
 
@@ -136,3 +137,40 @@ def test_committed_table_has_one_winner(spark, tmp_path):
     committed.upsert(spark, empty, make(("a", 1, 1)))
     committed.delete(spark, empty, make(("a", 1, 1)).select("id", "part"))
     assert committed.read(spark, empty).count() == 0
+
+
+@pytest.mark.parametrize("capacity,block", [(1, 7), (5, 13), (40, 64), (200, 50), (1_000, 300)])
+def test_cache_replay_equals_a_sequential_cache(spark, capacity, block):
+    r = random.Random(capacity)
+    keys = [f"k{min(r.randint(0, 300), r.randint(0, 300))}" if r.random() > 0.02 else None for _ in range(2_500)] + ["hot"] * 400 + [f"k{i}" for i in range(300)]
+    log = list(zip(r.sample(range(100_000), len(keys)), keys))
+    cache, want = OrderedDict(), []
+    for at, key in sorted(log):
+        hit, out = key in cache, None
+        if key is not None:
+            cache[key] = at
+            cache.move_to_end(key)
+            if len(cache) > capacity:
+                out = cache.popitem(last=False)[0]
+        want.append((at, key, hit, out))
+    rows = spark.createDataFrame(log, "at int, key string")
+    got = cache_replay.replay(rows, capacity, block_rows=block).collect()
+    assert sorted((x["at"], x["key"], x["hit"], x["evicted"]) for x in got) == want
+    assert sorted((x["key"], x["at"]) for x in cache_replay.contents(rows, capacity).collect()) == sorted(cache.items())
+    assert cache_replay.replay(rows.limit(0), capacity).collect() == []
+
+
+def test_context_sizes_of_all_keys(spark):
+    names = [(f"My-{key.upper()}:latest", next(size for k, size in sessions.CONTEXT_SIZES if k in key)) for key, _ in sessions.CONTEXT_SIZES] + [("other", 32_768)]
+    assert len(names) == 20
+    got = spark.createDataFrame(names, "model string, want int").withColumn("got", sessions.context_size(F.col("model"))).collect()
+    assert all(r["got"] == r["want"] for r in got)
+
+
+def test_sections_of_document_types(spark):
+    docs = spark.createDataFrame([(1, "# User stories\na\n## Goals\nb\n# Non-functional specifications\nc\n# Key findings\nd\n# Stakeholders\ne")], "doc_id int, text string")
+    ids = lambda kind: [r["section_id"] for r in drafts.sections(docs, kind).orderBy("section_no").collect()]
+    assert ids("PRD") == ["user_stories", "goals", "non_functional_specs", "key_findings", "stakeholders"]
+    assert ids("unknown") == ids("custom") == ["user_stories", "goals", "non_functional_specifications", "key_findings", "stakeholders"]
+    assert ids("brd")[-1] == "stakeholders" and drafts.signatures(docs, "brd").count() == 8
+    assert [len(drafts.template(k)) for k in ("brd", "sow", "prd", "letter")] == [8, 7, 7, 4]
