@@ -9,31 +9,58 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docstrata.functions import text as T
+from docstrata.sources.shared import stored
 
-BROADCAST_QUERIES = 50_000
+QUERY_BYTES = 32 << 20  # of the vectors of one round of queries, as float64
 QUERIES_AT_ONCE = 512  # rows of a matrix of scores
 _ARROW = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
 
 
+class _Nearest:
+    """The k best so far of each query of a round, ties to the smaller id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.rows: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, object))] * queries
+        self.floor = np.full(queries, -np.inf)  # the k-th score, once there are k
+
+    def add(self, first: int, score: np.ndarray, names: np.ndarray) -> None:
+        """Scores of queries from ``first`` on (-inf: no hit) with vectors of these ids."""
+        for i in np.flatnonzero((score >= self.floor[first : first + len(score), None]).any(axis=1) & np.isfinite(score).any(axis=1)):
+            q, own = first + i, score[i]
+            keep = np.flatnonzero((own >= self.floor[q]) & np.isfinite(own))
+            value, name = np.concatenate([self.rows[q][0], own[keep]]), np.concatenate([self.rows[q][1], names[keep]])
+            if len(value) > self.k:
+                least = np.partition(value, len(value) - self.k)[len(value) - self.k]
+                sure, tied = np.flatnonzero(value > least), np.flatnonzero(value == least)
+                tied = sorted(tied.tolist(), key=lambda j: name[j])[: self.k - len(sure)]
+                best = np.concatenate([sure, np.array(tied, np.int64)])
+                value, name = value[best], name[best]
+            if len(value) == self.k:
+                self.floor[q] = value.min()
+            self.rows[q] = value, name
+
+
 def exact_top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 50, same_project: bool = False, id_col: str = "chunk_id") -> DataFrame:
     """The k nearest vectors by cosine of each query: query_id, rank, ``id_col``, score.
 
-    ``queries`` has query_id, query_embedding (and query_project). Rows of zero norm are skipped. Each task multiplies
-    its Arrow batches of vectors with a block of queries and keeps k for each query; one window merges those.
-    Queries go in blocks of a bounded size.
+    ``queries`` has query_id, query_embedding (and query_project). Rows of zero norm, and without vector or id, are skipped. Queries go in
+    rounds of at most ``QUERY_BYTES``; each round is broadcast, read once over all vectors, written, and given up before the next.
+    A task keeps k hits for each query of a round over all its vectors, so what it passes on does not grow with them;
+    one window merges the tasks.
     """
     spark = vectors.sparkSession
     usable = queries.where(T.norm(F.col("query_embedding")) > 0)
-    total = usable.count()
-    rounds = max(1, -(-total // BROADCAST_QUERIES))
+    total, dims = usable.agg(F.count(F.lit(1)), F.max(F.size("query_embedding"))).first()
+    rounds = max(1, -(-total * 8 * (dims or 1) // QUERY_BYTES))
     project = F.col("query_project") if same_project else F.lit(None)
     block = usable.select("query_id", "query_embedding", project.cast("string").alias("query_project"), F.pmod(F.xxhash64("query_id"), F.lit(rounds)).alias("round"))
-    kind = vectors.schema[id_col].dataType.simpleString()
+    kind, query_kind = vectors.schema[id_col].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     scope = F.col("project_id") if same_project else F.lit(None)
-    source = vectors.select(id_col, "embedding", scope.cast("string").alias("project"))
+    source = vectors.where(F.col(id_col).isNotNull() & F.col("embedding").isNotNull()).select(id_col, "embedding", scope.cast("string").alias("project"))
     found = None
     for r in range(rounds):
-        rows = block.where(F.col("round") == r).collect()  # at most about BROADCAST_QUERIES rows
+        rows = block.where(F.col("round") == r).collect()  # about QUERY_BYTES
         if not rows:
             continue
         ids = np.array([x["query_id"] for x in rows], dtype=object)
@@ -42,10 +69,9 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 50, same_pro
         scopes = np.array([x["query_project"] for x in rows], dtype=object)
         shared = spark.sparkContext.broadcast((ids, q, scopes))
 
-        query_kind = queries.schema["query_id"].dataType.simpleString()
-
         def run(batches, shared=shared, kinds=(_ARROW[query_kind], _ARROW[kind])):
             ids, q, scopes = shared.value
+            best = _Nearest(len(q), k)
             for batch in batches:
                 m = np.array(batch.column(1).to_pylist(), dtype=np.float64)
                 if not len(m):
@@ -60,12 +86,18 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, *, k: int = 50, same_pro
                     keep = np.broadcast_to(n > 0, score.shape)
                     if same_project:
                         keep = keep & (scopes[some, None] == project[None])
-                    score = np.where(keep, score, -np.inf)
-                    least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(score), -np.inf)
-                    a, b = np.nonzero((score >= least[:, None]) & np.isfinite(score))
-                    yield pa.RecordBatch.from_pydict({"query_id": pa.array(ids[some][a].tolist(), kinds[0]), id_col: pa.array(names[b].tolist(), kinds[1]), "score": pa.array(score[a, b])})
+                    best.add(first, np.where(keep, score, -np.inf), names)
+            for first in range(0, len(q), QUERIES_AT_ONCE):
+                hits = [(ids[i], *best.rows[i]) for i in range(first, min(first + QUERIES_AT_ONCE, len(q))) if len(best.rows[i][0])]
+                yield pa.RecordBatch.from_pydict({
+                    "query_id": pa.array([i for i, value, _ in hits for _ in value], kinds[0]), id_col: pa.array([x for _, _, name in hits for x in name], kinds[1]),
+                    "score": pa.array([x for _, value, _ in hits for x in value], pa.float64()),
+                })
 
         part = source.mapInArrow(run, f"query_id {query_kind}, {id_col} {kind}, score double")
+        if rounds > 1:
+            part = stored(part)
+            shared.unpersist()
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = queries.select("query_id").limit(0).crossJoin(vectors.select(id_col).limit(0)).withColumn("score", F.lit(0.0))

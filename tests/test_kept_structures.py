@@ -174,3 +174,19 @@ def test_sections_of_document_types(spark):
     assert ids("unknown") == ids("custom") == ["user_stories", "goals", "non_functional_specifications", "key_findings", "stakeholders"]
     assert ids("brd")[-1] == "stakeholders" and drafts.signatures(docs, "brd").count() == 8
     assert [len(drafts.template(k)) for k in ("brd", "sow", "prd", "letter")] == [8, 7, 7, 4]
+
+
+def test_exact_search_keeps_k_hits_of_a_query_in_a_task(spark, monkeypatch):
+    rows = [(f"v{i:05d}", [1.0, 2.0], 1) for i in range(20_000)] + [("a", [2.0, 1.0], 1), ("zero", [0.0, 0.0], 1), (None, [1.0, 2.0], 1), ("none", None, 1)]
+    v = spark.createDataFrame(rows, "chunk_id string, embedding array<double>, project_id int").repartition(3)
+    q = spark.createDataFrame([(i, [1.0, 2.0 + i], 1) for i in range(40)], "query_id int, query_embedding array<double>, query_project int")
+    want = [(i, n + 1, f"v{n:05d}") for i in range(40) for n in range(5)]
+    for size in (32 << 20, 200):  # one round of queries, and several
+        monkeypatch.setattr(vectors, "QUERY_BYTES", size)
+        got = vectors.exact_top_k(v, q, k=5)
+        assert sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in got.collect()) == want
+    best = vectors._Nearest(2, 3)
+    names = np.array([f"n{i}" for i in range(9)], object)
+    best.add(0, np.array([[0.5] * 9, [-np.inf] * 9]), names[::-1])
+    best.add(0, np.array([[0.4, 0.5, 0.9] * 3, [-np.inf, 0.1, -np.inf] * 3]), np.array([f"m{i}" for i in range(9)], object))
+    assert sorted(best.rows[0][1]) == ["m2", "m5", "m8"] and sorted(best.rows[1][1]) == ["m1", "m4", "m7"]
