@@ -125,35 +125,131 @@ def blended(query: Column, hypotheses: Column, alpha: float = 0.5) -> Column:
     return _unit(F.zip_with(query, _unit(total), lambda q, m: q.cast("double") * (1 - alpha) + m * alpha))
 
 
+PIVOT_SAMPLE, MOST_PIVOTS = 2_048, 256  # most vectors that pivots are drawn from (those of the smallest hashes), most pivots
+
+
+def _pivots(sample: np.ndarray, n: int) -> np.ndarray:
+    """Vectors far from one another: each next one is the farthest from those before."""
+    chosen, far = [0], ((sample - sample[0]) ** 2).sum(1)
+    while len(chosen) < n and far.max() > 1e-12:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, ((sample - sample[chosen[-1]]) ** 2).sum(1))
+    return sample[chosen]
+
+
+def _unit_rows(m: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(n == 0, 1, n)
+
+
+def _regions(vectors: DataFrame, threshold: float, id_col: str, block_rows: int) -> DataFrame:
+    """Rows (project_id, dims, region, guest, id, embedding): each vector at home in one region, and a guest in those later
+    regions of which some vector may be near enough."""
+    spark = vectors.sparkSession
+    kinds = {c: vectors.schema[c].dataType.simpleString() for c in ("project_id", id_col)}
+    known = stored(
+        vectors.where(F.col("project_id").isNotNull() & F.col(id_col).isNotNull() & F.col("embedding").isNotNull())
+        .select("project_id", F.col(id_col).alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), F.size("embedding").alias("dims"))
+    )
+    common = known.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dims").first()
+    if common is None:
+        return known.select("project_id", "dims", F.lit(0).alias("region"), F.lit(False).alias("guest"), "id", "embedding")
+    dims, most = common["dims"], max(1, min(MOST_PIVOTS, -(-common["n"] // block_rows) * 4))
+    drawn = known.where(F.col("dims") == dims).orderBy(F.xxhash64("id")).limit(PIVOT_SAMPLE).select("embedding").collect()
+    pivots = _pivots(_unit_rows(np.array([r["embedding"] for r in drawn], np.float64).reshape(len(drawn), -1)), most)
+    shared = spark.sparkContext.broadcast(pivots)  # at most MOST_PIVOTS vectors
+
+    def distances(column: pa.Array) -> np.ndarray:
+        m = _unit_rows(np.array(column.to_pylist(), np.float64))
+        p = shared.value
+        return np.sqrt(np.maximum((m**2).sum(1)[:, None] - 2 * m @ p.T + (p**2).sum(1), 0))
+
+    def home(batches):
+        for part in batches:
+            if part.num_rows:
+                d = distances(part.column("embedding"))
+                at = d.argmin(1)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(d[np.arange(len(d)), at])], names=["region", "away"])
+
+    usual = known.where(F.col("dims") == dims)
+    radius = np.full(len(pivots), -np.inf)
+    for r in usual.select("embedding").mapInArrow(home, "region int, away double").groupBy("region").agg(F.max("away").alias("far")).collect():  # a row for each pivot
+        radius[r["region"]] = r["far"]
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6  # of unit vectors whose cosine is the threshold
+    apart = np.sqrt(np.maximum(2 - 2 * np.clip(pivots @ pivots.T, -1, 1), 1e-12)) if len(pivots) > 1 else np.ones((1, 1))
+
+    def route(batches):
+        for part in batches:
+            if not part.num_rows:
+                continue
+            d = distances(part.column("embedding"))
+            at = d.argmin(1)
+            own = d[np.arange(len(d)), at]
+            beyond = (d**2 - own[:, None] ** 2) / (2 * apart[at])  # how far the border to another region is
+            to = (beyond <= reach) & (d <= radius + reach) & (np.arange(d.shape[1]) > at[:, None])
+            to[np.arange(len(d)), at] = True
+            row, region = np.nonzero(to)
+            again = part.take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [again.column("project_id"), again.column("dims"), pa.array(region, pa.int32()), pa.array(region != at[row], pa.bool_()), again.column("id"), again.column("embedding")],
+                names=["project_id", "dims", "region", "guest", "id", "embedding"],
+            )
+
+    schema = f"project_id {kinds['project_id']}, dims int, region int, guest boolean, id {kinds[id_col]}, embedding array<double>"
+    rest = known.where(F.col("dims") != dims).select("project_id", "dims", F.lit(-1).alias("region"), F.lit(False).alias("guest"), "id", "embedding")
+    return usual.mapInArrow(route, schema).unionByName(rest)
+
+
 def near_pairs(vectors: DataFrame, threshold: float, id_col: str = "id", *, block_rows: int = 1024) -> DataFrame:
-    """Pairs within a project whose cosine reaches the threshold.
+    """Pairs within a project whose cosine reaches the threshold: project_id, a, b (a < b), score.
 
-    Projects of more than ``block_rows`` vectors are dealt out in blocks by hash, and each pair of blocks is multiplied
-    in a task of its own that lists only what reaches the threshold; no task holds more than about two blocks.
+    Unit vectors of that cosine are at most a certain distance apart. Vectors belong to the region of the nearest of some
+    pivots; one is compared within its region, and with a later region only if the border between the two pivots and the ball around the
+    other's vectors leave room for a vector at that distance. So regions that cannot hold a pair never meet. A region
+    of more than ``block_rows`` vectors of a project is dealt out in blocks by hash, and each pair of blocks is multiplied in a task of its
+    own that lists only what reaches the threshold; no task holds more than about two blocks.
     """
+    return _near_pairs(vectors, threshold, id_col, block_rows)[0]
+
+
+def near_pairs_with_work(vectors: DataFrame, threshold: float, id_col: str = "id", *, block_rows: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """``near_pairs``, and one row of ``compared`` and ``all_pairs``: pairs that were multiplied, and pairs in all projects."""
+    return _near_pairs(vectors, threshold, id_col, block_rows)
+
+
+def _near_pairs(vectors: DataFrame, threshold: float, id_col: str, block_rows: int) -> tuple[DataFrame, DataFrame]:
     kinds = {c: vectors.schema[c].dataType.simpleString() for c in ("project_id", id_col)}
-    known = vectors.where(F.col("project_id").isNotNull() & F.col(id_col).isNotNull() & F.col("embedding").isNotNull()).select("project_id", F.col(id_col).alias("id"), "embedding", F.size("embedding").alias("dims"))
-    # a row for each project of more than a block
-    large = known.groupBy("project_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_rows).select("project_id", F.ceil(F.col("n") / block_rows).alias("blocks"))
-    dealt = known.join(F.broadcast(large), "project_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("s", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("project_id", "dims", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"), "s", "id", "embedding")
+    keys = ["project_id", "dims", "region"]
+    rows = stored(_regions(vectors, threshold, id_col, block_rows))
+    # a table with a row for each region of each project
+    sizes = stored(rows.groupBy(*keys).agg(F.count_if(~F.col("guest")).alias("own"), F.count_if("guest").alias("guests")))
+    blocks = sizes.where("own > 0").select(*keys, F.ceil(F.col("own") / block_rows).alias("own_blocks"), F.ceil(F.col("guests") / block_rows).alias("guest_blocks"))
+    placed = rows.join(blocks, keys).withColumn(
+        "s", F.when(F.col("guest"), F.col("own_blocks") + F.pmod(F.xxhash64("id"), F.greatest(F.col("guest_blocks"), F.lit(1)))).otherwise(F.pmod(F.xxhash64("id"), F.col("own_blocks")))
+    )
+    # vectors at home meet all blocks, guests those of vectors at home
+    last = F.when(F.col("guest"), F.col("own_blocks") - 1).otherwise(F.col("own_blocks") + F.col("guest_blocks") - 1)
+    dealt = placed.withColumn("t", F.explode(F.sequence(F.lit(0), last.cast("int")))).select(*keys, F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"), "s", "id", "embedding")
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        m = np.array(frame["embedding"].tolist(), dtype=np.float64).reshape(len(frame), -1)
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        m, ids = m / np.where(n == 0, 1, n), frame["id"].to_numpy()
-        own = np.nonzero(frame["s"].to_numpy() == key[2])[0]
-        other = own if key[2] == key[3] else np.nonzero(frame["s"].to_numpy() == key[3])[0]
+        i, j = key[3], key[4]
+        m = _unit_rows(np.array(frame["embedding"].tolist(), dtype=np.float64).reshape(len(frame), -1))
+        ids = frame["id"].to_numpy()
+        own = np.nonzero(frame["s"].to_numpy() == i)[0]
+        other = own if i == j else np.nonzero(frame["s"].to_numpy() == j)[0]
         found = []
         for first in range(0, len(own), 256):
             score = m[own[first : first + 256]] @ m[other].T
             x, y = np.nonzero(score >= threshold - 1e-6)  # Spark rounds and decides
             a, b, score = ids[own[first + x]], ids[other[y]], score[x, y]
-            keep = a < b if key[2] == key[3] else a != b
+            keep = a < b if i == j else a != b
             a, b, score = a[keep], b[keep], score[keep]
             found.append(pd.DataFrame({"project_id": key[0], "a": np.where(a < b, a, b), "b": np.where(a < b, b, a), "score": score}))
         return pd.concat(found) if found else pd.DataFrame({"project_id": [], "a": [], "b": [], "score": []})
 
-    pairs = dealt.groupBy("project_id", "dims", "i", "j").applyInPandas(run, f"project_id {kinds['project_id']}, a {kinds[id_col]}, b {kinds[id_col]}, score double")
-    return pairs.withColumn("score", F.round("score", 6)).where(F.col("score") >= threshold)
+    pairs = dealt.groupBy(*keys, "i", "j").applyInPandas(run, f"project_id {kinds['project_id']}, a {kinds[id_col]}, b {kinds[id_col]}, score double")
+    pairs = pairs.withColumn("score", F.round("score", 6)).where(F.col("score") >= threshold)
+    own = F.col("own").cast("double")
+    compared = sizes.agg(F.coalesce(F.sum(own * (own - 1) / 2 + own * F.col("guests")), F.lit(0.0)).alias("compared"))
+    every = sizes.groupBy("project_id", "dims").agg(F.sum(own).alias("n")).agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0)).alias("all_pairs"))
+    return pairs, compared.crossJoin(every)  # one row each

@@ -142,6 +142,12 @@ def v9(spark, d):
     return vectors.near_pairs(_labelled_vectors(spark, d), 0.8)
 
 
+@query("v9_near_pairs_at_03", "SELECT a.project_id, a.chunk_no AS a, b.chunk_no AS b, round(list_inner_product(a.embedding, b.embedding) / (sqrt(list_inner_product(a.embedding, a.embedding)) * sqrt(list_inner_product(b.embedding, b.embedding))), 6) AS score FROM v_vectors a JOIN v_vectors b ON a.project_id = b.project_id AND a.chunk_no < b.chunk_no WHERE round(list_inner_product(a.embedding, b.embedding) / (sqrt(list_inner_product(a.embedding, a.embedding)) * sqrt(list_inner_product(b.embedding, b.embedding))), 6) >= 0.3", "v_vectors")
+def v9_low(spark, d):
+    """At a cosine that random vectors reach, so that there are pairs in every table."""
+    return vectors.near_pairs(_labelled_vectors(spark, d), 0.3)
+
+
 _LEADERS = (
     "nw AS (SELECT project_id, chunk_no AS id, list_transform(embedding, lambda x: x / sqrt(list_inner_product(embedding, embedding))) AS u FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY chunk_no DESC) AS rn FROM v_vectors) WHERE rn <= 100), "
     "ls AS (SELECT project_id, list(id ORDER BY id) AS ids, list(u ORDER BY id) AS us, count(*) AS n FROM nw GROUP BY 1), "

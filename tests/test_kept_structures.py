@@ -190,3 +190,19 @@ def test_exact_search_keeps_k_hits_of_a_query_in_a_task(spark, monkeypatch):
     best.add(0, np.array([[0.5] * 9, [-np.inf] * 9]), names[::-1])
     best.add(0, np.array([[0.4, 0.5, 0.9] * 3, [-np.inf, 0.1, -np.inf] * 3]), np.array([f"m{i}" for i in range(9)], object))
     assert sorted(best.rows[0][1]) == ["m2", "m5", "m8"] and sorted(best.rows[1][1]) == ["m1", "m4", "m7"]
+
+
+def test_near_pairs_by_regions(spark):
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(12, 16))
+    m = np.concatenate([centres[r.integers(0, 12, 700)] + 0.15 * r.normal(size=(700, 16)), np.repeat(r.normal(size=(1, 16)), 60, 0), np.zeros((2, 16))])
+    rows = [(int(i % 3), i, x.tolist()) for i, x in enumerate(m)] + [(0, 900, [1.0, 0.0]), (0, 901, [2.0, 0.0]), (0, 902, None), (None, 903, m[0].tolist())]
+    v = spark.createDataFrame(rows, "project_id int, id int, embedding array<double>")
+    u = m / np.where(np.linalg.norm(m, axis=1, keepdims=True) == 0, 1, np.linalg.norm(m, axis=1, keepdims=True))
+    for threshold, share in ((0.95, 0.5), (0.2, 1.0), (-0.1, 1.0)):
+        want = {(i, j) for i in range(len(m)) for j in range(i + 1, len(m)) if i % 3 == j % 3 and round(float(u[i] @ u[j]), 6) >= threshold} | {(900, 901)}
+        found, work = vectors.near_pairs_with_work(v, threshold, block_rows=32)
+        assert {(x["a"], x["b"]) for x in found.collect()} == want and found.count() == len(want)
+        done = work.first()
+        assert 0 < done["compared"] <= share * done["all_pairs"]
+    assert vectors.near_pairs(v.limit(0), 0.5).count() == 0
