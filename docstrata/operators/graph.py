@@ -17,6 +17,37 @@ def aggregate_entities(mentions: DataFrame) -> DataFrame:
     )
 
 
+def entity_parts(mentions: DataFrame, batch: int, *, most: int = 1_000) -> DataFrame:
+    """What a batch of mentions adds to its entities, in rows that never hold more than ``most`` chunk ids.
+
+    Columns: project_id, entity_name, batch, part, first (the place of the first mention), entity_type, synonym, occurrence_count, source_chunk_ids.
+    Mentions are pre-aggregated by chunk, then dealt to parts by the chunk's hash, so an entity that a third of all
+    chunks mention is many rows of bounded size, made in many tasks. Parts of several batches merge by a union; a batch that is run
+    again takes the place of its own rows. A chunk is to be in one batch.
+    """
+    seen = F.struct("chunk_id", "seq")
+    keys = ["project_id", "entity_name"]
+    by_chunk = mentions.groupBy(*keys, "chunk_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("seq", "entity_type", "synonym")).alias("own"))
+    by_chunk = stored(by_chunk)
+    cuts = by_chunk.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) * 2 / F.lit(most)).alias("cuts"))
+    dealt = by_chunk.join(cuts, keys).withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.col("cuts")))
+    place = F.struct("chunk_id", F.col("own.seq").alias("seq"))
+    parts = dealt.groupBy(*keys, "part").agg(
+        F.min(place).alias("first"), F.min_by("own.entity_type", place).alias("entity_type"), F.min_by("own.synonym", place).alias("synonym"),
+        F.sum("n").alias("n"), F.sort_array(F.collect_list("chunk_id")).alias("ids"),
+    )
+    slices = F.transform(F.sequence(F.lit(0), ((F.size("ids") - 1) / most).cast("int")), lambda i: F.slice("ids", i * most + 1, F.lit(most)))
+    rows = parts.select(*keys, F.lit(batch).alias("batch"), "part", "first", "entity_type", "synonym", "n", F.posexplode(slices).alias("slice", "source_chunk_ids"))
+    return rows.select(*keys, "batch", "part", "slice", "first", "entity_type", "synonym", F.when(F.col("slice") == 0, F.col("n")).otherwise(F.lit(0)).alias("occurrence_count"), "source_chunk_ids")
+
+
+def entity_totals(parts: DataFrame) -> DataFrame:
+    """``aggregate_entities`` of all batches without the chunk ids: partial sums alone, so no row grows with an entity."""
+    return parts.groupBy("project_id", "entity_name").agg(
+        F.min_by("entity_type", "first").alias("entity_type"), F.array(F.min_by("synonym", "first")).alias("synonyms"), F.sum("occurrence_count").alias("occurrence_count")
+    )
+
+
 def aliases(entities: DataFrame) -> DataFrame:
     """Names and synonyms in lower case, a row each: what an equality join can use in place of an OR over arrays."""
     both = F.array_distinct(F.transform(F.array_union(F.array("entity_name"), "synonyms"), F.lower))

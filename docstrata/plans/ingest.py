@@ -12,7 +12,7 @@ from docstrata.operators import chunking
 from docstrata.plans.chunk_sql import chunk_sql
 from docstrata.plans.registry import query
 from docstrata.plans.search import BM25, bm25
-from docstrata.sources import committed, tables
+from docstrata.sources import committed, hash_store, tables
 from docstrata.sources import views as V
 from docstrata.sources.shared import shared_folder
 
@@ -76,6 +76,20 @@ def s6b(spark, d):
     return tables.unseen(docs.where("doc_id % 3 = 0"), docs.where("doc_id % 3 <> 0")).select("doc_id")
 
 
+@query("s6_hash_store", "SELECT CASE WHEN first % 10 < 4 THEN 0 WHEN first % 10 < 8 THEN 1 ELSE 2 END AS batch, count(*) AS n FROM (SELECT min(struct_pack(b := CASE WHEN doc_id % 10 < 4 THEN 0 WHEN doc_id % 10 < 8 THEN 1 ELSE 2 END, i := doc_id)).i AS first FROM documents GROUP BY coalesce(text, '')) GROUP BY 1")
+def s6_store(spark, d):
+    """Documents in three batches against a kept history of content hashes, compacted after the first: new contents of each batch."""
+    docs = tables.content_hash(V.read(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text").select("doc_id", "file_hash")
+    number = F.when(F.col("doc_id") % 10 < 4, 0).when(F.col("doc_id") % 10 < 8, 1).otherwise(2)
+    folder, out = f"{shared_folder(spark)}/hashes-{uuid.uuid4().hex}", None
+    for batch in range(3):
+        new = hash_store.add(spark, folder, docs.where(number == batch), batch).agg(F.count(F.lit(1)).alias("n")).select(F.lit(batch).alias("batch"), "n")
+        out = new if out is None else out.unionByName(new)
+        if batch == 0:
+            hash_store.compact(spark, folder, bucket_rows=1_000)
+    return out
+
+
 @query("s8_session_append_totals", "SELECT session_id, count(*) AS message_count, CAST(sum(token_count) AS BIGINT) AS total_tokens, max(pos) AS last_pos FROM (SELECT session_id, pos, token_count FROM v_messages UNION ALL SELECT session_id, pos + 1000, token_count FROM v_messages WHERE pos = 0) GROUP BY session_id", "v_messages")
 def s8(spark, d):
     from docstrata.operators import sessions

@@ -452,6 +452,16 @@ def t6(spark, d):
     return V.read(spark, d, "embeddings").select("vec_id", F.row_number().over(w).alias("k")).where("k <= 20").select("vec_id")
 
 
+@query("a11_entity_parts", "SELECT project_id, entity_name, entity_type, synonyms, occurrence_count FROM v_entities", "v_entities")
+def a11_parts(spark, d):
+    """Entities from the merged parts of three batches of chunks, none of which was counted again."""
+    m, parts = V.mentions(spark, d), None
+    for batch in range(3):
+        new = graph.entity_parts(m.where(F.pmod(F.col("chunk_id"), F.lit(3)) == batch), batch)
+        parts = new if parts is None else parts.unionByName(new)
+    return graph.entity_totals(parts)
+
+
 @query("a11_entities", "SELECT project_id, entity_name, entity_type, synonyms[1] AS synonym, occurrence_count, array_to_string(source_chunk_ids, ',') AS chunk_ids FROM v_entities", "v_entities")
 def a11(spark, d):
     e = V.entities(spark, d)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docstrata.operators import chunking, quality
-from docstrata.sources import tables
+from docstrata.sources import hash_store, tables
 from docstrata.sources.shared import stored
 
 
@@ -43,7 +43,8 @@ _FILES, _CHUNKS = "doc_id string, file_hash string", "chunk_id string, doc_id st
 def ingest_batch(batch: DataFrame, number: int, folder: str, *, size: int = 512, overlap: float = 0.1) -> None:
     """One batch of documents (doc_id, text) into the tables ``files`` and ``chunks`` of ``folder``.
 
-    A content hash that the batch or an earlier batch has already is left out; the rest is paged and chunked (null texts
+    A content hash that the batch or an earlier batch has already is left out (a ``hash_store`` knows them, so the cost of a
+    batch does not grow with the history; compact it now and then); the rest is paged and chunked (null texts
     count as empty). Both tables
     are written under the batch's number, so a batch that is run again replaces its own rows and never doubles them. A
     document that comes again with other content gets a new set of chunks; ``current`` reads the newest.
@@ -51,8 +52,7 @@ def ingest_batch(batch: DataFrame, number: int, folder: str, *, size: int = 512,
     spark = batch.sparkSession
     hashed = tables.content_hash(batch.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text")
     first = hashed.groupBy("file_hash").agg(F.min("doc_id").alias("doc_id"))
-    known = _of_batches(spark, folder, "files", _FILES)
-    new = first if known is None else first.join(known.where(F.col("batch") != number).select("file_hash"), "file_hash", "left_anti")
+    new = first.join(hash_store.add(spark, f"{folder}/hashes", first, number), "file_hash", "left_semi")
     fresh = stored(hashed.join(new, ["file_hash", "doc_id"], "left_semi").dropDuplicates(["file_hash"]))
     chunks = chunking.chunk_pages(chunking.virtual_pages(fresh.select("doc_id", "text")), size=size, overlap=overlap)
     chunks.write.mode("overwrite").parquet(f"{folder}/chunks/batch={number}")

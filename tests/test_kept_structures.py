@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docstrata.operators import block_max, cache_replay, drafts, lexical, sessions, vector_index, vectors
-from docstrata.sources import committed
+from docstrata.operators import block_max, cache_replay, drafts, graph, lexical, sessions, vector_index, vectors
+from docstrata.sources import committed, hash_store
 from docstrata.sources import views as V
 
 
@@ -206,3 +206,53 @@ def test_near_pairs_by_regions(spark):
         done = work.first()
         assert 0 < done["compared"] <= share * done["all_pairs"]
     assert vectors.near_pairs(v.limit(0), 0.5).count() == 0
+
+
+def test_hash_store_answers_and_reads_few_buckets(spark, tmp_path):
+    import hashlib
+
+    folder = f"file://{tmp_path}/history"
+    sha = lambda i: hashlib.sha256(str(i).encode()).hexdigest()
+    batch = lambda ids: spark.createDataFrame([(None if i is None else sha(i),) for i in ids], "file_hash string")
+    names = {sha(i): i for i in range(20_000)}
+    got = lambda ids, n: sorted(names[r["file_hash"]] for r in hash_store.add(spark, folder, batch(ids), n).collect())
+    assert got([*range(3_000), None, 5, 5], 0) == list(range(3_000))
+    assert got(range(2_000, 4_000), 1) == list(range(3_000, 4_000))
+    assert got(range(2_000, 4_000), 1) == list(range(3_000, 4_000))  # run again
+    assert hash_store.compact(spark, folder, bucket_rows=100) == 64  # 4,000 hashes
+    assert got([10, 3_500, 4_001, 4_002], 2) == [4_001, 4_002]
+    assert got([4_001, 9_000], 3) == [9_000]
+    assert hash_store.compact(spark, folder, bucket_rows=100) == 64
+    assert got(range(3_990, 4_010), 4) == [4_000, *range(4_003, 4_010)]
+    assert got([], 5) == []
+    # filters: nearly all buckets of unseen hashes stay unread
+    filters = spark.read.parquet(f"{folder}/{hash_store._generation(spark, folder)[0]}/filters").where("batch = -1").collect()
+    unseen = [sha(i) for i in range(10_000, 12_000)]
+    wrong = 0
+    for f in filters:
+        bits = np.unpackbits(np.frombuffer(bytes(f["filter"]), np.uint8))
+        mine = [h for h in unseen if int(h[:15], 16) >> 54 == f["bucket"]]
+        wrong += int(bits[hash_store._probes(mine, f["places"])].all(axis=1).sum()) if mine else 0
+    assert len(filters) == 64 and wrong < 40
+
+
+def test_entity_parts_merge(spark):
+    r = random.Random(6)
+    rows = [("p", "hot", "T", f"s{i % 3}", i, i % 2) for i in range(500)] + [(r.choice("pq"), f"e{r.randint(0, 20)}", r.choice("TU"), "s", r.randint(0, 400), r.randint(0, 3)) for _ in range(800)]
+    rows = list({(x[0], x[1], x[4]): x for x in rows}.values())  # a chunk mentions an entity once
+    schema = "project_id string, entity_name string, entity_type string, synonym string, chunk_id int, seq int"
+    batches = [spark.createDataFrame([x for x in rows if x[4] % 3 == b], schema) for b in range(3)]
+    kept = None
+    for b, mentions in enumerate(batches):
+        new = graph.entity_parts(mentions, b, most=40)
+        kept = new if kept is None else kept.unionByName(new)
+    assert max(len(x["source_chunk_ids"]) for x in kept.collect()) <= 40
+    whole = graph.aggregate_entities(spark.createDataFrame(rows, schema))
+    told = lambda df: sorted((x["project_id"], x["entity_name"], x["entity_type"], tuple(x["synonyms"]), x["occurrence_count"]) for x in df.collect())
+    assert told(graph.entity_totals(kept)) == told(whole)
+    lists = {}
+    for x in kept.collect():
+        lists.setdefault((x["project_id"], x["entity_name"]), []).extend(x["source_chunk_ids"])
+    assert {k: sorted(v) for k, v in lists.items()} == {(x["project_id"], x["entity_name"]): sorted(x["source_chunk_ids"]) for x in whole.collect()}
+    again = graph.entity_parts(batches[1], 1, most=40)  # a batch that is run again replaces itself
+    assert told(graph.entity_totals(kept.where("batch <> 1").unionByName(again))) == told(whole)
