@@ -4,6 +4,9 @@ For each prefix of a piece of text exactly one token can end its encoding. An au
 that end at a place; one of them is the prefix's last token if it is compatible with the last token of the prefix
 before it, that is, if no merge across their border would have come before both were complete. Back-pointers then give
 the ids.
+
+The automaton is that of Aho and Corasick, not a suffix automaton of the vocabulary: it names the same tokens at each place
+and has fewer states for each worker to hold.
 """
 
 from __future__ import annotations
