@@ -30,7 +30,7 @@ DEFAULT_TOKENIZER = "byte_bpe_50k.json"
 _PIECES = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-_CACHED_PIECES = 120_000  # in each of two generations
+_CACHED_PIECES = 250_000  # of at most _CACHED_LENGTH letters, some 50 MB, in each of two generations
 _CACHED_PAIRS = 200_000
 _CACHED_LENGTH = 32  # letters of a piece that is kept
 
