@@ -108,7 +108,7 @@ def collected(found):
     return sorted((r.word, r.form or "", r.root, r.n, r.n_near, r.form_n or 0) for r in found.collect())
 
 
-@pytest.mark.parametrize("letters,alphabet", [(40, "ab"), (300, "abcé÷"), (100_000, "abcdefgh")])
+@pytest.mark.parametrize("letters,alphabet", [(160, "ab"), (900, "abcé÷"), (100_000, "abcdefgh")])
 def test_spelling_variants_by_brute_force(spark, letters, alphabet):
     r = random.Random(letters)
     counts = {"".join(r.choice(alphabet) for _ in range(r.randint(5, 9))): int(3 * 2 ** r.uniform(0, 9)) for _ in range(250)}
