@@ -7,7 +7,6 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from itertools import accumulate, groupby
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -86,6 +85,46 @@ def pack_sentences(parts: list[str], size: int, overlap: int) -> list[str]:
     return found
 
 
+def packed(parts: Column, size: int, overlap: int) -> Column:
+    """``pack_sentences`` as a column of an array of sentences: one pass in the JVM that holds the open chunk.
+
+    The open chunk has at most ``size`` items, as each costs a token at least; ``old`` of them repeat the chunk before. A null array
+    gives null.
+    """
+    few = max(1, overlap // 5)
+    item = lambda text, run: F.struct(text.alias("text"), T.token_estimate(text).alias("cost"), run.alias("run"))
+    join = lambda own: F.array_join(F.transform(own, lambda x: x["text"]), " ")
+
+    def items(sentence: Column, i: Column) -> Column:
+        """The words of a sentence that is longer than a chunk, which are a run of their own, or the sentence."""
+        words = F.filter(F.split(sentence, f"{T.SPACE}+"), lambda w: w != "")
+        return F.when(T.token_estimate(sentence) > size, F.transform(words, lambda w: item(w, i))).otherwise(F.array(item(sentence, F.lit(-1))))
+
+    def state(done: Column, own: Column, cost: Column, old: Column, run: Column) -> Column:
+        return F.struct(done.alias("done"), own.alias("own"), cost.alias("cost"), old.alias("old"), run.alias("run"))
+
+    def repeated(own: Column, run: Column) -> Column:
+        """How many of the last items the next chunk begins with."""
+        nothing = F.struct(F.lit(0).alias("n"), F.lit(0).alias("sum"))
+        fits = lambda a, x: F.struct((a["n"] + (a["sum"] + x["cost"] <= overlap).cast("int")).alias("n"), (a["sum"] + x["cost"]).alias("sum"))
+        return F.when(run >= 0, F.least(F.lit(few), F.size(own))).otherwise(F.aggregate(F.reverse(own), nothing, fits, lambda a: a["n"]))
+
+    def add(s: Column, x: Column) -> Column:
+        own, new = s["own"], F.array(F.struct(x["text"].alias("text"), x["cost"].alias("cost")))
+        closed = F.when(F.size(own) > 0, F.concat(s["done"], F.array(join(own)))).otherwise(s["done"])
+        other = state(closed, new, x["cost"], F.lit(0), x["run"])
+        tail = lambda n: F.slice(own, F.size(own) - n + 1, n)
+        total = lambda pieces: F.aggregate(pieces, F.lit(0), lambda a, y: a + y["cost"])
+        after = F.transform(F.array(repeated(own, x["run"])), lambda n: state(closed, F.concat(tail(n), new), total(tail(n)) + x["cost"], n, x["run"]))[0]
+        full = (F.size(own) > s["old"]) & (s["cost"] + x["cost"] > size)
+        return F.when(x["run"] != s["run"], other).when(full, after).otherwise(state(s["done"], F.concat(own, new), s["cost"] + x["cost"], s["old"], s["run"]))
+
+    empty = state(F.array().cast("array<string>"), F.array().cast("array<struct<text:string,cost:int>>"), F.lit(0), F.lit(0), F.lit(-2))
+    last = lambda s: F.when(F.size(s["own"]) > 0, F.concat(s["done"], F.array(join(s["own"])))).otherwise(s["done"])
+    # the words of two long sentences that follow one another have different runs, and so are never packed together
+    return F.aggregate(F.flatten(F.transform(parts, items)), empty, add, last)
+
+
 class _ChunkPage:
     """Table function: a page's text, a size and an overlap to its chunks, one row for each."""
 
@@ -104,16 +143,12 @@ def register_chunk_function(spark: SparkSession, name: str = "chunk_page") -> st
 def chunk_pages(pages: DataFrame, *, size: int = 512, overlap: float = 0.1) -> DataFrame:
     """Chunks of pages (doc_id, page_number, text, and tables if there are any), tables first and whole.
 
-    Each page is one bounded fold (pages have at most 3000 characters); the running number of chunks over a document
-    comes from a window.
+    Each page, of whatever length, is packed by ``packed`` where it is read; the running number of chunks over a document
+    comes from a window. A null text has no chunks of its own.
     """
-    carry = int(size * overlap)
-
-    def fold(parts: pa.Array) -> pa.Array:
-        return pa.array([pack_sentences(p or [], size, carry) for p in parts.to_pylist()], pa.list_(pa.string()))
-
+    none = F.array().cast("array<string>")
     tables = F.col("tables") if "tables" in pages.columns else F.lit([]).cast("array<string>")
-    cut = pages.select("doc_id", "page_number", tables.alias("tables"), F.arrow_udf(fold, "array<string>")(T.sentences(F.col("text"))).alias("parts"))
+    cut = pages.select("doc_id", "page_number", tables.alias("tables"), F.coalesce(packed(T.sentences(F.col("text")), size, int(size * overlap)), none).alias("parts"))
     before = F.coalesce(F.sum(F.size("tables") + F.size("parts")).over(Window.partitionBy("doc_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = cut.withColumn("offset", before).withColumn("n_tables", F.size("tables"))
     whole = placed.select("*", F.posexplode(F.concat("tables", "parts")).alias("i", "text"))

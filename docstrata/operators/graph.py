@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,15 +108,59 @@ def build_relations(mentions: DataFrame, *, block: int = 64) -> DataFrame:
     return shared.select("project_id", "entity_a", "entity_b", F.lit("mentioned_alongside").alias("relation"), "shared_chunks", (F.col("shared_chunks") / F.least("n_a", "n_b")).alias("confidence"))
 
 
+def nearest_names(edges: DataFrame, k: int = 30) -> DataFrame:
+    """Of each source's edges (project_id, src, dst) the ``k`` whose other end comes first by name, once each.
+
+    Each task keeps no more of a source than that before the shuffle, so a hub costs what any other entity costs.
+    """
+    order = Window.partitionBy("project_id", "src").orderBy("dst")
+    return edges.withColumn("__n", F.dense_rank().over(order)).where(F.col("__n") <= k).drop("__n").distinct()
+
+
+def _two_hops(seeds: DataFrame, near: Callable[[DataFrame], DataFrame], k: int) -> DataFrame:
+    """The first ``k`` entities of each query by depth and name; ``near`` gives the first ``k`` neighbours of those reached.
+
+    The first ``k`` names of a union are among the first ``k`` of each of its parts, so a query has at most ``k`` rows after
+    a hop, and ``k`` times ``k`` while it takes one. Queries that the first hop fills take no second.
+    """
+    query = Window.partitionBy("query_id")
+
+    def step(at: DataFrame, depth: int) -> DataFrame:
+        reached = at.join(near(at).withColumnRenamed("src", "entity_name"), ["project_id", "entity_name"]).select("query_id", "project_id", F.col("dst").alias("entity_name")).distinct()
+        first = F.row_number().over(query.orderBy("entity_name", "project_id"))
+        return reached.withColumn("__n", first).where(F.col("__n") <= k).select("query_id", "project_id", "entity_name", F.lit(depth).alias("depth"))
+
+    one = stored(step(seeds.select("query_id", "project_id", "entity_name"), 1))
+    open_queries = one.withColumn("__n", F.count(F.lit(1)).over(query)).where(F.col("__n") < k).select("query_id", "project_id", "entity_name")
+    found = one.unionByName(step(open_queries, 2))
+    order = query.orderBy("depth", "entity_name", "project_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def expand_hops(seeds: DataFrame, relations: DataFrame, k: int = 30) -> DataFrame:
     """Entities one and two hops from the seeds of each query (query_id, project_id, entity_name), nearest first.
 
-    Edges are walked both ways as equality joins; a seed that is met again on the second hop is returned.
+    Edges are walked both ways as equality joins; a seed that is met again on the second hop is returned. Each entity is cut
+    to its first ``k`` neighbours before any hop is taken.
     """
-    relations = stored(relations.select("project_id", "entity_a", "entity_b"))
-    edges = relations.select("project_id", F.col("entity_a").alias("src"), F.col("entity_b").alias("dst")).unionByName(relations.select("project_id", F.col("entity_b").alias("src"), F.col("entity_a").alias("dst")))
-    step = lambda at, depth: at.join(edges, (at["project_id"] == edges["project_id"]) & (at["entity_name"] == edges["src"])).select("query_id", at["project_id"], F.col("dst").alias("entity_name"), F.lit(depth).alias("depth")).distinct()
-    one = stored(step(seeds, 1))
-    found = one.unionByName(step(one, 2)).distinct()
-    order = Window.partitionBy("query_id").orderBy("depth", "entity_name")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    relations = relations.select("project_id", "entity_a", "entity_b")
+    ends = F.explode(F.array(F.struct(F.col("entity_a").alias("src"), F.col("entity_b").alias("dst")), F.struct(F.col("entity_b").alias("src"), F.col("entity_a").alias("dst"))))
+    heads = stored(nearest_names(relations.select("project_id", ends.alias("e")).select("project_id", "e.src", "e.dst"), k))
+    return _two_hops(seeds, lambda _: heads, k)
+
+
+def expand_through_chunks(seeds: DataFrame, mentions: DataFrame, k: int = 30, *, shared: int = 1) -> DataFrame:
+    """``expand_hops`` over the relations of ``shared`` chunks and more, without building relations that no hop needs.
+
+    A hop reads the chunks of the entities it starts from and counts what else those mention. Rows without a project, a
+    chunk or an entity relate nothing; seeds that no chunk mentions reach nothing.
+    """
+    once = stored(mentions.select("project_id", "chunk_id", "entity_name").dropna().distinct())
+
+    def near(at: DataFrame) -> DataFrame:
+        own = once.join(at.select("project_id", "entity_name").distinct(), ["project_id", "entity_name"]).withColumnRenamed("entity_name", "src")
+        beside = own.join(once, ["project_id", "chunk_id"]).where("src <> entity_name")
+        counted = beside.groupBy("project_id", "src", F.col("entity_name").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
+        return nearest_names(counted.where(F.col("n") >= shared).drop("n"), k)
+
+    return _two_hops(seeds, near, k)

@@ -528,6 +528,14 @@ def g2_all(spark, d):
     return g2(spark, d).where("depth = 2")
 
 
+@query("g2_hops_of_matches", f"WITH {_MATCH}, {_REL}, e AS (SELECT project_id, entity_a AS src, entity_b AS dst FROM rel UNION ALL SELECT project_id, entity_b, entity_a FROM rel), sd AS (SELECT query_id, project_id, entity_name FROM mr WHERE rank <= 20), h1 AS (SELECT DISTINCT query_id, sd.project_id, dst FROM sd JOIN e ON e.project_id = sd.project_id AND e.src = sd.entity_name), h2 AS (SELECT DISTINCT query_id, h1.project_id, e.dst FROM h1 JOIN e ON e.project_id = h1.project_id AND e.src = h1.dst), u AS (SELECT query_id, dst, 1 AS depth FROM h1 UNION ALL SELECT query_id, dst, 2 FROM h2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY depth, dst) AS rank FROM u) SELECT query_id, dst AS entity_name, depth, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 30", "v_mentions", "v_entities")
+def g2_matches(spark, d):
+    """Names to entities to what is one and two hops away, from mentions alone: no table of relations is built."""
+    m = stored(V.mentions(spark, d))
+    seeds = graph.match_entities(_names(spark, d), graph.aggregate_entities(m))
+    return graph.expand_through_chunks(seeds, m).select("query_id", "entity_name", "depth", "rank")
+
+
 @query("g3_query_ngrams", r"WITH s AS (SELECT item_id AS query_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark), g AS (SELECT query_id, unnest(w) AS gram FROM s UNION ALL SELECT query_id, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i+1], ' '))) FROM s UNION ALL SELECT query_id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) FROM s) SELECT DISTINCT query_id, gram FROM g")
 def g3(spark, d):
     return graph.query_ngrams(V.text_queries(spark, d))

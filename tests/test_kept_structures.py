@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docstrata.operators import block_max, cache_replay, drafts, graph, lexical, sessions, vector_index, vectors
+from docstrata.operators import block_max, cache_replay, chunking, drafts, graph, lexical, sessions, vector_index, vectors
 from docstrata.sources import committed, hash_store
 from docstrata.sources import views as V
 
@@ -256,3 +256,69 @@ def test_entity_parts_merge(spark):
     assert {k: sorted(v) for k, v in lists.items()} == {(x["project_id"], x["entity_name"]): sorted(x["source_chunk_ids"]) for x in whole.collect()}
     again = graph.entity_parts(batches[1], 1, most=40)  # a batch that is run again replaces itself
     assert told(graph.entity_totals(kept.where("batch <> 1").unionByName(again))) == told(whole)
+
+
+def two_hops(edges, seeds, k):
+    """The first k of (depth, name) of each query, from a dict of neighbours."""
+    out = set()
+    for query, names in seeds.items():
+        one = {y for x in names for y in edges.get(x, ())}
+        two = {y for x in one for y in edges.get(x, ())}
+        out |= {(query, n, d, i + 1) for i, (d, n) in enumerate(sorted([(1, n) for n in one] + [(2, n) for n in two])[:k])}
+    return out
+
+
+@pytest.mark.parametrize("k", [3, 30])
+def test_hops_over_a_hub(spark, k):
+    r = random.Random(4)
+    chunks = {f"hub{i}": ["hub", f"spoke{i:04}"] for i in range(600)} | {f"c{i}": r.sample([f"e{j:02}" for j in range(40)] + ["hub"], 3) for i in range(30)} | {"alone": ["x"], "couple": ["y", "z"]}
+    edges = {}
+    for v in chunks.values():
+        for a in v:
+            edges.setdefault(a, set()).update(set(v) - {a})
+    seeds = {0: ["hub"], 1: ["e01", "e02"], 2: ["y"], 3: ["x"], 4: ["nobody"], 5: ["spoke0001", "y", "e03"], 6: sorted(edges)}
+    m = spark.createDataFrame([(1, e, c) for c, v in chunks.items() for e in v * 2] + [(1, None, "couple"), (None, "y", "couple"), (1, "y", None)], "project_id int, entity_name string, chunk_id string")
+    asked = spark.createDataFrame([(q, 1, n) for q, names in seeds.items() for n in names] + [(7, 2, "y"), (8, None, "y")], "query_id int, project_id int, entity_name string")
+    rows = lambda df: sorted((x["query_id"], x["entity_name"], x["depth"], x["rank"]) for x in df.collect())
+    relations = graph.build_relations(m)
+    assert rows(graph.expand_hops(asked, relations, k)) == rows(graph.expand_through_chunks(asked, m, k)) == sorted(two_hops(edges, seeds, k))
+    twice = relations.unionByName(relations)  # relations that are told twice are walked once
+    assert rows(graph.expand_hops(asked, twice, k)) == sorted(two_hops(edges, seeds, k))
+    assert graph.expand_through_chunks(asked, m.limit(0), k).count() == graph.expand_through_chunks(asked.limit(0), m, k).count() == 0
+    strong = relations.where("shared_chunks >= 2")
+    assert rows(graph.expand_through_chunks(asked, m, k, shared=2)) == rows(graph.expand_hops(asked, strong, k))
+
+
+def test_a_hub_is_cut_before_the_shuffle_and_between_hops(spark, monkeypatch):
+    edges = spark.range(0, 20_000, 1, 4).select(F.lit(1).alias("project_id"), F.lit("hub").alias("src"), F.format_string("s%05d", "id").alias("dst"))
+    heads = graph.nearest_names(edges, 30)
+    assert "WindowGroupLimit" in heads._jdf.queryExecution().executedPlan().toString()
+    assert [x["dst"] for x in heads.orderBy("dst").collect()] == [f"s{i:05}" for i in range(30)]
+    kept = []
+    monkeypatch.setattr(graph, "stored", lambda df: kept.append(df.count()) or df)
+    seeds = spark.createDataFrame([(q, 1, "s00007") for q in range(5)], "query_id int, project_id int, entity_name string")
+    got = graph.expand_hops(seeds, edges.select("project_id", F.col("src").alias("entity_a"), F.col("dst").alias("entity_b")))
+    assert got.count() == 5 * 30  # the hub, then its first 29 neighbours
+    assert kept == [30 + 20_000, 5]  # each spoke's one edge, 30 of the hub's 20,000; one row of each query between the hops
+
+
+def test_packed_equals_the_fold(spark):
+    r = random.Random(5)
+    cases = [[]] + [[" ".join("w" * r.randint(1, 12) for _ in range(r.choice([1, 3, 8, 30]))) for _ in range(r.randint(1, 15))] for _ in range(250)]
+    cases += [["a b  c\u2003d" * 40] * 2, ["x" * 900], ["\u00e4" * 70, "y" * 900, "z z"], ["w"] * 300]
+    parts = spark.createDataFrame([(i, c) for i, c in enumerate(cases)] + [(-1, None)], "id int, parts array<string>")
+    for size, overlap in ((5, 0), (16, 1), (16, 4), (40, 12), (40, 39)):
+        got = {x["id"]: x["p"] for x in parts.select("id", chunking.packed(F.col("parts"), size, overlap).alias("p")).collect()}
+        assert got.pop(-1) is None
+        for i, c in enumerate(cases):
+            assert got[i] == chunking.pack_sentences(c, size, overlap), (size, overlap, c)
+
+
+def test_chunks_need_no_python_worker(spark):
+    pages = spark.createDataFrame([("d", 1, "One. Two three! " * 2000), ("d", 2, None), ("e", 1, "word " * 60_000)], "doc_id string, page_number int, text string")
+    out = chunking.chunk_pages(pages, size=64)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    got = out.orderBy("doc_id", "chunk_index").collect()
+    assert [x["chunk_index"] for x in got if x["doc_id"] == "d"] == list(range(sum(x["doc_id"] == "d" for x in got)))
+    assert [x["text"] for x in got if x["doc_id"] == "e"] == chunking.pack_sentences([("word " * 60_000).strip()], 64, 6)
