@@ -7,6 +7,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from itertools import accumulate, groupby
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -88,8 +89,8 @@ def pack_sentences(parts: list[str], size: int, overlap: int) -> list[str]:
 def packed(parts: Column, size: int, overlap: int) -> Column:
     """``pack_sentences`` as a column of an array of sentences: one pass in the JVM that holds the open chunk.
 
-    The open chunk has at most ``size`` items, as each costs a token at least; ``old`` of them repeat the chunk before. A null array
-    gives null.
+    The open chunk has at most ``size`` items, as each costs a token at least; ``old`` of them repeat the chunk before. Spark copies what a
+    fold holds at each item, the finished chunks too, so this is for pages; the time grows with the square of a text. A null array gives null.
     """
     few = max(1, overlap // 5)
     item = lambda text, run: F.struct(text.alias("text"), T.token_estimate(text).alias("cost"), run.alias("run"))
@@ -140,15 +141,22 @@ def register_chunk_function(spark: SparkSession, name: str = "chunk_page") -> st
     return name
 
 
-def chunk_pages(pages: DataFrame, *, size: int = 512, overlap: float = 0.1) -> DataFrame:
+def chunk_pages(pages: DataFrame, *, size: int = 512, overlap: float = 0.1, whole: bool = False) -> DataFrame:
     """Chunks of pages (doc_id, page_number, text, and tables if there are any), tables first and whole.
 
-    Each page, of whatever length, is packed by ``packed`` where it is read; the running number of chunks over a document
-    comes from a window. A null text has no chunks of its own.
+    Pages of bounded length are packed in the JVM where they are read (``packed``). With ``whole`` a page may be a text of any
+    length and is packed by ``pack_sentences`` in Arrow batches, in time that grows with the text alone. The running number of chunks over a
+    document comes from a window. A null text has no chunks of its own.
     """
-    none = F.array().cast("array<string>")
+    carry, none = int(size * overlap), F.array().cast("array<string>")
+
+    def fold(parts: pa.Array) -> pa.Array:
+        return pa.array([pack_sentences(p or [], size, carry) for p in parts.to_pylist()], pa.list_(pa.string()))
+
+    sentences = T.sentences(F.col("text"))
+    parts = F.arrow_udf(fold, "array<string>")(sentences) if whole else F.coalesce(packed(sentences, size, carry), none)
     tables = F.col("tables") if "tables" in pages.columns else F.lit([]).cast("array<string>")
-    cut = pages.select("doc_id", "page_number", tables.alias("tables"), F.coalesce(packed(T.sentences(F.col("text")), size, int(size * overlap)), none).alias("parts"))
+    cut = pages.select("doc_id", "page_number", tables.alias("tables"), parts.alias("parts"))
     before = F.coalesce(F.sum(F.size("tables") + F.size("parts")).over(Window.partitionBy("doc_id").orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = cut.withColumn("offset", before).withColumn("n_tables", F.size("tables"))
     whole = placed.select("*", F.posexplode(F.concat("tables", "parts")).alias("i", "text"))

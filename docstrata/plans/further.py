@@ -237,7 +237,7 @@ def f2(spark, d):
 def k5(spark, d):
     """Whole texts as one page each, so that long sentences are split hard."""
     docs = V.documents(spark, d).select(F.col("id").alias("doc_id"), F.lit(1).alias("page_number"), F.regexp_replace("text", "[.!?]", "").alias("text"))
-    return chunking.chunk_pages(docs, size=64, overlap=0.2)
+    return chunking.chunk_pages(docs, size=64, overlap=0.2, whole=True)
 
 
 @query("k8_chunk_ids", "SELECT chunk_id, chunk_index FROM v_chunks", "v_chunks")
