@@ -52,11 +52,12 @@ def ingest_batch(batch: DataFrame, number: int, folder: str, *, size: int = 512,
     spark = batch.sparkSession
     hashed = tables.content_hash(batch.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text")
     first = hashed.groupBy("file_hash").agg(F.min("doc_id").alias("doc_id"))
-    new = first.join(hash_store.add(spark, f"{folder}/hashes", first, number), "file_hash", "left_semi")
-    fresh = stored(hashed.join(new, ["file_hash", "doc_id"], "left_semi").dropDuplicates(["file_hash"]))
+    new = stored(first.join(hash_store.add(spark, f"{folder}/hashes", first, number), "file_hash", "left_semi"))
+    # one id for each hash is left, so the rows need no other partitioning than the join's to be told apart
+    fresh = hashed.join(new, ["file_hash", "doc_id"], "left_semi").dropDuplicates(["file_hash", "doc_id"])
     chunks = chunking.chunk_pages(chunking.virtual_pages(fresh.select("doc_id", "text")), size=size, overlap=overlap)
     chunks.write.mode("overwrite").parquet(f"{folder}/chunks/batch={number}")
-    fresh.select("doc_id", "file_hash").write.mode("overwrite").parquet(f"{folder}/files/batch={number}")
+    new.select("doc_id", "file_hash").write.mode("overwrite").parquet(f"{folder}/files/batch={number}")
 
 
 def _of_batches(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame | None:
