@@ -57,7 +57,7 @@ def ingest_batch(batch: DataFrame, number: int, folder: str, *, size: int = 512,
     fresh = hashed.join(new, ["file_hash", "doc_id"], "left_semi").dropDuplicates(["file_hash", "doc_id"])
     chunks = chunking.chunk_pages(chunking.virtual_pages(fresh.select("doc_id", "text")), size=size, overlap=overlap)
     chunks.write.mode("overwrite").parquet(f"{folder}/chunks/batch={number}")
-    new.select("doc_id", "file_hash").write.mode("overwrite").parquet(f"{folder}/files/batch={number}")
+    new.select("doc_id", "file_hash").where("doc_id is not null").write.mode("overwrite").parquet(f"{folder}/files/batch={number}")
 
 
 def _of_batches(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame | None:
