@@ -132,8 +132,13 @@ def s11(spark, d):
     return tables.update_fields(docs, new, "id", "status", "size_bytes")
 
 
-@query("s12_insert_or_ignore", "SELECT s_suppkey, s_acctbal FROM supplier UNION ALL SELECT DISTINCT s_suppkey + 10000, 0.0 FROM supplier WHERE s_suppkey % 2 = 0")
+@query(
+    "s12_insert_or_ignore",
+    "WITH n AS (SELECT s_suppkey FROM supplier UNION SELECT s_suppkey + 10000 FROM supplier WHERE s_suppkey % 2 = 0) "
+    "SELECT s_suppkey, s_acctbal FROM supplier UNION ALL SELECT s_suppkey, 0.0 FROM n WHERE NOT EXISTS (SELECT 1 FROM supplier o WHERE o.s_suppkey = n.s_suppkey)",
+)
 def s12(spark, d):
+    """Each supplier again, and each even one under a key 10,000 higher: those whose key is there already are ignored."""
     s = V.read(spark, d, "supplier").select("s_suppkey", "s_acctbal")
     new = s.withColumn("s_acctbal", F.lit(0.0)).unionByName(s.where("s_suppkey % 2 = 0").select((F.col("s_suppkey") + 10_000).alias("s_suppkey"), F.lit(0.0).alias("s_acctbal")))
     return tables.insert_or_ignore(s, new, "s_suppkey")
