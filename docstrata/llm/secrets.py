@@ -3,7 +3,7 @@
 Candidates are the spans of fixed patterns and long runs of token characters. The smallest encoding that holds a
 candidate's characters is inferred, and three statistics say how far it is from chance in that alphabet: uniformity of
 its characters (chi-squared), runs of character classes, and serial correlation. What they are in ordinary writing is
-counted on the table itself: all text outside candidates, cut into windows of each length and read in each alphabet.
+counted on the table itself: all text outside candidates, read in each alphabet and cut into windows of each length.
 The three empirical p-values are combined by Fisher's rule, the combination is ranked in the same windows (the tests are
 not independent), and candidates are accepted by the Benjamini-Hochberg rule, with its own threshold for each class of lengths.
 """
@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import itertools
 import math
-import zlib
 
 import numpy as np
 import pandas as pd
@@ -46,7 +45,8 @@ _ENCODINGS = (
 _LENGTHS = (16, 20, 24, 32, 48, 64, 128)
 _SHAPE = (24, 12, 8)  # bins of the three statistics
 _CELLS = math.prod(_SHAPE)
-_PIECE = 1024  # bytes of text that are read in one alphabet, in windows of one length
+_PIECE = 1 << 16  # bytes of a long text whose windows are counted by themselves
+_AT_ONCE = 1 << 19  # bytes of text whose windows are counted at once
 _PRIOR = 1000.0  # windows of assumed ordinary writing, beside those that are counted
 
 
@@ -69,22 +69,43 @@ class _Alphabet:
 
     def statistics(self, codes: np.ndarray) -> np.ndarray:
         """Rows of equally long tokens to rows of (chi-squared, runs, serial correlation), standardised: 0 is what chance gives."""
-        rows, n = codes.shape
-        counts = np.bincount((codes + np.arange(rows)[:, None] * self.k).ravel(), minlength=rows * self.k).reshape(rows, self.k)
-        chi = ((counts.astype(np.float64) ** 2).sum(1) * self.k / n - n - (self.k - 1)) / math.sqrt(2 * (self.k - 1))
-        if self.change:
-            own = self.cls[codes]
-            runs = np.abs((own[:, 1:] != own[:, :-1]).sum(1) - self.change * (n - 1)) / math.sqrt(self.change * (1 - self.change) * (n - 1))
-        else:
-            runs = np.zeros(rows)
-        v = codes - codes.mean(1, keepdims=True)
-        spread = (v * v).sum(1)
-        serial = np.where(spread > 0, np.abs((v[:, 1:] * v[:, :-1]).sum(1)) / np.maximum(spread, 1e-9), 1.0) * math.sqrt(n)
-        return np.c_[chi, runs, serial]
+        v, (rows, n) = codes.astype(np.int64), codes.shape
+        own = self.cls[codes]
+        counts = np.bincount((v + np.arange(rows)[:, None] * self.k).ravel(), minlength=rows * self.k).reshape(rows, self.k)
+        squares = (counts**2).sum(1)
+        serial = _serial(n, v.sum(1), (v * v).sum(1), (v[:, 1:] * v[:, :-1]).sum(1), v[:, 0] + v[:, -1])
+        return np.c_[self.chi(n, squares), self.runs(n, (own[:, 1:] != own[:, :-1]).sum(1)), serial]
+
+    def chi(self, n: int, squares: np.ndarray) -> np.ndarray:
+        """Uniformity from the sum of squares of how often each character is there."""
+        return (squares * self.k / n - n - (self.k - 1)) / math.sqrt(2 * (self.k - 1))
+
+    def runs(self, n: int, changes: np.ndarray) -> np.ndarray:
+        if not self.change:
+            return np.zeros(len(changes))
+        return np.abs(changes - self.change * (n - 1)) / math.sqrt(self.change * (1 - self.change) * (n - 1))
+
+
+def _equal_pairs(columns: np.ndarray) -> np.ndarray:
+    """Pairs of equal characters of each window of at most 256; ``columns`` has a row of bytes for each place in the windows."""
+    out = np.zeros(columns.shape[1], np.uint16)
+    for lag in range(1, len(columns)):
+        out += (columns[lag:] == columns[:-lag]).view(np.uint8).sum(0, dtype=np.uint8)
+    return out
+
+
+def _serial(n: int, total: np.ndarray, squares: np.ndarray, products: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Serial correlation from sums of codes, of their squares and of products of neighbours; ``ends``: first and last code."""
+    total, squares, products = (x.astype(np.float64) for x in (total, squares, products))
+    square = total * total
+    spread = n * (n * squares - square)
+    with_next = n * n * products - n * (2 * square - total * ends) + (n - 1) * square
+    return np.where(spread > 0, np.abs(with_next) / np.maximum(spread, 1), 1.0) * math.sqrt(n)
 
 
 _ALPHABETS = [_Alphabet(chars) for _, chars in _ENCODINGS]
-_PLACE = len(_LENGTHS) * len(_ENCODINGS)
+# alphabets that give the same bytes the same codes, and differ in the classes of characters
+_STREAMS = [tuple(i for i, b in enumerate(_ALPHABETS) if np.array_equal(a.code, b.code)) for at, a in enumerate(_ALPHABETS) if not any(np.array_equal(a.code, b.code) for b in _ALPHABETS[:at])]
 
 
 def _cells(stats: np.ndarray) -> np.ndarray:
@@ -122,34 +143,70 @@ def candidates(text: str | None) -> list[tuple]:
     return sorted(out, key=lambda x: (x[1], (*KINDS, "random").index(x[0])))
 
 
+def _sums(values: np.ndarray) -> np.ndarray:
+    """Running sums from 0. Those that pass 32 bits wrap around, which leaves sums of windows as they are."""
+    out = np.zeros(len(values) + 1, np.int32)
+    np.cumsum(values, dtype=np.int32, out=out[1:])
+    return out
+
+
 def ordinary(texts: list[tuple[str, list[tuple]]]) -> dict[int, int]:
     """How many windows of the texts, outside their candidates, fall into each cell of each place (place * cells + cell).
 
-    A text is cut into pieces; a checksum of the piece says in which alphabet and in windows of which length it is read.
+    All text is read in each alphabet and in windows of each length, which lie end to end in each text (in pieces of
+    ``_PIECE`` bytes of a longer one).
     """
-    pieces: dict[int, list[bytes]] = {}
+    out = np.zeros(len(_LENGTHS) * len(_ENCODINGS) * _CELLS, np.int64)
+    pieces, held = [], 0
     for text, found in texts:
         if found:
             cuts = [0, *itertools.chain.from_iterable((s[1], s[2]) for s in found), len(text)]
             text = " ".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
         raw = text.encode("utf-8", "surrogatepass")
         for at in range(0, len(raw), _PIECE):
-            part = raw[at : at + _PIECE]
-            pieces.setdefault(zlib.crc32(part) % _PLACE, []).append(part)
-    out: dict[int, int] = {}
-    for place, parts in pieces.items():
-        alphabet, n = _ALPHABETS[place % len(_ENCODINGS)], _LENGTHS[place // len(_ENCODINGS)]
-        code = alphabet.code[np.frombuffer(b"".join(parts), np.uint8)]
-        piece = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+            pieces.append(raw[at : at + _PIECE])
+            held += len(pieces[-1])
+            if held >= _AT_ONCE:
+                _count_windows(pieces, out)
+                pieces, held = [], 0
+    _count_windows(pieces, out)
+    return {c: int(out[c]) for c in np.flatnonzero(out).tolist()}
+
+
+def _count_windows(pieces: list[bytes], out: np.ndarray) -> None:
+    """Adds the windows of the pieces, each in all alphabets and lengths, to the counts of cells."""
+    raw = np.frombuffer(b"".join(pieces), np.uint8)
+    ends = np.cumsum([0, *map(len, pieces)])
+    for alike in _STREAMS:
+        code = _ALPHABETS[alike[0]].code[raw]
         keep = code < 255
-        held = np.bincount(piece[keep], minlength=len(parts))
-        code, windows = code[keep].astype(np.int64), held // n
-        first = np.repeat(np.cumsum(held) - held, windows) + n * (np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows))
-        for at in range(0, len(first), 4096):
-            cells, times = np.unique(_cells(alphabet.statistics(code[first[at : at + 4096, None] + np.arange(n)])), return_counts=True)
-            for c, t in zip((place * _CELLS + cells).tolist(), times.tolist()):
-                out[c] = out.get(c, 0) + t
-    return out
+        borders = _sums(keep)[ends]
+        code, held = code[keep], np.diff(borders)
+        if len(code) < _LENGTHS[0]:
+            continue
+        wide = code.astype(np.int32)
+        total, squares, products = _sums(wide), _sums(wide * wide), _sums(wide[1:] * wide[:-1])
+        classes = [_ALPHABETS[i].cls[code] for i in alike]
+        changes = [_sums(own[1:] != own[:-1]) for own in classes]
+        for length, n in enumerate(_LENGTHS):
+            windows = held // n
+            count = int(windows.sum())
+            if not count:
+                continue
+            rest = held - n * windows
+            first = np.arange(0, n * count, n) + np.repeat(np.cumsum(rest) - rest, windows)
+            last = first + (n - 1)
+            ends_in = np.zeros(len(code) + 1, np.int8)  # where what no window holds begins and ends
+            np.add.at(ends_in, borders[1:] - rest, 1)
+            np.add.at(ends_in, borders[1:], -1)
+            read = code[np.cumsum(ends_in[:-1], dtype=np.int8) == 0].reshape(count, n)
+            pairs = n + 2.0 * _equal_pairs(np.ascontiguousarray(read.T))
+            chi = _ALPHABETS[alike[0]].chi(n, pairs)
+            serial = _serial(n, total[last + 1] - total[first], squares[last + 1] - squares[first], products[last] - products[first], wide[first] + wide[last])
+            for i, changed in zip(alike, changes):
+                cells = _cells(np.c_[chi, _ALPHABETS[i].runs(n, changed[last] - changed[first]), serial])
+                low = (length * len(_ENCODINGS) + i) * _CELLS
+                out[low : low + _CELLS] += np.bincount(cells, minlength=_CELLS)
 
 
 _FOUND = "struct<spans:array<struct<kind:string,start:int,end:int,base:boolean,cell:int>>,windows:array<struct<cell:int,n:bigint>>>"
@@ -162,15 +219,7 @@ def _scan(texts: pa.Array) -> pa.Array:
     for t in rows:
         if t not in known:
             known[t] = candidates(t)
-    times: dict[int, int] = {}
-    block, held = [], 0
-    for i, t in enumerate(rows):
-        block.append((t or "", known[t]))
-        held += len(t or "")
-        if held > 1 << 20 or i == len(rows) - 1:
-            for c, n in ordinary(block).items():
-                times[c] = times.get(c, 0) + n
-            block, held = [], 0
+    times = ordinary([(t or "", known[t]) for t in rows])
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("cell", pa.int32())])
     kind = pa.struct([("spans", pa.list_(span)), ("windows", pa.list_(pa.struct([("cell", pa.int32()), ("n", pa.int64())])))])
     spans = [[{"kind": k, "start": s, "end": e, "base": b, "cell": place * _CELLS + cell} for k, s, e, b, place, cell in known[t]] for t in rows]

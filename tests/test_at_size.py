@@ -1,9 +1,12 @@
 """What only larger tables, or whole ones, bring out."""
 
+import random
+
 import duckdb
-import pytest
+import numpy as np
 
 import __spark_entry__
+from docstrata.llm import secrets
 
 
 def by_sql(name, folder, *tables):
@@ -18,3 +21,24 @@ def test_insert_or_ignore_where_new_keys_are_there_already(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/supplier.parquet")
     found = sorted(tuple(r) for r in __spark_entry__.queries()["s12_insert_or_ignore"](spark, str(tmp_path)).collect())
     assert found == sorted(by_sql("s12_insert_or_ignore", tmp_path, "supplier")) and len(found) == 12_000 + 5_000
+
+
+def test_ordinary_writing_is_all_text_in_all_alphabets_and_lengths():
+    """Each full window of each document counts, in each alphabet and length, in the cell that a candidate of that kind would have."""
+    r = random.Random(5)
+    texts = ["".join(r.choice("abcdeABCDE 0123456789-_é.") for _ in range(n)) for n in (0, 15, 700, 4_000)] + ["tail of writing " * 5_000]
+    expected = {}
+    for text in texts:
+        raw = text.encode()
+        for i, a in enumerate(secrets._ALPHABETS):
+            for at in range(0, len(raw), secrets._PIECE):
+                code = a.code[np.frombuffer(raw[at : at + secrets._PIECE], np.uint8)]
+                code = code[code < 255].astype(np.int64)
+                for length, n in enumerate(secrets._LENGTHS):
+                    windows = code[: len(code) // n * n].reshape(-1, n)
+                    for c in secrets._cells(a.statistics(windows)) if len(windows) else ():
+                        place = (length * len(secrets._ENCODINGS) + i) * secrets._CELLS + int(c)
+                        expected[place] = expected.get(place, 0) + 1
+    assert secrets.ordinary([(t, []) for t in texts]) == expected
+    cut = secrets.ordinary([("a b c d " * 40 + "SECRETTOKEN" + " e f" * 40, [("random", 320, 331, False, 0, 0)])])
+    assert cut == secrets.ordinary([("a b c d " * 40 + "  e f" + " e f" * 39, [])])
