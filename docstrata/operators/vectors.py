@@ -33,7 +33,7 @@ class _Nearest:
             if len(value) > self.k:
                 least = np.partition(value, len(value) - self.k)[len(value) - self.k]
                 sure, tied = np.flatnonzero(value > least), np.flatnonzero(value == least)
-                tied = sorted(tied.tolist(), key=lambda j: name[j])[: self.k - len(sure)]
+                tied = sorted(tied.tolist(), key=lambda j: (name[j] is not None, name[j]))[: self.k - len(sure)]
                 best = np.concatenate([sure, np.array(tied, np.int64)])
                 value, name = value[best], name[best]
             if len(value) == self.k:

@@ -7,6 +7,7 @@ import numpy as np
 
 import __spark_entry__
 from docstrata.llm import secrets
+from docstrata.operators import lexical
 
 
 def by_sql(name, folder, *tables):
@@ -42,3 +43,35 @@ def test_ordinary_writing_is_all_text_in_all_alphabets_and_lengths():
     assert secrets.ordinary([(t, []) for t in texts]) == expected
     cut = secrets.ordinary([("a b c d " * 40 + "SECRETTOKEN" + " e f" * 40, [("random", 320, 331, False, 0, 0)])])
     assert cut == secrets.ordinary([("a b c d " * 40 + "  e f" + " e f" * 39, [])])
+
+
+def test_bm25_passes_on_k_hits_of_a_query_from_a_task(spark, monkeypatch):
+    """Chunks that share a term with a query never leave their task but for the k best; rounds, small blocks and repeated ids change nothing."""
+    r = random.Random(8)
+    text = lambda: " ".join(f"w{int(r.random() ** 2 * 40)}" for _ in range(30))
+    chunks = spark.createDataFrame([(f"c{i:04d}", text()) for i in range(600)], "chunk_id string, text string").repartition(3).cache()
+    queries = spark.createDataFrame([(i, text()[:40] if i % 4 else f"w{i} w{i + 1}") for i in range(20)], "query_id int, query string")
+    passed, plain = [], lexical._scorer
+
+    def scorer(*args):
+        run = plain(*args)
+        seen = spark.sparkContext.accumulator(0)
+        passed.append(seen)
+
+        def counted(batches):
+            for b in run(batches):
+                seen.add(b.num_rows)
+                yield b
+
+        return counted
+
+    monkeypatch.setattr(lexical, "_scorer", scorer)
+    whole = sorted(map(tuple, lexical.search_texts(chunks, queries, 5).collect()))
+    assert len(whole) == 100 and 0 < sum(x.value for x in passed) <= 20 * 5 * 16  # 20 queries, 5 hits, at most 16 tasks
+    monkeypatch.setattr(lexical, "QUERY_TERMS", 20)
+    monkeypatch.setattr(lexical, "SUMS_AT_ONCE", 50)
+    assert sorted(map(tuple, lexical.search_texts(chunks, queries, 5).collect())) == whole
+    assert sorted(map(tuple, lexical.search_texts(chunks, queries, 5, listed_terms=1).collect())) == whole
+    twice = chunks.unionByName(chunks.where("chunk_id = 'c0001'")).unionByName(spark.createDataFrame([(None, "w1 w2"), (None, "w1 w2")], chunks.schema))
+    got = lexical.search_texts(twice, queries, 600).groupBy("query_id", "chunk_id").count()
+    assert got.where("count > 1").count() == 0 and got.where("chunk_id is null").count() > 0
