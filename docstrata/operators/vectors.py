@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -125,6 +126,7 @@ def blended(query: Column, hypotheses: Column, alpha: float = 0.5) -> Column:
     return _unit(F.zip_with(query, _unit(total), lambda q, m: q.cast("double") * (1 - alpha) + m * alpha))
 
 
+ROUTED_AT_ONCE = 4_096  # vectors that a task sends to regions at once
 PIVOT_SAMPLE, MOST_PIVOTS = 2_048, 256  # most vectors that pivots are drawn from (those of the smallest hashes), most pivots
 
 
@@ -188,12 +190,14 @@ def _regions(vectors: DataFrame, threshold: float, id_col: str, block_rows: int)
             beyond = (d**2 - own[:, None] ** 2) / (2 * apart[at])  # how far the border to another region is
             to = (beyond <= reach) & (d <= radius + reach) & (np.arange(d.shape[1]) > at[:, None])
             to[np.arange(len(d)), at] = True
-            row, region = np.nonzero(to)
-            again = part.take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [again.column("project_id"), again.column("dims"), pa.array(region, pa.int32()), pa.array(region != at[row], pa.bool_()), again.column("id"), again.column("embedding")],
-                names=["project_id", "dims", "region", "guest", "id", "embedding"],
-            )
+            rows, regions = np.nonzero(to)
+            for first in range(0, len(rows), ROUTED_AT_ONCE):
+                row, region = rows[first : first + ROUTED_AT_ONCE], regions[first : first + ROUTED_AT_ONCE]
+                again = part.take(pa.array(row, pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [again.column("project_id"), again.column("dims"), pa.array(region, pa.int32()), pa.array(region != at[row], pa.bool_()), again.column("id"), again.column("embedding")],
+                    names=["project_id", "dims", "region", "guest", "id", "embedding"],
+                )
 
     schema = f"project_id {kinds['project_id']}, dims int, region int, guest boolean, id {kinds[id_col]}, embedding array<double>"
     rest = known.where(F.col("dims") != dims).select("project_id", "dims", F.lit(-1).alias("region"), F.lit(False).alias("guest"), "id", "embedding")
@@ -231,23 +235,29 @@ def _near_pairs(vectors: DataFrame, threshold: float, id_col: str, block_rows: i
     last = F.when(F.col("guest"), F.col("own_blocks") - 1).otherwise(F.col("own_blocks") + F.col("guest_blocks") - 1)
     dealt = placed.withColumn("t", F.explode(F.sequence(F.lit(0), last.cast("int")))).select(*keys, F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"), "s", "id", "embedding")
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        i, j = key[3], key[4]
-        m = _unit_rows(np.array(frame["embedding"].tolist(), dtype=np.float64).reshape(len(frame), -1))
-        ids = frame["id"].to_numpy()
-        own = np.nonzero(frame["s"].to_numpy() == i)[0]
-        other = own if i == j else np.nonzero(frame["s"].to_numpy() == j)[0]
-        found = []
+    schema = f"project_id {kinds['project_id']}, a {kinds[id_col]}, b {kinds[id_col]}, score double"
+
+    def run(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of 256 vectors with a block at a time."""
+        parts = pa.Table.from_batches(parts)
+        i, j = key[3].as_py(), key[4].as_py()
+        m = _unit_rows(parts.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(parts.num_rows, -1))
+        ids = parts.column("id").to_numpy()
+        s = parts.column("s").to_numpy()
+        own = np.nonzero(s == i)[0]
+        other = own if i == j else np.nonzero(s == j)[0]
         for first in range(0, len(own), 256):
             score = m[own[first : first + 256]] @ m[other].T
             x, y = np.nonzero(score >= threshold - 1e-6)  # Spark rounds and decides
             a, b, score = ids[own[first + x]], ids[other[y]], score[x, y]
             keep = a < b if i == j else a != b
             a, b, score = a[keep], b[keep], score[keep]
-            found.append(pd.DataFrame({"project_id": key[0], "a": np.where(a < b, a, b), "b": np.where(a < b, b, a), "score": score}))
-        return pd.concat(found) if found else pd.DataFrame({"project_id": [], "a": [], "b": [], "score": []})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([key[0].as_py()] * len(a), key[0].type), pa.array(np.where(a < b, a, b), parts.schema.field("id").type), pa.array(np.where(a < b, b, a), parts.schema.field("id").type), pa.array(score)],
+                names=["project_id", "a", "b", "score"],
+            )
 
-    pairs = dealt.groupBy(*keys, "i", "j").applyInPandas(run, f"project_id {kinds['project_id']}, a {kinds[id_col]}, b {kinds[id_col]}, score double")
+    pairs = dealt.groupBy(*keys, "i", "j").applyInArrow(run, schema)
     pairs = pairs.withColumn("score", F.round("score", 6)).where(F.col("score") >= threshold)
     own = F.col("own").cast("double")
     compared = sizes.agg(F.coalesce(F.sum(own * (own - 1) / 2 + own * F.col("guests")), F.lit(0.0)).alias("compared"))

@@ -7,7 +7,7 @@ import numpy as np
 
 import __spark_entry__
 from docstrata.llm import secrets
-from docstrata.operators import lexical
+from docstrata.operators import lexical, vectors
 
 
 def by_sql(name, folder, *tables):
@@ -75,3 +75,17 @@ def test_bm25_passes_on_k_hits_of_a_query_from_a_task(spark, monkeypatch):
     twice = chunks.unionByName(chunks.where("chunk_id = 'c0001'")).unionByName(spark.createDataFrame([(None, "w1 w2"), (None, "w1 w2")], chunks.schema))
     got = lexical.search_texts(twice, queries, 600).groupBy("query_id", "chunk_id").count()
     assert got.where("count > 1").count() == 0 and got.where("chunk_id is null").count() > 0
+
+
+def test_near_pairs_are_sent_on_in_small_parts(spark, monkeypatch):
+    """A vector that is a guest of many regions, and a block with a pair at every place, go on in parts of bounded size."""
+    r = np.random.default_rng(4)
+    rows = [(1, i, [float(x) for x in r.normal(size=8)]) for i in range(300)] + [(1, 300 + i, [1.0] * 8) for i in range(300)]
+    v = spark.createDataFrame(rows, "project_id int, id int, embedding array<double>")
+    whole = sorted(map(tuple, vectors.near_pairs(v, 0.3, block_rows=64).collect()))
+    monkeypatch.setattr(vectors, "ROUTED_AT_ONCE", 7)
+    assert sorted(map(tuple, vectors.near_pairs(v, 0.3, block_rows=64).collect())) == whole
+    unit = np.array([x[2] for x in rows])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    a, b = np.nonzero(np.triu(np.round(unit @ unit.T, 6) >= 0.3, 1))
+    assert [(x[1], x[2]) for x in whole] == list(zip(a.tolist(), b.tolist()))
