@@ -30,6 +30,9 @@ _ASSIGN = regex.compile(rf"""(?:{_WORDS})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.
 _ACCESS = regex.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = regex.compile(r"[0-9a-f]{24,}")
 _RUN = regex.compile(r"[A-Za-z0-9+/_=-]{16,}")
+# Texts without a word of the first pattern, or without a run, hold no match of it, or of the others: whole texts are looked through for these first.
+_NAMES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
+_TOKEN_BYTES = bytes(49 if _RUN.fullmatch(chr(i) * 16) else 48 for i in range(256))
 _ENCODINGS = (
     ("digits", "0123456789"),
     ("hex", "0123456789abcdef"),
@@ -63,7 +66,9 @@ class _Alphabet:
             self.code[ord(c)] = i
             if c.swapcase() not in chars:
                 self.code[ord(c.swapcase())] = i
+        self.table, self.others = self.code.tobytes(), np.flatnonzero(self.code == 255).astype(np.uint8).tobytes()
         self.cls = np.array([_class(c) for c in chars], np.int8)
+        self.classes = bytes(self.cls) + bytes(256 - self.k)  # a table of codes
         share = np.bincount(self.cls, minlength=5) / self.k
         self.change = 1 - float((share**2).sum())
 
@@ -86,11 +91,19 @@ class _Alphabet:
         return np.abs(changes - self.change * (n - 1)) / math.sqrt(self.change * (1 - self.change) * (n - 1))
 
 
-def _equal_pairs(columns: np.ndarray) -> np.ndarray:
-    """Pairs of equal characters of each window of at most 256; ``columns`` has a row of bytes for each place in the windows."""
-    out = np.zeros(columns.shape[1], np.uint16)
-    for lag in range(1, len(columns)):
-        out += (columns[lag:] == columns[:-lag]).view(np.uint8).sum(0, dtype=np.uint8)
+def _equal_pairs(columns: np.ndarray, halves: np.ndarray | None = None) -> np.ndarray:
+    """Pairs of equal characters of each window of at most 256; ``columns`` has a row of bytes for each place in the windows.
+
+    ``halves``: the pairs inside both halves of each window, if they are known; then only pairs across are compared.
+    """
+    out = np.zeros(columns.shape[1], np.uint16) if halves is None else halves
+    half = len(columns) // 2
+    for lag in range(1, len(columns)) if halves is None else range(half):
+        if halves is None:
+            out += (columns[lag:] == columns[:-lag]).view(np.uint8).sum(0, dtype=np.uint8)
+        else:
+            out += (columns[: half - lag] == columns[half + lag :]).view(np.uint8).sum(0, dtype=np.uint8)
+            out += (columns[half - lag : half] == columns[half : half + lag]).view(np.uint8).sum(0, dtype=np.uint8)
     return out
 
 
@@ -126,15 +139,17 @@ def battery(token: str) -> tuple[int, int]:
 def candidates(text: str | None) -> list[tuple]:
     """(kind, start, end, base, place, cell) of one text's candidates, by start and kind; offsets are code points."""
     text = text or ""
-    found = []
-    for m in _ASSIGN.finditer(text) if "=" in text or ":" in text else ():
+    raw, found = text.encode("utf-8", "surrogatepass"), []
+    lower = raw.lower() if b"=" in raw or b":" in raw else b""
+    for m in _ASSIGN.finditer(text) if any(n in lower for n in _NAMES) else ():
         if len(m[1]) >= 6:
             found.append(("assign", m.start(), m.end(), True, m[1]))
-    found += [("access", m.start(), m.end(), True, m[0]) for m in _ACCESS.finditer(text)]
-    found += [("hex", m.start(), m.end(), True, m[0]) for m in _HEX.finditer(text)]
+    runs = b"1" * 16 in raw.translate(_TOKEN_BYTES)
+    found += [("access", m.start(), m.end(), True, m[0]) for m in (_ACCESS.finditer(text) if runs else ())]
+    found += [("hex", m.start(), m.end(), True, m[0]) for m in (_HEX.finditer(text) if runs else ())]
     base = sorted((s, e) for _, s, e, _, _ in found)
     at = 0
-    for m in _RUN.finditer(text):
+    for m in _RUN.finditer(text) if runs else ():
         while at < len(base) and base[at][1] <= m.start():
             at += 1
         if at == len(base) or base[at][0] >= m.end():
@@ -175,32 +190,35 @@ def ordinary(texts: list[tuple[str, list[tuple]]]) -> dict[int, int]:
 
 def _count_windows(pieces: list[bytes], out: np.ndarray) -> None:
     """Adds the windows of the pieces, each in all alphabets and lengths, to the counts of cells."""
-    raw = np.frombuffer(b"".join(pieces), np.uint8)
-    ends = np.cumsum([0, *map(len, pieces)])
     for alike in _STREAMS:
-        code = _ALPHABETS[alike[0]].code[raw]
-        keep = code < 255
-        borders = _sums(keep)[ends]
-        code, held = code[keep], np.diff(borders)
+        own = _ALPHABETS[alike[0]]
+        kept = [p.translate(own.table, own.others) for p in pieces]
+        held, joined = np.array([len(p) for p in kept], np.int64), b"".join(kept)
+        begins = np.cumsum(held) - held
+        code = np.frombuffer(joined, np.uint8)
         if len(code) < _LENGTHS[0]:
             continue
         wide = code.astype(np.int32)
         total, squares, products = _sums(wide), _sums(wide * wide), _sums(wide[1:] * wide[:-1])
-        classes = [_ALPHABETS[i].cls[code] for i in alike]
-        changes = [_sums(own[1:] != own[:-1]) for own in classes]
+        classes = [np.frombuffer(joined.translate(_ALPHABETS[i].classes), np.uint8) for i in alike]
+        changes = [_sums(c[1:] != c[:-1]) for c in classes]
+        inside: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of each length: windows of each piece, and their pairs
         for length, n in enumerate(_LENGTHS):
             windows = held // n
             count = int(windows.sum())
             if not count:
                 continue
-            rest = held - n * windows
-            first = np.arange(0, n * count, n) + np.repeat(np.cumsum(rest) - rest, windows)
+            first = np.arange(0, n * count, n) + np.repeat(begins - n * (np.cumsum(windows) - windows), windows)
             last = first + (n - 1)
-            ends_in = np.zeros(len(code) + 1, np.int8)  # where what no window holds begins and ends
-            np.add.at(ends_in, borders[1:] - rest, 1)
-            np.add.at(ends_in, borders[1:], -1)
-            read = code[np.cumsum(ends_in[:-1], dtype=np.int8) == 0].reshape(count, n)
-            pairs = n + 2.0 * _equal_pairs(np.ascontiguousarray(read.T))
+            read = np.frombuffer(b"".join([p[: n * w] for p, w in zip(kept, windows.tolist())]), np.uint8).reshape(count, n)
+            halves = None
+            if n // 2 in inside:  # a window is two of half its length, those from the beginning of its piece
+                had, known = inside[n // 2]
+                at = (first - np.repeat(begins, windows)) // (n // 2) + np.repeat(np.cumsum(had) - had, windows)
+                halves = known[at] + known[at + 1]
+            equal = _equal_pairs(np.ascontiguousarray(read.T), halves)
+            inside[n] = windows, equal
+            pairs = n + 2.0 * equal
             chi = _ALPHABETS[alike[0]].chi(n, pairs)
             serial = _serial(n, total[last + 1] - total[first], squares[last + 1] - squares[first], products[last] - products[first], wide[first] + wide[last])
             for i, changed in zip(alike, changes):

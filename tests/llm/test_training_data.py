@@ -720,3 +720,36 @@ def secrets_gone(text):
             out += text[at:a] + "[SECRET]"
         at = max(at, b)
     return out + text[at:]
+
+
+def test_longer_windows_are_made_of_their_halves(monkeypatch):
+    """Windows of 32, 48, 64 and 128 characters compare only pairs across their halves; counts are those of each window by itself."""
+    r = random.Random(6)
+    pieces = ["".join(r.choice("abAB 019_.é") for _ in range(n)).encode() for n in (5, 40, 130, 700, 1_500)]
+    seen, plain = [], secrets._equal_pairs
+
+    def pairs(columns, halves=None):
+        seen.append((len(columns), halves is not None))
+        out = plain(columns, halves)
+        assert out.tolist() == [sum(a == b for i, a in enumerate(w) for b in w[:i]) for w in columns.T.tolist()]
+        return out
+
+    monkeypatch.setattr(secrets, "_equal_pairs", pairs)
+    secrets._count_windows(pieces, np.zeros(len(secrets._LENGTHS) * len(secrets._ENCODINGS) * secrets._CELLS, np.int64))
+    assert {n for n, reused in seen if reused} == {32, 48, 64, 128} and {n for n, reused in seen if not reused} == {16, 20, 24}
+
+
+def test_texts_are_looked_through_before_the_patterns(monkeypatch):
+    """A pattern runs only over texts that can hold it, and finds what it finds in all of them."""
+    r = random.Random(7)
+    bits = ["password", "PassWd", "toKen", "apikey", "API_KEY", "=", ":", '"', " ", "AKIA", "ab12" * 6, "ABCDEFGH12345678", "é", "ſecret", "\ud800", "x" * 15, "/+=_-.", "\n"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(0, 12))) for _ in range(2_000)]
+    for text in texts:
+        found = [("assign", m.start(), m.end()) for m in secrets._ASSIGN.finditer(text) if len(m[1]) >= 6]
+        found += [(kind, m.start(), m.end()) for kind, p in (("access", secrets._ACCESS), ("hex", secrets._HEX)) for m in p.finditer(text)]
+        own = [m.span() for m in secrets._RUN.finditer(text)]
+        found += [("random", a, b) for a, b in own if not any(s < b and a < e for _, s, e in found)]
+        assert sorted(x[:3] for x in secrets.candidates(text)) == sorted(found)
+    for name in ("_ASSIGN", "_ACCESS", "_HEX", "_RUN"):
+        monkeypatch.setattr(secrets, name, None)
+    assert secrets.candidates("a: long text = of words shorter than sixteen letters") == []
