@@ -78,7 +78,7 @@ def r1(spark, d):
 
 @query("r1_stemmed_vocabulary")
 def r1s(spark, d):
-    return lexical.stemmed(lexical.postings(V.chunks(spark, d)).select("term", "tf")).groupBy("stem").agg(F.sum("tf").alias("tf"), F.count_distinct("term").alias("terms"))
+    return lexical.with_stem(lexical.vocabulary(V.chunks(spark, d))).groupBy("stem").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("terms"))
 
 
 @query("r2_query_rewrite", f"WITH {WORDS} SELECT query_id, CASE WHEN len(w) <= 3 THEN array_to_string(list_transform(w, lambda x: '\"' || x || '\"'), ' AND ') ELSE array_to_string(list_transform(w, lambda x: '\"' || x || '\"'), ' OR ') END AS match FROM words", "v_queries")

@@ -1,11 +1,14 @@
 """What only larger tables, or whole ones, bring out."""
 
 import random
+import re
+from collections import Counter
 
 import duckdb
 import numpy as np
 
 import __spark_entry__
+from docstrata.functions.stem import porter_stem
 from docstrata.llm import secrets
 from docstrata.operators import lexical, vectors
 
@@ -89,3 +92,20 @@ def test_near_pairs_are_sent_on_in_small_parts(spark, monkeypatch):
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     a, b = np.nonzero(np.triu(np.round(unit @ unit.T, 6) >= 0.3, 1))
     assert [(x[1], x[2]) for x in whole] == list(zip(a.tolist(), b.tolist()))
+
+
+def test_stemmed_vocabulary_reads_the_texts_once(spark, tmp_path):
+    """Terms are counted before they are shuffled, and each is stemmed where it was counted: no second pass, no join."""
+    r = random.Random(9)
+    texts = [" ".join(r.choice(("running", "Runs", "ran", "flies", "fly", "é9", "the")) for _ in range(r.randint(1, 40))) for _ in range(90)] + [None, "", "..."]
+    spark.createDataFrame([(i, t, "en", "web", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = __spark_entry__.queries()["r1_stemmed_vocabulary"](spark, str(tmp_path))
+    terms = Counter(t for text in texts for t in re.findall("[0-9a-zé]+", (text or "").lower()))
+    terms.update({"empty": 2, "file": 2})  # a blank text is one page that says so
+    expected = {}
+    for term, n in terms.items():
+        tf, own = expected.get(porter_stem(term), (0, 0))
+        expected[porter_stem(term)] = tf + n, own + 1
+    assert {x["stem"]: (x["tf"], x["terms"]) for x in found.collect()} == expected
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "Join" not in plan
