@@ -87,8 +87,9 @@ def st6_timers(spark, d):
     e = _stream(spark, d, "events")
     kind = F.when(F.col("event_id") % 3 == 0, "job").when(F.col("event_id") % 3 == 1, "plan").otherwise("run")
     rows = e.select(F.col("user_id").alias("key"), kind.alias("kind"), F.col("event_type").isin("view", "click").alias("opens"), F.col("ts").cast("timestamp").alias("at"))
+    shards = max(64, V.read(spark, d, "events").count() // 20_000)
     with expiry.with_rocks(spark):
-        out = flows.drained(spark, expiry.expiries(rows), shared_folder(spark))
+        out = flows.drained(spark, expiry.expiries(rows, shards=shards), shared_folder(spark))
     return out.where(F.col("expired_at") < F.lit(_SETTLED).cast("timestamp")).select("key", "kind", F.unix_millis("expired_at").alias("expired_ms"))
 
 

@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +77,65 @@ def test_late_beyond_the_watermark_is_not_waited_for(spark, tmp_path):
     assert sorted((x["key"], x["expired_at"]) for x in out.collect()) == [(1, minutes(5)), (2, minutes(905))]
     with pytest.raises(Exception):
         expiry.expiries(spark.createDataFrame([], "key long"))
+
+
+def test_a_shard_asks_its_state_a_few_times_for_many_rows():
+    calls, timers = [], set()
+
+    class State:
+        def __init__(self):
+            self.held = None
+
+        def __getattr__(self, name):
+            def call(*value):
+                calls.append(name)
+                if name == "exists":
+                    return self.held is not None
+                if name == "get":
+                    return iter(self.held) if isinstance(self.held, list) else self.held
+                self.held = None if name == "clear" else (self.held or []) + [value[0]] if name == "appendValue" else value[0]
+
+            return call
+
+    class Handle:
+        def getListState(self, *_):
+            return State()
+
+        getValueState = getListState
+
+        def registerTimer(self, at):
+            calls.append("timer")
+            timers.add(at)
+
+        def deleteTimer(self, at):
+            calls.append("no timer")
+            timers.discard(at)
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return until
+
+    r, n = random.Random(3), 20
+    rows = [(r.choice([None, "", *map(str, range(60))]), r.randint(0, 200) * 100_000, r.random() < 0.6, r.choice(["job", "plan", "run"])) for _ in range(4_000)]
+    rows = list({(k, at): (k, at, opens, kind) for k, at, opens, kind in rows}.values())  # no two rows of one key and time
+    processor, found = expiry._Deadlines(), []
+    processor.init(Handle())
+    for i in range(n):
+        low, high, until = 1_000_000 * i, 1_000_000 * (i + 1), 1_000_000 * i + 350_000 if i < n - 1 else 10**9
+        part = [x for x in rows if low <= x[1] < high or i == n - 1 and x[1] >= high]
+        r.shuffle(part)
+        processor.handleInputRows((0,), iter([pd.DataFrame(part, columns=["key", "at_ms", "opens", "kind"])]), Now())
+        for due in sorted(t for t in timers if t <= until):
+            timers.discard(due)
+            for out in processor.handleExpiredTimer((0,), Now(), due):
+                assert (out["expired_ms"] <= until).all()
+                found += list(out.itertuples(index=False, name=None))
+    want = []
+    for key in {x[0] for x in rows}:
+        own = sorted((at, opens, kind) for k, at, opens, kind in rows if k == key)
+        for (at, opens, kind), after in zip(own, [*own[1:], (10**12, False, "")]):
+            deadline = at + expiry.LIMITS[kind] * 1000
+            want += [(key, kind, deadline)] if opens and after[0] > deadline else []
+    by = lambda x: (str(x[0]), x[2])
+    assert sorted(((None if pd.isna(k) else k, kind, at) for k, kind, at in found), key=by) == sorted(want, key=by) and len(want) > 100
+    assert len(calls) < 20 * n and not timers
