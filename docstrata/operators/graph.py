@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docstrata.sources.shared import stored
+from docstrata.sources.shared import remove, stored, stored_at, swept
 
 
 def aggregate_entities(mentions: DataFrame) -> DataFrame:
@@ -84,27 +84,69 @@ def entity_chunks(matched: DataFrame, entities: DataFrame) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(order)).select("query_id", "rank", "chunk_id", (1 / F.col("rank")).alias("score"))
 
 
-def build_relations(mentions: DataFrame, *, block: int = 64) -> DataFrame:
-    """Pairs of entities that share chunks: how many, and their share of the rarer one's chunks.
+_CHUNK = ["project_id", "chunk_id"]
+
+
+def _sides(sized: DataFrame, block: int) -> tuple[DataFrame, bool]:
+    """Mentions (project_id, chunk_id, entity_name, n) as rows whose pairs are to be listed, and whether any has a ``w``.
+
+    A chunk of up to ``block`` entities is a row with all of them in ``v``, in order. A longer one is cut into blocks by hash: a row
+    for each block, and one for each two blocks with the other's in ``w``, dealt to tasks on their own.
+    """
+    entity, rows = F.struct("entity_name", "n"), sized.count()
+    dealt = sized.repartition(max(8, rows // 250_000), *_CHUNK).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy(*_CHUNK)))
+    whole = dealt.where(F.col("m") <= block).groupBy(*_CHUNK).agg(F.sort_array(F.collect_list(entity)).alias("v"))
+    whole = whole.select("project_id", "v", F.lit(None).cast(whole.schema["v"].dataType).alias("w"), F.size("v").alias("m"))
+    short = stored_at(whole, "zstd")[0]
+    if (short.agg(F.sum("m")).first()[0] or 0) == rows:
+        return short, False
+    long = dealt.where(F.col("m") > block).withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
+    long = long.withColumn("s", F.pmod(F.xxhash64("entity_name"), "blocks").cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("s", "t"), F.greatest("s", "t")
+    parts = long.select(*_CHUNK, low.alias("i"), high.alias("j"), (F.col("s") == low).alias("own"), entity.alias("e"))
+    parts = parts.repartition(max(8, rows // 250_000), *_CHUNK, "i", "j").groupBy(*_CHUNK, "i", "j")
+    parts = parts.agg(*(F.sort_array(F.collect_list(F.when(side, F.col("e")))).alias(k) for k, side in (("v", F.col("own")), ("w", ~F.col("own")))))
+    return short.unionByName(stored_at(parts.select("project_id", "v", F.when(F.col("i") < F.col("j"), F.col("w")).alias("w"), F.lit(0).alias("m")), "zstd")[0]), True
+
+
+def _listed(sides: DataFrame, across: bool) -> DataFrame:
+    """The pairs of ``_sides``, each as often as chunks have it: project_id, entity_a, n_a, entity_b, n_b, and a hash of the pair."""
+    inside = sides.where("w is null").select("project_id", F.posexplode("v").alias("k", "a"), "v").select("project_id", "a", F.explode(F.slice("v", F.col("k") + 2, F.size("v"))).alias("b"))
+    if across:
+        other = sides.where("w is not null").select("project_id", F.explode("v").alias("x"), "w").select("project_id", "x", F.explode("w").alias("y"))
+        inside = inside.unionByName(other.select("project_id", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    flat = inside.select("project_id", *(F.col(f"{s}.{c}").alias(f"{d}_{s}") for s in "ab" for c, d in (("entity_name", "entity"), ("n", "n"))))
+    return flat.withColumn("pair", F.xxhash64("project_id", "entity_a", "entity_b"))
+
+
+def build_relations(mentions: DataFrame, *, names: DataFrame | None = None, at_least: int = 1, block: int = 64, most: int = 2_000_000) -> DataFrame:
+    """Pairs of entities that share ``at_least`` so many chunks: how many, and their share of the rarer one's chunks.
 
     All chunks count. Chunks of more than ``block`` entities are cut into blocks by hash, and each pair of blocks is listed on its own, so that no task lists a chunk's pairs alone.
+    With ``names`` (entity_id, entity_name) the mentions have an ``entity_id`` instead of a name, and those without a name relate nothing.
+
+    Names travel with mentions and not with pairs. Pairs are counted by a hash of eight bytes first; one whose hash
+    comes once is in one chunk, and is told where the chunk is. Only pairs whose hash comes again are gathered by their names, so the counts
+    are exact whatever hashes meet. Beyond ``most`` such hashes, which a broadcast should not hold, all pairs are gathered by name.
+    Runs at once, in steps that leave a table of chunks; what each has shuffled goes when it ends.
     """
-    once = mentions.select("project_id", "chunk_id", "entity_name").distinct()
-    known = once.where("project_id is not null and chunk_id is not null and entity_name is not null")
-    sizes = known.groupBy("project_id", "chunk_id").agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    dealt = known.join(sizes, ["project_id", "chunk_id"]).select("project_id", "chunk_id", "entity_name", blocks.alias("blocks"))
-    dealt = dealt.withColumn("s", F.pmod(F.xxhash64("entity_name"), "blocks").cast("int")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    i, j = F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j")
-    sides = dealt.groupBy("project_id", "chunk_id", i, j).agg(*(F.sort_array(F.collect_list(F.when(F.col("s") == F.least("s", "t") if k == "v" else F.col("s") > F.col("t"), F.col("entity_name")))).alias(k) for k in "vw"))
-    # "v" holds the entities of block i, "w" those of block j where that is another one
-    inside = sides.where("i = j").select("project_id", F.posexplode("v").alias("k", "entity_a"), "v").select("project_id", "entity_a", F.explode(F.slice("v", F.col("k") + 2, F.size("v"))).alias("entity_b"))
-    across = sides.where("i < j").select("project_id", F.explode("v").alias("x"), "w").select("project_id", "x", F.explode("w").alias("y")).select("project_id", F.least("x", "y").alias("entity_a"), F.greatest("x", "y").alias("entity_b"))
-    pairs = inside.unionByName(across)
-    shared = pairs.groupBy("project_id", "entity_a", "entity_b").agg(F.count(F.lit(1)).alias("shared_chunks"))
-    size = once.groupBy("project_id", "entity_name").agg(F.count(F.lit(1)).alias("n"))
-    for side in ("a", "b"):
-        shared = shared.join(size.select("project_id", F.col("entity_name").alias(f"entity_{side}"), F.col("n").alias(f"n_{side}")), ["project_id", f"entity_{side}"])
+    spark, own = mentions.sparkSession, "entity_name" if names is None else "entity_id"
+    with swept(spark):
+        once, path = stored_at(mentions.select(*_CHUNK, own).distinct())
+        size = once.groupBy("project_id", own).agg(F.count(F.lit(1)).alias("n"))
+        size = size if names is None else size.join(names, own)
+        sized, after = stored_at(once.dropna().join(size, ["project_id", own]).select(*_CHUNK, "entity_name", "n"))
+        remove(spark, path)
+        pairs = _listed(*_sides(sized, block))
+        remove(spark, after)
+        again = stored(pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("pair"))
+        few = again.count() <= most
+    met = pairs.join(F.broadcast(again), "pair", "left_semi") if few else pairs
+    shared = met.groupBy("project_id", "entity_a", "entity_b").agg(F.count(F.lit(1)).alias("shared_chunks"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
+    if at_least > 1:
+        shared = shared.where(F.col("shared_chunks") >= at_least)
+    elif few:
+        shared = shared.unionByName(pairs.join(F.broadcast(again), "pair", "left_anti").drop("pair").withColumn("shared_chunks", F.lit(1).cast("long")))
     return shared.select("project_id", "entity_a", "entity_b", F.lit("mentioned_alongside").alias("relation"), "shared_chunks", (F.col("shared_chunks") / F.least("n_a", "n_b")).alias("confidence"))
 
 

@@ -502,7 +502,8 @@ _REL = (
 
 @query("g5_relations", f"WITH {_REL} SELECT r.project_id, entity_a, entity_b, shared_chunks, round(shared_chunks / least(x.n, y.n), 6) AS confidence FROM rel r JOIN n x ON x.project_id = r.project_id AND x.entity_name = entity_a JOIN n y ON y.project_id = r.project_id AND y.entity_name = entity_b", "v_mentions")
 def g5(spark, d):
-    return graph.build_relations(V.mentions(spark, d)).select("project_id", "entity_a", "entity_b", "shared_chunks", F.round("confidence", 6).alias("confidence"))
+    rel = graph.build_relations(V.mention_ids(spark, d), names=V.entity_names(spark, d))
+    return rel.select("project_id", "entity_a", "entity_b", "shared_chunks", F.round("confidence", 6).alias("confidence"))
 
 
 @query("g5_relations_all", f"WITH {_REL} SELECT project_id, entity_a, entity_b, shared_chunks FROM rel", "v_mentions")

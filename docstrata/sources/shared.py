@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,9 +23,26 @@ def shared_folder(spark: SparkSession) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: what several steps read is made once and outlives executors."""
+    return stored_at(df)[0]
+
+
+def stored_at(df: DataFrame, compression: str = "snappy") -> tuple[DataFrame, str]:
+    """``stored``, and the folder to ``remove`` once nothing reads the table any more."""
     path = f"{shared_folder(df.sparkSession)}/docstrata-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+@contextmanager
+def swept(spark: SparkSession):
+    """Inside, what a step has shuffled goes when the step ends, so the steps of a long job share one step's disk."""
+    conf, key = spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        yield
+    finally:
+        conf.set(key, before)
 
 
 def remove(spark: SparkSession, *paths: str) -> None:

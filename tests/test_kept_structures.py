@@ -302,6 +302,39 @@ def test_a_hub_is_cut_before_the_shuffle_and_between_hops(spark, monkeypatch):
     assert kept == [30 + 20_000, 5]  # each spoke's one edge, 30 of the hub's 20,000; one row of each query between the hops
 
 
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_names_do_not_travel_with_pairs(spark, most):
+    from itertools import combinations
+
+    r = random.Random(6)
+    names = {i: [f"{'long name ' * 20}{r.random():.6f} {i:03}"] for i in range(60)}
+    names[7].append("another name of 7")
+    del names[9]  # has no name
+    chunks = {(p, c): set(r.sample(range(60), r.choice([1, 2, 3, 20]))) for p in (1, 2) for c in range(40)} | {(1, 99): {3}, (2, 99): {3, 4}}
+    ids = [(p, c, i) for (p, c), v in chunks.items() for i in v for _ in range(r.choice([1, 2]))]
+    m = spark.createDataFrame(ids + [(1, None, 3), (1, None, 4), (None, 5, 3), (None, 5, 4), (1, 5, None)], "project_id int, chunk_id long, entity_id long")
+    known = spark.createDataFrame([(i, n) for i, v in names.items() for n in v], "entity_id long, entity_name string")
+    shared, own = {}, {}
+    for (p, _), v in [*chunks.items(), ((1, None), {3, 4})]:
+        told = sorted(n for i in v for n in names.get(i, []))
+        for n in told:
+            own[p, n] = own.get((p, n), 0) + 1
+        for pair in combinations(told, 2) if _ is not None else ():
+            shared[p, *pair] = shared.get((p, *pair), 0) + 1
+    want = {(p, a, b): (n, n / min(own[p, a], own[p, b])) for (p, a, b), n in shared.items()}
+    found = lambda df: sorted(((x["project_id"], x["entity_a"], x["entity_b"]), (x["shared_chunks"], x["confidence"])) for x in df.collect())
+    for block in (8, 64):
+        rel = graph.build_relations(m, names=known, block=block, most=most)
+        assert found(rel) == sorted(want.items()) and 1 in shared.values() and max(shared.values()) > 2
+    assert found(graph.build_relations(m, names=known, at_least=2, most=most)) == sorted(x for x in want.items() if x[1][0] > 1)
+    by_name = m.join(known, "entity_id").drop("entity_id")
+    assert found(graph.build_relations(by_name, most=most)) == sorted(want.items())
+    assert graph.build_relations(m.limit(0), names=known, most=most).count() == graph.build_relations(by_name.limit(0), at_least=2, most=most).count() == 0
+    if most:  # of the names, only those of pairs that come again are shuffled once more
+        plan = rel.select("*")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "LeftSemi" in plan and "LeftAnti" in plan
+
+
 def test_packed_equals_the_fold(spark):
     r = random.Random(5)
     cases = [[]] + [[" ".join("w" * r.randint(1, 12) for _ in range(r.choice([1, 3, 8, 30]))) for _ in range(r.randint(1, 15))] for _ in range(250)]
