@@ -517,7 +517,7 @@ _STRONG = "WHERE shared_chunks >= 2"
 
 @query("g2_k_hop", f"WITH {_REL}, e AS (SELECT project_id, entity_a AS src, entity_b AS dst FROM rel {_STRONG} UNION ALL SELECT project_id, entity_b, entity_a FROM rel {_STRONG}), s AS (SELECT project_id AS query_id, project_id, min(src) AS name FROM e GROUP BY 1, 2), h1 AS (SELECT DISTINCT query_id, s.project_id, dst FROM s JOIN e ON e.project_id = s.project_id AND e.src = s.name), h2 AS (SELECT DISTINCT query_id, h1.project_id, e.dst FROM h1 JOIN e ON e.project_id = h1.project_id AND e.src = h1.dst), u AS (SELECT query_id, dst, 1 AS depth FROM h1 UNION ALL SELECT query_id, dst, 2 FROM h2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY depth, dst) AS rank FROM u) SELECT query_id, dst AS entity_name, depth, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 30", "v_mentions")
 def g2(spark, d):
-    rel = graph.build_relations(V.mentions(spark, d)).where("shared_chunks >= 2")
+    rel = stored(graph.build_relations(V.mention_ids(spark, d), names=V.entity_names(spark, d), at_least=2))
     both = rel.select("project_id", F.explode(F.array("entity_a", "entity_b")).alias("entity_name"))
     seeds = both.groupBy("project_id").agg(F.min("entity_name").alias("entity_name")).withColumn("query_id", F.col("project_id"))
     return graph.expand_hops(seeds, rel).select("query_id", "entity_name", "depth", "rank")
