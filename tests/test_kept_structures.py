@@ -335,6 +335,22 @@ def test_names_do_not_travel_with_pairs(spark, most):
         assert plan.count("Exchange hashpartitioning") == 1 and "LeftSemi" in plan and "LeftAnti" in plan
 
 
+def test_registered_relations_and_hops_gather_no_pairs_by_name(spark, monkeypatch):
+    from docstrata.plans import registry, search
+
+    d, ask = "/root/testdata/sf0.001", registry.queries()
+    for name in ("g5_relations", "g5_relations_all"):
+        rel = ask[name](spark, d)
+        plan = rel._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "LeftSemi" in plan and "LeftAnti" in plan
+    strong, kept, store = rel.where("shared_chunks >= 2").count(), [], search.stored
+    monkeypatch.setattr(search, "stored", lambda df: kept.append(store(df)) or kept[-1])
+    for name in ("g2_k_hop", "g2_k_hop_all"):
+        kept.clear()
+        assert ask[name](spark, d).count() <= 5 * 30
+        assert [x.count() for x in kept] == [strong]  # all that hops are taken over
+
+
 def test_packed_equals_the_fold(spark):
     r = random.Random(5)
     cases = [[]] + [[" ".join("w" * r.randint(1, 12) for _ in range(r.choice([1, 3, 8, 30]))) for _ in range(r.randint(1, 15))] for _ in range(250)]
